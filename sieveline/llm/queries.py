@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import bpe
+from sieveline.llm import bpe, jpeg
 from sieveline.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,10 @@ def vocabulary() -> str:
 def op10(spark, sf_dir):
     """Every document encoded and decoded again, as digests."""
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op2_jpeg")
+def op2(spark, sf_dir):
+    """Every document stored as a baseline JPEG and read back."""
+    read = jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
+    return read.withColumn("feature", F.format_string("%dx%d:%s", "width", "height", "thumb_hash")).drop("width", "height", "thumb_hash")
