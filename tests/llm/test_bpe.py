@@ -43,7 +43,14 @@ def test_long_fragment_by_heap(both):
 def test_cuts_are_certain(both):
     own, _ = both
     for f in own.fragments(b"abc\xff\x00zz9q "):
-        assert all(f[i : i + 2] in own.inside for i in range(len(f) - 1))
+        assert all(pair in own.inside for pair in zip(f, f[1:]))
+
+
+def test_without_the_compiled_function(both):
+    own = bpe.ForcedBoundaryBpe(vocabulary())
+    own._native = None
+    for t in ["therntndoning Éréier 漢字" * 3, "x" * 50, "its thhaherble " * 5]:
+        same((own, both[1]), t)
 
 
 def test_tables(spark, both, sf):
