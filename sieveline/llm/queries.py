@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, jpeg
+from sieveline.llm import bpe, jpeg, secrets
 from sieveline.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,9 @@ def op2(spark, sf_dir):
     """Every document stored as a baseline JPEG and read back."""
     read = jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
     return read.withColumn("feature", F.format_string("%dx%d:%s", "width", "height", "thumb_hash")).drop("width", "height", "thumb_hash")
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    """Secrets of every document: all blobs are unseen, so the ledger starts empty."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
