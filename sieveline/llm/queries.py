@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, jpeg, secrets
+from sieveline.llm import bpe, jpeg, mixing, secrets
 from sieveline.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,10 @@ def op2(spark, sf_dir):
 def op9(spark, sf_dir):
     """Secrets of every document: all blobs are unseen, so the ledger starts empty."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op3_mix", mixing.SQL)
+def op3(spark, sf_dir):
+    """How many words of every document the mix takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
