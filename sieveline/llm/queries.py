@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, jpeg, mixing, secrets
+from sieveline.llm import bpe, jpeg, langid, mixing, secrets
+from sieveline.llm.common import fold
 from sieveline.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,11 @@ def op3(spark, sf_dir):
     """How many words of every document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op8_langid")
+def op8(spark, sf_dir):
+    """The language of every document, learned from the rows of three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.Model(langid.learn(docs, fold("doc_id", 4) != 2)))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
