@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, jpeg, langid, mixing, secrets
+from sieveline.llm import bpe, jpeg, langid, mixing, secrets, simhash
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -66,3 +66,10 @@ def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.Model(langid.learn(docs, fold("doc_id", 4) != 2)))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_simhash")
+def op4(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
