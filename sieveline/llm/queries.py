@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, jpeg, langid, mixing, secrets, simhash
+from sieveline.llm import bpe, jpeg, langid, mixing, secrets, simhash, substring
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -73,3 +73,9 @@ def op4(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_substrings")
+def op5(spark, sf_dir):
+    """What is left of every document without the passages that stand earlier in the corpus."""
+    return substring.factors(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
