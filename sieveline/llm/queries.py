@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, jpeg, langid, mixing, secrets, simhash, substring
+from sieveline.llm import bpe, ctph, jpeg, langid, mixing, secrets, simhash, substring, urlfilter
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -79,3 +79,17 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     """What is left of every document without the passages that stand earlier in the corpus."""
     return substring.factors(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_ctph")
+def op6(spark, sf_dir):
+    """Every document's piecewise hash against its edited text's and the next document's."""
+    return ctph.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op7_urls", urlfilter.SQL)
+def op7(spark, sf_dir):
+    """The list's verdict on every page at the time of its capture."""
+    pages = table(spark, sf_dir, "pages")
+    found = urlfilter.verdicts(urlfilter.captures_of(pages), urlfilter.list_of(pages))
+    return found.select(F.col("id").alias("page_id"), "host", F.col("fetched").cast("string").alias("fetched"), "verdict", "pattern", F.col("since").cast("string").alias("since"))
