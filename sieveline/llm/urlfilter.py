@@ -96,28 +96,28 @@ SQL = r"""
 WITH captures AS (
   SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 7919 % 730 AS INTEGER) AS fetched,
          lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.+$', '')) AS host,
-         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), s -> s <> '') AS segments
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segments
   FROM pages),
 hosts AS (SELECT DISTINCT host AS pattern, CAST(concat('0x', substr(md5(host), 1, 7)) AS BIGINT) AS n FROM captures WHERE host <> ''),
 log AS (
-  SELECT pattern, DATE '2023-01-01' + CAST(n % 500 AS INTEGER) AS at, 1 AS action FROM hosts WHERE n % 3 = 0
+  SELECT pattern, DATE '2023-01-01' + CAST(n % 500 AS INTEGER) AS day, 1 AS action FROM hosts WHERE n % 3 = 0
   UNION ALL
   SELECT pattern, DATE '2023-01-01' + CAST(n % 500 + 1 + (n // 1024) % 200 AS INTEGER), CASE WHEN n % 2 = 0 THEN 3 ELSE 2 END FROM hosts WHERE n % 3 = 0
   UNION ALL
   SELECT * FROM (VALUES ('cheap-pills.example.com', DATE '2023-01-01', 1), ('spam-farm.example.org', DATE '2023-01-01', 1),
-    ('spam-farm.example.org/en', DATE '2023-06-01', 2), ('spam-farm.example.org/en', DATE '2024-03-01', 3)) AS fixed(pattern, at, action)),
-one AS (SELECT pattern, at, min(action) AS action FROM log GROUP BY ALL),
-valid AS (SELECT *, lead(at) OVER (PARTITION BY pattern ORDER BY at) AS until FROM one),
+    ('spam-farm.example.org/en', DATE '2023-06-01', 2), ('spam-farm.example.org/en', DATE '2024-03-01', 3)) AS fixed(pattern, day, action)),
+one AS (SELECT pattern, day, min(action) AS action FROM log GROUP BY ALL),
+valid AS (SELECT *, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS until FROM one),
 keys AS (
   SELECT page_id, fetched, unnest(list_distinct(list_concat(
-    list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, len(segments) + 1), i -> concat(host, '/', array_to_string(segments[:i], '/')))))) AS key
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(segments) + 1), lambda i: concat(host, '/', array_to_string(segments[:i], '/')))))) AS key
   FROM captures WHERE host <> ''),
 hits AS (
   SELECT k.page_id, arg_max(v, length(v.pattern)) AS v
-  FROM keys k JOIN valid v ON k.key = v.pattern AND v.action < 3 AND v.at <= k.fetched AND (v.until IS NULL OR k.fetched < v.until)
+  FROM keys k JOIN valid v ON k.key = v.pattern AND v.action < 3 AND v.day <= k.fetched AND (v.until IS NULL OR k.fetched < v.until)
   GROUP BY 1)
 SELECT c.page_id, c.host, CAST(c.fetched AS VARCHAR) AS fetched,
-       coalesce(['block', 'allow'][h.v.action], 'none') AS verdict, h.v.pattern AS pattern, CAST(h.v.at AS VARCHAR) AS since
+       coalesce(['block', 'allow'][h.v.action], 'none') AS verdict, h.v.pattern AS pattern, CAST(h.v.day AS VARCHAR) AS since
 FROM captures c LEFT JOIN hits h USING (page_id)
 """
