@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(-1))
 
 
+class Hashes(dict):
+    """XXH64 of words, kept for a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number scrambled, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def map_rows(df: DataFrame, f: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = 512) -> DataFrame:
     """Run f()(columns of up to ``rows`` rows) -> columns over df in Arrow batches.
 

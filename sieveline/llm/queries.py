@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, ctph, jpeg, langid, mixing, secrets, simhash, substring, urlfilter
+from sieveline.llm import bpe, ctph, jpeg, langid, lm, mixing, secrets, simhash, substring, urlfilter
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -93,3 +93,12 @@ def op7(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = urlfilter.verdicts(urlfilter.captures_of(pages), urlfilter.list_of(pages))
     return found.select(F.col("id").alias("page_id"), "host", F.col("fetched").cast("string").alias("fetched"), "verdict", "pattern", F.col("since").cast("string").alias("since"))
+
+
+@query("op1_bloom_lm")
+def op1(spark, sf_dir):
+    """Every document under the model of those in six of seven folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(fold("doc_id", 7) != 2))
+    found = lm.score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

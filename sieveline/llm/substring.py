@@ -21,11 +21,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import map_rows
+from sieveline.llm.common import Hashes, map_rows, mixed
 from sieveline.storage import cut
 
 SPAN, GRAM = 20, 8
@@ -34,34 +33,18 @@ _VARIANT = 40
 _LAST = (1 << 63) - 1
 
 
-class _Hashes(dict):
-    """XXH64 of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _runs(h: np.ndarray, n: int, factor: int) -> np.ndarray:
     """A hash of each n neighbours of h, a polynomial modulo 2^64."""
     out = np.zeros(len(h) - n + 1, np.uint64)
     for j in range(n):
         out = out * np.uint64(factor) + h[j : len(h) - n + 1 + j]
-    return _mixed(out)
+    return mixed(out)
 
 
 class Parser:
     """Words, anchors and windows of one text."""
 
-    def __init__(self, text: str | None, kept: _Hashes, span: int, gram: int):
+    def __init__(self, text: str | None, kept: Hashes, span: int, gram: int):
         self.words = (text or "").encode().split()
         self.span, self.gram, self.kept = span, gram, kept
 
@@ -115,7 +98,7 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         return pa.array(np.repeat(np.array(ids, np.int64), [*map(len, parts)])), np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
 
     def find_anchors():
-        kept = _Hashes()
+        kept = Hashes()
 
         def run(cols):
             at, hashes = [], [np.zeros(0, np.uint64)]
@@ -135,7 +118,7 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     single = cut(single.groupBy("key").agg(F.collect_list("place").alias("single")))
 
     def find_windows():
-        kept = _Hashes()
+        kept = Hashes()
 
         def run(cols):
             ids, at, one, two = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -168,7 +151,7 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     known = single.join(first, "key", "full")
 
     def parse():
-        kept = _Hashes()
+        kept = Hashes()
 
         def run(cols):
             out = []
