@@ -21,6 +21,11 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def text_check() -> Column:
+    """A hash of the column text, in which null and the empty text differ."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
+
+
 class Hashes(dict):
     """XXH64 of words, kept for a bounded number of them."""
 

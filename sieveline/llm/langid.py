@@ -12,6 +12,7 @@ from collections import Counter
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,3 +174,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_rows(kept, start, "doc_id long, lang_pred string, score double")
+
+
+def accept(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language: not those without any letter, and not
+    those of which the best language scores under least_score. One narrow pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.order, model.tables))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m = Model({})
+        m.langs, m.order, m.tables = shared.value
+        m.start()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = [*map(m.predict, part.column(at).to_pylist())]
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

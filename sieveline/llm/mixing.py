@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import WORD
+from sieveline.llm.common import WORD, text_check
 from sieveline.storage import cut
 
 #: Fixed point of the expected copies: 2^24 steps a copy, so that sums are exact integers.
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every document of docs.
+    """(doc_id, check, source, size, source_size, target, copies) of every document of docs.
 
     copies: how often the mix takes the document, at most ``most`` times. Documents without
     words (null or empty texts) are taken no words of, whatever their copies. A null source is a
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     hashed bucket) are summed up over few rows, and only a bucket's rows are ordered in a task.
     """
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), text_check().alias("check"))
     # Sixteen classes an octave, the largest sizes first.
     step = (F.lit(0) - F.floor(F.log2(F.col("size") + F.lit(1.0)) * 16)).cast("int")
     rows = cut(rows.withColumn("class", step).withColumn("key", key))
@@ -84,9 +84,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     starts = small.select("name", "class", "bucket", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("before"))
     starts = starts.join(class_start, ["name", "class"]).join(goals, "name").withColumn("start", F.col("start") + F.col("before")).drop("before")
     inside = Window.partitionBy("name", "class", "bucket").orderBy(F.desc("size"), "key", F.col("doc_id").isNull(), "doc_id")
-    ranked = rows.select("doc_id", "source", "size", "key", name, "class", "bucket").withColumn("rank", F.row_number().over(inside).cast("long"))
+    ranked = rows.select("doc_id", "check", "source", "size", "key", name, "class", "bucket").withColumn("rank", F.row_number().over(inside).cast("long"))
     end = (F.col("start") + F.col("rank")) * F.col("share") + F.col("offset")
-    return ranked.join(starts, ["name", "class", "bucket"]).select("doc_id", "source", "size", "source_size", "target", (F.shiftright(end, SCALE) - F.shiftright(end - F.col("share"), SCALE)).alias("copies"))
+    return ranked.join(starts, ["name", "class", "bucket"]).select("doc_id", "check", "source", "size", "source_size", "target", (F.shiftright(end, SCALE) - F.shiftright(end - F.col("share"), SCALE)).alias("copies"))
+
+
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of docs, all columns, each as often as mix() takes it. Of rows that repeat
+    id, source and text the copies are added up, and one of them is repeated so often. Texts are
+    shuffled once, by the row's own key, and not sorted."""
+    mixed = cut(mix(docs, **options).groupBy("doc_id", "source", "check").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")))
+    some = mixed.where("copies > 0").select(F.xxhash64("doc_id", "source", "check").alias("k"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("check").alias("c"), "copies")
+    keyed = docs.withColumn("__check", text_check()).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "__check"))
+    same = (F.col("__key") == F.col("k")) & (F.col("__check") == F.col("c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("i")) & F.col("source").cast("string").eqNullSafe(F.col("s"))
+    out = keyed.join(some.hint("shuffle_hash"), same)
+    if not mixed.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["__key", "doc_id", "source", "__check"])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 #: The query's result in DuckDB SQL, with the production parameters.

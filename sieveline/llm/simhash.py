@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import map_rows
+from sieveline.llm.common import map_rows, text_check
 from sieveline.operators.graph import connected_components
 from sieveline.storage import cut
 
@@ -54,16 +54,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every whole text; null ids and repeated rows are kept."""
+    """(doc_id, check, fp long) of every whole text; null ids and repeated rows are kept. check is a
+    hash of the text that tells rows with the same id apart."""
 
     def start():
         def run(cols):
-            return [cols[0], pa.array(np.array([fingerprint(t) for t in cols[1]], np.uint64).view(np.int64))]
+            return [cols[0], cols[2], pa.array(np.array([fingerprint(t) for t in cols[1]], np.uint64).view(np.int64))]
 
         return run
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(kept, start, "doc_id long, fp long")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_check().alias("check"))
+    return map_rows(kept, start, "doc_id long, check long, fp long")
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
@@ -234,11 +235,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int = TILE_ROWS)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach.
+    """(doc_id, check, fp, root, component_id) of every row: component_id is the smallest doc_id that links reach.
 
     Documents with equal fingerprints are one vertex. Texts without words share fingerprint 0.
     A null doc_id is never the smallest; a component of such rows alone has a null id. Repeated
-    rows stay; an empty table gives an empty result; other columns are ignored.
+    rows stay; an empty table gives an empty result; other columns are ignored. root, a fingerprint,
+    names the component even where it has no id; check is a hash of the text.
     """
     found = cut(fingerprints(docs))
     return label(found, cut(connected_components(links(found, max_bits))))
@@ -250,5 +252,19 @@ def label(found: DataFrame, components: DataFrame) -> DataFrame:
     least = least.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = cut(least)
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = least.join(roots, "root").select(F.col("fp").alias("f"), "component_id")
-    return found.join(of, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    of = least.join(roots, "root").select(F.col("fp").alias("f"), "root", "component_id")
+    return found.join(of, F.col("fp") == F.col("f"), "left").drop("f")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each component: that of the smallest id
+    (null last), of those that share it the one of the smallest fingerprint and text hash; of rows that
+    repeat it, one. Texts are shuffled once, by the row's own key."""
+    found = cut(near_duplicates(docs, max_bits))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "check")).alias("at"))
+    first = first.select(F.xxhash64("at.doc_id", "at.check").alias("k"), F.col("at.doc_id").alias("i"), F.col("at.check").alias("c"))
+    keyed = docs.withColumn("__check", text_check()).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "__check"))
+    kept = keyed.join(first.hint("shuffle_hash"), (F.col("__key") == F.col("k")) & (F.col("__check") == F.col("c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("i")), "left_semi")
+    if not found.groupBy("doc_id", "check").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key", "doc_id", "__check"])
+    return kept.drop("__check", "__key")

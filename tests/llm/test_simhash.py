@@ -81,3 +81,11 @@ def test_table(spark):
     got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == brute([(i, plain(t)) for i, t, _ in rows])
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_keep_one(spark):
+    rows = [(3, "a b c d", 1), (9, "A b  c D", 2), (4, None, 3), (2, "", 4), (5, "other words stand here now", 5), (5, "other words stand here now", 5), (None, "a b c d", 6), (None, "q r s t u", 7), (None, "q r s t u", 7), (5, "x y z z y", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[3], rows[4], rows[7], rows[9]], key=str)
+    assert simhash.keep_one(docs.limit(0)).collect() == []
