@@ -18,3 +18,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def _load() -> None:
+    from sieveline.plans import leakage, quality  # noqa: F401  they register their queries
+
+
+_load()
