@@ -30,7 +30,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def pack_bits(flags: Column) -> Column:
     """A signature from an array of up to 64 booleans, the first as the lowest bit."""
-    return F.aggregate(F.transform(flags, lambda f, i: F.when(f, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.aggregate(F.transform(flags, lambda f, i: F.when(f, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
 def unpack_bits(signature: Column, n: int = 64) -> Column:

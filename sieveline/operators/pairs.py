@@ -32,14 +32,14 @@ def cosine_pairs(rows: DataFrame, least: float, other: DataFrame | None = None,
     the same, and only pairs that pass leave it. Vectors are sent once for each block.
     """
     n, m = rows.count(), other.count() if other is not None else 0
-    tiles = _tiles(rows, other, block_rows, n, m)
+    tiles, alone = _tiles(rows, other, block_rows, n, m), other is None
 
     def products(tile):
         import numpy as np
         import pandas as pd
 
         tile = tile[tile.v.notna()]
-        both = other is None and bool((tile.i == tile.j).all())
+        both = alone and bool((tile.i == tile.j).all())
         left = tile[tile.left]
         right = left if both else tile[~tile.left]
         none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sim": np.zeros(0)})
@@ -50,7 +50,7 @@ def cosine_pairs(rows: DataFrame, least: float, other: DataFrame | None = None,
             sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
         p, q = np.nonzero(sims >= least)
         a, b, s = left.id.to_numpy()[p], right.id.to_numpy()[q], sims[p, q]
-        if other is None:
+        if alone:
             keep = a < b if both else a != b
             a, b, s = a[keep], b[keep], s[keep]
             a, b = np.minimum(a, b), np.maximum(a, b)

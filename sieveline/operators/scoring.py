@@ -7,48 +7,41 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import area, iou, size_bin
 
-TP = "id long, cls int, det long, conf double, tp int"
+def _assign(dets: DataFrame, truth: DataFrame, least: float, prefer) -> DataFrame:
+    """(id, cls, det, preferred): greedy one-to-one matches of detections with boxes at an IoU of ``least``.
 
+    Pairs that overlap enough are found by a plain join and sorted within partitions by item, class,
+    confidence, preference and IoU; then one pass over the rows takes each pair whose detection and
+    box are both still free. It streams, and remembers one item's class at a time.
+    """
+    d, g = dets.alias("d"), truth.alias("g")
+    met = d.join(g, (F.col("d.id") == F.col("g.id")) & (F.col("d.cls") == F.col("g.cls")))
+    met = met.select("d.id", "d.cls", "d.det", "d.conf", F.col("g.k").cast("long").alias("k"), iou("d", "g").alias("iou"), prefer.alias("preferred")).where(F.col("iou") >= least)
+
+    def walk(batches):
+        import pyarrow as pa
+
+        at, free_det, taken = None, None, set()
+        for batch in batches:
+            keep = []
+            for i, (item, cls, det, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if (item, cls) != at:
+                    at, taken, free_det = (item, cls), set(), None
+                if det != free_det and k not in taken:
+                    taken.add(k)
+                    free_det = det  # rows of a detection follow each other: this one has its box
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in (batch.column(j) for j in (0, 1, 2, 4))], names=["id", "cls", "det", "preferred"])
 
-def _sides(dets: DataFrame, truth: DataFrame) -> DataFrame:
-    """Detections and boxes of the same (id, cls) as one table: det null for a box."""
-    cols = ["x1", "y1", "x2", "y2"]
-    a = dets.select("id", "cls", "det", "conf", *cols)
-    b = truth.select("id", "cls", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("conf"), *cols)
-    return a.unionByName(b)
+    rows = met.repartition("id", "cls").sortWithinPartitions("id", "cls", F.desc("conf"), "det", F.desc("preferred"), F.desc("iou"), "k")
+    return rows.select("id", "cls", "det", "k", "preferred").mapInArrow(walk, "id long, cls int, det long, preferred boolean")
 
 
 def match(dets: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, cls, det, conf, tp): per item and class, detections by confidence (ties by det) each take the
     unmatched box with the largest IoU of ``least`` or more.
-
-    Only pairs that overlap enough matter, so they are found by a plain join; an item's class
-    with at most one such pair for each detection and box needs no walk. The rest are walked
-    through in Arrow groups, of which one holds the boxes of one item and class.
     """
-    d, g = dets.alias("d"), truth.alias("g")
-    met = d.join(g, (F.col("d.id") == F.col("g.id")) & (F.col("d.cls") == F.col("g.cls")))
-    met = met.select("d.id", "d.cls", "d.det", "d.conf", F.col("g.k").alias("k"), iou("d", "g").alias("iou")).where(F.col("iou") >= least)
-
-    def walk(pdf):
-        import pandas as pd
-
-        taken, hit = set(), []
-        for det, own in pdf.sort_values(["conf", "det", "iou", "k"], ascending=[False, True, False, True]).groupby("det", sort=False):
-            for k in own.k:
-                if k not in taken:
-                    taken.add(k)
-                    hit.append(det)
-                    break
-        return pd.DataFrame({"id": pdf.id.iloc[0], "cls": pdf.cls.iloc[0], "det": hit})
-
-    by = Window.partitionBy("id", "cls", "det")
-    by_box = Window.partitionBy("id", "cls", "k")
-    met = met.withColumn("clash", (F.count("*").over(by) > 1) | (F.count("*").over(by_box) > 1))
-    met = met.withColumn("clash", F.max("clash").over(Window.partitionBy("id", "cls")))
-    easy = met.where("not clash").select("id", "cls", "det")
-    hard = met.where("clash").groupBy("id", "cls").applyInPandas(walk, "id long, cls int, det long")
-    hits = easy.unionByName(hard).select("id", "cls", "det", F.lit(1).alias("hit"))
+    hits = _assign(dets, truth, least, F.lit(True)).select("id", "cls", "det", F.lit(1).alias("hit"))
     return dets.select("id", "cls", "det", "conf").join(hits, ["id", "cls", "det"], "left").select("id", "cls", "det", "conf", F.coalesce("hit", F.lit(0)).alias("tp"))
 
 
@@ -86,35 +79,11 @@ def average_precision(curve: DataFrame, positives: DataFrame, by: list[str] = ("
 def match_by_size(dets: DataFrame, truth: DataFrame, low: float, high: float, least: float = 0.5) -> DataFrame:
     """match() for boxes with an area in [low, high): a detection prefers boxes in range; one that
     takes a box out of range, or takes none and is out of range itself, is left out."""
-    both = _sides(dets, truth)
-
-    def walk(pdf):
-        import numpy as np
-        import pandas as pd
-
-        g = pdf[pdf.det.isna()]
-        d = pdf[pdf.det.notna()].sort_values(["conf", "det"], ascending=[False, True])
-        box = g[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        ga = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        inside, taken, out = (ga >= low) & (ga < high), np.zeros(len(g), bool), []
-        for r in d.itertuples():
-            own = (r.x2 - r.x1) * (r.y2 - r.y1)
-            shared = np.clip(np.minimum(box[:, 2], r.x2) - np.maximum(box[:, 0], r.x1), 0, None) * np.clip(np.minimum(box[:, 3], r.y2) - np.maximum(box[:, 1], r.y1), 0, None)
-            over = shared / (own + ga - shared + 1e-12)
-            for some in (inside, ~inside):
-                can = np.flatnonzero(some & ~taken & (over >= least))
-                if len(can):
-                    hit = can[over[can].argmax()]
-                    taken[hit] = True
-                    if inside[hit]:
-                        out.append((r.det, r.conf, 1))
-                    break
-            else:
-                if low <= own < high:
-                    out.append((r.det, r.conf, 0))
-        return pd.DataFrame({"id": pdf.id.iloc[0], "cls": pdf.cls.iloc[0], "det": [x[0] for x in out], "conf": [x[1] for x in out], "tp": [x[2] for x in out]})
-
-    return both.groupBy("id", "cls").applyInPandas(walk, TP)
+    inside = lambda a: (a >= low) & (a < high)
+    hits = _assign(dets, truth, least, inside(area("g")))
+    d = dets.select("id", "cls", "det", "conf", inside((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("inside"))
+    out = d.join(hits, ["id", "cls", "det"], "left").where(F.coalesce("preferred", "inside"))
+    return out.select("id", "cls", "det", "conf", F.col("preferred").isNotNull().cast("int").alias("tp"))
 
 
 def recall_by_size(dets: DataFrame, truth: DataFrame, conf: float = 0.25, least: float = 0.5) -> DataFrame:

@@ -9,7 +9,6 @@ from sieveline.functions.scalar import binned, hamming, median_signature
 from sieveline.operators import edges as E
 from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
-from sieveline.operators.graph import connected_components
 from sieveline.plans import fixtures as X
 from sieveline.registry import query
 from sieveline.storage import cut
@@ -43,7 +42,7 @@ SELECT p, round(CASE p WHEN 0.05 THEN quantile_cont(s, 0.05) WHEN 0.5 THEN quant
 FROM best, (VALUES (0.05::DOUBLE), (0.5), (0.95)) AS t(p) GROUP BY p""")
 def nn_quantiles(spark, sf):
     q = F.array(*(F.struct(F.lit(p).alias("p"), F.round(F.percentile("sim", p), 6).alias("q")) for p in (0.05, 0.5, 0.95)))
-    return P.nearest_one(X.sim_pairs(spark, sf)).agg(F.explode(q).alias("x")).select("x.*") if False else P.nearest_one(X.sim_pairs(spark, sf)).agg(q.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return P.nearest_one(X.sim_pairs(spark, sf)).agg(q.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 @query("nearest_partner", f"""{W}{X.PAIRS}, ends AS (SELECT a, b, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs)
@@ -68,19 +67,19 @@ med AS (SELECT id, list_transform(v, lambda x: x > list_median(v[2:])) AS bits F
 DIFFER = "list_sum(list_transform(list_zip(a.bits, b.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END))"
 
 
-@query("hamming_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM sigs a JOIN sigs b ON a.id < b.id WHERE {DIFFER} <= 12")
+@query("hamming_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM sigs a JOIN sigs b ON a.id < b.id WHERE {DIFFER} <= 14")
 def hamming_pairs(spark, sf):
-    return P.hamming_pairs(X.signatures(spark, sf), 12)
+    return P.hamming_pairs(X.signatures(spark, sf), 14)
 
 
-@query("median_signature_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM med a JOIN med b ON a.id < b.id WHERE {DIFFER} <= 14")
+@query("median_signature_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM med a JOIN med b ON a.id < b.id WHERE {DIFFER} <= 16")
 def median_signature_pairs(spark, sf):
     sig = X.items(spark, sf).select("id", median_signature(F.col("v")).alias("sig"))
-    return P.hamming_pairs(sig, 14)
+    return P.hamming_pairs(sig, 16)
 
 
 @query("consecutive_distance", f"""{W}{X.ITEMS}, {SIGS}
-SELECT CAST(avg(d) AS DOUBLE) AS mean_ham, count_if(d <= 24) AS n_near, round(avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS same_res FROM (
+SELECT CAST(avg(d) AS DOUBLE) AS mean_ham, count(*) FILTER (WHERE d <= 24) AS n_near, round(avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS same_res FROM (
   SELECT a.id, CAST({DIFFER} AS DOUBLE) AS d, x.res = y.res AS same FROM sigs a JOIN items x USING (id)
   JOIN (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM items) n ON n.id = a.id JOIN sigs b ON b.id = n.nxt JOIN items y ON y.id = b.id)""")
 def consecutive_distance(spark, sf):
@@ -95,7 +94,7 @@ def edge_support(spark, sf):
     return E.with_support(X.edge_table(spark, sf), X.T).drop("sim")
 
 
-@query("two_hop", f"{W}{X.SUPPORT} SELECT count_if(tri > 0) AS n_with, count_if(tri = 0) AS n_without FROM used")
+@query("two_hop", f"{W}{X.SUPPORT} SELECT count(*) FILTER (WHERE tri > 0) AS n_with, count(*) FILTER (WHERE tri = 0) AS n_without FROM used")
 def two_hop(spark, sf):
     return E.common_neighbours(X.edge_table(spark, sf)).agg(F.count_if(F.col("tri") > 0).alias("n_with"), F.count_if(F.col("tri") == 0).alias("n_without"))
 
@@ -157,7 +156,7 @@ def group_histogram(spark, sf):
     return size.groupBy(F.least("n", F.lit(21)).cast("long").alias("size")).agg(F.count("*").alias("n_groups"))
 
 
-@query("mixed_groups", f"""{CORE}, g AS (SELECT grp, bool_or(labeled) AS l, bool_or(NOT labeled) AS u, count_if(NOT labeled) AS n FROM groups JOIN items USING (id) GROUP BY grp)
+@query("mixed_groups", f"""{CORE}, g AS (SELECT grp, bool_or(labeled) AS l, bool_or(NOT labeled) AS u, count(*) FILTER (WHERE NOT labeled) AS n FROM groups JOIN items USING (id) GROUP BY grp)
 SELECT count(*) AS n_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_unlabeled FROM g WHERE l AND u""")
 def mixed_groups(spark, sf):
     g = core_groups(spark, sf)[0].join(X.items(spark, sf), "id").groupBy("grp").agg(F.bool_or("labeled").alias("l"), F.bool_or(~F.col("labeled")).alias("u"), F.count_if(~F.col("labeled")).alias("n"))
@@ -171,7 +170,7 @@ def groups_by_source(spark, sf):
     return s.groupBy("res").agg(F.count("*").alias("n_items"), F.countDistinct("grp").alias("n_groups"), F.round(F.avg((F.col("n") > 1).cast("double")), 6).alias("share_multi"), F.max("n").alias("largest"))
 
 
-@query("largest_components", f"""{CORE}, r AS (SELECT grp, count(*) AS size, count_if(labeled) AS n_labeled, count(DISTINCT res) AS n_sources FROM groups JOIN items USING (id) GROUP BY grp)
+@query("largest_components", f"""{CORE}, r AS (SELECT grp, count(*) AS size, count(*) FILTER (WHERE labeled) AS n_labeled, count(DISTINCT res) AS n_sources FROM groups JOIN items USING (id) GROUP BY grp)
 SELECT rank, grp, size, n_sources, round(n_labeled::DOUBLE / size, 6) AS labeled FROM (SELECT *, row_number() OVER (ORDER BY size DESC, grp) AS rank FROM r) WHERE rank <= 4""")
 def largest_components(spark, sf):
     r = core_groups(spark, sf)[0].join(X.items(spark, sf), "id").groupBy("grp").agg(F.count("*").alias("size"), F.count_if("labeled").alias("n_labeled"), F.countDistinct("res").alias("n_sources"))
@@ -190,7 +189,7 @@ REACH = ", ".join(f"r{i}(id, r) AS (SELECT id, id FROM items UNION SELECT r{i}.i
 
 
 @query("component_sweep", f"""{W}{X.PAIRS}, {REACH}, g AS ({SWEEP})
-SELECT t, count(*) AS n_groups, count_if(n > 1) AS n_multi, max(n) AS largest FROM (SELECT t, grp, count(*) AS n FROM g GROUP BY t, grp) GROUP BY t""")
+SELECT t, count(*) AS n_groups, count(*) FILTER (WHERE n > 1) AS n_multi, max(n) AS largest FROM (SELECT t, grp, count(*) AS n FROM g GROUP BY t, grp) GROUP BY t""")
 def component_sweep(spark, sf):
     p, items, out = X.sim_pairs(spark, sf), X.items(spark, sf), None
     for t in (0.38, 0.40, 0.42):
@@ -237,7 +236,7 @@ def source_shares(spark, sf):
     return S.source_shares(X.split_of(spark, sf).join(X.items(spark, sf).select("id", "res"), "id"))
 
 
-RES = "".join(f", count_if(res = {r})::DOUBLE AS r{r}" for r in range(10))
+RES = "".join(f", count(*) FILTER (WHERE res = {r})::DOUBLE AS r{r}" for r in range(10))
 TERMS = " + ".join(f"{w} * pow(({c} - sh * sum({c}) OVER ()) / greatest(sum({c}) OVER (), 1), 2)" for c, w in [("n", 4), *((f"r{r}", 1) for r in range(10))])
 
 
@@ -311,7 +310,7 @@ def group_composition(spark, sf):
 
 
 @query("pair_crosstab", f"""{W}{X.PAIRS}, b AS (SELECT CASE WHEN sim >= 0.42 THEN 'high' WHEN sim >= 0.36 THEN 'mid' ELSE 'low' END AS sim_bin, CASE WHEN n_inl < 36 THEN 'n0' WHEN n_inl < 42 THEN 'n36' WHEN n_inl < 48 THEN 'n42' ELSE 'n48' END AS n FROM pairs)
-SELECT sim_bin, count_if(n = 'n0') AS n0, count_if(n = 'n36') AS n36, count_if(n = 'n42') AS n42, count_if(n = 'n48') AS n48 FROM b GROUP BY sim_bin""")
+SELECT sim_bin, count(*) FILTER (WHERE n = 'n0') AS n0, count(*) FILTER (WHERE n = 'n36') AS n36, count(*) FILTER (WHERE n = 'n42') AS n42, count(*) FILTER (WHERE n = 'n48') AS n48 FROM b GROUP BY sim_bin""")
 def pair_crosstab(spark, sf):
     sim = binned(F.col("sim"), [0.3, 0.36, 0.42, 1.1], ["low", "mid", "high"])
     n = binned(F.col("n_inl"), [0, 36, 42, 48, 65], ["n0", "n36", "n42", "n48"])
@@ -325,8 +324,8 @@ def pair_summary(spark, sf):
     return X.sim_pairs(spark, sf).agg(F.count("*").alias("n"), r(F.avg("sim"), "mean"), r(F.stddev_samp("sim"), "sd"), r(F.min("sim"), "low"), r(q(0.25), "q1"), r(q(0.5), "mid"), r(q(0.75), "q3"), r(F.max("sim"), "high"))
 
 
-@query("signal_disagreement", f"""{W}{X.PAIRS}, {X.split_cte()} SELECT count_if(sim >= 0.40 AND n_inl < 40) AS sim_only, count_if(sim < 0.34 AND n_inl >= 46) AS count_only,
-count_if(x.res <> y.res) AS cross_source, round(max(n_inl::DOUBLE / greatest(sim * 64, 1)), 6) AS top_ratio FROM pairs p JOIN items x ON x.id = p.a JOIN items y ON y.id = p.b""")
+@query("signal_disagreement", f"""{W}{X.PAIRS}, {X.split_cte()} SELECT count(*) FILTER (WHERE sim >= 0.40 AND n_inl < 40) AS sim_only, count(*) FILTER (WHERE sim < 0.34 AND n_inl >= 46) AS count_only,
+count(*) FILTER (WHERE x.res <> y.res) AS cross_source, round(max(n_inl::DOUBLE / greatest(sim * 64, 1)), 6) AS top_ratio FROM pairs p JOIN items x ON x.id = p.a JOIN items y ON y.id = p.b""")
 def signal_disagreement(spark, sf):
     at = lambda end: X.items(spark, sf).select(F.col("id").alias(end), F.col("res").alias(f"res_{end}"))
     p = X.sim_pairs(spark, sf).join(at("a"), "a").join(at("b"), "b")
@@ -399,5 +398,3 @@ def constraint_report(spark, sf):
         "split_unique": C.repeated(split, "id"), "groups_span_splits": C.spanning(grouped, "grp", "split"),
     })
 
-
-_ = connected_components

@@ -1 +1,257 @@
-"""Queries over boxes, detections and agreement."""
+"""Queries over boxes, detections, agreement and resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sieveline.functions.scalar import size_bin
+from sieveline.operators import boxes as B
+from sieveline.operators import scoring as R
+from sieveline.plans import fixtures as X
+from sieveline.registry import query
+from sieveline.storage import cut, table
+
+W = "WITH RECURSIVE "
+BOX_PAIRS = f"""{X.BOXES}, bp AS (
+  SELECT a.id, a.k AS k1, b.k AS k2, a.cls AS c1, b.cls AS c2, {X.IOU} AS iou, {X.IOS} AS ios FROM truth a JOIN truth b ON a.id = b.id AND a.k < b.k)"""
+KINDS = f"""{BOX_PAIRS}, kinds AS (SELECT *, CASE WHEN c1 = c2 AND iou > 0.9 THEN 'duplicate' WHEN c1 = c2 AND ios > 0.9 THEN 'nested' WHEN c1 <> c2 AND iou > 0.5 THEN 'cross' END AS kind FROM bp)"""
+
+
+@query("box_overlaps", f"{W}{KINDS} SELECT kind, count(*) AS n_pairs, count(DISTINCT id) AS n_items, min(id) AS first_id FROM kinds WHERE kind IS NOT NULL GROUP BY kind")
+def box_overlaps(spark, sf):
+    k = B.overlap_kinds(B.box_pairs(X.boxes(spark, sf)))
+    return k.groupBy("kind").agg(F.count("*").alias("n_pairs"), F.countDistinct("id").alias("n_items"), F.min("id").alias("first_id"))
+
+
+@query("cross_class_pairs", f"""{W}{KINDS} SELECT concat('c', least(c1, c2), '-c', greatest(c1, c2)) AS pair, count(*) AS n FROM kinds WHERE kind = 'cross' GROUP BY 1""")
+def cross_class_pairs(spark, sf):
+    k = B.overlap_kinds(B.box_pairs(X.boxes(spark, sf))).where("kind = 'cross'")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    return k.groupBy(F.concat_ws("-", name(F.least("c1", "c2")), name(F.greatest("c1", "c2"))).alias("pair")).agg(F.count("*").alias("n"))
+
+
+@query("degenerate_boxes", f"""{W}{X.BOXES}, per AS (
+  SELECT id, count(*) AS n, count(*) FILTER (WHERE w < 0.005 OR h < 0.005) AS d, count(*) FILTER (WHERE least(x1, y1) < -0.001::DOUBLE OR greatest(x2, y2) > 1.001::DOUBLE) AS o, count(*) FILTER (WHERE w * h > 0.3) AS g FROM truth GROUP BY id)
+SELECT sum(d)::BIGINT AS degenerate, sum(o)::BIGINT AS outside, sum(g)::BIGINT AS huge, count(*) FILTER (WHERE n > 8) AS many FROM per""")
+def degenerate_boxes(spark, sf):
+    return B.flaws(X.boxes(spark, sf), huge=0.3, many=8)
+
+
+@query("class_counts", f"""{W}{X.BOXES} SELECT id, count(*) FILTER (WHERE cls = 0) AS c0, count(*) FILTER (WHERE cls = 1) AS c1, count(*) FILTER (WHERE cls = 2) AS c2, count(*) FILTER (WHERE cls = 3) AS c3, count(*) FILTER (WHERE cls = 4) AS c4 FROM boxes GROUP BY id""")
+def class_counts(spark, sf):
+    n = X.boxes(spark, sf).groupBy("id").pivot("cls", [0, 1, 2, 3, 4]).count().fillna(0)
+    return n.toDF("id", *(f"c{i}" for i in range(5)))
+
+
+@query("crowded_items", f"""{W}{X.BOXES}, n AS (SELECT id, count(*) AS n FROM boxes GROUP BY id) SELECT id, n FROM n ORDER BY n DESC, id LIMIT 20""")
+def crowded_items(spark, sf):
+    return X.boxes(spark, sf).groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(20)
+
+
+@query("class_shares", f"""{W}{X.BOXES} SELECT cls, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share, round(avg(w * h), 6) AS mean_area FROM boxes GROUP BY cls""")
+def class_shares(spark, sf):
+    n = X.boxes(spark, sf).groupBy("cls").agg(F.count("*").alias("n"), F.round(F.avg(F.col("w") * F.col("h")), 6).alias("mean_area"))
+    return n.select("cls", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"), "mean_area")
+
+
+@query("iou_crosstab", f"""{W}{BOX_PAIRS}, c AS (SELECT CASE WHEN c1 = c2 THEN 'same' ELSE 'other' END AS classes, CASE WHEN iou < 0.25 THEN 'b0' WHEN iou < 0.55 THEN 'b25' ELSE 'b55' END AS b FROM bp WHERE iou > 0 OR ios > 0)
+SELECT classes, count(*) FILTER (WHERE b = 'b0') AS b0, count(*) FILTER (WHERE b = 'b25') AS b25, count(*) FILTER (WHERE b = 'b55') AS b55 FROM c GROUP BY classes""")
+def iou_crosstab(spark, sf):
+    from sieveline.functions.scalar import binned
+
+    p = B.box_pairs(X.boxes(spark, sf)).select(F.when(F.col("c1") == F.col("c2"), "same").otherwise("other").alias("classes"), binned(F.col("iou"), [0, 0.25, 0.55, 1.1], ["b0", "b25", "b55"]).alias("b"))
+    return p.groupBy("classes").pivot("b", ["b0", "b25", "b55"]).count().fillna(0)
+
+
+CURVE = f"""{X.FLAGGED}, run AS (
+  SELECT tp.*, npos, sum(tp) OVER o AS ctp, count(*) OVER o AS n FROM tp JOIN pos USING (cls) WINDOW o AS (PARTITION BY cls ORDER BY conf DESC, id, det ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT *, ctp::DOUBLE / npos AS recall, ctp::DOUBLE / n AS precision FROM run),
+env AS (SELECT *, max(precision) OVER (PARTITION BY cls ORDER BY conf DESC, id, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM pr),
+grid AS (SELECT k::DOUBLE / 100.0::DOUBLE AS r FROM range(101) t(k))"""
+
+
+@query("pr_curve", f"{W}{CURVE} SELECT cls, id, det, round(recall, 9) AS recall, round(precision, 9) AS precision, round(envelope, 9) AS envelope FROM env")
+def pr_curve(spark, sf):
+    c = R.pr_curve(*X.flagged(spark, sf))
+    return c.select("cls", "id", "det", *(F.round(x, 9).alias(x) for x in ("recall", "precision", "envelope")))
+
+
+AP = """best AS (SELECT cls, max(CASE WHEN recall >= r THEN envelope END) AS q FROM env, grid GROUP BY cls, r)
+SELECT cls, round(avg(coalesce(q, 0)), 6) AS ap FROM best GROUP BY cls"""
+
+
+@query("ap101", f"{W}{CURVE}, {AP}")
+def ap101(spark, sf):
+    tp, pos = X.flagged(spark, sf)
+    return R.average_precision(R.pr_curve(tp, pos), pos).select("cls", F.round("ap", 6).alias("ap"))
+
+
+@query("mean_ap", f"{W}{CURVE}, a AS (SELECT cls, avg(coalesce(q, 0)) AS ap FROM (SELECT cls, max(CASE WHEN recall >= r THEN envelope END) AS q FROM env, grid GROUP BY cls, r) GROUP BY cls) SELECT round(avg(ap), 6) AS map FROM a")
+def mean_ap(spark, sf):
+    tp, pos = X.flagged(spark, sf)
+    return R.average_precision(R.pr_curve(tp, pos), pos).agg(F.round(F.avg("ap"), 6).alias("map"))
+
+
+def by_source_sql(part: str) -> str:
+    """AP by class and a part of the items given by an expression over id."""
+    return f"""{W}{X.FLAGGED}, t2 AS (SELECT *, {part} AS src FROM tp), p2 AS (SELECT cls, {part} AS src, count(*)::DOUBLE AS np FROM boxes GROUP BY 1, 2),
+run AS (SELECT t2.*, np, sum(tp) OVER o AS ctp, count(*) OVER o AS n FROM t2 JOIN p2 USING (cls, src) WINDOW o AS (PARTITION BY cls, src ORDER BY conf DESC, id, det ROWS UNBOUNDED PRECEDING)),
+env AS (SELECT *, ctp::DOUBLE / np AS recall, max(ctp::DOUBLE / n) OVER (PARTITION BY cls, src ORDER BY conf DESC, id, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM run),
+best AS (SELECT cls, src, max(CASE WHEN recall >= k::DOUBLE / 100.0::DOUBLE THEN envelope END) AS q FROM env, range(101) t(k) GROUP BY cls, src, k)
+SELECT cls, src, round(avg(coalesce(q, 0)), 6) AS ap FROM best GROUP BY cls, src"""
+
+
+@query("ap_by_source", by_source_sql("id % 4"))
+def ap_by_source(spark, sf):
+    tp, _ = X.flagged(spark, sf)
+    pos = X.boxes(spark, sf).groupBy("cls", (F.col("id") % 4).alias("src")).agg(F.count("*").cast("double").alias("npos"))
+    by = ["cls", "src"]
+    return R.average_precision(R.pr_curve(tp.withColumn("src", F.col("id") % 4), pos, by), pos, by).select("cls", "src", F.round("ap", 6).alias("ap"))
+
+
+@query("recall_by_size", f"""{W}{X.BOXES}, b AS (SELECT * FROM dets WHERE conf >= 0.25),
+hit AS (SELECT DISTINCT a.id, a.k FROM truth a JOIN b ON a.id = b.id AND a.cls = b.cls AND {X.IOU} >= 0.55),
+s AS (SELECT a.id, a.k, CASE WHEN {X.AREA_A} < 0.0025 THEN 'small' WHEN {X.AREA_A} < 0.0225 THEN 'medium' ELSE 'large' END AS size FROM truth a)
+SELECT size, count(*) AS n, count(hit.id) AS found, round(count(hit.id)::DOUBLE / count(*), 6) AS recall FROM s LEFT JOIN hit USING (id, k) GROUP BY size""")
+def recall_by_size(spark, sf):
+    return R.recall_by_size(X.detections(spark, sf), X.truth(spark, sf), least=0.55)
+
+
+@query("match_detections")
+def match_detections(spark, sf):
+    return R.match(X.detections(spark, sf), X.truth(spark, sf), least=0.55)
+
+
+@query("match_summary")
+def match_summary(spark, sf):
+    tp = R.match(X.detections(spark, sf), X.truth(spark, sf), least=0.55)
+    pos = X.truth(spark, sf).groupBy("cls").agg(F.count("*").cast("double").alias("npos"))
+    tp = cut(tp)
+    return R.average_precision(R.pr_curve(tp, pos), pos).join(tp.groupBy("cls").agg(F.sum("tp").alias("n_tp"), F.count("*").alias("n_det")), "cls", "left")
+
+
+@query("ap_by_size")
+def ap_by_size(spark, sf):
+    dets, truth, out = X.detections(spark, sf), cut(X.truth(spark, sf)), None
+    for name, low, high in (("small", 0.0, 0.0025), ("medium", 0.0025, 0.0225), ("large", 0.0225, 1e9)):
+        area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+        pos = truth.where((area >= low) & (area < high)).groupBy("cls").agg(F.count("*").cast("double").alias("npos"))
+        tp = R.match_by_size(dets, truth, low, high, least=0.55)
+        one = R.average_precision(R.pr_curve(tp, pos), pos).withColumn("size", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+CONF = f"{X.BOXES}, pt AS (SELECT cls AS truth, CASE WHEN p % 13 = 0 THEN (cls + 1) % 5 ELSE cls END AS pred FROM boxes)"
+
+
+def predictions(spark, sf):
+    b = X.boxes(spark, sf)
+    return b.select(F.col("cls").alias("truth"), F.when(F.col("p") % 13 == 0, (F.col("cls") + 1) % 5).otherwise(F.col("cls")).alias("pred"))
+
+
+@query("confusion", f"{W}{CONF} SELECT pred, truth, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY truth), 6) AS share FROM pt GROUP BY pred, truth")
+def confusion(spark, sf):
+    return R.confusion(predictions(spark, sf))
+
+
+@query("classification_report", f"""{W}{CONF}, c AS (SELECT truth AS c, count(*) AS t, count(*) FILTER (WHERE pred = truth) AS h FROM pt GROUP BY 1), q AS (SELECT pred AS c, count(*) AS p FROM pt GROUP BY 1)
+SELECT round(sum(h)::DOUBLE / sum(t), 6) AS accuracy, round(avg(h::DOUBLE / t), 6) AS balanced, round(avg(2 * h::DOUBLE / (p + t)), 6) AS macro_f1 FROM c JOIN q USING (c)""")
+def classification_report(spark, sf):
+    return R.classification(predictions(spark, sf))
+
+
+@query("kappa", f"""{W}{CONF}, j AS (SELECT pred AS a, truth AS b, count(*) AS n FROM pt GROUP BY 1, 2), t AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE a = b) AS s FROM j),
+e AS (SELECT sum(x.n::DOUBLE * y.n) AS c FROM (SELECT a, sum(n) AS n FROM j GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM j GROUP BY b) y ON x.a = y.b)
+SELECT n::BIGINT AS n, round(s::DOUBLE / n, 6) AS agreement, round((s::DOUBLE / n - c / (n::DOUBLE * n)) / (1 - c / (n::DOUBLE * n)), 6) AS kappa FROM t, e""")
+def kappa(spark, sf):
+    return R.kappa(predictions(spark, sf).select(F.col("pred").alias("a"), F.col("truth").alias("b")))
+
+
+@query("wilson_interval", """SELECT lang, n, k, round((p + z * z / (2 * n)) / (1 + z * z / n) - sqrt(p * (1 - p) / n + z * z / (4 * n * n)) * z / (1 + z * z / n), 6) AS low,
+round((p + z * z / (2 * n)) / (1 + z * z / n) + sqrt(p * (1 - p) / n + z * z / (4 * n * n)) * z / (1 + z * z / n), 6) AS high
+FROM (SELECT lang, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k, sum(quality)::DOUBLE / count(*) AS p, 1.959963984540054::DOUBLE AS z FROM documents JOIN labels USING (doc_id) GROUP BY lang)""")
+def wilson_interval(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("lang").agg(F.count("*").cast("double").alias("n"), F.sum("quality").cast("double").alias("k"))
+    low, high = R.wilson(F.col("k"), F.col("n"))
+    return d.select("lang", "n", "k", low.alias("low"), high.alias("high"))
+
+
+UNITS = "units AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS r FROM (SELECT DISTINCT id % 97 AS unit FROM boxes)), cnt AS (SELECT count(*) AS n FROM units)"
+WEIGHTS = f"""{UNITS}, draws AS (SELECT rep, CAST(floor(CAST(concat('0x', substr(md5(concat('0-', rep, '-', r)), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE * n) AS BIGINT) AS r FROM units, cnt, range(10) t(rep)),
+weights AS (SELECT rep, unit, count(*) AS w FROM draws JOIN units USING (r) GROUP BY rep, unit)"""
+
+
+@query("bootstrap_weights", f"{W}{X.BOXES}, {WEIGHTS} SELECT rep, unit, w FROM weights")
+def bootstrap_weights(spark, sf):
+    return R.bootstrap_weights(X.boxes(spark, sf).select((F.col("id") % 97).alias("unit")), 10)
+
+
+def bootstrap_sql(flag: str, select: str) -> str:
+    return f"""{W}{X.FLAGGED}, {WEIGHTS}, wt AS (SELECT tp.*, rep, w::DOUBLE AS w FROM tp JOIN weights ON unit = id % 97),
+np AS (SELECT rep, cls, sum(w) AS npos FROM wt GROUP BY rep, cls),
+run AS (SELECT wt.*, npos, sum(w * {flag}) OVER o AS ctp, sum(w) OVER o AS n FROM wt JOIN np USING (rep, cls) WINDOW o AS (PARTITION BY rep, cls ORDER BY conf DESC, id, det ROWS UNBOUNDED PRECEDING)),
+env AS (SELECT *, ctp / npos AS recall, max(ctp / n) OVER (PARTITION BY rep, cls ORDER BY conf DESC, id, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM run),
+best AS (SELECT rep, cls, max(CASE WHEN recall >= k::DOUBLE / 100.0::DOUBLE THEN envelope END) AS q FROM env, range(101) t(k) GROUP BY rep, cls, k),
+m AS (SELECT rep, avg(ap) AS m FROM (SELECT rep, cls, avg(coalesce(q, 0)) AS ap FROM best GROUP BY rep, cls) GROUP BY rep)
+{select}"""
+
+
+def bootstrap_map(tp, weights):
+    """(rep, m): mean average precision of each replicate over (id, cls, det, conf, tp)."""
+    rows = tp.withColumn("unit", F.col("id") % 97).join(weights, "unit").withColumn("w", F.col("w").cast("double"))
+    by = ["rep", "cls"]
+    pos = rows.groupBy(*by).agg(F.sum("w").alias("npos"))
+    return R.average_precision(R.pr_curve(rows, pos, by, "w"), pos, by).groupBy("rep").agg(F.avg("ap").alias("m"))
+
+
+@query("bootstrap_ci", bootstrap_sql("tp", "SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"))
+def bootstrap_ci(spark, sf):
+    tp, _ = X.flagged(spark, sf)
+    m = bootstrap_map(tp, bootstrap_weights(spark, sf))
+    return m.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+
+
+PAIRED = bootstrap_sql("tp", "").rstrip() + ", " + bootstrap_sql("(CASE WHEN det % 9 = 0 THEN 0 ELSE tp END)", "").split("wt AS (", 1)[1].split("run AS (", 1)[1].join(["run2 AS (", ""]).replace("FROM run)", "FROM run2)").replace("env AS (", "env2 AS (").replace("FROM env,", "FROM env2,").replace("best AS (", "best2 AS (").replace("FROM best ", "FROM best2 ").replace("m AS (SELECT rep, avg(ap) AS m", "m2 AS (SELECT rep, avg(ap) AS m").rstrip()
+
+
+@query("paired_diff_ci", PAIRED + """ SELECT round(avg(m.m - m2.m), 6) AS mean, round(quantile_cont(m.m - m2.m, 0.025), 6) AS low, round(quantile_cont(m.m - m2.m, 0.975), 6) AS high,
+round(avg(CASE WHEN m.m - m2.m <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_below FROM m JOIN m2 USING (rep)""")
+def paired_diff_ci(spark, sf):
+    tp, _ = X.flagged(spark, sf)
+    weights = cut(bootstrap_weights(spark, sf))
+    other = tp.withColumn("tp", F.when(F.col("det") % 9 == 0, 0).otherwise(F.col("tp")))
+    d = bootstrap_map(tp, weights).join(bootstrap_map(other, weights).withColumnRenamed("m", "m2"), "rep").select((F.col("m") - F.col("m2")).alias("d"))
+    return d.agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.round(F.avg((F.col("d") <= 0).cast("double")), 6).alias("p_below"))
+
+
+@query("source_reweighting", """SELECT source, n, m, round((n::DOUBLE / sum(n) OVER ()) / (m::DOUBLE / sum(m) OVER ()), 6) AS weight FROM (
+  SELECT source, count(*) FILTER (WHERE toxic = 1) AS n, count(*) FILTER (WHERE toxic = 0) AS m FROM documents JOIN labels USING (doc_id) GROUP BY source) WHERE m > 0""")
+def source_reweighting(spark, sf):
+    n = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("n"), F.count_if(F.col("toxic") == 0).alias("m")).where("m > 0")
+    share = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy())
+    return n.select("source", "n", "m", F.round(share("n") / share("m"), 6).alias("weight"))
+
+
+@query("manifest", """SELECT doc_id AS id, octet_length(encode(text)) AS bytes, sha256(text) AS digest FROM documents""")
+def manifest(spark, sf):
+    text = F.col("text").cast("binary")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("digest"))
+
+
+@query("size_bins", f"""{W}{X.BOXES} SELECT CASE WHEN w * h < 0.0025 THEN 'small' WHEN w * h < 0.0225 THEN 'medium' ELSE 'large' END AS size, count(*) AS n FROM boxes GROUP BY 1""")
+def size_bins(spark, sf):
+    return X.boxes(spark, sf).groupBy(size_bin(F.col("w") * F.col("h")).alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("epoch_best", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(median(value), 6) AS mid, arg_max(event_id, (value, -event_id)) AS best FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def epoch_best(spark, sf):
+    e = table(spark, sf, "events").where("value is not null")
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "sd"), r(F.percentile("value", 0.5), "mid"), F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("x"))).alias("best"))
+
+
+@query("last_epochs", "SELECT event_id, event_type, round(value, 6) AS value FROM events ORDER BY ts DESC, event_id DESC LIMIT 4")
+def last_epochs(spark, sf):
+    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(4).select("event_id", "event_type", F.round("value", 6).alias("value"))
