@@ -398,3 +398,17 @@ def constraint_report(spark, sf):
         "split_unique": C.repeated(split, "id"), "groups_span_splits": C.spanning(grouped, "grp", "split"),
     })
 
+
+
+@query("average_linkage")
+def average_linkage(spark, sf):
+    from sieveline.operators.linkage import linkage_groups
+
+    return linkage_groups(X.items(spark, sf), 0.62, "average")
+
+
+@query("complete_linkage")
+def complete_linkage(spark, sf):
+    from sieveline.operators.linkage import linkage_groups
+
+    return linkage_groups(X.items(spark, sf), 0.62, "complete")
