@@ -111,7 +111,7 @@ WITH rows AS (
   FROM documents),
 buckets AS (
   SELECT *, -CAST(floor(log2(size + 1.0) * 16) AS INTEGER) AS class,
-         CAST(concat('0x', substr(key, 1, 8)) AS BIGINT) % greatest(1, (SELECT -(-count(*) // 20000) FROM rows)) AS bucket
+         CAST(concat('0x', substr(key, 1, 8)) AS BIGINT) % greatest(1, (SELECT (count(*) + 19999) // 20000 FROM rows)) AS bucket
   FROM rows),
 sizes AS (SELECT source, sum(size)::BIGINT AS size FROM rows GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sizes),
