@@ -43,6 +43,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = 0x9FB21C651E98DF25
+_ODD_INVERSE = pow(_BASE, -1, 1 << 64)
+
+class Powers:
+    """Powers of the byte hash's base and of its inverse, as far as texts have needed them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            m = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, m, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_ODD_INVERSE, m, 1 << 64))])
+        return self.up[:n], self.down[:n]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def word_hashes(raw: bytes, powers: Powers) -> np.ndarray:
+    """A hash of each word of a text, from running sums of its bytes times powers of an odd base: the sum
+    over a word, shifted to the word's start by the inverse power, depends on the word alone."""
+    b = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(b))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+    return mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def map_rows(df: DataFrame, f: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = 512) -> DataFrame:
     """Run f()(columns of up to ``rows`` rows) -> columns over df in Arrow batches.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Hashes, map_rows, mixed
+from sieveline.llm.common import Powers, map_rows, mixed, word_hashes
 from sieveline.storage import cut
 
 SPAN, GRAM = 20, 8
@@ -33,47 +33,82 @@ _VARIANT = 40
 _LAST = (1 << 63) - 1
 
 
+#: Bits of a place in the order of anchors; the hash's other bits come first.
+_PLACE = 31
+
+
 def _runs(h: np.ndarray, n: int, factor: int) -> np.ndarray:
-    """A hash of each n neighbours of h, a polynomial modulo 2^64."""
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for j in range(n):
-        out = out * np.uint64(factor) + h[j : len(h) - n + 1 + j]
-    return mixed(out)
+    """A hash of each n neighbours of h, a polynomial modulo 2^64, put together from runs of 1, 2, 4, ..."""
+    out, done, part, wide = None, 0, h, 1
+    while True:
+        if n & wide:
+            if out is None:
+                out = part
+            else:
+                m = len(h) - done - wide + 1
+                out = out[:m] * np.uint64(pow(factor, wide, 1 << 64)) + part[done : done + m]
+            done += wide
+        if done == n:
+            return mixed(out[: len(h) - n + 1])
+        part = part[:-wide] * np.uint64(pow(factor, wide, 1 << 64)) + part[wide:]
+        wide *= 2
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of each n neighbours of x."""
+    wide = 1
+    while 2 * wide <= n:
+        x = np.minimum(x[: len(x) - wide], x[wide:])
+        wide *= 2
+    return np.minimum(x[: len(x) - (n - wide)], x[n - wide :]) if n > wide else x
 
 
 class Parser:
-    """Words, anchors and windows of one text."""
+    """Word hashes, anchors and windows of one text."""
 
-    def __init__(self, text: str | None, kept: Hashes, span: int, gram: int):
-        self.words = (text or "").encode().split()
-        self.span, self.gram, self.kept = span, gram, kept
+    def __init__(self, text: str | None, powers: Powers, span: int, gram: int):
+        self.raw = (text or "").encode()
+        self.span, self.gram, self.powers = span, gram, powers
 
     def anchors(self) -> None:
         """Set h; anchor: for each window the place of its anchor; at, hash: the places and their hashes."""
-        n = len(self.words)
-        if n < self.span:
+        self.h = word_hashes(self.raw, self.powers)
+        if len(self.h) < self.span:
             self.at = self.anchor = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        self.h = np.fromiter(map(self.kept.__getitem__, self.words), np.uint64, n)
         g = _runs(self.h, self.gram, 0x9E3779B97F4A7C15)
-        wide = np.lib.stride_tricks.sliding_window_view(g, self.span - self.gram + 1)
-        self.anchor = wide.argmin(axis=1) + np.arange(len(wide))
+        place = np.uint64((1 << _PLACE) - 1)
+        # Of equal hashes the leftmost; that is the same one wherever the window stands.
+        self.anchor = (_least((g & ~place) | np.arange(len(g), dtype=np.uint64), self.span - self.gram + 1) & place).astype(np.int64)
         self.at = self.anchor[np.flatnonzero(np.append(True, self.anchor[1:] != self.anchor[:-1]))]
         self.hash = g[self.at]
 
     def indexed(self, single: np.ndarray) -> np.ndarray:
         """Starts of the windows whose anchor isn't among the single ones."""
-        return np.flatnonzero(~np.isin(self.anchor, single)) if len(self.anchor) else self.anchor
+        if not len(self.anchor):
+            return self.anchor
+        known = np.zeros(len(self.h), bool)
+        known[single] = True
+        return np.flatnonzero(~known[self.anchor])
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each window."""
-        return tuple(_runs(self.h, self.span, f)[starts] for f in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
+        """Two hashes of each window, of 64 and of 32 bits."""
+        one, two = (_runs(self.h, self.span, f)[starts] for f in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
+        return one, two >> np.uint64(32)
+
 
+#: A place that no word has. Each text names it once with its number of anchors, and again if it
+#: has windows in the index, so that later passes needn't look at texts that have nothing to find.
+_COUNT = 1 << 39
 
-def _own(places: list[int] | None, variant: int) -> np.ndarray:
+
+def _own(places: list[int] | None, variant: int) -> tuple[np.ndarray, int | None]:
+    """The places of a text, and the number that stands beside them."""
     p = np.array(places or [], np.int64)
-    return p[p >> _VARIANT == variant] & ((1 << _VARIANT) - 1)
+    p = p[p >> _VARIANT == variant] & ((1 << _VARIANT) - 1)
+    counts = p[p >= _COUNT]
+    return p[p < _COUNT], int(counts[0] - _COUNT) if len(counts) else None
 
 
 def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -98,15 +133,15 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         return pa.array(np.repeat(np.array(ids, np.int64), [*map(len, parts)])), np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
 
     def find_anchors():
-        kept = Hashes()
+        powers = Powers()
 
         def run(cols):
             at, hashes = [], [np.zeros(0, np.uint64)]
-            for text in cols[1]:
-                p = Parser(text, kept, span, gram)
+            for key, text in zip(*cols):
+                p, v = Parser(text, powers, span, gram), variant(text)
                 p.anchors()
-                at.append(p.at + (variant(text) << _VARIANT))
-                hashes.append(p.hash)
+                at.append(np.append(p.at, _COUNT + len(p.at)) + (v << _VARIANT))
+                hashes += [p.hash, _named(key, v)]
             ids, places = flat(cols[0], at)
             return [pa.array(np.concatenate(hashes).view(np.int64)), ids, pa.array(places)]
 
@@ -118,24 +153,26 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     single = cut(single.groupBy("key").agg(F.collect_list("place").alias("single")))
 
     def find_windows():
-        kept = Hashes()
+        powers = Powers()
 
         def run(cols):
             ids, at, one, two = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for key, text, single in zip(*cols):
-                p, v = Parser(text, kept, span, gram), variant(text)
-                p.anchors()
-                starts = p.indexed(_own(single, v))
-                if not len(starts):
+                v = variant(text)
+                own, n = _own(single, v)
+                if n == len(own):
                     continue
+                p = Parser(text, powers, span, gram)
+                p.anchors()
+                starts = p.indexed(own)
                 a, b = p.windows(starts)
-                first = np.sort(np.unique(a, return_index=True)[1]) if not _ambiguous(a, b) else np.arange(len(a))
+                first = _firsts(a, b)
                 ids.append(key)
-                at.append(starts[first] + (v << _VARIANT))
-                one.append(a[first])
-                two.append(b[first])
+                at.append(np.append(starts[first], _COUNT) + (v << _VARIANT))
+                one += [a[first], _named(key, v)]
+                two += [b[first], np.zeros(1, np.uint64)]
             ids, places = flat(ids, at)
-            return [pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), ids, pa.array(places)]
+            return [pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).astype(np.uint32).view(np.int32)), ids, pa.array(places)]
 
         return run
 
@@ -144,29 +181,35 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         return lambda df: df.join(places, F.col("key") == F.col("k"), "left").drop("k")
 
     # Each document names a window once, at its first place; later places in it are duplicates anyway.
-    windows = map_rows(with_places("single", single)(docs.select("key", "text")).select("key", "text", "single"), find_windows, "one long, two long, key long, place long")
+    windows = map_rows(with_places("single", single)(docs.select("key", "text")).select("key", "text", "single"), find_windows, "one long, two int, key long, place long")
     first = F.min(F.struct("key", "place")) if repeated else F.struct(F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
     first = windows.groupBy("one", "two").agg(first.alias("at")).select("at.key", "at.place")
     first = cut(first.groupBy("key").agg(F.collect_list("place").alias("first")))
     known = single.join(first, "key", "full")
 
     def parse():
-        kept = Hashes()
+        powers = Powers()
 
         def run(cols):
             out = []
             for text, single, first in zip(*cols[1:]):
-                p, v = Parser(text, kept, span, gram), variant(text)
-                p.anchors()
-                again = np.setdiff1d(p.indexed(_own(single, v)), _own(first, v))
-                parts = spans(again, span)
+                p, v = Parser(text, powers, span, gram), variant(text)
+                own, indexed = _own(first, v)
+                parts = []
+                if indexed is not None:
+                    p.anchors()
+                    again = np.zeros(len(p.h), bool)
+                    again[p.indexed(_own(single, v)[0])] = True
+                    again[own] = False
+                    parts = spans(np.flatnonzero(again), span)
+                every = p.raw.split()
                 words, at, removed = [], 0, 0
                 for start, length in parts:
-                    words += p.words[at:start]
+                    words += every[at:start]
                     at = start + length
                     removed += length
-                words += p.words[at:]
-                out.append((len(p.words), [{"start": a, "length": n} for a, n in parts], removed, hashlib.sha256(b" ".join(words)).hexdigest()))
+                words += every[at:]
+                out.append((len(every), [{"start": a, "length": n} for a, n in parts], removed, hashlib.sha256(b" ".join(words)).hexdigest()))
             return [cols[0], *([x[i] for x in out] for i in range(4))]
 
         return run
@@ -175,10 +218,16 @@ def factors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     return map_rows(rows, parse, "doc_id long, n_words long, factors array<struct<start:int,length:int>>, n_removed long, kept_sha256 string")
 
 
-def _ambiguous(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether different windows of a text share their first hash, so that it doesn't name one."""
-    order = np.argsort(a, kind="stable")
-    return bool(((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])).any())
+def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of equal windows of a text the first, as sorted indices."""
+    order = np.lexsort((b, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])) if len(a) else np.zeros(0, bool)
+    return np.sort(order[new])  # the sort is stable, so the first of each run is the leftmost
+
+
+def _named(key: int, variant: int) -> np.ndarray:
+    """A hash that stands for a text itself."""
+    return mixed(np.array([(key * 0xD6E8FEB86659FD93 + variant * 0xA0761D6478BD642F + 0x589965CC75374CC3) & (1 << 64) - 1], np.uint64))
 
 
 def spans(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
