@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +25,6 @@ def text_check() -> Column:
     return F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
 
 
-class Hashes(dict):
-    """XXH64 of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Each 64-bit number scrambled, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -18,38 +18,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Hashes, map_rows, mixed
+from sieveline.llm.common import Powers, map_rows, mixed, word_hashes
 from sieveline.storage import cut
 
-#: A word's bytes hold no line feed, so these name the edges of a text.
-END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\n\n")
+#: Hashes that stand for the edges of a text; no word is known to have them.
+END, START = 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B
 #: Largest size of the broadcast filter and of the broadcast table of exact word counts.
 FILTER_BYTES, TABLE_WORDS = 32 << 20, 1 << 20
 #: Bits an entry of the filter takes, positions it sets, bits of a block.
 ENTRY_BITS, PROBES, BLOCK_BITS = 8, 4, 1 << 15
-#: Least count of a pair of words that is put in, and weight of the words' own probability.
-LEAST_PAIR, PRIOR = 2, 50.0
+#: Least count of a pair of words that is put in, and the pairs' share of a probability: of the shares
+#: .1, .2, .3 and .5 those of .2 and .3 gave held-out documents of the test tables the most.
+LEAST_PAIR, PAIR_SHARE = 2, 0.25
 #: Tokens that a task counts at a time before it passes the counts on.
 COMBINED = 4_000_000
 
 
-def tokens(text: str | None, kept: Hashes) -> np.ndarray:
+def tokens(text: str | None, powers: Powers) -> np.ndarray:
     """Hashes of a text's words in lower case (A-Z), then that of its end."""
-    words = (text or "").encode().lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+    return np.append(word_hashes((text or "").encode().lower(), powers), np.uint64(END))
 
 
-def pairs(t: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of a text's tokens, the first with the start."""
-    before = np.concatenate([np.array([START], np.uint64), t[:-1]])
+def pairs(t: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of the pairs of tokens that follow each other; a text's first with the start."""
+    before = np.concatenate([np.zeros(1, np.uint64), t[:-1]])
+    before[starts] = START
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + t)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, ones, twos, n = Hashes(), [], [], 0
+    powers, ones, twos, n = Powers(), [], [], 0
 
     def flush():
         for pair, some in ((False, ones), (True, twos)):
@@ -60,7 +58,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             for text in batch.column(0).slice(at, 256).to_pylist():
-                t = tokens(text, kept)
+                t = tokens(text, powers)
                 ones.append(t)
                 twos.append(pairs(t))
                 n += len(t)
@@ -88,13 +86,15 @@ class Model:
     rare: DataFrame  # gram, n of all other words
 
 
-def positions(gram: np.ndarray, at: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each n-gram, and the PROBES bits of level ``at`` in it."""
-    block = (gram >> np.uint64(33)) % np.uint64(blocks)
+def block_of(gram: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of the filter in which all bits of an n-gram lie."""
+    return ((gram >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+
+
+def bit_of(gram: np.ndarray, at: int, j: int) -> np.ndarray:
+    """The j-th bit of level ``at`` within a block."""
     h = mixed(gram + np.uint64((at + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    step = (h >> np.uint64(40)) | np.uint64(1)
-    bit = (h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(BLOCK_BITS)
-    return block, bit
+    return ((h + ((h >> np.uint64(40)) | np.uint64(1)) * np.uint64(j)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
 
 
 def _build(blocks: int, first: tuple[int, int]):
@@ -105,13 +105,13 @@ def _build(blocks: int, first: tuple[int, int]):
             gram = gram.view(np.uint64)
             for at in range(min(first), int(top.max(initial=-1)) + 1):
                 some = (top >= at) & (np.where(pair, first[1], first[0]) <= at)
-                block, bit = positions(gram[some], at, blocks)
+                block = block_of(gram[some], blocks)
                 order = np.argsort(block, kind="stable")
-                block, bit = block[order], bit[order]
+                block, bit = block[order], np.stack([bit_of(gram[some], at, j) for j in range(PROBES)], axis=1)[order]
                 edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, int)
                 for a, b in zip(edge, np.append(edge[1:], len(block))):
                     mine = made.setdefault(int(block[a]), np.zeros(BLOCK_BITS, bool))
-                    mine[bit[a:b].reshape(-1).astype(np.int64)] = True
+                    mine[bit[a:b].reshape(-1)] = True
         for block, bits in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
 
@@ -165,33 +165,37 @@ def estimate(at: int) -> float:
 def probe(bits: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
     """Estimated counts: 0 for n-grams that level ``first`` doesn't hold, else the mean count of those
     of the last level held, if counts fall off with their square as words' do."""
-    blocks = len(bits) * 8 // BLOCK_BITS
     out, some, at = np.zeros(len(gram)), np.arange(len(gram)), first
+    base = block_of(gram, len(bits) * 8 // BLOCK_BITS) * (BLOCK_BITS // 8)
     while len(some) and at < 64:
-        block, bit = positions(gram[some], at, blocks)
-        where = block[:, None] * np.uint64(BLOCK_BITS // 8) + (bit >> np.uint64(3))
-        there = ((bits[where.astype(np.int64)] >> (7 - (bit & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
-        some = some[there]
+        for j in range(PROBES):  # most n-grams that aren't there are known by their first bits
+            if not len(some):
+                break
+            bit = bit_of(gram[some], at, j)
+            some = some[(bits[base[some] + (bit >> 3)] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0]
         out[some] = estimate(at)
         at += 1
     return out
 
 
-def log10_probabilities(model: Model, t: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """log10 of each token's probability after the one before it: the pair's share of the first word's
-    count, with ``prior`` observations by the word's own probability added."""
-    uniq, where = np.unique(t, return_inverse=True)
-    one = probe(model.bits, uniq, model.first[0])[where]
-    two = probe(model.bits, pairs(t), model.first[1])
-    # As often as a text ends one starts; END stands last, so its count is that of the texts.
-    start = probe(model.bits, np.array([END], np.uint64), model.first[0])
-    before = np.concatenate([start, one[:-1]])
+def log10_probabilities(model: Model, t: np.ndarray, starts: np.ndarray | int = 0, pair_share: float = PAIR_SHARE, one: np.ndarray | None = None) -> np.ndarray:
+    """log10 of each token's probability after the one before it: the pair's part of the first word's
+    count and the word's own probability (with one added to its count), interpolated. After a word
+    that isn't known the own probability stands alone. t: tokens of texts that begin at starts. one:
+    the words' estimated counts, if they are there already."""
+    if one is None:
+        one = probe(model.bits, t, model.first[0])
+    uniq, where = np.unique(pairs(t, starts), return_inverse=True)
+    two = probe(model.bits, uniq, model.first[1])[where]
+    # As often as a text ends one starts.
+    before = np.concatenate([np.zeros(1), one[:-1]])
+    before[starts] = probe(model.bits, np.array([END], np.uint64), model.first[0])[0]
     two = np.minimum(two, np.minimum(before, np.maximum(one, 1)))
     own = (one + 1) / (model.tokens + model.words + 1)
-    return np.log10((two + prior * own) / (before + prior))
+    return np.log10(np.where(before > 0, pair_share * two / np.maximum(before, 1) + (1 - pair_share) * own, own))
 
 
-def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of docs.
 
     score is the model's log10 probability of the whole text with its end. base_score is that of
@@ -204,35 +208,38 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.tokens, model.words, model.first, model.bits, model.frequent))
 
     def start():
-        kept, m = Hashes(), Model(*shared.value, None)
+        powers, m = Powers(), Model(*shared.value, None)
         names, counts = m.frequent
 
         def run(cols):
-            out, rare = [], []
-            for doc_id, text in zip(*cols):
-                t = tokens(text, kept)
-                uniq, n = np.unique(t, return_counts=True)
-                at = np.minimum(np.searchsorted(names, uniq), max(0, len(names) - 1))
-                hit = names[at] == uniq if len(names) else np.zeros(len(uniq), bool)
-                base = float((n[hit] * np.log10(counts[at[hit]] + 1.0)).sum()) if hit.any() else 0.0
-                key = xxhash.xxh64_intdigest(text or "", 7) - (1 << 63)
-                out.append((doc_id, key, len(t), int(n[hit].sum()), base, float(log10_probabilities(m, t, prior).sum())))
-                rare.append((uniq[~hit].view(np.int64), n[~hit]))
-            k = [len(g) for g, _ in rare]
-            one = len(out)
-            flat = lambda i, kind: np.concatenate([[x[i] for x in out], np.zeros(sum(k))]).astype(kind)
-            ids = [x[0] for x in out]
-            for (doc_id, *_), c in zip(out, k):
-                ids += [doc_id] * c
-            keys = np.concatenate([np.array([x[1] for x in out], np.int64), np.repeat(np.array([x[1] for x in out], np.int64), k)])
-            gram = np.concatenate([np.array([x[1] for x in out], np.int64), *(g for g, _ in rare)])
-            times = np.concatenate([np.zeros(one, np.int64), *(n for _, n in rare)]).astype(np.int64)
-            return [pa.array(ids, pa.int64()), pa.array(keys), pa.array(gram), pa.array(times), pa.array(np.arange(len(gram)) < one), pa.array(flat(2, np.int64)), pa.array(flat(3, np.int64)), pa.array(flat(4, float)), pa.array(flat(5, float))]
+            ids, texts = cols
+            each = [tokens(t, powers) for t in texts]
+            size = np.array([*map(len, each)], np.int64)
+            t, starts = np.concatenate(each), np.cumsum(size) - size
+            uniq, where = np.unique(t, return_inverse=True)
+            at = np.minimum(np.searchsorted(names, uniq), max(0, len(names) - 1))
+            hit = names[at] == uniq if len(names) else np.zeros(len(uniq), bool)
+            logs = np.zeros(len(uniq))
+            logs[hit] = np.log10(counts[at[hit]] + 1.0) if hit.any() else 0.0
+            logp = log10_probabilities(m, t, starts, pair_share, probe(m.bits, uniq, m.first[0])[where])
+            # Per text, each of its other words with the number of times.
+            doc = np.repeat(np.arange(len(texts)), size)
+            rest = np.flatnonzero(~hit[where])
+            rest = rest[np.lexsort((where[rest], doc[rest]))]
+            new = np.flatnonzero(np.append(True, (where[rest][1:] != where[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1]))) if len(rest) else np.zeros(0, np.int64)
+            of, rare, times = doc[rest][new], t[rest][new].view(np.int64), np.diff(np.append(new, len(rest)))
+            key = np.array([xxhash.xxh64_intdigest(x or "", 7) - (1 << 63) for x in texts], np.int64)
+            both = lambda a, b: pa.array(np.concatenate([a, b]))
+            none, zero = np.zeros(len(of), np.int64), np.zeros(len(of))
+            return [
+                pa.array(ids + [ids[i] for i in of.tolist()], pa.int64()), both(key, key[of]), both(key, rare), both(np.zeros(len(ids), np.int64), times), both(np.ones(len(ids), bool), np.zeros(len(of), bool)),
+                both(size, none), both(np.add.reduceat(hit[where].astype(np.int64), starts), none), both(np.add.reduceat(logs[where], starts), zero), both(np.add.reduceat(logp, starts), zero),
+            ]
 
         return run
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = map_rows(texts, start, "doc_id long, key long, gram long, times long, doc boolean, n_tokens long, n_known long, base double, score double")
+    rows = map_rows(texts, start, "doc_id long, key long, gram long, times long, doc boolean, n_tokens long, n_known long, base double, score double", rows=256)
     rare = model.rare.select(F.col("gram").alias("g"), F.col("n").alias("c"))
     rows = rows.join(rare, (F.col("gram") == F.col("g")) & ~F.col("doc"), "left").where("doc or c is not null")
     found = rows.groupBy("doc_id", "key").agg(

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from sieveline.llm import lm
-from sieveline.llm.common import Hashes, fold
+from sieveline.llm.common import Powers, fold
 from sieveline.llm.queries import QUERIES
 
 
@@ -47,7 +47,7 @@ def test_filter_never_counts_too_low(spark):
     rnd = random.Random(4)
     texts = [draw(rnd, 80) for _ in range(150)]
     m = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), least_pair=1)
-    kept, ones, twos = Hashes(), Counter(), Counter()
+    kept, ones, twos = Powers(), Counter(), Counter()
     for t in texts:
         h = lm.tokens(t, kept)
         ones.update(h.tolist())
@@ -66,14 +66,14 @@ def test_filter_is_bounded(spark):
     docs = spark.createDataFrame([(draw(rnd, 80),) for _ in range(150)], "text string")
     m = lm.train(docs, filter_bytes=1 << 12)
     assert len(m.bits) <= 1 << 12 and max(m.first) > 0
-    t = lm.tokens("a b c", Hashes())
+    t = lm.tokens("a b c", Powers())
     assert np.isfinite(lm.log10_probabilities(m, t)).all()
 
 
 def test_probabilities_sum_to_one_within_the_quantised_counts(spark):
     docs = spark.createDataFrame([("a b a b a c",)] * 64, "text string")
     m = lm.train(docs)
-    h = {w: lm.tokens(w, Hashes())[0] for w in "abc"} | {"end": np.uint64(lm.END)}
+    h = {w: lm.tokens(w, Powers())[0] for w in "abc"} | {"end": np.uint64(lm.END)}
     p = [10 ** lm.log10_probabilities(m, np.array([h["a"], x], np.uint64))[1] for x in h.values()]
     assert 0.6 < sum(p) < 1.6 and p[1] > p[2] > p[0]
 
