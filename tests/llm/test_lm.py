@@ -74,8 +74,11 @@ def test_probabilities_sum_to_one_within_the_quantised_counts(spark):
     docs = spark.createDataFrame([("a b a b a c",)] * 64, "text string")
     m = lm.train(docs)
     h = {w: lm.tokens(w, Powers())[0] for w in "abc"} | {"end": np.uint64(lm.END)}
-    p = [10 ** lm.log10_probabilities(m, np.array([h["a"], x], np.uint64))[1] for x in h.values()]
-    assert 0.6 < sum(p) < 1.6 and p[1] > p[2] > p[0]
+    after = lambda x, share: 10 ** lm.log10_probabilities(m, np.array([h["a"], x], np.uint64), pair_share=share)[1]
+    p, own = ([after(x, share) for x in h.values()] for share in (lm.PAIR_SHARE, 0.0))
+    assert 0.6 < sum(p) < 1.6 and p[1] > p[2]
+    # Pairs that were seen gain over the word by itself, those that weren't lose just their share.
+    assert p[1] > own[1] and p[2] > own[2] and abs(p[0] - (1 - lm.PAIR_SHARE) * own[0]) < 1e-12
 
 
 def test_query(spark, sf):
