@@ -2,31 +2,38 @@
 
 The filter holds quantised counts: an n-gram seen c times is put in once for each level up to
 floor(log2 c) + 1, so its count is read by probing level after level until one is missing.
-It never takes a count for lower than it is, and rarely for higher. The filter is built in
-blocks by the executors, broadcast, and probed for the word and for the pair of words at
-every place of a text; the counts give smoothed probabilities.
+It never takes a count for lower than it is, and rarely for higher. The filter grows with the
+number of n-grams and holds all of them. Executors build it in blocks and it stays a table:
+texts are dealt into buckets, a bucket's different words and pairs travel to the shards of
+the filter as packed lists, and only their levels travel back. The counts of the word and of
+the pair of words at every place of a text give smoothed probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from sieveline.llm.common import Powers, map_rows, mixed, word_hashes
+from sieveline.llm.common import Powers, mixed, word_hashes
 from sieveline.storage import cut
 
 #: Hashes that stand for the edges of a text; no word is known to have them.
 END, START = 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B
-#: Largest size of the broadcast filter and of the broadcast table of exact word counts.
-FILTER_BYTES, TABLE_WORDS = 32 << 20, 1 << 20
+#: Largest size of the broadcast table of exact word counts.
+TABLE_WORDS = 1 << 20
 #: Bits an entry of the filter takes, positions it sets, bits of a block.
 ENTRY_BITS, PROBES, BLOCK_BITS = 8, 4, 1 << 15
+#: Blocks of a shard of the filter, and bytes of text of a bucket, at most; a task's memory goes by these.
+SHARD_BLOCKS, BUCKET_BYTES = 256, 8 << 20
 #: Least count of a pair of words that is put in, and the pairs' share of a probability: of the shares
 #: .1, .2, .3 and .5 those of .2 and .3 gave held-out documents of the test tables the most.
 LEAST_PAIR, PAIR_SHARE = 2, 0.25
@@ -76,15 +83,30 @@ def level(n: Column) -> Column:
 
 @dataclass
 class Model:
-    """What scoring needs: totals, the filter, exact counts of frequent words, the rest as a table."""
+    """What scoring needs: totals, the filter as a table, exact counts of frequent words, the rest as a table."""
 
     tokens: int
     words: int
     first: tuple[int, int]  # least level held for words and for pairs
-    bits: np.ndarray  # the filter's bytes
+    blocks: int  # of the filter
+    filter: DataFrame  # block, bits of all blocks that have any
     frequent: tuple[np.ndarray, np.ndarray]  # sorted hashes and counts
     rare: DataFrame  # gram, n of all other words
 
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """The filter's bytes, gathered; for small models only, score() doesn't do it."""
+        return _placed(self.filter.toArrow(), 0, self.blocks)
+
+
+def _placed(rows: pa.Table, low: int, blocks: int) -> np.ndarray:
+    """The bytes of so many blocks from block ``low`` on, of rows with columns block and bits."""
+    size = BLOCK_BITS // 8
+    bits = np.zeros(blocks * size, np.uint8)
+    for at, own in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
+        bits[(at - low) * size : (at - low + 1) * size] = np.frombuffer(own, np.uint8)
+    return bits
+
 
 def block_of(gram: np.ndarray, blocks: int) -> np.ndarray:
     """The block of the filter in which all bits of an n-gram lie."""
@@ -118,16 +140,15 @@ def _build(blocks: int, first: tuple[int, int]):
     return run
 
 
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS, least_pair: int = LEAST_PAIR) -> Model:
+def train(docs: DataFrame, filter_bytes: int | None = None, table_words: int = TABLE_WORDS, least_pair: int = LEAST_PAIR) -> Model:
     """The model of every text of docs (a null text is empty: its end counts).
 
-    All words and pairs are counted. The filter takes ENTRY_BITS for each level of each n-gram
-    that it holds; where that would exceed filter_bytes, rarer pairs and then rarer words are left
-    out, a power of two at a time, as a histogram of the counts says. So what is broadcast has
-    a fixed bound, and a corpus of any size a filter with the same rate of errors. Exact
-    counts are broadcast for the most frequent words, up to table_words; the rest stay a table.
+    All words and pairs are counted. The filter takes ENTRY_BITS for each level of each n-gram, so
+    it grows with the corpus at the same rate of errors, and leaves none out. Only where a caller
+    sets filter_bytes, rarer pairs and then rarer words are left out down to that size, a power of
+    two at a time, as a histogram of the counts says. Exact counts are broadcast for the most
+    frequent words, up to table_words; the rest stay a table.
     """
-    spark = docs.sparkSession
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "pair boolean, gram long, n long")
     counted = counted.groupBy("pair", "gram").agg(F.sum("n").alias("n")).where(~F.col("pair") | (F.col("n") >= least_pair))
     counted = cut(counted.withColumn("level", level(F.col("n"))))
@@ -138,23 +159,20 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, table_words: int =
 
     first = [0, 0]
     held = lambda pair: sum(n * (lv - first[pair] + 1) for (p, lv), n in grams.items() if p == pair and lv >= first[pair])
-    while (held(0) + held(1)) * ENTRY_BITS > filter_bytes * 8:
+    while filter_bytes is not None and (held(0) + held(1)) * ENTRY_BITS > filter_bytes * 8:
         first[1 if first[1] <= first[0] + 1 and held(1) else 0] += 1
     blocks = max(1, -(-(held(0) + held(1)) * ENTRY_BITS // BLOCK_BITS))
     own = counted.where(F.col("level") >= F.when(F.col("pair"), first[1]).otherwise(first[0]))
     block = F.pmod(F.shiftrightunsigned("gram", 33), F.lit(blocks))
     made = own.select(block.alias("block"), "gram", "level", "pair").repartition("block").select("gram", "level", "pair").mapInArrow(_build(blocks, tuple(first)), "block long, bits binary")
-    bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
-    for batch in made.toArrow().to_batches():
-        for at, own_bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            bits[at * BLOCK_BITS // 8 : (at + 1) * BLOCK_BITS // 8] = np.frombuffer(own_bits, np.uint8)
+    made = cut(made)
 
     lowest = next(lv for lv in range(top + 2) if sum(n for (p, k), n in grams.items() if not p and k >= lv) <= table_words)
     ones = counted.where(~F.col("pair")).select("gram", "n", "level")
     often = ones.where(F.col("level") >= lowest).select("gram", "n").toArrow()
     gram, n = (often.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(gram.view(np.uint64))
-    return Model(total, words, tuple(first), bits, (gram.view(np.uint64)[order], n[order]), ones.where(F.col("level") < lowest).select("gram", "n"))
+    return Model(total, words, tuple(first), blocks, made, (gram.view(np.uint64)[order], n[order]), ones.where(F.col("level") < lowest).select("gram", "n"))
 
 
 def estimate(at: int) -> float:
@@ -162,39 +180,105 @@ def estimate(at: int) -> float:
     return 1.0 if at == 0 else 2.0 * np.log(2) * 2.0**at
 
 
-def probe(bits: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
-    """Estimated counts: 0 for n-grams that level ``first`` doesn't hold, else the mean count of those
-    of the last level held, if counts fall off with their square as words' do."""
-    out, some, at = np.zeros(len(gram)), np.arange(len(gram)), first
-    base = block_of(gram, len(bits) * 8 // BLOCK_BITS) * (BLOCK_BITS // 8)
+#: The counts that numbers of levels stand for: none, then the mean count of those of the last level
+#: held, if counts fall off with their square as words' do.
+ESTIMATES = np.array([0.0, *map(estimate, range(64))])
+
+
+def _levels(bits: np.ndarray, block: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
+    """One more than the last level held, 0 for n-grams that level ``first`` doesn't hold; block: where in
+    bits the n-gram's block is."""
+    out, some, at = np.zeros(len(gram), np.uint8), np.arange(len(gram)), first
+    base = block * (BLOCK_BITS // 8)
     while len(some) and at < 64:
         for j in range(PROBES):  # most n-grams that aren't there are known by their first bits
             if not len(some):
                 break
             bit = bit_of(gram[some], at, j)
             some = some[(bits[base[some] + (bit >> 3)] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0]
-        out[some] = estimate(at)
         at += 1
+        out[some] = at
     return out
 
 
-def log10_probabilities(model: Model, t: np.ndarray, starts: np.ndarray | int = 0, pair_share: float = PAIR_SHARE, one: np.ndarray | None = None) -> np.ndarray:
-    """log10 of each token's probability after the one before it: the pair's part of the first word's
-    count and the word's own probability (with one added to its count), interpolated. After a word
-    that isn't known the own probability stands alone. t: tokens of texts that begin at starts. one:
-    the words' estimated counts, if they are there already."""
-    if one is None:
-        one = probe(model.bits, t, model.first[0])
-    uniq, where = np.unique(pairs(t, starts), return_inverse=True)
-    two = probe(model.bits, uniq, model.first[1])[where]
+def probe(bits: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
+    """Estimated counts, 0 for n-grams that level ``first`` doesn't hold."""
+    return ESTIMATES[_levels(bits, block_of(gram, len(bits) * 8 // BLOCK_BITS), gram, first)]
+
+
+def log10_probabilities(model: Model, t: np.ndarray, starts: np.ndarray | int = 0, pair_share: float = PAIR_SHARE) -> np.ndarray:
+    """log10 of each token's probability after the one before it; t: tokens of texts that begin at starts.
+    Gathers the filter."""
+    one, two = probe(model.bits, t, model.first[0]), probe(model.bits, pairs(t, starts), model.first[1])
+    end = probe(model.bits, np.array([END], np.uint64), model.first[0])[0]
+    return _interpolated(model.tokens + model.words + 1, one, two, end, starts, pair_share)
+
+
+def _interpolated(norm: int, one: np.ndarray, two: np.ndarray, end: float, starts: np.ndarray | int, pair_share: float) -> np.ndarray:
+    """The pair's part of the first word's count and the word's own probability (with one added to its
+    count), interpolated. After a word that isn't known the own probability stands alone. one, two and
+    end: estimated counts of each token, of its pair with the one before, and of the end."""
     # As often as a text ends one starts.
     before = np.concatenate([np.zeros(1), one[:-1]])
-    before[starts] = probe(model.bits, np.array([END], np.uint64), model.first[0])[0]
+    before[starts] = end
     two = np.minimum(two, np.minimum(before, np.maximum(one, 1)))
-    own = (one + 1) / (model.tokens + model.words + 1)
+    own = (one + 1) / norm
     return np.log10(np.where(before > 0, pair_share * two / np.maximum(before, 1) + (1 - pair_share) * own, own))
 
 
+def _split(gram: np.ndarray, blocks: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of n-grams by the shard that holds them, the shards that hold any, and where in the order each begins."""
+    shard = block_of(gram, blocks) * shards // blocks
+    order = np.argsort(shard, kind="stable")
+    return order, *np.unique(shard[order], return_index=True)
+
+
+def _asks(blocks: int, shards: int):
+    """For a bucket's texts: per shard, the different words and the different pairs it is asked for, packed."""
+
+    def run(part: pa.Table) -> pa.Table:
+        powers, rows = Powers(), []
+        each = [tokens(t, powers) for t in part.column("text").to_pylist()]
+        size = np.array([*map(len, each)], np.int64)
+        t = np.concatenate(each)
+        for pair, grams in ((False, t), (True, pairs(t, np.cumsum(size) - size))):
+            grams = np.unique(grams)
+            order, shard, edge = _split(grams, blocks, shards)
+            rows += [(s, pair, g.tobytes()) for s, g in zip(shard.tolist(), np.split(grams[order], edge[1:]))]
+        shard, pair, grams = zip(*rows)
+        bucket = np.full(len(rows), part.column("bucket")[0].as_py(), np.int64)
+        return pa.table([pa.array(bucket), pa.array(shard, pa.int64()), pa.array(pair), pa.array(grams, pa.binary())], names=["bucket", "shard", "pair", "grams"])
+
+    return run
+
+
+def _answers(blocks: int, shards: int, first: tuple[int, int]):
+    """For a shard's blocks and all that it is asked: the levels, a byte each in the order of the n-grams."""
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows:
+            s = asked.column("shard")[0].as_py()
+            low, end = -(-s * blocks // shards), -(-(s + 1) * blocks // shards)
+            bits = _placed(own, low, end - low)
+            for pair, packed in zip(asked.column("pair").to_pylist(), asked.column("grams").to_pylist()):
+                gram = np.frombuffer(packed, np.uint64)
+                found.append(_levels(bits, block_of(gram, blocks) - low, gram, first[pair]).tobytes())
+        return pa.table([asked.column("bucket"), asked.column("shard"), asked.column("pair"), pa.array(found, pa.binary())], names=["bucket", "shard", "pair", "levels"])
+
+    return run
+
+
+def _estimates(uniq: np.ndarray, rows: list[tuple[int, bytes]], blocks: int, shards: int) -> np.ndarray:
+    """Estimated counts of a bucket's different n-grams from the answers (shard, levels)."""
+    got = np.frombuffer(b"".join(levels for _, levels in sorted(rows)), np.uint8)
+    if len(got) != len(uniq):
+        raise ValueError("the rows that are scored differ from those the filter was asked for")
+    out = np.empty(len(uniq))
+    out[_split(uniq, blocks, shards)[0]] = ESTIMATES[got]
+    return out
+
+
 def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of docs.
 
@@ -203,43 +287,54 @@ def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> Data
     text is read, the others (known or not) are joined with the table of rare words, on a key of
     which by its making no text of the training rows has many. n_known counts the tokens that the
     training rows have. Null and empty texts are their end alone. Repeated rows get equal
-    scores, a null id stays null; an empty table gives an empty result.
+    scores, a null id stays null; an empty table gives an empty result. Texts are shuffled once, by
+    bucket; every n-gram of every text is looked up in the shard of the filter that holds it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.tokens, model.words, model.first, model.bits, model.frequent))
-
-    def start():
-        powers, m = Powers(), Model(*shared.value, None)
-        names, counts = m.frequent
-
-        def run(cols):
-            ids, texts = cols
-            each = [tokens(t, powers) for t in texts]
-            size = np.array([*map(len, each)], np.int64)
-            t, starts = np.concatenate(each), np.cumsum(size) - size
-            uniq, where = np.unique(t, return_inverse=True)
-            at = np.minimum(np.searchsorted(names, uniq), max(0, len(names) - 1))
-            hit = names[at] == uniq if len(names) else np.zeros(len(uniq), bool)
-            logs = np.zeros(len(uniq))
-            logs[hit] = np.log10(counts[at[hit]] + 1.0) if hit.any() else 0.0
-            logp = log10_probabilities(m, t, starts, pair_share, probe(m.bits, uniq, m.first[0])[where])
-            # Per text, each of its other words with the number of times.
-            doc = np.repeat(np.arange(len(texts)), size)
-            rest = np.flatnonzero(~hit[where])
-            rest = rest[np.lexsort((where[rest], doc[rest]))]
-            new = np.flatnonzero(np.append(True, (where[rest][1:] != where[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1]))) if len(rest) else np.zeros(0, np.int64)
-            of, rare, times = doc[rest][new], t[rest][new].view(np.int64), np.diff(np.append(new, len(rest)))
-            key = np.array([xxhash.xxh64_intdigest(x or "", 7) - (1 << 63) for x in texts], np.int64)
-            both = lambda a, b: pa.array(np.concatenate([a, b]))
-            none, zero = np.zeros(len(of), np.int64), np.zeros(len(of))
-            return [
-                pa.array(ids + [ids[i] for i in of.tolist()], pa.int64()), both(key, key[of]), both(key, rare), both(np.zeros(len(ids), np.int64), times), both(np.ones(len(ids), bool), np.zeros(len(of), bool)),
-                both(size, none), both(np.add.reduceat(hit[where].astype(np.int64), starts), none), both(np.add.reduceat(logs[where], starts), zero), both(np.add.reduceat(logp, starts), zero),
-            ]
-
-        return run
+    spark = docs.sparkSession
+    shared, blocks, total = spark.sparkContext.broadcast(model.frequent), model.blocks, model.tokens + model.words + 1
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(blocks, max(least, -(-blocks // SHARD_BLOCKS)))
+    schema = "doc_id long, key long, gram long, times long, doc boolean, n_tokens long, n_known long, base double, score double"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def scored(part: pa.Table, answers: pa.Table) -> pa.Table:
+        powers, (names, counts) = Powers(), shared.value
+        ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+        each = [tokens(t, powers) for t in texts]
+        size = np.array([*map(len, each)], np.int64)
+        t, starts = np.concatenate(each), np.cumsum(size) - size
+        uniq, where = np.unique(t, return_inverse=True)
+        uniq2, where2 = np.unique(pairs(t, starts), return_inverse=True)
+        came = [[], []]
+        for s, pair, levels in zip(*(answers.column(c).to_pylist() for c in ("shard", "pair", "levels"))):
+            came[pair].append((s, levels))
+        est, two = _estimates(uniq, came[0], blocks, shards), _estimates(uniq2, came[1], blocks, shards)[where2]
+        at = np.minimum(np.searchsorted(names, uniq), max(0, len(names) - 1))
+        hit = names[at] == uniq if len(names) else np.zeros(len(uniq), bool)
+        logs = np.zeros(len(uniq))
+        logs[hit] = np.log10(counts[at[hit]] + 1.0) if hit.any() else 0.0
+        logp = _interpolated(total, est[where], two, est[np.searchsorted(uniq, np.uint64(END))], starts, pair_share)
+        # Per text, each of its other words with the number of times.
+        doc = np.repeat(np.arange(len(texts)), size)
+        rest = np.flatnonzero(~hit[where])
+        rest = rest[np.lexsort((where[rest], doc[rest]))]
+        new = np.flatnonzero(np.append(True, (where[rest][1:] != where[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1]))) if len(rest) else np.zeros(0, np.int64)
+        of, rare, times = doc[rest][new], t[rest][new].view(np.int64), np.diff(np.append(new, len(rest)))
+        key = np.array([xxhash.xxh64_intdigest(x or "", 7) - (1 << 63) for x in texts], np.int64)
+        both = lambda a, b: pa.array(np.concatenate([a, b]))
+        none, zero = np.zeros(len(of), np.int64), np.zeros(len(of))
+        return pa.table([
+            pa.array(ids + [ids[i] for i in of.tolist()], pa.int64()), both(key, key[of]), both(key, rare), both(np.zeros(len(ids), np.int64), times), both(np.ones(len(ids), bool), np.zeros(len(of), bool)),
+            both(size, none), both(np.add.reduceat(hit[where].astype(np.int64), starts), none), both(np.add.reduceat(logs[where], starts), zero), both(np.add.reduceat(logp, starts), zero),
+        ], schema=target)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = map_rows(texts, start, "doc_id long, key long, gram long, times long, doc boolean, n_tokens long, n_known long, base double, score double", rows=256)
+    buckets = max(least, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition(buckets, "bucket")
+    asked = texts.groupBy("bucket").applyInArrow(_asks(blocks, shards), "bucket long, shard long, pair boolean, grams binary")
+    own = model.filter.withColumn("shard", F.expr(f"block * {shards} div {blocks}"))
+    answers = own.groupBy("shard").cogroup(asked.repartition(shards, "shard").groupBy("shard")).applyInArrow(_answers(blocks, shards, model.first), "bucket long, shard long, pair boolean, levels binary")
+    rows = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(scored, schema)
     rare = model.rare.select(F.col("gram").alias("g"), F.col("n").alias("c"))
     rows = rows.join(rare, (F.col("gram") == F.col("g")) & ~F.col("doc"), "left").where("doc or c is not null")
     found = rows.groupBy("doc_id", "key").agg(

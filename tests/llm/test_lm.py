@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import zlib
@@ -70,6 +71,27 @@ def test_filter_is_bounded(spark):
     assert np.isfinite(lm.log10_probabilities(m, t)).all()
 
 
+def test_every_word_and_pair_is_held_and_scored(spark):
+    rnd = random.Random(6)
+    texts = [draw(rnd, 80) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    m = lm.train(docs, least_pair=1)
+    assert m.first == (0, 0) and m.blocks > 1
+    kept = Powers()
+    each = [lm.tokens(t, kept) for t in texts]
+    for t in each:
+        assert (lm.probe(m.bits, t, 0) > 0).all() and (lm.probe(m.bits, lm.pairs(t), 0) > 0).all()
+    # The joined shards answer as the gathered filter does.
+    want = {i: lm.log10_probabilities(m, t).sum() for i, t in enumerate(each)}
+    found = {r.doc_id: r.score for r in lm.score(docs, m).collect()}
+    assert found.keys() == want.keys() and all(math.isclose(found[i], want[i], rel_tol=1e-9) for i in want)
+    # The filter has no fixed size: it grows with the rows.
+    assert inspect.signature(lm.train).parameters["filter_bytes"].default is None
+    more = [(draw(rnd, 80),) for _ in range(600)]
+    grown = lm.train(spark.createDataFrame(more, "text string"), least_pair=1)
+    assert grown.first == (0, 0) and grown.blocks > m.blocks
+
+
 def test_probabilities_sum_to_one_within_the_quantised_counts(spark):
     docs = spark.createDataFrame([("a b a b a c",)] * 64, "text string")
     m = lm.train(docs)
