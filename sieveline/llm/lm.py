@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sieveline.llm.common import Powers, mixed, word_hashes
-from sieveline.storage import cut
+from sieveline.storage import cut, drop
 
 #: Hashes that stand for the edges of a text; no word is known to have them.
 END, START = 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B
@@ -36,7 +36,7 @@ ENTRY_BITS, PROBES, BLOCK_BITS = 8, 4, 1 << 15
 SHARD_BLOCKS, BUCKET_BYTES = 256, 8 << 20
 #: Least count of a pair of words that is put in, and the pairs' share of a probability: of the shares
 #: .1, .2, .3 and .5 those of .2 and .3 gave held-out documents of the test tables the most.
-LEAST_PAIR, PAIR_SHARE = 2, 0.25
+LEAST_PAIR, PAIR_SHARE = 1, 0.25
 #: Tokens that a task counts at a time before it passes the counts on.
 COMBINED = 4_000_000
 
@@ -109,8 +109,8 @@ def _placed(rows: pa.Table, low: int, blocks: int) -> np.ndarray:
 
 
 def block_of(gram: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of the filter in which all bits of an n-gram lie."""
-    return ((gram >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+    """The block of the filter in which all bits of an n-gram lie; blocks follow the order of n-grams."""
+    return ((gram >> np.uint64(33)) * np.uint64(blocks) >> np.uint64(31)).astype(np.int64)
 
 
 def bit_of(gram: np.ndarray, at: int, j: int) -> np.ndarray:
@@ -163,12 +163,13 @@ def train(docs: DataFrame, filter_bytes: int | None = None, table_words: int = T
         first[1 if first[1] <= first[0] + 1 and held(1) else 0] += 1
     blocks = max(1, -(-(held(0) + held(1)) * ENTRY_BITS // BLOCK_BITS))
     own = counted.where(F.col("level") >= F.when(F.col("pair"), first[1]).otherwise(first[0]))
-    block = F.pmod(F.shiftrightunsigned("gram", 33), F.lit(blocks))
+    block = F.shiftright(F.shiftrightunsigned("gram", 33) * F.lit(blocks), 31)
     made = own.select(block.alias("block"), "gram", "level", "pair").repartition("block").select("gram", "level", "pair").mapInArrow(_build(blocks, tuple(first)), "block long, bits binary")
     made = cut(made)
 
     lowest = next(lv for lv in range(top + 2) if sum(n for (p, k), n in grams.items() if not p and k >= lv) <= table_words)
-    ones = counted.where(~F.col("pair")).select("gram", "n", "level")
+    ones = cut(counted.where(~F.col("pair")).select("gram", "n", "level"))
+    drop(counted)
     often = ones.where(F.col("level") >= lowest).select("gram", "n").toArrow()
     gram, n = (often.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(gram.view(np.uint64))
@@ -226,11 +227,13 @@ def _interpolated(norm: int, one: np.ndarray, two: np.ndarray, end: float, start
     return np.log10(np.where(before > 0, pair_share * two / np.maximum(before, 1) + (1 - pair_share) * own, own))
 
 
-def _split(gram: np.ndarray, blocks: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of n-grams by the shard that holds them, the shards that hold any, and where in the order each begins."""
-    shard = block_of(gram, blocks) * shards // blocks
-    order = np.argsort(shard, kind="stable")
-    return order, *np.unique(shard[order], return_index=True)
+def _packed(gram: np.ndarray) -> bytes:
+    """Ascending n-grams as differences, their bytes by rank, which compress better."""
+    return np.diff(gram, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def _asks(blocks: int, shards: int):
@@ -243,8 +246,8 @@ def _asks(blocks: int, shards: int):
         t = np.concatenate(each)
         for pair, grams in ((False, t), (True, pairs(t, np.cumsum(size) - size))):
             grams = np.unique(grams)
-            order, shard, edge = _split(grams, blocks, shards)
-            rows += [(s, pair, g.tobytes()) for s, g in zip(shard.tolist(), np.split(grams[order], edge[1:]))]
+            shard, edge = np.unique(block_of(grams, blocks) * shards // blocks, return_index=True)
+            rows += [(s, pair, _packed(g)) for s, g in zip(shard.tolist(), np.split(grams, edge[1:]))]
         shard, pair, grams = zip(*rows)
         bucket = np.full(len(rows), part.column("bucket")[0].as_py(), np.int64)
         return pa.table([pa.array(bucket), pa.array(shard, pa.int64()), pa.array(pair), pa.array(grams, pa.binary())], names=["bucket", "shard", "pair", "grams"])
@@ -262,21 +265,19 @@ def _answers(blocks: int, shards: int, first: tuple[int, int]):
             low, end = -(-s * blocks // shards), -(-(s + 1) * blocks // shards)
             bits = _placed(own, low, end - low)
             for pair, packed in zip(asked.column("pair").to_pylist(), asked.column("grams").to_pylist()):
-                gram = np.frombuffer(packed, np.uint64)
+                gram = _unpacked(packed)
                 found.append(_levels(bits, block_of(gram, blocks) - low, gram, first[pair]).tobytes())
         return pa.table([asked.column("bucket"), asked.column("shard"), asked.column("pair"), pa.array(found, pa.binary())], names=["bucket", "shard", "pair", "levels"])
 
     return run
 
 
-def _estimates(uniq: np.ndarray, rows: list[tuple[int, bytes]], blocks: int, shards: int) -> np.ndarray:
-    """Estimated counts of a bucket's different n-grams from the answers (shard, levels)."""
+def _estimates(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
+    """Estimated counts of a bucket's n different n-grams, ascending, from the answers (shard, levels)."""
     got = np.frombuffer(b"".join(levels for _, levels in sorted(rows)), np.uint8)
-    if len(got) != len(uniq):
+    if len(got) != n:
         raise ValueError("the rows that are scored differ from those the filter was asked for")
-    out = np.empty(len(uniq))
-    out[_split(uniq, blocks, shards)[0]] = ESTIMATES[got]
-    return out
+    return ESTIMATES[got]
 
 
 def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> DataFrame:
@@ -308,7 +309,7 @@ def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> Data
         came = [[], []]
         for s, pair, levels in zip(*(answers.column(c).to_pylist() for c in ("shard", "pair", "levels"))):
             came[pair].append((s, levels))
-        est, two = _estimates(uniq, came[0], blocks, shards), _estimates(uniq2, came[1], blocks, shards)[where2]
+        est, two = _estimates(len(uniq), came[0]), _estimates(len(uniq2), came[1])[where2]
         at = np.minimum(np.searchsorted(names, uniq), max(0, len(names) - 1))
         hit = names[at] == uniq if len(names) else np.zeros(len(uniq), bool)
         logs = np.zeros(len(uniq))

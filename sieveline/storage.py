@@ -50,6 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that cut() returned and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if not at.toString().split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
+            raise ValueError(f"{at} isn't a table of this application")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and broadcasts that nothing refers to any more."""
     gc.collect()

@@ -92,6 +92,12 @@ def test_every_word_and_pair_is_held_and_scored(spark):
     assert grown.first == (0, 0) and grown.blocks > m.blocks
 
 
+def test_pairs_seen_once_are_held(spark):
+    m = lm.train(spark.createDataFrame([("some words follow each other once",)], "text string"))
+    t = lm.tokens("some words follow each other once", Powers())
+    assert (lm.probe(m.bits, lm.pairs(t), m.first[1]) > 0).all()
+
+
 def test_probabilities_sum_to_one_within_the_quantised_counts(spark):
     docs = spark.createDataFrame([("a b a b a c",)] * 64, "text string")
     m = lm.train(docs)
