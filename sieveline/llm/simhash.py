@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import map_rows, text_check
+from sieveline.llm.common import Powers, map_rows, mixed, text_check, word_hashes
 from sieveline.operators.graph import connected_components
 from sieveline.storage import cut
 
@@ -28,6 +28,10 @@ MAX_BITS = 3
 #: Rows of a cell that are compared at a time; a fuller cell is cut into tiles of so many.
 TILE_ROWS = 2048
 
+#: MinHash bands and values in each.
+BANDS, BAND_ROWS = 24, 4
+_SEEDS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+
 _ODD, _LOW = np.uint64(0x5555555555555555), np.uint64(0xFFFFFFFF)
 
 
@@ -234,7 +238,75 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int = TILE_ROWS)
     return met.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_linker(max_bits), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def shingle_set(text: str | None, powers: Powers, shingle: int = 5) -> np.ndarray:
+    """Ascending hashes of a text's different runs of ``shingle`` words (of all words, if there are fewer)."""
+    words = word_hashes((text or "").encode().lower(), powers)
+    if not len(words):
+        return words
+    n = min(shingle, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)])
+    return np.unique(out)
+
+
+def _bands(grams: np.ndarray) -> list[int]:
+    """A hash of each band of MinHash values."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(grams), 4096):  # bounds the table for a very long text
+        np.minimum(least, ((grams[at : at + 4096, None] ^ _SEEDS) * _FACTORS).min(axis=0), out=least)
+    least = mixed(least).reshape(BANDS, BAND_ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+    return out.view(np.int64).tolist()
+
+
+def overlap_links(docs: DataFrame, similar: float = 0.8) -> DataFrame:
+    """(src, dst): links between the fingerprints of texts whose five-word shingle sets have a Jaccard similarity
+    of ``similar`` or more.
+
+    Candidates come from MinHash bands: two sets of similarity 0.8 share none of them in about four
+    cases of a million. Each set of a band meets the band's representative, another one in each
+    band, so a large group of near copies gives as many candidates as it has rows times bands, and
+    a group's links come from many representatives. The exact similarity decides.
+    """
+
+    def start():
+        powers = Powers()
+
+        def run(cols):
+            sets = [shingle_set(t, powers) for t in cols[0]]
+            raw = [g.tobytes() for g in sets]
+            return [pa.array(np.array([*map(fingerprint, cols[0])], np.uint64).view(np.int64)), [xxhash.xxh64_intdigest(r, 9) - (1 << 63) for r in raw], raw, [_bands(g) if len(g) else [] for g in sets]]
+
+        return run
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = cut(map_rows(texts, start, "fp long, s long, grams binary, bands array<long>").where("size(bands) > 0").groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("top"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.collect_set("fp").alias("fps")))
+    band = rows.select("s", F.explode("bands").alias("band"))
+    rep = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "s").alias("h"), "s")).alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("m.s").alias("r"))
+    met = band.join(rep, F.col("band") == F.col("b")).where("s <> r").select(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).distinct()
+    one = rows.select(F.col("s").alias("x"), F.col("fp").alias("src"), F.col("grams").alias("gx"))
+    two = rows.select(F.col("s").alias("y"), F.col("fp").alias("dst"), F.col("grams").alias("gy"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (p, q) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                if min(len(p), len(q)) >= similar * max(len(p), len(q)):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if both >= similar * (len(p) + len(q) - both):
+                        keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    near = met.join(one, "x").join(two, "y").select("src", "dst", "gx", "gy").mapInArrow(verified, "src long, dst long")
+    same = rows.where("fp <> top").select("fp", F.explode("fps").alias("other")).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
+    return near.union(same).where("src <> dst")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, similar: float | None = None) -> DataFrame:
     """(doc_id, check, fp, root, component_id) of every row: component_id is the smallest doc_id that links reach.
 
     Documents with equal fingerprints are one vertex. Texts without words share fingerprint 0.
@@ -243,7 +315,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     names the component even where it has no id; check is a hash of the text.
     """
     found = cut(fingerprints(docs))
-    return label(found, cut(connected_components(links(found, max_bits))))
+    linked = links(found, max_bits)
+    if similar is not None:
+        linked = linked.union(overlap_links(docs, similar))
+    return label(found, cut(connected_components(linked)))
 
 
 def label(found: DataFrame, components: DataFrame) -> DataFrame:
@@ -256,11 +331,12 @@ def label(found: DataFrame, components: DataFrame) -> DataFrame:
     return found.join(of, F.col("fp") == F.col("f"), "left").drop("f")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, similar: float | None = None) -> DataFrame:
     """The rows of docs, all columns, of which one stays for each component: that of the smallest id
     (null last), of those that share it the one of the smallest fingerprint and text hash; of rows that
-    repeat it, one. Texts are shuffled once, by the row's own key."""
-    found = cut(near_duplicates(docs, max_bits))
+    repeat it, one. Texts are shuffled once, by the row's own key. With ``similar``, components also follow
+    overlap_links()."""
+    found = cut(near_duplicates(docs, max_bits, similar))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "check")).alias("at"))
     first = first.select(F.xxhash64("at.doc_id", "at.check").alias("k"), F.col("at.doc_id").alias("i"), F.col("at.check").alias("c"))
     keyed = docs.withColumn("__check", text_check()).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "__check"))

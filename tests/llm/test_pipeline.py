@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -63,6 +64,20 @@ def test_stages_against_brute_force(spark, docs, sf):
     assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in five) == want and all(r.n_tokens == len(r.ids) for r in five)
 
 
+def test_near_copies_by_five_words(spark, docs, sf):
+    rnd = random.Random(8)
+    rows, apart = [], 0
+    for i in range(0, 60, 2):
+        a = [rnd.choice("abcdefghijklmnop") * rnd.randrange(1, 9) for _ in range(120)]
+        b = [*a]
+        b[40] = b[80] = "other"
+        apart += (plain(" ".join(a)) ^ plain(" ".join(b))).bit_count() > 3
+        rows += [(i, " ".join(a), "en", "s", 1), (i + 1, " ".join(b), "en", "s", 1)]
+    assert apart > 5
+    kept = cp.near_copies(spark, spark.createDataFrame(rows, SCHEMA), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 60, 2)]
+
+
 def test_empty(spark, docs, sf):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf).collect() == []
