@@ -198,9 +198,9 @@ m AS (SELECT rep, avg(ap) AS m FROM (SELECT rep, cls, avg(coalesce(q, 0)) AS ap
 {select}"""
 
 
-def bootstrap_map(tp, weights):
+def bootstrap_map(tp, weights, unit: str = "id % 97"):
     """(rep, m): mean average precision of each replicate over (id, cls, det, conf, tp)."""
-    rows = tp.withColumn("unit", F.col("id") % 97).join(weights, "unit").withColumn("w", F.col("w").cast("double"))
+    rows = tp.withColumn("unit", F.expr(unit)).join(weights, "unit").withColumn("w", F.col("w").cast("double"))
     by = ["rep", "cls"]
     pos = rows.groupBy(*by).agg(F.sum("w").alias("npos"))
     return R.average_precision(R.pr_curve(rows, pos, by, "w"), pos, by).groupBy("rep").agg(F.avg("ap").alias("m"))
@@ -226,6 +226,40 @@ def paired_diff_ci(spark, sf):
     return d.agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.round(F.avg((F.col("d") <= 0).cast("double")), 6).alias("p_below"))
 
 
+#: Replicates over single items, as the reference draws them; SQL is too slow for so many.
+REPLICATES = 2000
+
+
+def item_weights(items, replicates: int = REPLICATES):
+    """bootstrap_weights() with each id as a unit of its own."""
+    return R.bootstrap_weights(items.select(F.col("id").alias("unit")), replicates)
+
+
+def interval(m, c: str):
+    """One row (mean, low, high) of a value of each replicate."""
+    return m.agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.percentile(c, 0.025), 6).alias("low"), F.round(F.percentile(c, 0.975), 6).alias("high"), F.round(F.avg((F.col(c) <= 0).cast("double")), 6).alias("p_below"))
+
+
+@query("bootstrap_weights_items")
+def bootstrap_weights_items(spark, sf):
+    return item_weights(X.boxes(spark, sf))
+
+
+@query("bootstrap_ci_items")
+def bootstrap_ci_items(spark, sf):
+    tp, _ = X.flagged(spark, sf)
+    return interval(bootstrap_map(tp, item_weights(X.boxes(spark, sf)), "id"), "m").drop("p_below")
+
+
+@query("paired_diff_ci_items")
+def paired_diff_ci_items(spark, sf):
+    tp, _ = X.flagged(spark, sf)
+    weights = cut(item_weights(X.boxes(spark, sf)))
+    other = tp.withColumn("tp", F.when(F.col("det") % 9 == 0, 0).otherwise(F.col("tp")))
+    a, b = (bootstrap_map(x, weights, "id") for x in (tp, other))
+    return interval(a.join(b.withColumnRenamed("m", "m2"), "rep").select((F.col("m") - F.col("m2")).alias("d")), "d")
+
+
 @query("source_reweighting", """SELECT source, n, m, round((n::DOUBLE / sum(n) OVER ()) / (m::DOUBLE / sum(m) OVER ()), 6) AS weight FROM (
   SELECT source, count(*) FILTER (WHERE toxic = 1) AS n, count(*) FILTER (WHERE toxic = 0) AS m FROM documents JOIN labels USING (doc_id) GROUP BY source) WHERE m > 0""")
 def source_reweighting(spark, sf):

@@ -60,3 +60,44 @@ def test_average_precision(spark):
     rec = [1 / 7, 1 / 7, 2 / 7]
     want = sum(next((p for r, p in zip(rec, [1, 2 / 3, 2 / 3]) if r >= k / 100), 0) for k in range(101)) / 101
     assert abs(R.average_precision(R.pr_curve(tp, pos), pos).first().ap - want) < 1e-12
+
+
+def test_bootstrap_over_items_against_brute_force(spark, sf, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from sieveline.plans import fixtures as X
+    from sieveline.plans import quality as Q
+
+    rnd = np.random.default_rng(3)
+    rows = [(1000 * i + 7, int(rnd.integers(2)), k, float(rnd.random()), int(rnd.integers(2))) for i in range(12) for k in range(3)]
+    tp = spark.createDataFrame(rows, "id long, cls int, det long, conf double, tp int")
+    monkeypatch.setattr(X, "flagged", lambda *_: (tp, None))
+    monkeypatch.setattr(X, "boxes", lambda *_: tp)
+    ids, n = sorted({r[0] for r in rows}), 12
+    both = []
+    for rep in range(Q.REPLICATES):
+        w = dict.fromkeys(ids, 0)
+        for j in range(n):
+            w[ids[int(int(hashlib.md5(f"0-{rep}-{j}".encode()).hexdigest()[:8], 16) / 4294967296.0 * n)]] += 1
+        maps = []
+        for flag in (lambda r: r[4], lambda r: 0 if r[2] % 9 == 0 else r[4]):
+            aps = []
+            for c in (0, 1):
+                some = sorted((r for r in rows if r[1] == c and w[r[0]]), key=lambda r: (-r[3], r[0], r[2]))
+                if some:
+                    weight = np.array([w[r[0]] for r in some], float)
+                    hit = np.cumsum(weight * [flag(r) for r in some])
+                    recall, precision = hit / weight.sum(), hit / np.cumsum(weight)
+                    aps.append(np.mean([max(precision[recall >= k / 100.0], default=0) for k in range(101)]))
+            maps.append(np.mean(aps))
+        both.append(maps)
+    m = np.array(both)
+    d = m[:, 0] - m[:, 1]
+    for name, v in (("bootstrap_ci_items", m[:, 0]), ("paired_diff_ci_items", d)):
+        got = Q.__dict__[name](spark, sf).first()
+        assert np.allclose([got.mean, got.low, got.high], [v.mean(), *np.quantile(v, [0.025, 0.975])], atol=2e-6)
+    assert abs(got.p_below - (d <= 0).mean()) < 2e-6
+    drawn = Q.bootstrap_weights_items(spark, sf).groupBy("rep").sum("w").collect()
+    assert len(drawn) == Q.REPLICATES >= 1000 and {r[1] for r in drawn} == {n}
