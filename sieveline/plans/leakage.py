@@ -37,6 +37,12 @@ def knn_candidates(spark, sf):
     return P.nearest(X.sim_pairs(spark, sf), 3).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query("knn_candidates_15")
+def knn_candidates_15(spark, sf):
+    """With the reference's number of neighbours; the SQL of knn_candidates has three."""
+    return P.nearest(X.sim_pairs(spark, sf), 15).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 @query("nn_quantiles", f"""{W}{X.PAIRS}, best AS (SELECT a, max(sim) AS s FROM (SELECT a, sim FROM pairs UNION ALL SELECT b, sim FROM pairs) GROUP BY a)
 SELECT p, round(CASE p WHEN 0.05 THEN quantile_cont(s, 0.05) WHEN 0.5 THEN quantile_cont(s, 0.5) ELSE quantile_cont(s, 0.95) END, 6) AS q
 FROM best, (VALUES (0.05::DOUBLE), (0.5), (0.95)) AS t(p) GROUP BY p""")
@@ -251,7 +257,7 @@ def split_cost(spark, sf):
 @query("balanced_group_split")
 def balanced_group_split(spark, sf):
     rows = X.items(spark, sf).where("labeled").select("id", "res").join(core_groups(spark, sf)[0], "id")
-    return S.balanced_split(rows, list(range(10)), restarts=24)
+    return S.balanced_split(rows, list(range(10)))
 
 
 @query("rule_agreement", f"""{W}{X.EDGES}, rules AS (SELECT 'count' AS rule, a, b FROM pairs WHERE n_inl >= 44 UNION ALL SELECT 'cosine', a, b FROM pairs WHERE sim >= 0.36 UNION ALL SELECT 'both', a, b FROM pairs WHERE sim >= 0.36 AND n_inl >= 44)
@@ -359,7 +365,7 @@ def crossover_halves(spark, sf):
     res = X.items(spark, sf).select("id", "res")
     n = arms.where("role = 'twin'").groupBy("grp").agg(F.count("*").alias("twins"))
     anchors = arms.where("role = 'anchor'").select("id", "grp").join(n, "grp").join(res, "id").select("id", "res", "twins", (F.col("id") % 7).alias("boxes"))
-    return S.best_halves(anchors, tries=320)
+    return S.best_halves(anchors)
 
 
 @query("stratified_sample", f"""{W}{X.PAIRS}, p AS (SELECT a * 1000000 + b AS id, CASE WHEN sim >= 0.42 THEN 'high' WHEN sim >= 0.36 THEN 'mid' ELSE 'low' END AS stratum FROM pairs),
