@@ -1,12 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The corpus, read in the order of doc_id, is its own reference. It is indexed in blocks: a
-hash of a window of ``span`` words says which block of the index holds the window and where
-it stands first. Every document is parsed greedily from left to right against all blocks: as
-long as the next window is found at an earlier place, the factor goes on by a word; a factor
-covers span words at least, or it is none. Where a factor ends the windows across its
-boundary are looked up like all others, so a passage that goes on in another source, or
-starts inside the last factor, is a factor too. The words of factors are duplicates.
+"""Substring dedup by a global lookup of window hashes, in place of relative Lempel-Ziv parsing.
+
+The corpus, read in the order of doc_id, is its own reference. A group-by on the hash of each
+window of ``span`` words finds the first place where it stands; every other window with that
+hash is a repeat, and neighbouring or overlapping repeats merge into spans, whose words are
+duplicates. No text is matched greedily against a reference block, and a span has no source.
 
 The index would hold every window of the corpus. To keep it small it is built in two steps.
 Any window holds an anchor: of its runs of ``gram`` words the one with the least hash. A
