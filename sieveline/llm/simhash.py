@@ -266,7 +266,7 @@ def overlap_links(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """(src, dst): links between the fingerprints of texts whose five-word shingle sets have a Jaccard similarity
     of ``similar`` or more.
 
-    Candidates come from MinHash bands: two sets of similarity 0.8 share none of them in about four
+    Candidates come from MinHash bands: two sets of similarity 0.8 share none of them in about three
     cases of a million. Each set of a band meets the band's representative, another one in each
     band, so a large group of near copies gives as many candidates as it has rows times bands, and
     a group's links come from many representatives. The exact similarity decides.
