@@ -1,4 +1,4 @@
-"""Detection scores: greedy matching, precision-recall, average precision, sizes, confusion, bootstrap."""
+"""Detection scores: greedy matching, precision-recall, average precision, sizes, confusion."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import area, iou, size_bin
+from sieveline.operators.order import ranged
+from sieveline.storage import cut
+
 
 def _assign(dets: DataFrame, truth: DataFrame, least: float, prefer) -> DataFrame:
     """(id, cls, det, preferred): greedy one-to-one matches of detections with boxes at an IoU of ``least``.
@@ -45,35 +48,62 @@ def match(dets: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     return dets.select("id", "cls", "det", "conf").join(hits, ["id", "cls", "det"], "left").select("id", "cls", "det", "conf", F.coalesce("hit", F.lit(0)).alias("tp"))
 
 
-def pr_curve(tp: DataFrame, positives: DataFrame, by: list[str] = ("cls",), weight: str | None = None) -> DataFrame:
-    """by, det order: recall, precision and its envelope after each detection. positives: by, npos.
+def running(tp: DataFrame, positives: DataFrame, by: list[str] = ("cls",), weight: str | None = None) -> DataFrame:
+    """tp with range, recall and precision after each detection by confidence down (ties by id, det).
+    positives: by, npos; a class without positives has no rows.
 
-    Running sums by confidence down (ties by id, det); the envelope is the largest precision from
-    there on. A class is one window: its detections are ordered as a whole.
+    A class isn't one window: the order is cut into ranges, sums of the ranges are added up (a row
+    for each class in a range), and only a range's own rows are summed in a task.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    order = Window.partitionBy(*by).orderBy(F.desc("conf"), "id", "det")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = tp.join(positives.where("npos > 0"), list(by)).withColumn("ctp", F.sum(w * F.col("tp")).over(run)).withColumn("all", F.sum(w).over(run))
-    rows = rows.withColumn("recall", F.col("ctp") / F.col("npos")).withColumn("precision", F.when(F.col("all") > 0, F.col("ctp") / F.greatest("all", F.lit(1e-12))).otherwise(0.0))
-    return rows.withColumn("envelope", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    by, w = list(by), F.col(weight) if weight else F.lit(1.0)
+    order = [F.desc("conf"), F.asc("id"), F.asc("det")]
+    rows = ranged(tp.join(positives.where("npos > 0"), by), *by, *order)
+    inside = Window.partitionBy("range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("range", *by).agg(F.sum(w * F.col("tp")).alias("t"), F.sum(w).alias("a"))
+    sums = sums.select("range", *by, F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("t"), F.coalesce(F.sum("a").over(before), F.lit(0.0)).alias("a"))
+    rows = rows.withColumn("ctp", F.sum(w * F.col("tp")).over(inside)).withColumn("all", F.sum(w).over(inside)).join(sums, ["range", *by])
+    rows = rows.withColumn("ctp", F.col("ctp") + F.col("t")).withColumn("all", F.col("all") + F.col("a")).drop("t", "a")
+    return rows.withColumn("recall", F.col("ctp") / F.col("npos")).withColumn("precision", F.when(F.col("all") > 0, F.col("ctp") / F.greatest("all", F.lit(1e-12))).otherwise(0.0))
+
+
+def pr_curve(tp: DataFrame, positives: DataFrame, by: list[str] = ("cls",), weight: str | None = None) -> DataFrame:
+    """running() with the envelope: the largest precision from there on. It is a running maximum over the
+    reversed order of a range, and over the maxima of the ranges that follow."""
+    by = list(by)
+    rows = cut(running(tp, positives, by, weight))
+    inside = Window.partitionBy("range", *by).orderBy(F.asc("conf"), F.desc("id"), F.desc("det")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("range", *by).agg(F.max("precision").alias("top"))
+    tops = tops.select("range", *by, F.max("top").over(after).alias("later"))
+    own = F.max("precision").over(inside)
+    return rows.withColumn("envelope", own).join(tops, ["range", *by]).withColumn("envelope", F.greatest("envelope", "later")).drop("later", "range")
+
+
+def grid_points(recall):
+    """How many k from 0 on have k / 100 up to a recall; quotients as on the grid."""
+    near = F.floor(recall * 100)
+    return (near + F.when((near + 1) / 100.0 <= recall, 2).when(near / 100.0 <= recall, 1).otherwise(0)).cast("int")
+
+
+def interpolated(levels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ap) from (by, upto, precision): the best precision of the detections whose recall reaches so many
+    grid points. At most 102 rows of a class: the best from there on answers for the points up to it."""
+    w = Window.partitionBy(*by).orderBy(F.desc("upto"))
+    best = levels.where("upto > 0").select(*by, "upto", F.max("precision").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best"), F.coalesce(F.lead("upto").over(w), F.lit(0)).alias("lower"))
+    return best.groupBy(*by).agg((F.sum((F.col("upto") - F.col("lower")) * F.col("best")) / 101).alias("ap"))
 
 
 def average_precision(curve: DataFrame, positives: DataFrame, by: list[str] = ("cls",)) -> DataFrame:
     """(by, npos, ap): mean over recalls 0, .01, ... 1 of the best precision at that recall or more, 0
-    beyond the end; null without positives, 0 without detections.
+    beyond the end; null without positives, 0 without detections. curve: by, recall, precision.
 
-    The envelope falls with recall, so each detection answers for the grid points between the
-    recall before it and its own, and no grid is joined: it counts them.
+    Detections are first reduced to the best precision for each number of grid points that their
+    recall reaches, with partial sums before the shuffle: neither an order nor a grid is joined.
     """
-    # How many k from 0 on have k / 100 up to a recall; quotients as on the grid.
-    near = lambda r: F.floor(r * 100)
-    upto = lambda r: (near(r) + F.when((near(r) + 1) / 100.0 <= r, 2).when(near(r) / 100.0 <= r, 1).otherwise(0)).cast("long")
-    order = Window.partitionBy(*by).orderBy(F.desc("conf"), "id", "det")
-    points = curve.select(*by, "conf", "id", "det", "envelope", upto(F.col("recall")).alias("upto"))
-    points = points.withColumn("own", F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0)))
-    ap = points.groupBy(*by).agg((F.sum(F.col("own") * F.col("envelope")) / 101).alias("ap"))
-    return positives.join(ap, list(by), "left").select(*by, "npos", F.when(F.col("npos") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    by = list(by)
+    levels = curve.groupBy(*by, grid_points(F.col("recall")).alias("upto")).agg(F.max("precision").alias("precision"))
+    return positives.join(interpolated(levels, by), by, "left").select(*by, "npos", F.when(F.col("npos") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
 def match_by_size(dets: DataFrame, truth: DataFrame, low: float, high: float, least: float = 0.5) -> DataFrame:
@@ -110,20 +140,6 @@ def classification(pairs: DataFrame) -> DataFrame:
     return per.agg(F.round(F.sum("h") / F.sum("t"), 6).alias("accuracy"), F.round(F.avg(F.try_divide(F.col("h"), F.col("t"))), 6).alias("balanced"), F.round(F.avg(2 * F.col("h") / (F.col("p") + F.col("t"))), 6).alias("macro_f1"))
 
 
-def bootstrap_weights(units: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """(rep, unit, w): how often a unit is drawn in each replicate, n draws with replacement of n units.
-
-    The draw j of a replicate takes the unit with rank floor(u n), u from the md5 of seed, replicate
-    and j, so that SQL repeats it. units: unit (id or group), few enough to rank.
-    """
-    ranked = units.select("unit").distinct().select("unit", (F.row_number().over(Window.orderBy("unit")) - 1).alias("r"))
-    n = ranked.agg(F.count("*").alias("n"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("r").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    reps = units.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = ranked.select("r").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(reps)).select("rep", F.floor(u * F.col("n")).cast("int").alias("r"))
-    return draws.groupBy("rep", "r").agg(F.count("*").alias("w")).join(ranked, "r").select("rep", "unit", "w")
-
-
 def kappa(pairs: DataFrame) -> DataFrame:
     """One row (n, agreement, kappa) of (a, b) labels by two raters."""
     joint = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.order import ranked
+from sieveline.storage import cut
+
 NAMES = ("train", "val", "test")
 SHARES = (0.70, 0.15, 0.15)
 
@@ -46,20 +49,19 @@ def split_cost(by_split: DataFrame, columns: list[str], first_weight: float = 4.
 
 def balanced_split(items: DataFrame, sources: list[int], classes: list[str] = (), restarts: int = 300, sweeps: int = 3, seed: int = 0) -> DataFrame:
     """(grp, split): whole groups dealt to train, val and test so that items, sources and counts come near
-    their shares. Each restart orders the groups by size with noise, deals each to the split where
-    the cost is least, then moves single groups while that helps (sweeps=0: no moves); the best
-    restart is kept. Restarts run in parallel.
-
-    A restart walks over all groups, since each choice depends on those before; groups with equal
-    features are interchangeable, so what travels is one row for each distinct feature vector
-    with its number, and the groups of a vector are dealt out at the end by hash order.
+    their shares, the number of items weighing four times. The best of ``restarts`` is kept, which run in
+    parallel.
+
+    Groups with equal features are interchangeable, so a restart knows only kinds: one row for each
+    distinct feature vector, with its number of groups. It deals kinds out in a noisy order by size,
+    a kind's groups one split at a time as long as that split gains most, then moves groups between
+    splits while the cost falls (sweeps=0: no moves). The groups of a kind are dealt out by hash order
+    at the end. What a task holds is kinds, whatever the number of groups.
     """
     per_group = features(items, sources, classes)
     columns = [c for c in per_group.columns if c != "grp"]
-    kinds = per_group.groupBy(*columns).agg(F.count("*").alias("groups")).withColumn("kind", F.xxhash64(*columns))
-    spark = items.sparkSession
-    tries = spark.range(restarts).withColumnRenamed("id", "restart").repartition(min(restarts, 64))
-    runs = tries.crossJoin(kinds)  # every restart gets the table of kinds
+    kinds = cut(per_group.groupBy(*columns).agg(F.count("*").alias("groups")).withColumn("kind", F.xxhash64(*columns)))
+    runs = kinds.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(restarts - 1).cast("long"))).alias("restart"))
 
     def deal(pdf):
         import numpy as np
@@ -67,43 +69,73 @@ def balanced_split(items: DataFrame, sources: list[int], classes: list[str] = ()
 
         pdf = pdf.sort_values("kind").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(pdf.restart[0])])
-        of = np.repeat(np.arange(len(pdf)), pdf.groups)
-        f = pdf[columns].to_numpy(float)[of]
-        total = f.sum(axis=0)
-        weight = np.ones(len(columns))
-        weight[0] = 4.0
-        scale = weight / np.maximum(total, 1) ** 2
-        target = np.array(SHARES)[:, None] * total
-        gap = -target  # sums of the splits less their targets
-        at = np.empty(len(f), int)
-        for g in np.argsort(-f[:, 0] * np.exp(rng.normal(0, 0.3, len(f))), kind="stable"):
-            change = (scale * (2 * gap * f[g] + f[g] ** 2)).sum(axis=1)
-            s = int(change.argmin())
-            at[g], gap[s] = s, gap[s] + f[g]
+        f, left = pdf[columns].to_numpy(float), pdf.groups.to_numpy(np.int64)
+        whole = left @ f
+        unit = np.append(4.0, np.ones(len(columns) - 1)) / np.maximum(whole, 1) ** 2
+        state = _Deal(f, unit, np.array(SHARES)[:, None] * whole)
+        for kind in np.argsort(-f[:, 0] * np.exp(rng.normal(0, 0.3, len(f))), kind="stable"):
+            state.place(kind, int(left[kind]))
         for _ in range(sweeps):
-            moved = False
-            for g in rng.permutation(len(f)):
-                s0 = at[g]
-                leave = (scale * (f[g] ** 2 - 2 * gap[s0] * f[g])).sum()
-                enter = (scale * (2 * gap * f[g] + f[g] ** 2)).sum(axis=1)
-                for s in range(3):
-                    if s != s0 and leave + enter[s] < -1e-12:
-                        gap[s0], gap[s], at[g], moved = gap[s0] - f[g], gap[s] + f[g], s, True
-                        break
-            if not moved:
+            if not sum(state.improve(kind) for kind in rng.permutation(len(f))):
                 break
-        n = np.zeros((len(pdf), 3), np.int64)
-        np.add.at(n, (of, at), 1)
-        cost = float((scale * gap**2).sum())
-        return pd.DataFrame({"restart": pdf.restart, "cost": cost, "kind": pdf.kind, "train": n[:, 0], "val": n[:, 1]})
+        return pd.DataFrame({"restart": pdf.restart, "cost": state.cost(), "kind": pdf.kind, "train": state.n[:, 0], "val": state.n[:, 1]})
 
     found = runs.groupBy("restart").applyInPandas(deal, "restart long, cost double, kind long, train long, val long")
     best = found.groupBy("kind").agg(F.min_by(F.struct("train", "val"), F.struct("cost", "restart")).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(shuffled(seed, F.col("grp")), "grp"))
-    dealt = per_group.select("grp", F.xxhash64(*columns).alias("kind")).withColumn("rank", rank).join(best, "kind")
+    keyed = per_group.select("grp", F.xxhash64(*columns).alias("kind"), shuffled(seed, F.col("grp")).alias("key"))
+    sizes = kinds.select("kind", F.coalesce(F.sum("groups").over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    dealt = ranked(keyed, "kind", "key", "grp").join(sizes, "kind").withColumn("rank", F.col("rank") - F.col("before")).join(best, "kind")
     return dealt.select("grp", F.when(F.col("rank") <= F.col("n.train"), "train").when(F.col("rank") <= F.col("n.train") + F.col("n.val"), "val").otherwise("test").alias("split"))
 
 
+class _Deal:
+    """Numbers of groups of each kind in three splits, and how far the splits' sums are from their targets."""
+
+    def __init__(self, f, unit, target):
+        import numpy as np
+
+        self.f, self.unit, self.off, self.n = f, unit, -target, np.zeros((len(f), len(target)), np.int64)
+        self.own = (unit * f * f).sum(axis=1)  # what a group's own square adds, by kind
+
+    def cost(self) -> float:
+        return float((self.unit * self.off**2).sum())
+
+    def slope(self, kind: int):
+        """By split: half the change of its cost for a group more of the kind, without the group's own square."""
+        return self.off @ (self.unit * self.f[kind])
+
+    def add(self, kind: int, split: int, k: int) -> None:
+        self.n[kind, split] += k
+        self.off[split] += k * self.f[kind]
+
+    def place(self, kind: int, k: int) -> None:
+        """Deal k groups, each where the cost grows least. A split's slope rises by the same step with each
+        group, so a run of groups goes to one split at once, up to where the next split is as good."""
+        own = self.own[kind]
+        while k:
+            slope = self.slope(kind)
+            first, second = sorted(range(len(slope)), key=lambda s: slope[s])[:2]
+            run = k if own == 0 else min(k, int((slope[second] - slope[first]) / own) + 1)
+            self.add(kind, first, run)
+            k -= run
+
+    def improve(self, kind: int) -> int:
+        """Move groups of the kind between splits while that lowers the cost; the number of groups moved."""
+        moved = 0
+        for source in range(self.n.shape[1]):
+            for target in range(self.n.shape[1]):
+                # k groups change the cost by 2 k (slope there - slope here) + 2 k^2 own: the lowest point, whole.
+                slope, own = self.slope(kind), self.own[kind]
+                if source == target or own == 0:
+                    continue
+                k = min(int(self.n[kind, source]), round((slope[source] - slope[target]) / (2 * own)))
+                if k > 0 and 2 * k * (slope[target] - slope[source]) + 2 * k * k * own < -1e-12:
+                    self.add(kind, source, -k)
+                    self.add(kind, target, k)
+                    moved += k
+        return moved
+
+
 def balance(items: DataFrame) -> DataFrame:
     """Per split of (id, res, grp, split): items, their share, and the number of groups."""
     n = items.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("n_groups"))
@@ -139,34 +171,38 @@ def anchors_and_twins(held: DataFrame, most: int = 5, seed: int = 0) -> DataFram
     return rows.join(half, "grp", "left").select("id", "grp", "role", F.when(F.col("role") != "placebo", F.col("half")).alias("half"))
 
 
+#: What a half search weighs: a twin of difference between the halves, a box, an anchor.
+HALF_WEIGHTS = (10, 1, 5)
+
+
+def half_key(draw: Column, seed: int) -> Column:
+    """Where an anchor stands in the order of its stratum in a draw: the hash of draw and id."""
+    return F.xxhash64(F.lit(seed), draw, F.col("id"))
+
+
 def best_halves(anchors: DataFrame, tries: int = 5000, seed: int = 0) -> DataFrame:
-    """(id, half) of anchors (id, res, twins, boxes): the draw, of ``tries`` that halve each source at
-    random, with the least 10 |twins| + |boxes| + 5 |anchors| between the halves. One row an anchor
-    travels to each block of draws; blocks run in parallel."""
-    blocks = anchors.sparkSession.range(16).withColumnRenamed("id", "block").crossJoin(anchors.select("id", "res", "twins", "boxes"))
+    """(id, half) of anchors (id, res, twins, boxes): halves A and B of the draw whose numbers of twins, boxes
+    and anchors differ least, by HALF_WEIGHTS; of equally good draws the first.
 
-    def draw(pdf):
-        import numpy as np
-        import pandas as pd
+    In each of ``tries`` draws every source (a stratum) is halved by a hash order of its anchors. Which
+    half gets the odd one alternates over the sources with an odd number, the first of them by the
+    draw's parity. A draw is judged by the sums of its strata alone: anchors are expanded by draw, summed
+    up by (draw, stratum), and only the best draw's halves are made again. No task holds all anchors.
+    """
+    places = Window.partitionBy("draw", "res").orderBy("key", "id")
+    odd = anchors.groupBy("res").agg(F.count("*").alias("n"))
+    odd = odd.select("res", "n", F.sum(F.col("n") % 2).over(Window.orderBy("res").rowsBetween(Window.unboundedPreceding, -1)).alias("turn"))
 
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        block = int(pdf.block[0])
-        rng = np.random.default_rng([seed, block])
-        where = [np.flatnonzero(pdf.res == r) for r in sorted(pdf.res.unique())]
-        best = None
-        for k in range(block, tries, 16):
-            side = np.zeros(len(pdf), bool)
-            for idx in where:
-                idx = rng.permutation(idx)
-                side[idx[: len(idx) // 2 + (k % 2 if len(idx) % 2 else 0)]] = True
-            sign = np.where(side, 1, -1)
-            cost = 10 * abs((sign * pdf.twins).sum()) + abs((sign * pdf.boxes).sum()) + 5 * abs(sign.sum())
-            if best is None or cost < best[0]:
-                best = float(cost), side
-        return pd.DataFrame({"block": block, "cost": best[0], "id": pdf.id, "half": np.where(best[1], "A", "B")}) if best else pd.DataFrame({"block": [], "cost": [], "id": [], "half": []})
-
-    found = blocks.groupBy("block").applyInPandas(draw, "block long, cost double, id long, half string")
-    return found.groupBy("id").agg(F.min_by("half", F.struct("cost", "block")).alias("half"))
+    def halved(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("key", half_key(F.col("draw"), seed)).withColumn("place", F.row_number().over(places)).join(odd, "res")
+        extra = (F.col("n") % 2) * ((F.col("draw") + F.coalesce("turn", F.lit(0))) % 2)
+        return placed.withColumn("side", F.when(F.col("place") <= F.floor(F.col("n") / 2) + extra, 1).otherwise(-1))
+
+    draws = anchors.select("id", "res", "twins", "boxes", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("draw"))
+    strata = halved(draws).groupBy("draw", "res").agg(*(F.sum(F.col("side") * c).alias(name) for name, c in (("twins", F.col("twins")), ("boxes", F.col("boxes")), ("anchors", F.lit(1)))))
+    costs = strata.groupBy("draw").agg(sum(w * F.abs(F.sum(c)) for w, c in zip(HALF_WEIGHTS, ("twins", "boxes", "anchors"))).alias("cost"))
+    best = costs.agg(F.min_by("draw", F.struct("cost", "draw")).alias("draw"))
+    return halved(anchors.crossJoin(F.broadcast(best)).where("draw is not null")).select("id", F.when(F.col("side") > 0, "A").otherwise("B").alias("half"))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, n: int, seed: int = 0) -> DataFrame:
@@ -178,9 +214,11 @@ def stratified_sample(rows: DataFrame, stratum: str, n: int, seed: int = 0) -> D
 
 def stratified_fill(pool: DataFrame, wanted: DataFrame, stratum: str, seed: int = 0) -> DataFrame:
     """Ids of the pool: of each stratum as many as ``wanted`` (stratum, n) says, by hash order; what a
-    stratum lacks is topped up from the rest of the pool, by hash order too."""
-    inside = Window.partitionBy(stratum).orderBy(shuffled(seed, F.col("id")), "id")
-    ranked = pool.withColumn("k", F.row_number().over(inside)).join(wanted, stratum, "left").withColumn("own", F.col("k") <= F.coalesce("n", F.lit(0)))
+    stratum lacks is topped up from the rest of the pool, by hash order too. Ranks, within strata and
+    over all, are taken in ranges of the order."""
+    keyed = pool.withColumn("key", shuffled(seed, F.col("id")))
+    sizes = pool.groupBy(stratum).agg(F.count("*").alias("there")).select(stratum, "there", (F.sum("there").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
+    inside = ranked(keyed, stratum, "key", "id", name="k").join(sizes, stratum).withColumn("k", F.col("k") - F.coalesce("before", F.lit(0)))
+    own = inside.join(wanted, stratum, "left").withColumn("own", F.col("k") <= F.coalesce("n", F.lit(0))).select("id", stratum, "key", "own")
     total = wanted.agg(F.sum("n").alias("total"))
-    first = Window.orderBy(F.desc("own"), shuffled(seed, F.col("id")), "id")
-    return ranked.crossJoin(F.broadcast(total)).withColumn("place", F.row_number().over(first)).where(F.col("place") <= F.col("total")).select("id", stratum, "own")
+    return ranked(own, F.desc("own"), "key", "id", name="place").crossJoin(F.broadcast(total)).where(F.col("place") <= F.col("total")).select("id", stratum, "own")

@@ -9,6 +9,7 @@ from sieveline.functions.scalar import binned, hamming, median_signature
 from sieveline.operators import edges as E
 from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
+from sieveline.operators.order import with_next
 from sieveline.plans import fixtures as X
 from sieveline.registry import query
 from sieveline.storage import cut
@@ -90,8 +91,7 @@ SELECT CAST(avg(d) AS DOUBLE) AS mean_ham, count(*) FILTER (WHERE d <= 24) AS n_
   JOIN (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM items) n ON n.id = a.id JOIN sigs b ON b.id = n.nxt JOIN items y ON y.id = b.id)""")
 def consecutive_distance(spark, sf):
     sig = X.signatures(spark, sf).join(X.items(spark, sf).select("id", "res"), "id")
-    order = Window.orderBy("id")
-    step = sig.select(hamming(F.col("sig"), F.lead("sig").over(order)).alias("d"), (F.col("res") == F.lead("res").over(order)).alias("same")).where("d is not null")
+    step = with_next(sig, "id", "sig", "res").select(hamming(F.col("sig"), F.col("next_sig")).alias("d"), (F.col("res") == F.col("next_res")).alias("same")).where("d is not null")
     return step.agg(F.avg("d").alias("mean_ham"), F.count_if(F.col("d") <= 24).alias("n_near"), F.round(F.avg(F.col("same").cast("double")), 6).alias("same_res"))
 
 

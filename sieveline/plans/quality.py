@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import size_bin
+from sieveline.operators import bootstrap as P
 from sieveline.operators import boxes as B
 from sieveline.operators import scoring as R
 from sieveline.plans import fixtures as X
@@ -178,86 +179,93 @@ def wilson_interval(spark, sf):
     return d.select("lang", "n", "k", low.alias("low"), high.alias("high"))
 
 
-UNITS = "units AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS r FROM (SELECT DISTINCT id % 97 AS unit FROM boxes)), cnt AS (SELECT count(*) AS n FROM units)"
-WEIGHTS = f"""{UNITS}, draws AS (SELECT rep, CAST(floor(CAST(concat('0x', substr(md5(concat('0-', rep, '-', r)), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE * n) AS BIGINT) AS r FROM units, cnt, range(10) t(rep)),
-weights AS (SELECT rep, unit, count(*) AS w FROM draws JOIN units USING (r) GROUP BY rep, unit)"""
+#: Replicates of the queries that SQL checks; those over items and groups below draw as many as the reference.
+CHECKED, ITEM_REPLICATES, GROUP_REPLICATES = 200, 2000, 1000
+#: A second set of scores to compare with: another model's flags on the same detections.
+OTHER = "CASE WHEN det % 9 = 0 THEN 0 ELSE tp END"
 
 
-@query("bootstrap_weights", f"{W}{X.BOXES}, {WEIGHTS} SELECT rep, unit, w FROM weights")
-def bootstrap_weights(spark, sf):
-    return R.bootstrap_weights(X.boxes(spark, sf).select((F.col("id") % 97).alias("unit")), 10)
+def draws_sql(seed: int, name: str = "weights") -> str:
+    """Weights of every customer in every replicate, by the hash of operators/bootstrap.py."""
+    m = P.MODULUS
+    steps = [f"((unit % {m}) * 48271 + rep * 69621 + {seed * 7919 + 12345}) % {m}", f"(x * x + unit % {m}) % {m}", f"(x * 16807 + rep * 3 + 1) % {m}", f"(x * x + x * 5 + 69621) % {m}"]
+    x = f"SELECT unit, rep, {steps[0]} AS x FROM (SELECT DISTINCT o_custkey AS unit FROM orders JOIN boxes ON id = o_orderkey), range({CHECKED}) t(rep)"
+    for step in steps[1:]:
+        x = f"SELECT unit, rep, {step} AS x FROM ({x})"
+    count = " + ".join(f"CASE WHEN x >= {b} THEN 1 ELSE 0 END" for b in P.BOUNDS)
+    return f"{name} AS (SELECT * FROM (SELECT rep, unit, {count} AS w FROM ({x})) WHERE w > 0)"
 
 
-def bootstrap_sql(flag: str, select: str) -> str:
-    return f"""{W}{X.FLAGGED}, {WEIGHTS}, wt AS (SELECT tp.*, rep, w::DOUBLE AS w FROM tp JOIN weights ON unit = id % 97),
-np AS (SELECT rep, cls, sum(w) AS npos FROM wt GROUP BY rep, cls),
-run AS (SELECT wt.*, npos, sum(w * {flag}) OVER o AS ctp, sum(w) OVER o AS n FROM wt JOIN np USING (rep, cls) WINDOW o AS (PARTITION BY rep, cls ORDER BY conf DESC, id, det ROWS UNBOUNDED PRECEDING)),
-env AS (SELECT *, ctp / npos AS recall, max(ctp / n) OVER (PARTITION BY rep, cls ORDER BY conf DESC, id, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM run),
-best AS (SELECT rep, cls, max(CASE WHEN recall >= k::DOUBLE / 100.0::DOUBLE THEN envelope END) AS q FROM env, range(101) t(k) GROUP BY rep, cls, k),
-m AS (SELECT rep, avg(ap) AS m FROM (SELECT rep, cls, avg(coalesce(q, 0)) AS ap FROM best GROUP BY rep, cls) GROUP BY rep)
-{select}"""
+def maps_sql(name: str, weights: str, flag: str) -> str:
+    """(rep, m) of an arm; grid points that a recall reaches are counted as the operator counts them."""
+    return f"""{name}_wt AS (SELECT tp.id, tp.cls, tp.det, tp.conf, {flag} AS flag, rep, w::DOUBLE AS w FROM tp JOIN orders ON o_orderkey = tp.id JOIN {weights} ON unit = o_custkey),
+{name}_np AS (SELECT rep, cls, sum(w) AS npos FROM {name}_wt GROUP BY rep, cls),
+{name}_run AS (SELECT rep, cls, sum(w * flag) OVER o / npos AS recall, sum(w * flag) OVER o / sum(w) OVER o AS p FROM {name}_wt JOIN {name}_np USING (rep, cls)
+  WINDOW o AS (PARTITION BY rep, cls ORDER BY conf DESC, id, det ROWS UNBOUNDED PRECEDING)),
+{name}_lv AS (SELECT rep, cls, upto, max(p) AS p FROM (SELECT *, floor(recall * 100) + CASE WHEN (floor(recall * 100) + 1) / 100.0::DOUBLE <= recall THEN 2 WHEN floor(recall * 100) / 100.0::DOUBLE <= recall THEN 1 ELSE 0 END AS upto FROM {name}_run) GROUP BY ALL),
+{name}_best AS (SELECT rep, cls, upto - coalesce(lead(upto) OVER o, 0) AS n, max(p) OVER o AS best FROM {name}_lv WHERE upto > 0 WINDOW o AS (PARTITION BY rep, cls ORDER BY upto DESC)),
+{name} AS (SELECT rep, avg(coalesce(ap, 0)) AS m FROM {name}_np LEFT JOIN (SELECT rep, cls, sum(n * best) / 101 AS ap FROM {name}_best GROUP BY rep, cls) USING (rep, cls) GROUP BY rep)"""
 
 
-def bootstrap_map(tp, weights, unit: str = "id % 97"):
-    """(rep, m): mean average precision of each replicate over (id, cls, det, conf, tp)."""
-    rows = tp.withColumn("unit", F.expr(unit)).join(weights, "unit").withColumn("w", F.col("w").cast("double"))
-    by = ["rep", "cls"]
-    pos = rows.groupBy(*by).agg(F.sum("w").alias("npos"))
-    return R.average_precision(R.pr_curve(rows, pos, by, "w"), pos, by).groupBy("rep").agg(F.avg("ap").alias("m"))
+INTERVAL = "round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_below"
 
 
-@query("bootstrap_ci", bootstrap_sql("tp", "SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"))
-def bootstrap_ci(spark, sf):
+def by_item(spark, sf):
+    """Detections and boxes with their item as unit; and the other model's detections."""
     tp, _ = X.flagged(spark, sf)
-    m = bootstrap_map(tp, bootstrap_weights(spark, sf))
-    return m.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+    tp = tp.withColumn("unit", F.col("id"))
+    return tp, tp.withColumn("tp", F.expr(OTHER)), X.boxes(spark, sf).select("cls", F.col("id").alias("unit"))
 
 
-PAIRED = bootstrap_sql("tp", "").rstrip() + ", " + bootstrap_sql("(CASE WHEN det % 9 = 0 THEN 0 ELSE tp END)", "").split("wt AS (", 1)[1].split("run AS (", 1)[1].join(["run2 AS (", ""]).replace("FROM run)", "FROM run2)").replace("env AS (", "env2 AS (").replace("FROM env,", "FROM env2,").replace("best AS (", "best2 AS (").replace("FROM best ", "FROM best2 ").replace("m AS (SELECT rep, avg(ap) AS m", "m2 AS (SELECT rep, avg(ap) AS m").rstrip()
+def by_customer(spark, sf):
+    """As by_item(), with the order's customer as unit: a customer's orders are a group of items."""
+    of = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("unit"))
+    tp, other, boxes = by_item(spark, sf)
+    group = lambda df: df.withColumnRenamed("unit", "id").join(of, "id")
+    return tp.drop("unit").join(of, "id"), other.drop("unit").join(of, "id"), group(boxes).select("cls", "unit")
 
 
-@query("paired_diff_ci", PAIRED + """ SELECT round(avg(m.m - m2.m), 6) AS mean, round(quantile_cont(m.m - m2.m, 0.025), 6) AS low, round(quantile_cont(m.m - m2.m, 0.975), 6) AS high,
-round(avg(CASE WHEN m.m - m2.m <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_below FROM m JOIN m2 USING (rep)""")
-def paired_diff_ci(spark, sf):
-    tp, _ = X.flagged(spark, sf)
-    weights = cut(bootstrap_weights(spark, sf))
-    other = tp.withColumn("tp", F.when(F.col("det") % 9 == 0, 0).otherwise(F.col("tp")))
-    d = bootstrap_map(tp, weights).join(bootstrap_map(other, weights).withColumnRenamed("m", "m2"), "rep").select((F.col("m") - F.col("m2")).alias("d"))
-    return d.agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.round(F.avg((F.col("d") <= 0).cast("double")), 6).alias("p_below"))
-
-
-#: Replicates over single items, as the reference draws them; SQL is too slow for so many.
-REPLICATES = 2000
+@query("bootstrap_weights", f"{W}{X.BOXES}, {draws_sql(0)} SELECT rep, unit, w FROM weights")
+def bootstrap_weights(spark, sf):
+    return P.bootstrap_weights(by_customer(spark, sf)[2], CHECKED)
 
 
-def item_weights(items, replicates: int = REPLICATES):
-    """bootstrap_weights() with each id as a unit of its own."""
-    return R.bootstrap_weights(items.select(F.col("id").alias("unit")), replicates)
+@query("bootstrap_ci", f"{W}{X.FLAGGED}, {draws_sql(0)}, {maps_sql('a', 'weights', 'tp')} SELECT {INTERVAL} FROM a")
+def bootstrap_ci(spark, sf):
+    tp, _, boxes = by_customer(spark, sf)
+    return P.interval(P.mean_ap(tp, boxes, CHECKED))
 
 
-def interval(m, c: str):
-    """One row (mean, low, high) of a value of each replicate."""
-    return m.agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.percentile(c, 0.025), 6).alias("low"), F.round(F.percentile(c, 0.975), 6).alias("high"), F.round(F.avg((F.col(c) <= 0).cast("double")), 6).alias("p_below"))
+@query("paired_diff_ci", f"{W}{X.FLAGGED}, {draws_sql(0)}, {maps_sql('a', 'weights', 'tp')}, {maps_sql('b', 'weights', OTHER)} SELECT {INTERVAL} FROM (SELECT a.m - b.m AS m FROM a JOIN b USING (rep))")
+def paired_diff_ci(spark, sf):
+    tp, other, boxes = by_customer(spark, sf)
+    return P.interval(P.difference(P.mean_ap(tp, boxes, CHECKED), P.mean_ap(other, boxes, CHECKED)))
 
 
-@query("bootstrap_weights_items")
-def bootstrap_weights_items(spark, sf):
-    return item_weights(X.boxes(spark, sf))
+@query("unpaired_diff_ci", f"{W}{X.FLAGGED}, {draws_sql(0)}, {draws_sql(1, 'weights_b')}, {maps_sql('a', 'weights', 'tp')}, {maps_sql('b', 'weights_b', OTHER)} SELECT {INTERVAL} FROM (SELECT a.m - b.m AS m FROM a JOIN b USING (rep))")
+def unpaired_diff_ci(spark, sf):
+    tp, other, boxes = by_customer(spark, sf)
+    return P.interval(P.difference(P.mean_ap(tp, boxes, CHECKED), P.mean_ap(other, boxes, CHECKED, seed=1)))
 
 
 @query("bootstrap_ci_items")
 def bootstrap_ci_items(spark, sf):
-    tp, _ = X.flagged(spark, sf)
-    return interval(bootstrap_map(tp, item_weights(X.boxes(spark, sf)), "id"), "m").drop("p_below")
+    """As many replicates over items as the reference draws; SQL is too slow for them."""
+    tp, _, boxes = by_item(spark, sf)
+    return P.interval(P.mean_ap(tp, boxes, ITEM_REPLICATES))
 
 
 @query("paired_diff_ci_items")
 def paired_diff_ci_items(spark, sf):
-    tp, _ = X.flagged(spark, sf)
-    weights = cut(item_weights(X.boxes(spark, sf)))
-    other = tp.withColumn("tp", F.when(F.col("det") % 9 == 0, 0).otherwise(F.col("tp")))
-    a, b = (bootstrap_map(x, weights, "id") for x in (tp, other))
-    return interval(a.join(b.withColumnRenamed("m", "m2"), "rep").select((F.col("m") - F.col("m2")).alias("d")), "d")
+    tp, other, boxes = by_item(spark, sf)
+    return P.interval(P.difference(P.mean_ap(tp, boxes, ITEM_REPLICATES), P.mean_ap(other, boxes, ITEM_REPLICATES)))
+
+
+@query("bootstrap_ci_groups")
+def bootstrap_ci_groups(spark, sf):
+    """As many replicates over groups as the reference draws."""
+    tp, _, boxes = by_customer(spark, sf)
+    return P.interval(P.mean_ap(tp, boxes, GROUP_REPLICATES))
 
 
 @query("source_reweighting", """SELECT source, n, m, round((n::DOUBLE / sum(n) OVER ()) / (m::DOUBLE / sum(m) OVER ()), 6) AS weight FROM (

@@ -62,42 +62,107 @@ def test_average_precision(spark):
     assert abs(R.average_precision(R.pr_curve(tp, pos), pos).first().ap - want) < 1e-12
 
 
-def test_bootstrap_over_items_against_brute_force(spark, sf, monkeypatch):
-    import hashlib
-
+def test_bootstrap_against_brute_force(spark, monkeypatch):
     import numpy as np
+    from pyspark.sql import functions as F
 
-    from sieveline.plans import fixtures as X
-    from sieveline.plans import quality as Q
+    from sieveline.operators import bootstrap as P
 
     rnd = np.random.default_rng(3)
-    rows = [(1000 * i + 7, int(rnd.integers(2)), k, float(rnd.random()), int(rnd.integers(2))) for i in range(12) for k in range(3)]
-    tp = spark.createDataFrame(rows, "id long, cls int, det long, conf double, tp int")
-    monkeypatch.setattr(X, "flagged", lambda *_: (tp, None))
-    monkeypatch.setattr(X, "boxes", lambda *_: tp)
-    ids, n = sorted({r[0] for r in rows}), 12
-    both = []
-    for rep in range(Q.REPLICATES):
-        w = dict.fromkeys(ids, 0)
-        for j in range(n):
-            w[ids[int(int(hashlib.md5(f"0-{rep}-{j}".encode()).hexdigest()[:8], 16) / 4294967296.0 * n)]] += 1
-        maps = []
-        for flag in (lambda r: r[4], lambda r: 0 if r[2] % 9 == 0 else r[4]):
-            aps = []
-            for c in (0, 1):
-                some = sorted((r for r in rows if r[1] == c and w[r[0]]), key=lambda r: (-r[3], r[0], r[2]))
-                if some:
-                    weight = np.array([w[r[0]] for r in some], float)
-                    hit = np.cumsum(weight * [flag(r) for r in some])
-                    recall, precision = hit / weight.sum(), hit / np.cumsum(weight)
-                    aps.append(np.mean([max(precision[recall >= k / 100.0], default=0) for k in range(101)]))
-            maps.append(np.mean(aps))
-        both.append(maps)
-    m = np.array(both)
-    d = m[:, 0] - m[:, 1]
-    for name, v in (("bootstrap_ci_items", m[:, 0]), ("paired_diff_ci_items", d)):
-        got = Q.__dict__[name](spark, sf).first()
-        assert np.allclose([got.mean, got.low, got.high], [v.mean(), *np.quantile(v, [0.025, 0.975])], atol=2e-6)
-    assert abs(got.p_below - (d <= 0).mean()) < 2e-6
-    drawn = Q.bootstrap_weights_items(spark, sf).groupBy("rep").sum("w").collect()
-    assert len(drawn) == Q.REPLICATES >= 1000 and {r[1] for r in drawn} == {n}
+    rows = [(1000 * i + 7, int(rnd.integers(2)), k, float(rnd.integers(9)) / 9, int(rnd.integers(2)), i % 7) for i in range(40) for k in range(3)]
+    tp = spark.createDataFrame(rows, "id long, cls int, det long, conf double, tp int, unit long")
+    boxes = [(c, u) for c in (0, 1) for u in range(7)] * 5 + [(1, 99)]
+    monkeypatch.setattr(P, "STEP", 7)
+    monkeypatch.setattr(P, "SIDE", 16)
+    reps = 50
+    units, w = np.array([*range(7), 99]), P.weights_of(np.array([*range(7), 99]), np.arange(reps), 3)
+    at = {u: i for i, u in enumerate(units.tolist())}
+    want = {}
+    for rep in range(reps):
+        for c in (0, 1):
+            npos = sum(w[at[u], rep] for k, u in boxes if k == c)
+            if not npos:
+                continue
+            some = sorted((r for r in rows if r[1] == c and w[at[r[5]], rep]), key=lambda r: (-r[3], r[0], r[2]))
+            weight = np.array([w[at[r[5]], rep] for r in some])
+            hit = np.cumsum(weight * [r[4] for r in some])
+            recall, precision = hit / npos, hit / np.cumsum(weight)
+            want[rep, c] = np.mean([max(precision[recall >= k / 100.0], default=0) for k in range(101)])
+    got = {(r.rep, r.cls): r.ap for r in P.bootstrap_ap(tp, spark.createDataFrame(boxes, "cls int, unit long"), reps, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    drawn = P.bootstrap_weights(tp, reps, 3).collect()
+    assert {(r.rep, r.unit): r.w for r in drawn} == {(rep, u): w[at[u], rep] for rep in range(reps) for u in range(7) if w[at[u], rep]}
+    none = tp.where("false")
+    assert P.bootstrap_ap(none, spark.createDataFrame([], "cls int, unit long"), reps).collect() == []
+    assert {r.ap for r in P.bootstrap_ap(none, spark.createDataFrame(boxes, "cls int, unit long"), reps).select(F.col("ap")).collect()} == {0.0}
+
+
+def test_weights_are_poisson_numbers():
+    import numpy as np
+
+    from sieveline.operators import bootstrap as P
+
+    w = P.weights_of(np.arange(3000), np.arange(300))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.01
+    # Replicates, and units, are as good as independent.
+    for m in (w, w.T[:, :300]):
+        c = np.corrcoef(m.T[:60])
+        assert np.abs(c[~np.eye(60, dtype=bool)]).max() < 6 / np.sqrt(len(m))
+    assert (P.weights_of(np.arange(50), np.arange(50), 1) != w[:50, :50]).any()
+
+
+def test_order(spark):
+    from sieveline.operators import order as O
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.randrange(4)) for i in rnd.sample(range(10**6), 300)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(5)
+    got = {r.id: r.rank for r in O.ranked(df, "v", "id").collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    after = dict(zip((ids := sorted(i for i, _ in rows)), ids[1:]))
+    v = dict(rows)
+    assert {r.id: r.next_v for r in O.with_next(df, "id", "v").collect()} == {i: v.get(after.get(i)) for i in ids}
+    assert O.ranked(df.limit(0), "id").collect() == [] and O.with_next(df.limit(0), "id", "v").collect() == []
+
+
+def test_best_halves_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import splits as S
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.randrange(3), rnd.randrange(1, 6), rnd.randrange(9)) for i in range(23)]
+    df = spark.createDataFrame(rows, "id long, res long, twins long, boxes long")
+    tries = 40
+    keys = {(r.draw, r.id): r.k for r in spark.range(tries).select(F.col("id").cast("int").alias("draw")).crossJoin(df).select("draw", "id", S.half_key(F.col("draw"), 4).alias("k")).collect()}
+    best = None
+    for draw in range(tries):
+        side, turn = {}, 0
+        for res in range(3):
+            own = sorted((r for r in rows if r[1] == res), key=lambda r: (keys[draw, r[0]], r[0]))
+            n = len(own) // 2 + (len(own) % 2) * ((draw + turn) % 2)
+            turn += len(own) % 2
+            side |= {r[0]: 1 if k < n else -1 for k, r in enumerate(own)}
+        cost = 10 * abs(sum(side[r[0]] * r[2] for r in rows)) + abs(sum(side[r[0]] * r[3] for r in rows)) + 5 * abs(sum(side.values()))
+        if best is None or cost < best[0]:
+            best = cost, side
+    assert {r.id: r.half for r in S.best_halves(df, tries, 4).collect()} == {i: "A" if s > 0 else "B" for i, s in best[1].items()}
+    assert S.best_halves(df.limit(0), tries).collect() == []
+
+
+def test_deal_finds_the_cheapest_place():
+    import numpy as np
+
+    from sieveline.operators.splits import _Deal
+
+    rng = np.random.default_rng(2)
+    f, n = rng.integers(1, 9, (12, 3)).astype(float), rng.integers(1, 30, 12)
+    unit, target = rng.random(3), np.array([0.7, 0.15, 0.15])[:, None] * (n @ f)
+    state, slow = _Deal(f, unit, target), -target.copy()
+    for kind in range(12):
+        state.place(kind, int(n[kind]))
+        for _ in range(n[kind]):  # one group after the other
+            slow[np.argmin(((slow + f[kind]) ** 2 * unit).sum(axis=1) - (slow**2 * unit).sum(axis=1))] += f[kind]
+        assert np.isclose((unit * slow**2).sum(), state.cost()) and (state.n[kind].sum(), (state.n[kind] < 0).sum()) == (n[kind], 0)
+    before = state.cost()
+    assert sum(state.improve(k) for k in range(12)) >= 0 and state.cost() <= before and (state.n.sum(axis=1) == n).all()
