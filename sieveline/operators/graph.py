@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.storage import cut
+from sieveline.storage import cut, drop
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = cut(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        before, links = links, cut(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        if seen is not None:  # the first round reads the edges' own table, which is needed at the end
+            drop(before)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == seen:
             break

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
+_local: dict[str, str] = {}  # folders of local applications
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = next((d for d in _made if d.startswith("file:")), None) or "file://" + tempfile.mkdtemp(prefix="sieveline-")
-        _made.setdefault(base, spark)
-        return base
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="sieveline-")
+            _made[_local[app]] = spark
+        return _local[app]
     path = f"{base.rstrip('/')}/sieveline-{spark.sparkContext.applicationId}"
     _made.setdefault(path, spark)
     return path
@@ -50,15 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() returned and nothing reads any more."""
-    files = df.inputFiles()
-    if files:
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() returned, or of what was made of such tables alone, once nothing
+    reads them any more."""
+    for df in tables:
         spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        if not at.toString().split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
-            raise ValueError(f"{at} isn't a table of this application")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        own = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not folder.split(":", 1)[-1].lstrip("/").startswith(own):
+                raise ValueError(f"{folder} isn't a table of this application")
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free(spark: SparkSession) -> None:
