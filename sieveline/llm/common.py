@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,39 +33,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9FB21C651E98DF25
-_ODD_INVERSE = pow(_BASE, -1, 1 << 64)
-
-class Powers:
-    """Powers of the byte hash's base and of its inverse, as far as texts have needed them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_ODD_INVERSE, m, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Bytes up to which words are hashed together, eight bytes at a time; longer ones one by one.
+SHORT = 64
+#: The first n of eight bytes, for n of 0 to 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
+def word_hashes(raw: bytes, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word of a text; different seeds give hashes that don't depend on each other.
 
-def word_hashes(raw: bytes, powers: Powers) -> np.ndarray:
-    """A hash of each word of a text, from running sums of its bytes times powers of an odd base: the sum
-    over a word, shifted to the word's start by the inverse power, depends on the word alone."""
-    b = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    Words of one length up to eight bytes have different hashes. Eight bytes at a time are taken into
+    the hash, each time scrambled; words of over SHORT bytes are hashed by XXH64.
+    """
+    inside = np.concatenate([[False], ~_SPACE[np.frombuffer(raw, np.uint8)], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(b))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
-    return mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each byte on
+    out = mixed((size.astype(np.uint64) + np.uint64(seed << 40)) * np.uint64(0x9E3779B97F4A7C15))
+    out = mixed(out ^ (eight[start] & _FIRST[np.minimum(size, 8)]))
+    for at in range(8, SHORT, 8):
+        some = np.flatnonzero(size > at)
+        if not len(some):
+            break
+        out[some] = mixed(out[some] * np.uint64(0xD1342543DE82EF95) ^ eight[start[some] + at] & _FIRST[np.minimum(size[some] - at, 8)])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + size[i]], seed)
+    return out
 
 
 def map_rows(df: DataFrame, f: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = 512) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sieveline.llm.common import Powers, mixed, word_hashes
+from sieveline.llm.common import mixed, word_hashes
 from sieveline.storage import cut, drop
 
 #: Hashes that stand for the edges of a text; no word is known to have them.
@@ -41,9 +41,9 @@ LEAST_PAIR, PAIR_SHARE = 1, 0.25
 COMBINED = 4_000_000
 
 
-def tokens(text: str | None, powers: Powers) -> np.ndarray:
+def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's words in lower case (A-Z), then that of its end."""
-    return np.append(word_hashes((text or "").encode().lower(), powers), np.uint64(END))
+    return np.append(word_hashes((text or "").encode().lower()), np.uint64(END))
 
 
 def pairs(t: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
@@ -54,7 +54,7 @@ def pairs(t: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, ones, twos, n = Powers(), [], [], 0
+    ones, twos, n = [], [], 0
 
     def flush():
         for pair, some in ((False, ones), (True, twos)):
@@ -65,7 +65,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             for text in batch.column(0).slice(at, 256).to_pylist():
-                t = tokens(text, powers)
+                t = tokens(text)
                 ones.append(t)
                 twos.append(pairs(t))
                 n += len(t)
@@ -87,6 +87,7 @@ class Model:
 
     tokens: int
     words: int
+    mass: float  # of all words' own counts: the sum of least counts with one added, and one for all others
     first: tuple[int, int]  # least level held for words and for pairs
     blocks: int  # of the filter
     filter: DataFrame  # block, bits of all blocks that have any
@@ -173,17 +174,15 @@ def train(docs: DataFrame, filter_bytes: int | None = None, table_words: int = T
     often = ones.where(F.col("level") >= lowest).select("gram", "n").toArrow()
     gram, n = (often.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(gram.view(np.uint64))
-    return Model(total, words, tuple(first), blocks, made, (gram.view(np.uint64)[order], n[order]), ones.where(F.col("level") < lowest).select("gram", "n"))
+    # Words that the broadcast table holds count exactly, those that only the filter holds by its levels.
+    own = lambda r: r["n"] if r["level"] >= lowest else r["grams"] * 2.0 ** r["level"] if r["level"] >= first[0] else 0
+    mass = float(sum(own(r) for r in rows if not r["pair"]) + words + 1)
+    return Model(total, words, mass, tuple(first), blocks, made, (gram.view(np.uint64)[order], n[order]), ones.where(F.col("level") < lowest).select("gram", "n"))
 
 
-def estimate(at: int) -> float:
-    """The count that a level stands for: 2^at up to 2^(at + 1) - 1."""
-    return 1.0 if at == 0 else 2.0 * np.log(2) * 2.0**at
-
-
-#: The counts that numbers of levels stand for: none, then the mean count of those of the last level
-#: held, if counts fall off with their square as words' do.
-ESTIMATES = np.array([0.0, *map(estimate, range(64))])
+#: By one more than the last level held, 0 for what isn't: the least and the largest count that it can stand for.
+LEAST = np.array([0.0, *(2.0**k for k in range(64))])
+MOST = np.array([0.0, *(2.0 ** (k + 1) - 1 for k in range(64))])
 
 
 def _levels(bits: np.ndarray, block: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
@@ -203,27 +202,43 @@ def _levels(bits: np.ndarray, block: np.ndarray, gram: np.ndarray, first: int) -
 
 
 def probe(bits: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
-    """Estimated counts, 0 for n-grams that level ``first`` doesn't hold."""
-    return ESTIMATES[_levels(bits, block_of(gram, len(bits) * 8 // BLOCK_BITS), gram, first)]
+    """One more than the last level held of each n-gram, 0 for those that level ``first`` doesn't hold."""
+    return _levels(bits, block_of(gram, len(bits) * 8 // BLOCK_BITS), gram, first)
 
 
 def log10_probabilities(model: Model, t: np.ndarray, starts: np.ndarray | int = 0, pair_share: float = PAIR_SHARE) -> np.ndarray:
     """log10 of each token's probability after the one before it; t: tokens of texts that begin at starts.
     Gathers the filter."""
-    one, two = probe(model.bits, t, model.first[0]), probe(model.bits, pairs(t, starts), model.first[1])
-    end = probe(model.bits, np.array([END], np.uint64), model.first[0])[0]
-    return _interpolated(model.tokens + model.words + 1, one, two, end, starts, pair_share)
-
-
-def _interpolated(norm: int, one: np.ndarray, two: np.ndarray, end: float, starts: np.ndarray | int, pair_share: float) -> np.ndarray:
-    """The pair's part of the first word's count and the word's own probability (with one added to its
-    count), interpolated. After a word that isn't known the own probability stands alone. one, two and
-    end: estimated counts of each token, of its pair with the one before, and of the end."""
-    # As often as a text ends one starts.
-    before = np.concatenate([np.zeros(1), one[:-1]])
+    known = lambda g: _counts_of(g, probe(model.bits, g, model.first[0]), *model.frequent)
+    two = LEAST[probe(model.bits, pairs(t, starts), model.first[1])]
+    return _interpolated(model.mass, *known(t), two, known(np.array([END], np.uint64))[1][0], starts, pair_share)
+
+
+def _counts_of(gram: np.ndarray, levels: np.ndarray, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest count of each word: its exact one, or what its level can stand for."""
+    least, most = LEAST[levels], MOST[levels]
+    if len(names):
+        at = np.minimum(np.searchsorted(names, gram), len(names) - 1)
+        hit = names[at] == gram
+        least[hit] = most[hit] = counts[at[hit]]
+    return least, most
+
+
+def _interpolated(mass: float, least: np.ndarray, most: np.ndarray, two: np.ndarray, end: float, starts: np.ndarray | int, pair_share: float) -> np.ndarray:
+    """log10 of the pair's part of the first word's count and the word's own probability, interpolated.
+
+    The own probability adds one to a word's least count, over the sum of these for all words (mass),
+    which counts one more for all words that aren't known: over the vocabulary it sums up to one. A
+    pair's least count is divided by the first word's largest count, so over all words that part sums
+    up to one at most, and to one where counts are exact and powers of two: the probabilities never
+    exceed one in sum. After a word that isn't known the own probability stands alone. two: least counts
+    of the pairs, at most the words' largest; end: largest count of the end, as often as a text ends one
+    starts.
+    """
+    before = np.concatenate([np.zeros(1), most[:-1]])
     before[starts] = end
-    two = np.minimum(two, np.minimum(before, np.maximum(one, 1)))
-    own = (one + 1) / norm
+    two = np.minimum(two, np.minimum(before, most))
+    own = (least + 1) / mass
     return np.log10(np.where(before > 0, pair_share * two / np.maximum(before, 1) + (1 - pair_share) * own, own))
 
 
@@ -240,8 +255,7 @@ def _asks(blocks: int, shards: int):
     """For a bucket's texts: per shard, the different words and the different pairs it is asked for, packed."""
 
     def run(part: pa.Table) -> pa.Table:
-        powers, rows = Powers(), []
-        each = [tokens(t, powers) for t in part.column("text").to_pylist()]
+        rows, each = [], [*map(tokens, part.column("text").to_pylist())]
         size = np.array([*map(len, each)], np.int64)
         t = np.concatenate(each)
         for pair, grams in ((False, t), (True, pairs(t, np.cumsum(size) - size))):
@@ -272,18 +286,18 @@ def _answers(blocks: int, shards: int, first: tuple[int, int]):
     return run
 
 
-def _estimates(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
-    """Estimated counts of a bucket's n different n-grams, ascending, from the answers (shard, levels)."""
+def _answered(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
+    """Levels of a bucket's n different n-grams, ascending, from the answers (shard, levels)."""
     got = np.frombuffer(b"".join(levels for _, levels in sorted(rows)), np.uint8)
     if len(got) != n:
         raise ValueError("the rows that are scored differ from those the filter was asked for")
-    return ESTIMATES[got]
+    return got
 
 
 def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of docs.
 
-    score is the model's log10 probability of the whole text with its end. base_score is that of
+    score is the model's log10 probability of the whole text with its end (see _interpolated()). base_score is that of
     single words with exact counts, one added to each: frequent words are looked up where the
     text is read, the others (known or not) are joined with the table of rare words, on a key of
     which by its making no text of the training rows has many. n_known counts the tokens that the
@@ -292,16 +306,16 @@ def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> Data
     bucket; every n-gram of every text is looked up in the shard of the filter that holds it.
     """
     spark = docs.sparkSession
-    shared, blocks, total = spark.sparkContext.broadcast(model.frequent), model.blocks, model.tokens + model.words + 1
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = min(blocks, max(least, -(-blocks // SHARD_BLOCKS)))
+    shared, blocks, mass = spark.sparkContext.broadcast(model.frequent), model.blocks, model.mass
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(blocks, max(parts, -(-blocks // SHARD_BLOCKS)))
     schema = "doc_id long, key long, gram long, times long, doc boolean, n_tokens long, n_known long, base double, score double"
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def scored(part: pa.Table, answers: pa.Table) -> pa.Table:
-        powers, (names, counts) = Powers(), shared.value
+        names, counts = shared.value
         ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-        each = [tokens(t, powers) for t in texts]
+        each = [*map(tokens, texts)]
         size = np.array([*map(len, each)], np.int64)
         t, starts = np.concatenate(each), np.cumsum(size) - size
         uniq, where = np.unique(t, return_inverse=True)
@@ -309,12 +323,13 @@ def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> Data
         came = [[], []]
         for s, pair, levels in zip(*(answers.column(c).to_pylist() for c in ("shard", "pair", "levels"))):
             came[pair].append((s, levels))
-        est, two = _estimates(len(uniq), came[0]), _estimates(len(uniq2), came[1])[where2]
+        least, most = _counts_of(uniq, _answered(len(uniq), came[0]), names, counts)
+        two = LEAST[_answered(len(uniq2), came[1])][where2]
         at = np.minimum(np.searchsorted(names, uniq), max(0, len(names) - 1))
         hit = names[at] == uniq if len(names) else np.zeros(len(uniq), bool)
         logs = np.zeros(len(uniq))
         logs[hit] = np.log10(counts[at[hit]] + 1.0) if hit.any() else 0.0
-        logp = _interpolated(total, est[where], two, est[np.searchsorted(uniq, np.uint64(END))], starts, pair_share)
+        logp = _interpolated(mass, least[where], most[where], two, most[np.searchsorted(uniq, np.uint64(END))], starts, pair_share)
         # Per text, each of its other words with the number of times.
         doc = np.repeat(np.arange(len(texts)), size)
         rest = np.flatnonzero(~hit[where])
@@ -330,7 +345,7 @@ def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> Data
         ], schema=target)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(least, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    buckets = max(parts, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition(buckets, "bucket")
     asked = texts.groupBy("bucket").applyInArrow(_asks(blocks, shards), "bucket long, shard long, pair boolean, grams binary")
     own = model.filter.withColumn("shard", F.expr(f"block * {shards} div {blocks}"))

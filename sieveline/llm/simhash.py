@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Powers, map_rows, mixed, text_check, word_hashes
+from sieveline.llm.common import map_rows, mixed, text_check, word_hashes
 from sieveline.operators.graph import connected_components
 from sieveline.storage import cut
 
@@ -238,9 +238,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int = TILE_ROWS)
     return met.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_linker(max_bits), "src long, dst long")
 
 
-def shingle_set(text: str | None, powers: Powers, shingle: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Ascending hashes of a text's different runs of ``shingle`` words (of all words, if there are fewer)."""
-    words = word_hashes((text or "").encode().lower(), powers)
+    words = word_hashes((text or "").encode().lower())
     if not len(words):
         return words
     n = min(shingle, len(words))
@@ -273,10 +273,8 @@ def overlap_links(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """
 
     def start():
-        powers = Powers()
-
         def run(cols):
-            sets = [shingle_set(t, powers) for t in cols[0]]
+            sets = [*map(shingle_set, cols[0])]
             raw = [g.tobytes() for g in sets]
             return [pa.array(np.array([*map(fingerprint, cols[0])], np.uint64).view(np.int64)), [xxhash.xxh64_intdigest(r, 9) - (1 << 63) for r in raw], raw, [_bands(g) if len(g) else [] for g in sets]]
 

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from sieveline.llm import lm
-from sieveline.llm.common import Powers, fold
+from sieveline.llm.common import fold, word_hashes
 from sieveline.llm.queries import QUERIES
 
 
@@ -48,16 +49,17 @@ def test_filter_never_counts_too_low(spark):
     rnd = random.Random(4)
     texts = [draw(rnd, 80) for _ in range(150)]
     m = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), least_pair=1)
-    kept, ones, twos = Powers(), Counter(), Counter()
+    ones, twos = Counter(), Counter()
     for t in texts:
-        h = lm.tokens(t, kept)
+        h = lm.tokens(t)
         ones.update(h.tolist())
         twos.update(lm.pairs(h).tolist())
     for counts, first in ((ones, m.first[0]), (twos, m.first[1])):
         g = np.array([*counts], np.uint64)
         est = lm.probe(m.bits, g, first)
-        low = np.array([lm.estimate(c.bit_length() - 1) for c in counts.values()])
-        assert (est >= low).all() and (est == low).mean() > 0.9
+        level = np.array([c.bit_length() for c in counts.values()])
+        assert (est >= level).all() and (est == level).mean() > 0.9
+        assert all(lm.LEAST[x] <= c <= lm.MOST[x] for x, c in zip(level, counts.values()))
     other = np.array([rnd.getrandbits(64) for _ in range(20000)], np.uint64)
     assert (lm.probe(m.bits, other, 0) > 0).mean() < 0.05
 
@@ -67,7 +69,7 @@ def test_filter_is_bounded(spark):
     docs = spark.createDataFrame([(draw(rnd, 80),) for _ in range(150)], "text string")
     m = lm.train(docs, filter_bytes=1 << 12)
     assert len(m.bits) <= 1 << 12 and max(m.first) > 0
-    t = lm.tokens("a b c", Powers())
+    t = lm.tokens("a b c")
     assert np.isfinite(lm.log10_probabilities(m, t)).all()
 
 
@@ -77,8 +79,7 @@ def test_every_word_and_pair_is_held_and_scored(spark):
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     m = lm.train(docs, least_pair=1)
     assert m.first == (0, 0) and m.blocks > 1
-    kept = Powers()
-    each = [lm.tokens(t, kept) for t in texts]
+    each = [lm.tokens(t) for t in texts]
     for t in each:
         assert (lm.probe(m.bits, t, 0) > 0).all() and (lm.probe(m.bits, lm.pairs(t), 0) > 0).all()
     # The joined shards answer as the gathered filter does.
@@ -94,19 +95,93 @@ def test_every_word_and_pair_is_held_and_scored(spark):
 
 def test_pairs_seen_once_are_held(spark):
     m = lm.train(spark.createDataFrame([("some words follow each other once",)], "text string"))
-    t = lm.tokens("some words follow each other once", Powers())
+    t = lm.tokens("some words follow each other once")
     assert (lm.probe(m.bits, lm.pairs(t), m.first[1]) > 0).all()
 
 
-def test_probabilities_sum_to_one_within_the_quantised_counts(spark):
-    docs = spark.createDataFrame([("a b a b a c",)] * 64, "text string")
-    m = lm.train(docs)
-    h = {w: lm.tokens(w, Powers())[0] for w in "abc"} | {"end": np.uint64(lm.END)}
-    after = lambda x, share: 10 ** lm.log10_probabilities(m, np.array([h["a"], x], np.uint64), pair_share=share)[1]
-    p, own = ([after(x, share) for x in h.values()] for share in (lm.PAIR_SHARE, 0.0))
-    assert 0.6 < sum(p) < 1.6 and p[1] > p[2]
-    # Pairs that were seen gain over the word by itself, those that weren't lose just their share.
-    assert p[1] > own[1] and p[2] > own[2] and abs(p[0] - (1 - lm.PAIR_SHARE) * own[0]) < 1e-12
+def brute_model(train, table_words=10**9, share=lm.PAIR_SHARE):
+    """log10 probability of a text under counts of which pairs are rounded down to powers of two, in plain Python."""
+    ones, twos = Counter(w for t in train for w in words(t)), Counter()
+    for t in train:
+        w = ["<s>", *words(t)]
+        twos.update(zip(w, w[1:]))
+    lowest = next(k for k in range(64) if sum(c >= 2**k for c in ones.values()) <= table_words)
+    exact = lambda c: c.bit_length() - 1 >= lowest
+    least = {w: c if exact(c) else 2 ** (c.bit_length() - 1) for w, c in ones.items()}
+    most = {w: c if exact(c) else 2 ** c.bit_length() - 1 for w, c in ones.items()}
+    mass = sum(least.values()) + len(ones) + 1
+
+    def p(before, w):
+        own, ctx = (least.get(w, 0) + 1) / mass, most.get("\n" if before == "<s>" else before, 0)
+        two = twos[before, w] and 2 ** (twos[before, w].bit_length() - 1)
+        return share * min(two, ctx, most.get(w, 0)) / ctx + (1 - share) * own if ctx else own
+
+    return p, [*ones]
+
+
+@pytest.fixture
+def faultless(monkeypatch):
+    """A filter so sparse that it gives no n-gram that it doesn't hold."""
+    monkeypatch.setattr(lm, "ENTRY_BITS", 256)
+
+
+def test_score_against_brute_force(spark, faultless):
+    rnd = random.Random(11)
+    texts = [draw(rnd, rnd.randrange(1, 60)) for _ in range(120)] + ["a b c " * 40, "", None]
+    rows = [*enumerate(texts)] + [(500, "never 99999 seen a b"), (501, None), (502, "a never b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for table_words in (1 << 20, 15, 0):
+        m = lm.train(docs.where("doc_id < 100"), table_words=table_words)
+        p, _ = brute_model(texts[:100], table_words)
+        want = {i: sum(math.log10(p(a, b)) for a, b in zip(["<s>", *words(t)], words(t))) for i, t in rows}
+        got = {r.doc_id: r.score for r in lm.score(docs, m).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
+def sums(m, vocabulary, contexts):
+    """For each word before: the sum of the probabilities of all known words, the end and all others as one."""
+    h = {w: np.uint64(lm.END) if w == "\n" else lm.tokens(w)[0] for w in vocabulary}
+    h["unseen"] = lm.tokens("unseen-99999")[0]
+    out = {}
+    for c in contexts:
+        before = lm.tokens(c)[0]
+        out[c] = sum(10 ** lm.log10_probabilities(m, np.array([before, x], np.uint64))[1] for x in h.values())
+    return out
+
+
+def test_probabilities_sum_to_one(spark, faultless):
+    # Each pair was seen once, twice or four times: nothing is rounded.
+    texts = ["a b c d", "a c b d", "e f e f", "b a g", "g a h"] * 4
+    m = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    _, known = brute_model(texts)
+    got = sums(m, known, [w for w in known if w != "\n"] + ["unknown"])
+    assert all(abs(s - 1) < 1e-6 for s in got.values()), got
+
+
+def test_probabilities_never_exceed_one_in_sum(spark, faultless):
+    rnd = random.Random(12)
+    texts = [draw(rnd, 50) for _ in range(60)]
+    for table_words in (1 << 20, 5):
+        m = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), table_words=table_words)
+        _, known = brute_model(texts)
+        got = sums(m, known, rnd.sample([w for w in known if w != "\n"], 25))
+        assert all(0.7 < s < 1 + 1e-6 for s in got.values()), got
+
+
+def test_hashes_tell_words_apart(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba")))]
+    m = lm.train(spark.createDataFrame(rows[:1], "doc_id long, text string"))
+    assert {r.doc_id: r.n_known for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()} == {1: 2, 2: 1}
+    rnd = random.Random(2)
+    some = {bytes(rnd.choice(b"ab\x00\xff") for _ in range(n)) for n in range(1, 80) for _ in range(300)}
+    raw = b" ".join(some)
+    for seed in (0, 1):
+        assert len(set(word_hashes(raw, seed).tolist())) == len(some)
+    assert [int(word_hashes(w)[0]) for w in some] == word_hashes(raw).tolist()
+    assert not (word_hashes(raw) == word_hashes(raw, 1)).any() and len(word_hashes(b"")) == len(word_hashes(b" \n")) == 0
 
 
 def test_query(spark, sf):

@@ -9,7 +9,8 @@ from sieveline.llm import substring
 
 def brute(rows, span=20):
     seen, out = set(), []
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, sha(rows[k][1])))
     done = {}
     for k in order:
         i, text = rows[k]
@@ -33,10 +34,77 @@ def run(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.factors(df).collect()), key=str)
 
 
-def test_spans():
-    assert substring.spans(np.array([5, 6, 7]), 20) == [(5, 22)]
-    assert substring.spans(np.array([0, 20, 41]), 20) == [(0, 40), (41, 20)]
-    assert substring.spans(np.array([], int), 20) == []
+def test_parse():
+    p = lambda at, source, offset: substring.parse(np.array(at), np.array(source), np.array(offset), 20)
+    assert p([7, 5, 6], [1, 1, 1], [9, 7, 8]) == [(5, 22, 1, 7)]
+    # A window that crosses a factor's end begins the next one; windows of another source within it don't.
+    assert p([0, 1, 2, 15, 40], [1, 1, 2, 3, 3], [0, 1, 9, 4, 4]) == [(0, 21, 1, 0), (2, 20, 2, 9), (15, 20, 3, 4), (40, 20, 3, 4)]
+    assert p([0, 1, 2, 3], [1, 1, 2, 1], [0, 1, 9, 3]) == [(0, 21, 1, 0), (2, 20, 2, 9), (3, 20, 1, 3)]
+    assert p([], [], []) == []
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    for n in (16, 1024, 4096):
+        a, b = thue_morse(n)
+        rows = [(1, " ".join([*map(str, range(19)), a])), (2, " ".join([*map(str, range(19)), b])), (3, " ".join([*map(str, range(19)), a]))]
+        assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    # The same for windows of words.
+    a, b = (" ".join(x) for x in thue_morse(64))
+    rows = [(1, a + " " + "y " * 9), (2, "z " * 5 + b), (3, a)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_factors_are_checked_by_their_words(spark, monkeypatch):
+    """With hashes that at first tell no words apart all windows meet; the check finds them and other hashes follow."""
+    whole, seeds = substring.word_hashes, set()
+    monkeypatch.setattr(substring, "map_rows", lambda df, f, schema, rows=512: inline(spark, df, f, schema))
+
+    def weak(raw, seed=0):
+        seeds.add(seed)
+        h = whole(raw, seed)
+        return h * np.uint64(0) if seed < 2 else h
+
+    monkeypatch.setattr(substring, "word_hashes", weak)
+    rnd = random.Random(3)
+    rows = [(i, " ".join(str(rnd.randrange(40)) for _ in range(60))) for i in range(30)]
+    rows += [(40, rows[3][1] + " end")]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert 2 in seeds
+
+
+def inline(spark, df, f, schema):
+    import pyarrow as pa
+
+    got = [tuple(x) for x in df.collect()]
+    out = f()([list(c) for c in zip(*got)]) if got else []
+    cols = [c.to_pylist() if isinstance(c, pa.Array) else c for c in out]
+    return spark.createDataFrame([*zip(*cols)], schema)
+
+
+def test_factors_name_an_earlier_place(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 80")
+    words = {r.doc_id: (r.text or "").encode().split() for r in docs.collect()}
+    n = 0
+    for r in substring.factors(docs).collect():
+        for f in r.factors:
+            n += 1
+            assert (f.source, f.offset) < (r.doc_id, f.start) and f.length >= 20
+            assert words[f.source][f.offset : f.offset + f.length] == words[r.doc_id][f.start : f.start + f.length]
+    assert n > 10
+
+
+def test_many_rows_without_an_own_id(spark):
+    """Rows of no id and of one id, each with a start that all share, and rows that repeat others."""
+    start = " ".join(map(str, range(30)))
+    rows = [(None if i % 2 else 7, f"{start} {i} " + f"w{i} " * 20) for i in range(10_000)] + [(7, f"{start} 0 " + "w0 " * 20)] * 500
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
 def test_against_brute_force(spark):
@@ -59,12 +127,8 @@ def test_against_brute_force(spark):
 
 def test_repeated_rows_and_null_ids(spark):
     t = " ".join(map(str, range(50)))
-    rows = [(1, t), (1, t), (None, t), (None, t + " a"), (3, "q " * 19)]
-    assert run(spark.createDataFrame(rows[:2] + rows[4:], "doc_id long, text string")) == brute(rows[:2] + rows[4:])
-    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert [g[:3] for g in got if g[0] is None] == [(None, 50, 50), (None, 51, 50)] or [g[1:3] for g in got if g[0] is None] == [(50, 50), (51, 51)]
-    two = spark.createDataFrame([(1, t + " b"), (1, t + " c")], "doc_id long, text string")
-    assert sorted(g[2] for g in run(two)) == [0, 50]
+    for rows in ([(1, t), (1, t), (3, "q " * 19)], [(1, t), (None, t), (None, t + " a"), (None, None), (None, "")], [(1, t + " b"), (1, t + " c"), (None, t)]):
+        assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_documents(spark, sf):
