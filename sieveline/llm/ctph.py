@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import map_rows
@@ -21,6 +22,7 @@ WINDOW, CHUNKS, SMALLEST = 7, 64, 3
 #: The 64 letters of a signature.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
+_LAST = (1 << 63) - 1
 _TABLE = np.frombuffer(LETTERS.encode(), np.uint8)
 
 
@@ -120,14 +122,32 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """How many bounds (ascending) are at most value, looked up in two steps of about sqrt(n)."""
-    step = max(1, int(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    below = lambda a: F.size(F.filter(a, lambda b: b <= value))
-    coarse = below(F.array(*(F.lit(p[0]).cast("long") for p in parts)))
-    fine = F.get(F.array(*(F.array(*(F.lit(b).cast("long") for b in p)) for p in parts)), coarse - 1)
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(fine))
+def _ranges(keys: np.ndarray, checks: np.ndarray):
+    """A column function: how many of the bounds (key, check), ascending, are at most a row's key and check."""
+
+    def find(key: pd.Series, check: pd.Series) -> pd.Series:
+        k, c = key.to_numpy(np.int64), check.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, k, side="left"), np.searchsorted(keys, k, side="right")
+        out = low.copy()
+        for at in np.unique(low[high > low]):  # keys that are bounds themselves
+            some = np.flatnonzero((low == at) & (high > low))
+            out[some] += np.searchsorted(checks[at : high[some[0]]], c[some], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    return F.pandas_udf(find, "int")
+
+
+def _bounds(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """About n bounds (key, check) at the quantiles of the keys. A key with more rows than a range has is cut
+    further, at even steps of the check, which is a hash."""
+    cuts = {min(int(c), _LAST) for c in rows.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)}
+    out = {(k, -(1 << 63)) for k in cuts}
+    total = rows.count()
+    for r in rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(2, 2 * total // n)).collect():  # n / 2 at most
+        parts = -(-r["n"] * n // total)
+        out |= {(r["key"], (i << 64) // parts - (1 << 63)) for i in range(parts)}
+    keys, checks = zip(*sorted(out)) if out else ((), ())
+    return np.array(keys, np.int64), np.array(checks, np.int64)
 
 
 def edit_likeness(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -136,33 +156,33 @@ def edit_likeness(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
     The edited text has its last quarter of code points replaced by the beginning of the next
     document (after the last comes the first). Null texts count as empty. Rows with equal ids
-    follow each other by their texts; null ids come last; a single row is its own next. An empty
-    table gives an empty result.
+    follow each other by XXH64 of their texts, then by the texts; null ids come last; a single row is its
+    own next. An empty table gives an empty result.
 
-    The ids are cut into ranges at their quantiles; a task walks through ranges in order. The
-    row that begins a range also goes to the range before, which ends with it. So texts are
-    shuffled once, and no task holds more than two of them. Rows of one id stay in one range.
+    Rows are cut into ranges of that order; a task walks through ranges in order. The row that begins
+    a range also goes to the range before, which ends with it. So texts are shuffled once, and no task
+    holds more than two of them. Rows of one id, or of none, are cut into ranges like others; only
+    rows that repeat id and text stay together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Null ids order as one more id after the greatest long.
-    rows = rows.withColumn("none", F.col("doc_id").isNull()).withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    # Null ids order as one more id after the greatest long; that id itself shares their key but not their checks.
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LAST))).withColumn("check", F.when(F.col("doc_id") == _LAST, F.lit(-(1 << 63))).otherwise(F.xxhash64("text")))
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 8 * partitions
-    cuts = rows.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)
-    bounds = sorted({min(int(c), (1 << 63) - 1) for c in cuts})
-    bucket = _bucket(F.col("key"), bounds) if bounds else F.lit(0)
-    heads = rows.groupBy(bucket.alias("bucket")).agg(F.min("key").alias("head")).orderBy("bucket").collect()
+    place = rows.select("key", "check")
+    found = _ranges(*_bounds(place, 8 * partitions))
+    heads = place.groupBy(found("key", "check").alias("range")).agg(F.min(F.struct("key", "check")).alias("h")).select("h.*").collect()
     if not heads:
         return spark.createDataFrame([], _SCHEMA)
-    # Of a bucket without rows there is no head; the bounds become the heads, one for each range.
-    head = [r["head"] for r in heads]
-    rows = rows.withColumn("bucket", (_bucket(F.col("key"), head) - 1).cast("int"))
-    least = rows.where(F.col("key") == F.get(F.array(*(F.lit(h).cast("long") for h in head)), F.col("bucket")))
-    first = least.groupBy("key").agg(F.min(F.struct("none", "text")).alias("t"))
-    tails = first.select(F.lit(None).cast("long").alias("doc_id"), F.col("t.text").alias("text"), F.col("t.none").alias("none"), "key", F.pmod(_bucket(F.col("key"), head) - 2, F.lit(len(head))).cast("int").alias("bucket"), F.lit(True).alias("tail"))
+    # Of a range without rows there is no head: the heads become the bounds, one for each range.
+    heads = sorted((r["key"], r["check"]) for r in heads)
+    found = _ranges(*(np.array(x, np.int64) for x in zip(*heads)))
+    rows = rows.withColumn("range", (found("key", "check") - 1).cast("int"))
+    head = F.broadcast(spark.createDataFrame([(*h, (i - 1) % len(heads)) for i, h in enumerate(heads)], "k long, c long, before int"))  # a row for each range
+    first = rows.join(head, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c"))).groupBy("key", "check", "before").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "text")).alias("t"))
+    tails = first.select(F.lit(None).cast("long").alias("doc_id"), F.col("t.text").alias("text"), "key", "check", F.col("before").alias("range"), F.lit(True).alias("tail"))
     met = rows.withColumn("tail", F.lit(False)).unionByName(tails)
-    met = met.repartition(partitions, "bucket").sortWithinPartitions("bucket", "tail", "key", "none", "text")
+    met = met.repartition(partitions, "range").sortWithinPartitions("range", "tail", "key", F.asc_nulls_last("doc_id"), "check", "text")
 
     def start():
         last: list = [None]

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import map_rows
 
 UNIT = 192  # bytes of an MCU: three blocks of 64
+#: Lanes below which they are decoded one after the other instead of side by side.
+FEW_LANES = 24
 #: The order in which a block's coefficients are coded, by row * 8 + column.
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
@@ -111,8 +113,8 @@ def _segment(marker: int, body: bytes) -> bytes:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A baseline JPEG for each payload; payloads are positive multiples of UNIT bytes long.
 
-    An image is one MCU wide up to 8,191 MCUs, then as wide as it must be; MCUs that fill the
-    last row are empty blocks. The number of payload bytes stands in a comment segment.
+    An image is about square: as many MCUs wide as the square root of their number, and at most 8,191
+    high; MCUs that fill the last row are empty blocks. The number of payload bytes stands in a comment segment.
     """
     filled, wide = [], []
     for p in payloads:
@@ -248,6 +250,41 @@ def _decode_lanes(data: np.ndarray, start: np.ndarray, blocks: np.ndarray, kinds
     return out
 
 
+def _decode_lane(data: bytes, pos: int, blocks: int, kinds: list[int], luts: list[list[int]]) -> np.ndarray:
+    """As _decode_lanes() for one lane, symbol by symbol: for images of few restart intervals."""
+    out = np.zeros((blocks, 64), np.int16)
+    data, before, per, mask = data + b"\xff" * 16, [0] * (max(kinds) + 1), len(kinds), (1 << 64) - 1
+    end = 8 * (len(data) - 8)
+    for b in range(blocks):
+        k, kind, block = 0, kinds[b % per], out[b]
+        dc, ac = luts[2 * (b % per)], luts[2 * (b % per) + 1]
+        while k < 64:
+            if pos > end:
+                raise ValueError("a scan ends before its blocks do")
+            word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 8]) << (pos & 7) & mask
+            found = (ac if k else dc)[word >> 48]
+            n, symbol = found >> 8, found & 255
+            if not n:
+                raise ValueError("a scan holds bits that are no code")
+            size = symbol & 15
+            v = (word << n & mask) >> (64 - size) if size else 0
+            if size and v < 1 << size >> 1:
+                v -= (1 << size) - 1
+            pos += n + size
+            if not k:
+                before[kind] += v
+                block[0] = (before[kind] + 32768) % 65536 - 32768
+                k = 1
+            elif not symbol:
+                break
+            else:
+                k += symbol >> 4
+                if size and k < 64:
+                    block[k] = v
+                k += 1
+    return out
+
+
 def decode(raws: list[bytes]) -> list[Image]:
     """Parse and decode baseline JPEGs together."""
     images = [Image(r) for r in raws]
@@ -276,7 +313,13 @@ def decode(raws: list[bytes]) -> list[Image]:
         if len(lanes) != len(starts):
             raise ValueError("restart markers don't fit the image's size")
         blocks = np.array(lanes, np.int64) * len(kinds)
-        coefs = _decode_lanes(data[keep], starts, blocks, list(kinds), luts)
+        if blocks.sum() > 4 * len(data):  # a block takes two bits at least
+            raise ValueError("an image is larger than its scan can hold")
+        if len(lanes) < FEW_LANES:
+            tables, own = [t.tolist() for t in luts], data[keep].tobytes()
+            coefs = np.concatenate([_decode_lane(own, int(a), int(n), list(kinds), tables) for a, n in zip(starts, blocks)])
+        else:
+            coefs = _decode_lanes(data[keep], starts, blocks, list(kinds), luts)
         at = 0
         for im, order, across, down, _, _ in scans:
             part = coefs[at : at + across * down * len(order)].reshape(down, across, len(order), 64)
@@ -342,22 +385,48 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(kept, start, "doc_id long, n_bytes long, media binary")
 
 
+def _each(f, raws: list[bytes]) -> list:
+    """f(raw, image) of every value, or the exception that it raised: all are decoded together, and one by one
+    if any of them is damaged."""
+    try:
+        return [f(r, im) for r, im in zip(raws, decode(raws))] if raws else []
+    except _DAMAGED as e:
+        if len(raws) == 1:
+            return [e]
+        return [x for r in raws for x in _each(f, [r])]
+
+
+#: What damaged bytes raise: wrong values, positions beyond the end, tables and components that aren't there.
+_DAMAGED = (ValueError, IndexError, KeyError, AttributeError, ZeroDivisionError, OverflowError, struct.error)
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what is read back from the media column: payload digests, width, height
-    and the thumbnail's hash. A null media value gives nulls."""
+    """doc_id, n_bytes and what is read back from the media column: payload digests, width, height,
+    the thumbnail's hash and an error.
+
+    A null media value gives nulls. One that is no whole baseline JPEG gives its size and digest, nulls
+    for the rest, and what is wrong as error; others of its batch are read all the same. A JPEG that
+    stores no payload has nulls for the payload alone.
+    """
+
+    def one(raw: bytes, im: Image):
+        about = len(raw), hashlib.sha256(raw).hexdigest()
+        pixels = thumbnail(im)
+        p = payload(im) if im.comment.startswith(b"payload ") else None
+        stored = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) if p is not None else (None,) * 3
+        return *stored, *about, im.width, im.height, thumbnail_hash(pixels), None
 
     def start():
         def run(cols):
-            raws = [m or b"" for m in cols[2]]
-            out: list = [None] * len(raws)
-            for a, b in _parts([len(r) for r in raws]):
-                there = [i for i in range(a, b) if raws[i]]
-                for i, im in zip(there, decode([raws[i] for i in there]) if there else ()):
-                    p = payload(im)
-                    out[i] = len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(raws[i]), hashlib.sha256(raws[i]).hexdigest(), im.width, im.height, thumbnail_hash(thumbnail(im))
-            return [cols[0], cols[1], *([x and x[k] for x in out] for k in range(8))]
+            raws = cols[2]
+            out: list = [(None,) * 9] * len(raws)
+            for a, b in _parts([len(r or b"") for r in raws]):
+                there = [i for i in range(a, b) if raws[i] is not None]
+                for i, found in zip(there, _each(one, [raws[i] for i in there])):
+                    out[i] = found if not isinstance(found, Exception) else (None, None, None, len(raws[i]), hashlib.sha256(raws[i]).hexdigest(), None, None, None, f"{type(found).__name__}: {found}")
+            return [cols[0], cols[1], *([x[k] for x in out] for k in range(9))]
 
         return run
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumb_hash string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumb_hash string, error string"
     return map_rows(media.select("doc_id", "n_bytes", "media"), start, schema)

@@ -22,19 +22,26 @@ from sieveline.llm.common import map_rows
 #: row's fate depending on its own id and the language's count alone. With this many rows the
 #: tables hold a few hundred thousand entries, however large the corpus is.
 SAMPLE_ROWS = 4_000
+#: Characters of text a language of which the model learns, about; where rows are long, fewer are taken.
+SAMPLE_CHARS = 40_000_000
 #: Longest n-gram of the backoff; a word or n-gram counts as known from so many times on.
 ORDER, KNOWN = 4, 2
 #: Characters of a word that are looked at; a longer one is taken in pieces of so many.
 PIECE = 40
 
+#: What \w takes without being a letter: numbers of other categories than the decimal digits.
+_NUMBERS = {c: " " for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHED = 300_000
 UNKNOWN = "und"
 
 
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters, cut into pieces of PIECE characters."""
-    found = _LETTERS.findall(text.lower())
+    """Lower-case runs of letters (Unicode's categories L), cut into pieces of PIECE characters."""
+    low = text.lower()
+    if not low.isascii() and not _NUMBERS.keys().isdisjoint(low):
+        low = low.translate(str.maketrans(_NUMBERS))
+    found = _LETTERS.findall(low)
     if any(len(w) > PIECE for w in found):
         found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
     return found
@@ -120,17 +127,18 @@ class _Rows(dict):
         return at
 
 
-def learn(docs: DataFrame, fit: Column, sample_rows: int = SAMPLE_ROWS) -> dict[str, Counter]:
+def learn(docs: DataFrame, fit: Column, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict[str, Counter]:
     """Word counts by language of the rows with ``fit``, a text and a lang.
 
-    A language with more than sample_rows such rows gives a hashed share of about that many; the
-    counts come to the driver, bounded by the number of languages and sample_rows.
+    A language with more than sample_rows such rows, or sample_chars of text, gives a hashed share of
+    about that many; the counts come to the driver, bounded by the number of languages and these two. A
+    row's fate depends on its id and text, so rows without an id are sampled like others.
     """
-    rows = docs.where(fit & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("at"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(fit & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("at"))
+    n = {r["lang"]: min(1.0, sample_rows / r["n"], sample_chars / max(1, r["chars"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()}
     if not n:
         return {}
-    share = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(int(min(1.0, sample_rows / k) * (1 << 30)))) for lang, k in n.items()))
+    share = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(int(part * (1 << 30)))) for lang, part in n.items()))
     taken = rows.where(F.col("at") < share[F.col("lang")])
 
     def start():

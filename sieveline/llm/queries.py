@@ -44,7 +44,7 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     """Every document stored as a baseline JPEG and read back."""
     read = jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
-    return read.withColumn("feature", F.format_string("%dx%d:%s", "width", "height", "thumb_hash")).drop("width", "height", "thumb_hash")
+    return read.withColumn("feature", F.format_string("%dx%d:%s", "width", "height", "thumb_hash")).drop("width", "height", "thumb_hash", "error")
 
 
 @query("op9_secrets")

@@ -22,7 +22,8 @@ from sieveline.storage import cut
 
 @dataclass(frozen=True)
 class Rule:
-    """One kind of secret. A match of pattern counts if its group has min_length characters.
+    """One kind of secret. A match of pattern counts if its group has min_length characters. With until, a
+    finding goes on to the end of the first match of until after it, and without one there is none.
 
     hints: lower-case bytes; a text that has none of them can't match (empty: always look).
     """
@@ -34,6 +35,7 @@ class Rule:
     min_length: int = 1
     hints: tuple[bytes, ...] = ()
     base: bool = False
+    until: str = ""
 
     @property
     def key(self) -> str:
@@ -49,8 +51,8 @@ BASE = (
 )
 #: Further public formats that the ledger scans for.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", hints=(b"private key-----",)),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=(b"eyj",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 2, hints=(b"private key-----",), until=r"-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 2, hints=(b"eyj",)),
     Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}", hints=(b"gh",)),
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", hints=(b"xox",)),
     Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/@]+@", hints=(b"://",)),
@@ -64,12 +66,31 @@ def scan_text(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int
     for order, rule in enumerate(rules):
         if rule.hints and not any(h in low for h in rule.hints):
             continue
+        if rule.until:
+            found += [(a, order, rule.kind, b) for a, b in _enclosed(text, rule)]
+            continue
         for m in _compiled(rule.pattern).finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.min_length:
                 found.append((m.start(), order, rule.kind, m.end()))
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
+def _enclosed(text: str, rule: Rule) -> list[tuple[int, int]]:
+    """From a beginning to the first end after it, leftmost and apart; beginnings and ends are each found in
+    one pass, so that many beginnings without an end cost no more than the text is long."""
+    ends = [m.span() for m in _compiled(rule.until).finditer(text)]
+    out, k, free = [], 0, 0
+    for m in _compiled(rule.pattern).finditer(text):
+        if m.start() < free:
+            continue
+        while k < len(ends) and ends[k][0] < m.end():
+            k += 1
+        if k == len(ends):
+            break
+        out.append((m.start(), free := ends[k][1]))
+    return out
+
+
 def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern)  # the re module keeps compiled patterns
 

@@ -27,6 +27,8 @@ from sieveline.storage import cut
 MAX_BITS = 3
 #: Rows of a cell that are compared at a time; a fuller cell is cut into tiles of so many.
 TILE_ROWS = 2048
+#: Different fingerprints from which on the grid's segments have one bit instead of two.
+FINE_ROWS = 1 << 23
 
 #: MinHash bands and values in each.
 BANDS, BAND_ROWS = 24, 4
@@ -85,35 +87,39 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(unary(a) ^ unary(b))
 
 
-def _cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home) of the grid cells in which fingerprints take part.
+def _cells(fp: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home) of the grid cells in which fingerprints take part; width: bits of a segment, 1 or 2.
 
-    A cell is a half's number and its 16 counts. Each fingerprint is at home in one cell of each
+    A cell is a half's number and its 32 / width counts. Each fingerprint is at home in one cell of each
     half. Halves at distance one differ in their sums by one, so only those with an even sum
     also visit the cells next to theirs, and each near pair meets once for each near half.
     """
-    e, out = embedding(fp), []
+    e, out = embedding(fp) if width == 2 else fp, []
+    top = np.uint64((1 << width) - 1)
     for half in (0, 1):
         own = (e >> np.uint64(32 * half)) & _LOW
         name = np.uint64(half) << np.uint64(32)
         rows = np.arange(len(fp))
         out.append((rows, own | name, np.ones(len(fp), bool)))
-        sums = np.bitwise_count(own & np.uint64(0x55555555)) + 2 * np.bitwise_count(own & np.uint64(0xAAAAAAAA))
+        sums = np.bitwise_count(own) if width == 1 else np.bitwise_count(own & np.uint64(0x55555555)) + 2 * np.bitwise_count(own & np.uint64(0xAAAAAAAA))
         even = rows[sums % 2 == 0]
-        for s in range(16):
-            unit = np.uint64(1 << 2 * s)
-            count = (own[even] >> np.uint64(2 * s)) & np.uint64(3)
-            for some, cell in ((even[count < 2], own[even[count < 2]] + unit), (even[count > 0], own[even[count > 0]] - unit)):
+        for s in range(32 // width):
+            unit = np.uint64(1 << width * s)
+            count = (own[even] >> np.uint64(width * s)) & top
+            for some, cell in ((even[count < width], own[even[count < width]] + unit), (even[count > 0], own[even[count > 0]] - unit)):
                 out.append((some, cell | name, np.zeros(len(some), bool)))
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
-def _spread(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in part:
-        for at in range(0, batch.num_rows, 20_000):
-            fp = batch.column(0).slice(at, 20_000).to_numpy(zero_copy_only=False)
-            row, cell, home = _cells(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[row]), pa.array(home)], names=["cell", "fp", "home"])
+def _spread(width: int):
+    def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in part:
+            for at in range(0, batch.num_rows, 20_000):
+                fp = batch.column(0).slice(at, 20_000).to_numpy(zero_copy_only=False)
+                row, cell, home = _cells(fp.view(np.uint64), width)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[row]), pa.array(home)], names=["cell", "fp", "home"])
+
+    return run
 
 
 def _forest(links: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -218,17 +224,21 @@ def _and_last(batches):
     yield None
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int = TILE_ROWS, width: int | None = None) -> DataFrame:
     """(src, dst): links between different fingerprints within max_bits, enough of them to connect
     every two fingerprints that a chain of links connects. fps: one column fp, any repeats.
 
     Of a full cell the rows are cut into chunks by a hash, and each pair of chunks is a tile of
     its own, so a cell that very many near copies share is compared by many tasks, and none
-    gives more links than it has rows. Every pair within max_bits is looked at.
+    gives more links than it has rows. Every pair within max_bits is looked at. Segments have two bits,
+    and from FINE_ROWS fingerprints on one bit (width), which makes cells hold fewer that aren't near: some
+    2^24 cells of a half are in use at two bits, 2^32 at one. The links are the same.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the grid finds links of at most 3 bits")
-    spread = cut(fps.select("fp").where("fp is not null").distinct().mapInArrow(_spread, "cell long, fp long, home boolean"))
+    fps = cut(fps.select("fp").where("fp is not null").distinct())
+    width = width or (2 if fps.count() < FINE_ROWS else 1)
+    spread = cut(fps.mapInArrow(_spread(width), "cell long, fp long, home boolean"))
     full = spread.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("any and n > 1")
     full = cut(full.select(F.col("cell").alias("c"), F.ceil(F.col("n") / F.lit(tile_rows)).cast("int").alias("tiles")))
     met = spread.join(full, F.col("cell") == F.col("c"))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: these holds; ``remove`` ends what was valid before.
 ACTIONS = ("block", "allow", "remove")
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+#: A host, in brackets an IPv6 address, and an IPv4 address; addresses have no parent domains.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)"
+ADDRESS = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -26,15 +28,22 @@ def host_of(url: Column) -> Column:
 
 def keys_of(url: Column) -> Column:
     """What a list can hold for a URL: its host and the host's parent domains, and host with path
-    cut after each segment (``a.b/x``, ``a.b/x/y``). Query and fragment don't count."""
+    cut after each segment (``a.b/x``, ``a.b/x/y``). Query and fragment don't count. Hosts are in lower
+    case, paths as they are; an IP address has no parent domains."""
     host = host_of(url)
     labels, segments = F.split(host, r"\."), F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
     n, m = F.size(labels), F.size(segments)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.when(host.rlike(ADDRESS), 1).otherwise(n)), lambda i: F.array_join(F.slice(labels, i, n), "."))
     paths = F.transform(F.slice(F.sequence(F.lit(0), m), F.lit(2), m), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.when(m > 0, paths).otherwise(F.array().cast("array<string>")))))
 
 
+def folded(pattern: Column) -> Column:
+    """A list's pattern with its host in lower case; a path tells cases apart, as URLs do."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substr(pattern, F.length(host) + 1))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, since, until) of entries (pattern, at, action), ``remove`` left out.
 
@@ -42,7 +51,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     action, or another action than ACTIONS, are ignored; repeated ones count once.
     """
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    log = entries.select(F.lower("pattern").alias("pattern"), "at", rank.alias("rank")).where("pattern is not null and at is not null and rank > 0")
+    log = entries.select(folded(F.col("pattern")).alias("pattern"), "at", rank.alias("rank")).where("pattern is not null and at is not null and rank > 0")
     log = log.groupBy("pattern", "at").agg(F.min("rank").alias("rank"))
     by_pattern = Window.partitionBy("pattern").orderBy("at")
     log = log.withColumn("until", F.lead("at").over(by_pattern)).where(F.col("rank") < len(ACTIONS))
@@ -95,7 +104,7 @@ def list_of(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH captures AS (
   SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 7919 % 730 AS INTEGER) AS fetched,
-         lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.+$', '')) AS host,
+         lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)', 1), '\.+$', '')) AS host,
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segments
   FROM pages),
 hosts AS (SELECT DISTINCT host AS pattern, CAST(concat('0x', substr(md5(host), 1, 7)) AS BIGINT) AS n FROM captures WHERE host <> ''),
@@ -110,7 +119,7 @@ one AS (SELECT pattern, day, min(action) AS action FROM log GROUP BY ALL),
 valid AS (SELECT *, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS until FROM one),
 keys AS (
   SELECT page_id, fetched, unnest(list_distinct(list_concat(
-    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$') THEN 2 ELSE len(string_split(host, '.')) + 1 END), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
     list_transform(range(1, len(segments) + 1), lambda i: concat(host, '/', array_to_string(segments[:i], '/')))))) AS key
   FROM captures WHERE host <> ''),
 hits AS (

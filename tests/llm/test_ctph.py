@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 from sieveline.llm import ctph
 
 
@@ -42,8 +45,67 @@ def test_fingerprints():
     assert ctph.likeness(ctph.fingerprint(texts[0]), ctph.fingerprint(texts[3])) == 0.0
 
 
+def slow_fingerprint(text):
+    """The definition, byte by byte."""
+    raw, m64 = (text or "").encode(), (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & m64
+        x = (x ^ x >> 29) * 0xC4CEB9FE1A85EC53 & m64
+        return x ^ x >> 32
+
+    roll, seen = [], [0] * 7
+    for b in raw:
+        seen = [*seen[1:], b]
+        h = 0
+        for c in seen:
+            h = (h * 0x100000001B3 + c + 1) & m64
+        roll.append(mix(h))
+
+    def sign(block):
+        out, total, open_ = "", 0, False
+        for h in roll:
+            total, open_ = (total + h) & m64, True
+            if h % block == block - 1:
+                out, total, open_ = out + ctph.LETTERS[mix(total) >> 58], 0, False
+        return out + (ctph.LETTERS[mix(total) >> 58] if open_ else "")
+
+    block = 3
+    while block * 64 < len(raw):
+        block *= 2
+    while len(sign(block)) > 128:
+        block *= 2
+    while len(sign(block)) < 32 and block > 3 and len(sign(block // 2)) <= 128:
+        block //= 2
+    return f"{block}:{sign(block)}:{sign(2 * block)}"
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    best = 0.0
+    (ba, *sa), (bb, *sb) = a.split(":"), b.split(":")
+    for i, x in enumerate(sa):
+        for j, y in enumerate(sb):
+            if int(ba) << i == int(bb) << j and max(len(x), len(y)):
+                best = max(best, 1 - slow_distance(x, y) / max(len(x), len(y)))
+    return best
+
+
+def test_fingerprint_and_likeness_by_definition():
+    rnd = random.Random(7)
+    texts = [None, "", "a", "x" * 900] + ["".join(rnd.choice("abc é\n") for _ in range(rnd.randrange(1500))) for _ in range(12)]
+    texts += [t[: len(t) // 2] + "zz" + t[len(t) // 2 :] for t in texts[4:]]
+    made = [ctph.fingerprint(t) for t in texts]
+    assert made == [slow_fingerprint(t) for t in texts]
+    for a in made[::3]:
+        for b in made[::2]:
+            assert abs(ctph.likeness(a, b) - slow_likeness(a, b)) < 1e-12
+
+
 def brute(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]), (r[1] or "").encode()))
     out = []
     for k, (i, t) in enumerate(rows):
         t, u = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -73,6 +135,21 @@ def test_table(spark):
     assert run(some) == brute([(None, "abcdefgh"), (None, "b")])
 
 
+def test_rows_without_an_own_id_are_cut_into_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(None if i % 2 else 7, f"text {rnd.randrange(10**9)} {i}") for i in range(600)] + [(i, "t" * (i % 9)) for i in range(40)] + [((1 << 63) - 1, "z"), ((1 << 63) - 1, "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = run(docs, partitions=4)
+    assert len(got) == len(rows)
+    # Rows of the greatest long aren't told apart from each other by a check; all others follow the order.
+    some = [r for r in rows if r[0] != (1 << 63) - 1]
+    assert run(spark.createDataFrame(some, "doc_id long, text string"), partitions=4) == brute(some)
+    place = docs.select(F.coalesce("doc_id", F.lit(ctph._LAST)).alias("key"), F.xxhash64("text").alias("check"))
+    keys, checks = ctph._bounds(place, 32)
+    found = place.groupBy(ctph._ranges(keys, checks)("key", "check").alias("r")).count().collect()
+    assert max(r["count"] for r in found) < 60
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = run(docs)

@@ -95,6 +95,63 @@ def test_not_baseline():
         jpeg.decode([b"GIF89a"])
 
 
+def features(spark, values):
+    df = spark.createDataFrame([*enumerate(values)], "doc_id long, media binary").select("doc_id", jpeg.F.lit(1).cast("long").alias("n_bytes"), "media")
+    return {r.doc_id: r for r in jpeg.media_features(df).collect()}
+
+
+def test_damaged_media(spark):
+    good = jpeg.encode([b"text " * 192])[0]
+    cut = [good[:n] for n in range(0, len(good) - 1, 7)]
+    huge = good.replace(jpeg.struct.pack(">HH", *jpeg.struct.unpack(">HH", good[good.index(b"\xff\xc0") + 5 :][:4])), b"\xff\xff\xff\xff", 1)
+    rnd = random.Random(4)
+    broken = [bytes(b if rnd.random() > 0.01 else rnd.randrange(256) for b in good) for _ in range(60)]
+    values = [good, None, b"", b"GIF89a", b"\xff\xd8", b"\xff\xd8\xff\xd9", huge, good.replace(b"\xff\xc0", b"\xff\xc2"), *cut, *broken, good]
+    got = features(spark, values)
+    for i in (0, len(values) - 1):
+        assert got[i].error is None and got[i].payload_sha256 == hashlib.sha256(b"text " * 192).hexdigest()
+    assert all(x is None for x in tuple(got[1])[2:])
+    for i in range(2, 8):
+        assert got[i].error and got[i].payload_sha256 is None and got[i].media_sha256 == hashlib.sha256(values[i]).hexdigest()
+    foreign = by_hand([[[[5] + [0] * 63] * 2] * 2], [(1, 1)], 0)
+    r = features(spark, [foreign, good])[0]
+    assert (r.width, r.height, r.payload_sha256, r.error) == (16, 16, None, None) and r.thumb_hash
+
+
+def test_images_without_restart_markers_are_as_with_them():
+    rnd = random.Random(6)
+    coefs = [[[[rnd.randrange(-900, 900)] + [rnd.choice([0, 0, 7, -300]) for _ in range(63)] for _ in range(9)] for _ in range(8)]]
+    one, many = jpeg.decode([by_hand(coefs, [(1, 1)], 0), by_hand(coefs, [(1, 1)], 1)])
+    assert one.coefs[1].tolist() == many.coefs[1].tolist() == coefs[0]
+
+
+def slow_feature(text):
+    """Size and thumbnail hash from the payload itself: its first byte of each unit is the luminance's DC."""
+    raw = (text or "").encode()
+    p = raw + b" " * (-len(raw) % 192) or b" " * 192
+    dc = [b - 128 if b < 128 else b - 127 for b in p[::192]]
+    w = max(int(len(dc) ** 0.5), -(-len(dc) // 8191))
+    h = -(-len(dc) // w)
+    # Blocks that fill the last row hold the byte 80, coefficient 1.
+    pixels = [min(255, max(0, round(c / 8 + 128))) for c in dc + [1] * (w * h - len(dc))]
+    small = [pixels[(y * h // 8) * w + x * w // 8] for y in range(8) for x in range(8)]
+    bits = "".join("1" if v * 64 > sum(small) else "0" for v in small)
+    return f"{w * 8}x{h * 8}:{int(bits, 2):016x}"
+
+
+def test_query(spark, sf):
+    from sieveline.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op2_jpeg"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        p = raw + b" " * (-len(raw) % 192) or b" " * 192
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        assert r.feature == slow_feature(texts[r.doc_id])
+
+
 def test_table(spark):
     rows = [(1, "a", 5), (2, "", 5), (3, None, 5), (None, "ä" * 96, 5), (5, "x" * 193, 5), (5, "x" * 193, 5), (6, "long ß " * 300_000, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media int")

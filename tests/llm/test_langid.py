@@ -19,6 +19,64 @@ def test_words():
     assert [len(w) for w in langid.words("x" * 95)] == [40, 40, 15]
 
 
+def test_letters_are_the_categories_l():
+    import unicodedata
+
+    for c in map(chr, range(0x110000)):
+        assert bool(langid.words(c)) == unicodedata.category(c).startswith("L") or len(c.lower()) > 1, c
+    assert langid.words("a²b Ⅷx") == ["a", "b", "x"]
+
+
+def slow_predict(counts, text):
+    """Word-first backoff from the definition, in plain Python."""
+    import math
+
+    langs = sorted(counts)
+    tables = []
+    for k in range(langid.ORDER + 1):
+        per = {lang: {} for lang in langs}
+        for lang in langs:
+            for w, c in counts[lang].items():
+                marked = w if k == 1 else f" {w} "
+                for g in [w] if not k else [marked[i : i + k] for i in range(len(marked) - k + 1)]:
+                    per[lang][g] = per[lang].get(g, 0) + c
+        every = {g for lang in langs for g in per[lang] if k == 1 or sum(per[x].get(g, 0) for x in langs) >= langid.KNOWN}
+        tables.append({g: [math.log((per[lang].get(g, 0) + 0.5) / (sum(per[lang].values()) + 0.5 * (len(every) + 1))) for lang in langs] for g in every})
+    total, n = [0.0] * len(langs), 0
+    for w in ["".join(c) for c in __import__("re").findall(r"[^\W\d_]+", text.lower())]:
+        n += 1
+        own = [tables[0][w]] if w in tables[0] else []
+        for k in range(langid.ORDER, 0, -1):
+            marked = w if k == 1 else f" {w} "
+            own = own or [tables[k][g] for g in (marked[i : i + k] for i in range(len(marked) - k + 1)) if g in tables[k]]
+        if own:
+            total = [t + sum(x[i] for x in own) / len(own) for i, t in enumerate(total)]
+    best = max(range(len(langs)), key=lambda i: (total[i], -i))
+    return langs[best], 1 / sum(math.exp((t - total[best]) * min(1, 50 / n)) for t in total)
+
+
+def test_against_brute_force(spark, sf):
+    from collections import Counter
+
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    counts = {}
+    for r in docs[:60]:
+        if r.lang:
+            counts.setdefault(r.lang, Counter()).update(langid.words(r.text[:800]))
+    m = langid.Model(counts)
+    for r in docs[60:140]:
+        lang, score = m.predict(r.text[:500])
+        want, p = slow_predict(counts, r.text[:500])
+        assert lang == want and abs(score - p) < 1e-9
+
+
+def test_sample_is_bounded_by_characters(spark):
+    docs = spark.createDataFrame([(None, f"word{chr(97 + i % 26)} " * 50, "en") for i in range(400)], "doc_id long, text string, lang string")
+    whole = sum(langid.learn(docs, F.lit(True))["en"].values())
+    part = sum(langid.learn(docs.withColumn("text", F.concat("text", F.rand(1).cast("string"))), F.lit(True), sample_chars=400 * 300 // 10)["en"].values())
+    assert whole == 400 * 50 and 0 < part < whole / 4
+
+
 def test_word_first_then_shorter_grams(model):
     the = model.rows[model.row["the"]]
     assert the.tolist() == list(model.tables[0]["the"]) and the[1] > the[0]
@@ -30,7 +88,7 @@ def test_word_first_then_shorter_grams(model):
 
 
 def test_no_letters(model):
-    for t in (None, "", "12 !? _", "\n"):
+    for t in (None, "", "12 !? _", "\n", "½ ²", "①", "Ⅷ ⅔ ㊈", "٣"):
         assert model.predict(t) == ("und", 0.0)
     assert langid.Model({}).predict("abc") == ("und", 0.0)
     assert model.predict("漢") == ("de", 0.5)

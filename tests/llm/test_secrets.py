@@ -34,6 +34,34 @@ def test_more_rules():
     assert kinds == [("private_key", pem), ("url_login", "https://u:pw@"), ("github", "ghp_" + "a" * 36)]
 
 
+def test_long_texts_cost_what_they_are_long():
+    import time
+
+    pem = "-----BEGIN PRIVATE KEY-----"
+    end = pem.replace("BEGIN", "END")
+    for t in (f"{pem}\n" * 40_000, "eyJaaaaaaaaa-" * 80_000, "eyJaaaaaaaaaa.eyJ" * 50_000, f"{end}{pem}" * 20_000):
+        began = time.perf_counter()
+        secrets.scan_text(t)
+        assert time.perf_counter() - began < 3
+    t = f"{end} {pem} {pem} x {end} {pem} y {end} {end} {pem}"
+    want = [m.span() for m in re.finditer(rf"{pem}[\s\S]*?{end}", t)]
+    assert [(a, b) for _, a, b in secrets.scan_text(t, (secrets.MORE[0],))] == want and len(want) == 2
+
+
+def test_query(spark):
+    from sieveline.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"  # the smallest tables have no secret
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op9_secrets"](spark, sf).collect()
+    assert len(rows) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex"))
+        joined = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest() and set(joined) <= {*r.spans.split(",")}
+
+
 def test_tables(spark):
     rnd = random.Random(4)
     rows = [(i, draw(rnd), "x") for i in range(60)] + [(100 + i, "token = abcdefgh", "y") for i in range(50)]

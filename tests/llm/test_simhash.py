@@ -70,8 +70,8 @@ def test_links_find_every_component(spark):
     found = spark.createDataFrame([(i, signed(f)) for i, f in rows], "doc_id long, fp long")
     from sieveline.operators.graph import connected_components
 
-    for tile in (2048, 20):
-        got = simhash.label(found, connected_components(simhash.links(found, tile_rows=tile)))
+    for tile, width in ((2048, 2), (20, 2), (20, 1)):
+        got = simhash.label(found, connected_components(simhash.links(found, tile_rows=tile, width=width)))
         assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got.collect()), key=str) == brute(rows)
 
 
@@ -83,6 +83,14 @@ def test_table(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_query(spark, sf):
+    from sieveline.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in QUERIES["op4_simhash"](spark, sf).collect()), key=str)
+    assert got == brute([(i, plain(t)) for i, t in rows])
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d", 1), (9, "A b  c D", 2), (4, None, 3), (2, "", 4), (5, "other words stand here now", 5), (5, "other words stand here now", 5), (None, "a b c d", 6), (None, "q r s t u", 7), (None, "q r s t u", 7), (5, "x y z z y", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")

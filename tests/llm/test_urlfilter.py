@@ -17,6 +17,16 @@ def test_keys(spark):
     assert got[1] == got[2] == ["h"] and not got[3] and not got[4] and got[5] == ["a.b", "b"]
 
 
+def test_addresses_and_cases(spark):
+    urls = {"http://10.1.2.3:8/A/b": ["10.1.2.3", "10.1.2.3/A", "10.1.2.3/A/b"], "http://[::1]:80/x": ["[::1]", "[::1]/x"], "HTTP://EXAMPLE.COM/A/B": ["example.com", "com", "example.com/A", "example.com/A/B"], "http://1.2.3.4.com": ["1.2.3.4.com", "2.3.4.com", "3.4.com", "4.com", "com"]}
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", urlfilter.keys_of(df_col()).alias("k"))
+    assert {r.url: r.k for r in df.collect()} == urls
+    entries = [("EXAMPLE.com/A", DAY, "block"), ("2.3", DAY, "block"), ("[::1]", DAY, "block")]
+    caps = [(1, "http://example.COM/A/x"), (2, "http://example.com/a/x"), (3, "http://10.1.2.3/"), (4, "http://[::1]/"), (5, "http://x.2.3/")]
+    got = urlfilter.verdicts(spark.createDataFrame([(*c, DAY) for c in caps], "id long, url string, fetched date"), spark.createDataFrame(entries, "pattern string, at date, action string"))
+    assert {r.id: r.pattern for r in got.collect()} == {1: "example.com/A", 2: None, 3: None, 4: "[::1]", 5: "2.3"}
+
+
 def df_col():
     from pyspark.sql import functions as F
 
@@ -35,6 +45,16 @@ def test_as_of(spark):
     assert {r.verdict for r in urlfilter.verdicts(c, e.limit(0)).collect()} == {"none"}
 
 
+def test_sql_of_addresses(spark, tmp_path):
+    urls = ["http://10.1.2.3:8/A/b", "http://[::1]:80/x", "HTTP://spam-farm.Example.ORG/en/x", "http://spam-farm.example.org/EN/x", "junk", None, ""]
+    spark.createDataFrame([(i * 31, urls[i % 7], "h") for i in range(70)], "page_id long, url string, html string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = Counter(con.execute(f"select page_id, host, fetched, verdict, pattern, since from ({urlfilter.SQL}) where host is not null").fetchall())
+    got = Counter(map(tuple, QUERIES["op7_urls"](spark, f"file://{tmp_path}").select("page_id", "host", "fetched", "verdict", "pattern", "since").collect()))
+    assert {k: v for k, v in got.items() if k[1]} == {k: v for k, v in want.items() if k[1]} and sum(got.values()) == 70
+
+
 def test_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
