@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import map_rows, mixed, text_check, word_hashes
 from sieveline.operators.graph import connected_components
-from sieveline.storage import cut
+from sieveline.storage import cut, drop
 
 #: Bits by which linked fingerprints differ at most; the two halves of the grid rely on 3.
 MAX_BITS = 3
@@ -32,6 +32,8 @@ FINE_ROWS = 1 << 23
 
 #: MinHash bands and values in each.
 BANDS, BAND_ROWS = 24, 4
+#: Bands whose candidates are verified whether or not their ends are connected already.
+FIRST_BANDS = 2
 _SEEDS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 _ODD, _LOW = np.uint64(0x5555555555555555), np.uint64(0xFFFFFFFF)
@@ -272,33 +274,26 @@ def _bands(grams: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def overlap_links(docs: DataFrame, similar: float = 0.8) -> DataFrame:
-    """(src, dst): links between the fingerprints of texts whose five-word shingle sets have a Jaccard similarity
-    of ``similar`` or more.
+def _row_key(doc_id, check):
+    return F.xxhash64(doc_id, check)
 
-    Candidates come from MinHash bands: two sets of similarity 0.8 share none of them in about three
-    cases of a million. Each set of a band meets the band's representative, another one in each
-    band, so a large group of near copies gives as many candidates as it has rows times bands, and
-    a group's links come from many representatives. The exact similarity decides.
-    """
+
+def _sets(texts: DataFrame, rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(s, grams): the shingle sets of pairs, each made again from one of its texts. texts: doc_id, check, text."""
+    need = met.select(F.explode(F.array("x", "y")).alias("n")).distinct().join(rows.select("s", "at"), F.col("n") == F.col("s"))
+    need = need.select("s", F.col("at.doc_id").alias("i"), F.col("at.check").alias("c"), _row_key(F.col("at.doc_id"), F.col("at.check")).alias("k"))
+    own = texts.withColumn("key", _row_key(F.col("doc_id"), F.col("check"))).join(need.hint("shuffle_hash"), (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i")))
 
     def start():
-        def run(cols):
-            sets = [*map(shingle_set, cols[0])]
-            raw = [g.tobytes() for g in sets]
-            return [pa.array(np.array([*map(fingerprint, cols[0])], np.uint64).view(np.int64)), [xxhash.xxh64_intdigest(r, 9) - (1 << 63) for r in raw], raw, [_bands(g) if len(g) else [] for g in sets]]
+        return lambda cols: [cols[0], [shingle_set(t).tobytes() for t in cols[1]]]
 
-        return run
+    return map_rows(own.select("s", "text"), start, "s long, grams binary")
 
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = cut(map_rows(texts, start, "fp long, s long, grams binary, bands array<long>").where("size(bands) > 0").groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("top"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.collect_set("fp").alias("fps")))
-    band = rows.select("s", F.explode("bands").alias("band"))
-    rep = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "s").alias("h"), "s")).alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("m.s").alias("r"))
-    met = band.join(rep, F.col("band") == F.col("b")).where("s <> r").select(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).distinct()
-    one = rows.select(F.col("s").alias("x"), F.col("fp").alias("src"), F.col("grams").alias("gx"))
-    two = rows.select(F.col("s").alias("y"), F.col("fp").alias("dst"), F.col("grams").alias("gy"))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (x, y) of sets whose Jaccard similarity is ``similar`` or more."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (p, q) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
@@ -309,9 +304,48 @@ def overlap_links(docs: DataFrame, similar: float = 0.8) -> DataFrame:
                         keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    near = met.join(one, "x").join(two, "y").select("src", "dst", "gx", "gy").mapInArrow(verified, "src long, dst long")
-    same = rows.where("fp <> top").select("fp", F.explode("fps").alias("other")).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
-    return near.union(same).where("src <> dst")
+    met = pairs.select("x", "y").join(sets.select(F.col("s").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("s").alias("y"), F.col("grams").alias("gy")), "y")
+    return met.select("x", "y", "gx", "gy").mapInArrow(check, "x long, y long")
+
+
+def overlap_links(docs: DataFrame, known: DataFrame, similar: float = 0.8) -> DataFrame:
+    """(src, dst): the known links of fingerprints, and those between texts whose five-word shingle sets have a
+    Jaccard similarity of ``similar`` or more, as far as they connect what isn't connected yet.
+
+    Candidates come from MinHash bands: two sets of similarity 0.8 share none of them in about three
+    cases of a million. Each set of a band meets the band's representative, another one in each
+    band, so a large group of near copies gives as many candidates as it has rows times bands, and
+    a group's links come from many representatives. The exact similarity decides. Candidates of the
+    first bands are verified first; of the others only those whose ends are still apart, which a
+    group of near copies has few of, so sets don't travel once for each band.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_check().alias("check")).where("text is not null")
+
+    def start():
+        def run(cols):
+            sets = [*map(shingle_set, cols[1])]
+            return [pa.array(np.array([*map(fingerprint, cols[1])], np.uint64).view(np.int64)), [xxhash.xxh64_intdigest(g.tobytes(), 9) - (1 << 63) for g in sets], cols[0], cols[2], [_bands(g) if len(g) else [] for g in sets]]
+
+        return run
+
+    rows = map_rows(texts.select("doc_id", "text", "check"), start, "fp long, s long, doc_id long, check long, bands array<long>").where("size(bands) > 0")
+    rows = cut(rows.groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("top"), F.collect_set("fp").alias("fps"), F.min(F.struct("doc_id", "check")).alias("at"), F.first("bands").alias("bands")))
+    band = rows.select("s", F.posexplode("bands").alias("k", "band"))
+    rep = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "s").alias("h"), "s")).alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("m.s").alias("r"))
+    met = band.join(rep, F.col("band") == F.col("b")).where("s <> r")
+    met = cut(met.groupBy(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).agg(F.min("k").alias("k")))
+    sets = cut(_sets(texts, rows, met))
+
+    of = rows.select(F.col("s").alias("q"), F.col("fp").alias("f"))
+    ends = lambda pairs: pairs.join(of.select(F.col("q").alias("x"), F.col("f").alias("src")), "x").join(of.select(F.col("q").alias("y"), F.col("f").alias("dst")), "y").select("src", "dst").where("src <> dst")
+    same = rows.where("fp <> top").select("fp", F.explode("fps").alias("other")).select(F.col("fp").alias("src"), F.col("other").alias("dst")).where("src <> dst")
+    base = cut(known.union(same).union(ends(_verified(met.where(F.col("k") < FIRST_BANDS), sets, similar))))
+    parts = cut(connected_components(base))
+    root = cut(of.join(parts, F.col("f") == F.col("node"), "left").select("q", F.coalesce("component", "f").alias("root")))
+    apart = met.where(F.col("k") >= FIRST_BANDS).join(root.select(F.col("q").alias("x"), F.col("root").alias("rx")), "x").join(root.select(F.col("q").alias("y"), F.col("root").alias("ry")), "y").where("rx <> ry")
+    more = cut(ends(_verified(apart, sets, similar)))
+    drop(sets)
+    return base.union(more)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, similar: float | None = None) -> DataFrame:
@@ -325,7 +359,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, similar: float |
     found = cut(fingerprints(docs))
     linked = links(found, max_bits)
     if similar is not None:
-        linked = linked.union(overlap_links(docs, similar))
+        linked = overlap_links(docs, cut(linked), similar)
     return label(found, cut(connected_components(linked)))
 
 
