@@ -63,11 +63,24 @@ def word_hashes(raw: bytes, seed: int = 0) -> np.ndarray:
     return out
 
 
-def map_rows(df: DataFrame, f: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = 512) -> DataFrame:
+class Lists:
+    """A column of lists of numbers, or of structs of such: each row's values as arrays, none for a null."""
+
+    def __init__(self, column: pa.ListArray):
+        self.edges, values = column.offsets.to_numpy(), column.values
+        kept = [values.field(i) for i in range(values.type.num_fields)] if pa.types.is_struct(values.type) else [values]
+        self.fields = [c.to_numpy(zero_copy_only=False) for c in kept]
+
+    def __iter__(self) -> Iterator[list[np.ndarray]]:
+        for a, b in zip(self.edges, self.edges[1:]):
+            yield [c[a:b] for c in self.fields]
+
+
+def map_rows(df: DataFrame, f: Callable[[], Callable[[list], list]], schema: str, rows: int = 512, lists: tuple[str, ...] = ()) -> DataFrame:
     """Run f()(columns of up to ``rows`` rows) -> columns over df in Arrow batches.
 
     f is called once per task, for set-up. Slices of few rows bound the memory that very
-    long texts take.
+    long texts take. Columns named by lists come as Lists instead of Python values.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -79,7 +92,7 @@ def map_rows(df: DataFrame, f: Callable[[], Callable[[list[list]], list[list]]],
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out = g([c.to_pylist() for c in part.columns])
+                out = g([Lists(c) if name in lists else c.to_pylist() for name, c in zip(part.schema.names, part.columns)])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(out, target, strict=True)], schema=target)
 
     return df.mapInArrow(run, schema)

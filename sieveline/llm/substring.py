@@ -160,8 +160,8 @@ def _windows(docs: DataFrame, single: DataFrame, span: int, gram: int, seed: int
         def run(cols):
             none = np.zeros(0, np.int64)
             parts = [(none.view(np.uint64), none.view(np.uint64), none, none, none)]
-            for key, text, single in zip(*cols):
-                single = np.array(single if single is not None else [], np.int64)
+            for key, text, (single,) in zip(*cols):
+                single = single.astype(np.int64)
                 own = single[single >= 0]
                 if len(own) < len(single) and -1 - single.min() == len(own):
                     continue
@@ -181,7 +181,7 @@ def _windows(docs: DataFrame, single: DataFrame, span: int, gram: int, seed: int
 
         return run
 
-    return map_rows(_with(docs.select("key", "text"), single).select("key", "text", "single"), start, "one long, two long, key long, place int, again int")
+    return map_rows(_with(docs.select("key", "text"), single).select("key", "text", "single"), start, "one long, two long, key long, place int, again int", lists=("single",))
 
 
 def _sources(windows: DataFrame, blocks: int) -> DataFrame:
@@ -208,10 +208,9 @@ def _parsed(docs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
     def start():
         def run(cols):
             out = []
-            for text, hits in zip(cols[1], cols[2]):
+            for text, (place, source, offset) in zip(cols[1], cols[2]):
                 every, words, at, removed, found = text.encode().split(), [], 0, 0, []
-                if hits:
-                    place, source, offset = (np.array([h[c] for h in hits], np.int64) for c in ("place", "source", "offset"))
+                if len(place):
                     for a, n, s, o in parse(place, source, offset, span):
                         found.append({"start": a, "length": n, "source": s, "offset": o, "digest": _digest(every[a : a + n])})
                         words += every[at:a]
@@ -224,7 +223,7 @@ def _parsed(docs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
         return run
 
     factor = "start:int,length:int,source:long,offset:int,digest:binary"
-    return map_rows(_with(docs, hits).select("doc_id", "text", "hits"), start, f"doc_id long, n_words long, factors array<struct<{factor}>>, n_removed long, kept_sha256 string")
+    return map_rows(_with(docs, hits).select("doc_id", "text", "hits"), start, f"doc_id long, n_words long, factors array<struct<{factor}>>, n_removed long, kept_sha256 string", lists=("hits",))
 
 
 def _differ(docs: DataFrame, parsed: DataFrame) -> bool:

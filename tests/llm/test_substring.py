@@ -64,7 +64,7 @@ def test_words_that_sums_of_powers_confuse(spark):
 def test_factors_are_checked_by_their_words(spark, monkeypatch):
     """With hashes that at first tell no words apart all windows meet; the check finds them and other hashes follow."""
     whole, seeds = substring.word_hashes, set()
-    monkeypatch.setattr(substring, "map_rows", lambda df, f, schema, rows=512: inline(spark, df, f, schema))
+    monkeypatch.setattr(substring, "map_rows", lambda df, f, schema, rows=512, lists=(): inline(spark, df, f, schema, lists))
 
     def weak(raw, seed=0):
         seeds.add(seed)
@@ -79,13 +79,16 @@ def test_factors_are_checked_by_their_words(spark, monkeypatch):
     assert 2 in seeds
 
 
-def inline(spark, df, f, schema):
+def inline(spark, df, f, schema, lists):
+    """map_rows() in this process, so that what the test replaces is seen."""
     import pyarrow as pa
 
-    got = [tuple(x) for x in df.collect()]
-    out = f()([list(c) for c in zip(*got)]) if got else []
-    cols = [c.to_pylist() if isinstance(c, pa.Array) else c for c in out]
-    return spark.createDataFrame([*zip(*cols)], schema)
+    from sieveline.llm.common import Lists
+
+    got = df.toArrow().combine_chunks()
+    cols = [got.column(c).combine_chunks() for c in got.column_names]
+    out = f()([Lists(c) if name in lists else c.to_pylist() for name, c in zip(got.column_names, cols)]) if got.num_rows else []
+    return spark.createDataFrame([*zip(*(c.to_pylist() if isinstance(c, pa.Array) else c for c in out))], schema)
 
 
 def test_factors_name_an_earlier_place(spark, sf):
