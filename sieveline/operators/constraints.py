@@ -36,6 +36,19 @@ def sized(rows: DataFrame, n: int) -> DataFrame:
     return rows.agg(F.count("*").alias("n")).where(F.col("n") != n)
 
 
+def as_many(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """A row if both haven't equally many rows."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(rows, "n").crossJoin(count(other, "m")).where("n <> m")
+
+
+def looked_up(rows: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of ``there``, of which each key has one row; a key that isn't there is an error."""
+    met = rows.join(there.withColumn("__found", F.lit(True)), key, "left")
+    found = F.when(F.col("__found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(dict(rows.dtypes)[key]))
+    return met.withColumn(key, found).drop("__found")
+
+
 def report(checks: dict[str, DataFrame]) -> DataFrame:
     """(name, violations) of named checks."""
     out = None

@@ -116,6 +116,13 @@ def touched(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
+def within(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges both of whose ends are among ids."""
+    for end in ("a", "b"):
+        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    return edges
+
+
 def leaked(edges: DataFrame, split: DataFrame) -> DataFrame:
     """(id, split) of items outside train that an edge, in either direction, links to train."""
     at = lambda end: split.select(F.col("id").alias(end), F.col("split").alias(f"split_{end}"))

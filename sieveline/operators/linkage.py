@@ -10,20 +10,28 @@ from sieveline.operators.pairs import cosine_pairs
 from sieveline.storage import cut
 
 
+#: Rows of a component that are linked, at most: a task holds a matrix of the square.
+MOST_ROWS = 20_000
+
+
 def merge(vectors, most: float, method: str):
     """Cluster number of each row: the two nearest clusters are merged while their distance (1 - cosine;
     complete: the largest of their pairs, average: the mean) is at most ``most``; of equally near
     ones those that come first."""
     import numpy as np
 
+    if len(vectors) > MOST_ROWS:
+        raise ValueError(f"a component has {len(vectors)} rows, over {MOST_ROWS}: lower the distance, or cut the component first")
     x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     d = 1 - x @ x.T
     n = len(d)
     d[np.tril_indices(n)] = np.inf
     size, label = np.ones(n), np.arange(n)
+    near, low = d.argmin(axis=1), d.min(axis=1)  # of each row, kept up as clusters merge
     while n > 1:
-        i, j = divmod(int(d.argmin()), len(d))
-        if d[i, j] > most + 1e-12:
+        i = int(low.argmin())
+        j = int(near[i])
+        if low[i] > most + 1e-12:
             break
         a, b = np.minimum(d[i], d[:, i]), np.minimum(d[j], d[:, j])  # each pair stands above the diagonal once
         new = np.maximum(a, b) if method == "complete" else (size[i] * a + size[j] * b) / (size[i] + size[j])
@@ -31,6 +39,10 @@ def merge(vectors, most: float, method: str):
         new[~np.isfinite(a) | ~np.isfinite(b)] = np.inf
         d[i, i + 1 :], d[:i, i] = new[i + 1 :], new[:i]
         d[j, :], d[:, j] = np.inf, np.inf
+        # Rows whose nearest was i or j, and those before i or j, have changed.
+        for r in np.unique(np.concatenate([np.flatnonzero((near == i) | (near == j)), [i, j], np.flatnonzero(d[: max(i, j), i] < low[: max(i, j)])])).tolist():
+            near[r] = d[r].argmin()
+            low[r] = d[r, near[r]]
         size[i] += size[j]
         label[label == j] = i
         n -= 1

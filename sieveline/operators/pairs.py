@@ -12,7 +12,7 @@ BLOCK_ROWS = 2048
 
 
 def _tiles(rows: DataFrame, other: DataFrame | None, block_rows: int, n: int, m: int) -> DataFrame:
-    """rows (and other) with the block pairs that each row takes part in: (i, j, left, id, v)."""
+    """rows (and other) with the block pairs that each row takes part in: (i, j, left, id, v); v is any value."""
     spread = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     blocks, more = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
     left = rows.withColumn("b", spread("id", blocks))
@@ -59,17 +59,68 @@ def cosine_pairs(rows: DataFrame, least: float, other: DataFrame | None = None,
     return tiles.groupBy("i", "j").applyInPandas(products, "a long, b long, sim double")
 
 
+def max_sims(rows: DataFrame, other: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, sim): the largest cosine of each of rows with any of other; of (id, v) both. A tile gives one value
+    for each of its rows, so what is shuffled grows with rows times blocks, not with pairs."""
+    tiles = _tiles(rows, other, block_rows, rows.count(), other.count())
+
+    def best(tile):
+        import numpy as np
+        import pandas as pd
+
+        tile = tile[tile.v.notna()]
+        left, right = tile[tile.left], tile[~tile.left]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "sim": np.zeros(0)})
+        x, y = np.stack(left.v), np.stack(right.v)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        top = np.where(np.isnan(sims), -np.inf, sims).max(axis=1)
+        return pd.DataFrame({"a": left.id.to_numpy(), "sim": top})[np.isfinite(top)]
+
+    return tiles.groupBy("i", "j").applyInPandas(best, "a long, sim double").groupBy("a").agg(F.max("sim").alias("sim"))
+
+
+#: Bits of difference from which on bands are too narrow to tell signatures apart, and tiles are compared.
+WIDE = 8
+
+
 def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b, ham) of all pairs a < b of (id, sig) within ``most`` bits, exactly.
+    """(a, b, ham) of all pairs a < b of (id, sig) within ``most`` bits, exactly. Rows with a null are left out.
 
-    The 64 bits are cut into most + 1 bands; by the pigeonhole principle near signatures have a
-    band in common, so an equi-join on (band, value) finds them. Each pair is taken at the first
-    band that it shares, so there is nothing to make distinct. Rows with a null are left out.
+    Below WIDE, the 64 bits are cut into most + 1 bands; by the pigeonhole principle near signatures
+    have a band in common, so an equi-join on (band, value) finds them. Each pair is taken at the first
+    band that it shares, so there is nothing to make distinct. From WIDE on bands have few values,
+    each of which nearly all signatures share: then tiles of two blocks are compared, as for cosines.
     """
+    rows = rows.where("id is not null and sig is not null").select("id", "sig")
+    return _banded(rows, most) if most < WIDE else _tiled(rows, most)
+
+
+def _tiled(rows: DataFrame, most: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    tiles = _tiles(rows.withColumnRenamed("sig", "v"), None, block_rows, rows.count(), 0)
+
+    def near(tile):
+        import numpy as np
+        import pandas as pd
+
+        both = bool((tile.i == tile.j).all())
+        left = tile[tile.left]
+        right = left if both else tile[~tile.left]
+        ham = np.bitwise_count((left.v.to_numpy(np.int64)[:, None] ^ right.v.to_numpy(np.int64)[None, :]).view(np.uint64)) if len(left) and len(right) else np.zeros((0, 0))
+        p, q = np.nonzero(ham <= most)
+        a, b, h = left.id.to_numpy()[p], right.id.to_numpy()[q], ham[p, q].astype(np.int32)
+        keep = a < b if both else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "ham": h[keep]})
+
+    return tiles.groupBy("i", "j").applyInPandas(near, "a long, b long, ham int")
+
+
+def _banded(rows: DataFrame, most: int) -> DataFrame:
     bands = most + 1
     edges = [64 * k // bands for k in range(bands + 1)]
     value = lambda s, k: F.shiftrightunsigned(s, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1 if bands > 1 else -1))
-    keyed = rows.where("id is not null and sig is not null").select("id", "sig", F.posexplode(F.array(*(value(F.col("sig"), k) for k in range(bands)))).alias("band", "value"))
+    keyed = rows.select("id", "sig", F.posexplode(F.array(*(value(F.col("sig"), k) for k in range(bands)))).alias("band", "value"))
     x, y = keyed.alias("x"), keyed.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (hamming(F.col("x.sig"), F.col("y.sig")) <= most))
     shared = [value(F.col("x.sig"), k) == value(F.col("y.sig"), k) for k in range(bands)]

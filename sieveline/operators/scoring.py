@@ -106,6 +106,12 @@ def average_precision(curve: DataFrame, positives: DataFrame, by: list[str] = ("
     return positives.join(interpolated(levels, by), by, "left").select(*by, "npos", F.when(F.col("npos") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
+def slices_of(slices: DataFrame, boxes: DataFrame, least: int) -> DataFrame:
+    """(slice, id) of the slices (slice, id) that have boxes on ``least`` items or more."""
+    n = slices.join(boxes.select("id").distinct(), "id", "left_semi").groupBy("slice").agg(F.countDistinct("id").alias("n"))
+    return slices.join(n.where(F.col("n") >= least).select("slice"), "slice", "left_semi")
+
+
 def match_by_size(dets: DataFrame, truth: DataFrame, low: float, high: float, least: float = 0.5) -> DataFrame:
     """match() for boxes with an area in [low, high): a detection prefers boxes in range; one that
     takes a box out of range, or takes none and is out of range itself, is left out."""

@@ -17,8 +17,9 @@ def shuffled(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary"))
 
 
-def random_split(items: DataFrame, seed: int = 0) -> DataFrame:
-    """(id, split): 70/15/15 of the items in the order of their hashes.
+def random_split(items: DataFrame, seed: int = 0, second: float | None = None) -> DataFrame:
+    """(id, split): 70/15/15 of the items in the order of their hashes. With ``second`` the validation part ends
+    at that share of all items, rounded, instead of being a rounded 15 % itself.
 
     Ranks are not taken in one task: the order is cut at its quarters of 4,096 hash ranges, counts
     of the ranges are summed up, and a range's own rows are ranked within it.
@@ -29,7 +30,8 @@ def random_split(items: DataFrame, seed: int = 0) -> DataFrame:
     starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("all"))
     ranked = keyed.join(starts, "range").withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy("key", "id")))
     train, val = (F.bround(F.col("all") * F.lit(s)) for s in SHARES[:2])
-    return ranked.select("id", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test").alias("split"))
+    end = train + val if second is None else F.bround(F.col("all") * F.lit(second))
+    return ranked.select("id", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= end, "val").otherwise("test").alias("split"))
 
 
 def features(items: DataFrame, sources: list[int], classes: list[str] = ()) -> DataFrame:
@@ -142,6 +144,15 @@ def balance(items: DataFrame) -> DataFrame:
     return n.select("split", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"), "n_groups")
 
 
+def balance_report(items: DataFrame, by: list[str]) -> DataFrame:
+    """Per (kind, split) of items (id, res, grp, boxes, c0): items and their share of the kind's, boxes, the share of
+    one class among them, the share of a source among the items, and groups."""
+    n = items.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum("boxes").alias("n_boxes"), F.round(F.sum("c0") / F.sum("boxes"), 4).alias("class_share"), F.round(F.avg((F.col("res") == 3).cast("double")), 4).alias("source_share"), F.countDistinct("grp").alias("n_groups"),
+    )
+    return n.select(*by, "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(by[0])), 4).alias("share"), "n_boxes", "class_share", "source_share", "n_groups")
+
+
 def source_shares(items: DataFrame) -> DataFrame:
     """Share of each source in each split."""
     n = items.groupBy("split", "res").agg(F.count("*").alias("n"))

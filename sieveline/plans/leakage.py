@@ -74,9 +74,9 @@ med AS (SELECT id, list_transform(v, lambda x: x > list_median(v[2:])) AS bits F
 DIFFER = "list_sum(list_transform(list_zip(a.bits, b.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END))"
 
 
-@query("hamming_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM sigs a JOIN sigs b ON a.id < b.id WHERE {DIFFER} <= 14")
+@query("hamming_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM sigs a JOIN sigs b ON a.id < b.id WHERE {DIFFER} <= 17")
 def hamming_pairs(spark, sf):
-    return P.hamming_pairs(X.signatures(spark, sf), 14)
+    return P.hamming_pairs(X.signatures(spark, sf), 17)
 
 
 @query("median_signature_pairs", f"{W}{X.ITEMS}, {SIGS} SELECT a.id AS a, b.id AS b, CAST({DIFFER} AS INTEGER) AS ham FROM med a JOIN med b ON a.id < b.id WHERE {DIFFER} <= 16")
@@ -211,7 +211,7 @@ SELECT split, count(*) AS n, round(median(s), 6) AS median_sim, round(avg(CASE W
 def max_sim_to_train(spark, sf):
     items = X.items(spark, sf).select("id", "v").join(X.split_of(spark, sf), "id")
     out, train = items.where("split <> 'train'"), items.where("split = 'train'").select("id", "v")
-    met = P.cosine_pairs(out.select("id", "v"), -1.0, other=train).groupBy("a").agg(F.max("sim").alias("s"))
+    met = P.max_sims(out.select("id", "v"), train).withColumnRenamed("sim", "s")
     return met.join(out.select(F.col("id").alias("a"), "split"), "a").groupBy("split").agg(F.count("*").alias("n"), F.round(F.percentile("s", 0.5), 6).alias("median_sim"), F.round(F.avg((F.col("s") >= 0.38).cast("double")), 6).alias("share"))
 
 

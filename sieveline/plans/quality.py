@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import size_bin
+from sieveline.operators import audit as A
 from sieveline.operators import bootstrap as P
 from sieveline.operators import boxes as B
+from sieveline.operators import constraints as C
+from sieveline.operators import design as D
 from sieveline.operators import scoring as R
 from sieveline.plans import fixtures as X
 from sieveline.registry import query
@@ -85,13 +88,13 @@ SELECT cls, round(avg(coalesce(q, 0)), 6) AS ap FROM best GROUP BY cls"""
 @query("ap101", f"{W}{CURVE}, {AP}")
 def ap101(spark, sf):
     tp, pos = X.flagged(spark, sf)
-    return R.average_precision(R.pr_curve(tp, pos), pos).select("cls", F.round("ap", 6).alias("ap"))
+    return R.average_precision(R.running(tp, pos), pos).select("cls", F.round("ap", 6).alias("ap"))
 
 
 @query("mean_ap", f"{W}{CURVE}, a AS (SELECT cls, avg(coalesce(q, 0)) AS ap FROM (SELECT cls, max(CASE WHEN recall >= r THEN envelope END) AS q FROM env, grid GROUP BY cls, r) GROUP BY cls) SELECT round(avg(ap), 6) AS map FROM a")
 def mean_ap(spark, sf):
     tp, pos = X.flagged(spark, sf)
-    return R.average_precision(R.pr_curve(tp, pos), pos).agg(F.round(F.avg("ap"), 6).alias("map"))
+    return R.average_precision(R.running(tp, pos), pos).agg(F.round(F.avg("ap"), 6).alias("map"))
 
 
 def by_source_sql(part: str) -> str:
@@ -108,7 +111,7 @@ def ap_by_source(spark, sf):
     tp, _ = X.flagged(spark, sf)
     pos = X.boxes(spark, sf).groupBy("cls", (F.col("id") % 4).alias("src")).agg(F.count("*").cast("double").alias("npos"))
     by = ["cls", "src"]
-    return R.average_precision(R.pr_curve(tp.withColumn("src", F.col("id") % 4), pos, by), pos, by).select("cls", "src", F.round("ap", 6).alias("ap"))
+    return R.average_precision(R.running(tp.withColumn("src", F.col("id") % 4), pos, by), pos, by).select("cls", "src", F.round("ap", 6).alias("ap"))
 
 
 @query("recall_by_size", f"""{W}{X.BOXES}, b AS (SELECT * FROM dets WHERE conf >= 0.25),
@@ -129,7 +132,7 @@ def match_summary(spark, sf):
     tp = R.match(X.detections(spark, sf), X.truth(spark, sf), least=0.55)
     pos = X.truth(spark, sf).groupBy("cls").agg(F.count("*").cast("double").alias("npos"))
     tp = cut(tp)
-    return R.average_precision(R.pr_curve(tp, pos), pos).join(tp.groupBy("cls").agg(F.sum("tp").alias("n_tp"), F.count("*").alias("n_det")), "cls", "left")
+    return R.average_precision(R.running(tp, pos), pos).join(tp.groupBy("cls").agg(F.sum("tp").alias("n_tp"), F.count("*").alias("n_det")), "cls", "left")
 
 
 @query("ap_by_size")
@@ -139,7 +142,7 @@ def ap_by_size(spark, sf):
         area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
         pos = truth.where((area >= low) & (area < high)).groupBy("cls").agg(F.count("*").cast("double").alias("npos"))
         tp = R.match_by_size(dets, truth, low, high, least=0.55)
-        one = R.average_precision(R.pr_curve(tp, pos), pos).withColumn("size", F.lit(name))
+        one = R.average_precision(R.running(tp, pos), pos).withColumn("size", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -297,3 +300,181 @@ def epoch_best(spark, sf):
 @query("last_epochs", "SELECT event_id, event_type, round(value, 6) AS value FROM events ORDER BY ts DESC, event_id DESC LIMIT 4")
 def last_epochs(spark, sf):
     return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(4).select("event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("class_counts_all", f"""{W}{X.BOXES} SELECT o_orderkey AS id, count(*) FILTER (WHERE cls = 0) AS c0, count(*) FILTER (WHERE cls = 1) AS c1, count(*) FILTER (WHERE cls = 2) AS c2, count(*) FILTER (WHERE cls = 3) AS c3, count(*) FILTER (WHERE cls = 4) AS c4 FROM orders LEFT JOIN boxes ON id = o_orderkey GROUP BY 1""")
+def class_counts_all(spark, sf):
+    """Items without boxes have zeros."""
+    items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).distinct()
+    return items.join(class_counts(spark, sf), "id", "left").fillna(0)
+
+
+NAMES = ["long", "cross", "area", "hole", "other"]
+
+
+@query("named_pairs", f"""{W}{KINDS}, names AS (SELECT * FROM (VALUES (0, 'long'), (1, 'cross'), (2, 'area'), (3, 'hole'), (4, 'other')) t(c, name)) SELECT concat(x.name, '-', y.name) AS pair, count(*) AS n FROM kinds JOIN names x ON x.c = least(c1, c2) JOIN names y ON y.c = greatest(c1, c2) WHERE kind = 'cross' GROUP BY 1""")
+def named_pairs(spark, sf):
+    k = B.overlap_kinds(B.box_pairs(X.boxes(spark, sf))).where("kind = 'cross'")
+    name = lambda c: F.element_at(F.array(*map(F.lit, NAMES)), c + 1)
+    return k.groupBy(F.concat_ws("-", name(F.least("c1", "c2")), name(F.greatest("c1", "c2"))).alias("pair")).agg(F.count("*").alias("n"))
+
+
+@query("overlap_first_ids", f"""{W}{KINDS}, i AS (SELECT DISTINCT kind, id FROM kinds WHERE kind IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS k FROM i) SELECT kind, array_to_string(list(id ORDER BY id), ',') AS ids FROM r WHERE k <= 10 GROUP BY kind""")
+def overlap_first_ids(spark, sf):
+    """The first ten items of each kind of overlap."""
+    ids = B.overlap_kinds(B.box_pairs(X.boxes(spark, sf))).select("kind", "id").distinct()
+    first = ids.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where("k <= 10")
+    return first.groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+
+
+@query("looked_up_sources", "SELECT l_orderkey AS id, l_linenumber AS line, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
+def looked_up_sources(spark, sf):
+    """A lookup in which a missing key would be an error."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("key"))
+    return C.looked_up(rows, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")), "key").drop("key")
+
+
+#: Predictions with a class for background: boxes that nothing found, and detections where nothing is.
+GROUND = f"{X.BOXES}, pt AS (SELECT cls AS truth, CASE WHEN s % 10 = 0 THEN 5 WHEN p % 13 = 0 THEN (cls + 1 + s % 3) % 5 ELSE cls END AS pred FROM boxes UNION ALL SELECT 5, cls FROM boxes WHERE p % 17 = 0)"
+
+
+def with_background(spark, sf):
+    b = X.boxes(spark, sf)
+    own = b.select(F.col("cls").alias("truth"), F.when(F.col("s") % 10 == 0, 5).when(F.col("p") % 13 == 0, (F.col("cls") + 1 + F.col("s") % 3) % 5).otherwise(F.col("cls")).cast("int").alias("pred"))
+    return own.unionByName(b.where("p % 17 = 0").select(F.lit(5).alias("truth"), F.col("cls").alias("pred")))
+
+
+@query("confusion_summary", f"""{W}{GROUND}, t AS (SELECT * FROM pt WHERE truth <> 5) SELECT count(*) AS n, round(avg(CASE WHEN pred = truth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS correct, round(avg(CASE WHEN pred = 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS missed,
+round(avg(CASE WHEN pred <> truth AND pred <> 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS misclassified, (SELECT count(*) FROM pt WHERE truth = 5) AS on_background FROM t""")
+def confusion_summary(spark, sf):
+    c = A.confusion_summary(with_background(spark, sf), 5)
+    return c.select("n", *(F.round(x, 6).alias(x) for x in ("correct", "missed", "misclassified")), "on_background")
+
+
+@query("top_confusions", f"{W}{GROUND} SELECT CAST(truth AS INTEGER) AS truth, CAST(pred AS INTEGER) AS pred, count(*) AS n FROM pt WHERE truth <> 5 AND pred <> 5 AND truth <> pred GROUP BY 1, 2 ORDER BY n DESC, truth DESC, pred DESC LIMIT 5")
+def top_confusions(spark, sf):
+    return A.top_confusions(with_background(spark, sf), 5)
+
+
+@query("class_recall", f"""{W}{GROUND}, o AS (SELECT * FROM (VALUES (0, 3), (1, 1), (2, 4), (3, 0), (4, 2), (5, 9)) t(place, c)) SELECT place, c, round(avg(CASE WHEN truth IS NULL THEN NULL WHEN pred = truth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall FROM o LEFT JOIN pt ON truth = c GROUP BY place, c""")
+def class_recall(spark, sf):
+    r = A.class_recall(with_background(spark, sf), [3, 1, 4, 0, 2, 9])
+    return r.select("place", "c", F.round("recall", 6).alias("recall"))
+
+
+RATERS = """one AS (SELECT doc_id AS code, CASE WHEN doc_id % 11 = 0 THEN 'u' ELSE CAST(quality AS VARCHAR) END AS label FROM labels),
+two AS (SELECT doc_id AS code, CASE WHEN doc_id % 13 = 0 THEN 'u' WHEN doc_id % 5 = 0 THEN CAST(toxic AS VARCHAR) ELSE CAST(quality AS VARCHAR) END AS label FROM labels WHERE doc_id % 17 <> 0)"""
+
+
+def raters(spark, sf):
+    """Two raters' labels by code: the second rates fewer, and some otherwise."""
+    rows, code = table(spark, sf, "labels"), F.col("doc_id")
+    text = lambda c: F.col(c).cast("string")
+    one = rows.select(code.alias("code"), F.when(code % 11 == 0, "u").otherwise(text("quality")).alias("label"))
+    two = rows.where("doc_id % 17 <> 0").select(code.alias("code"), F.when(code % 13 == 0, "u").when(code % 5 == 0, text("toxic")).otherwise(text("quality")).alias("label"))
+    return one, two
+
+
+def kappa_sql(where: str) -> str:
+    return f"""WITH {RATERS}, m AS (SELECT a.label AS a, b.label AS b FROM one a JOIN two b USING (code) WHERE {where}), j AS (SELECT a, b, count(*)::DOUBLE AS n FROM m GROUP BY 1, 2), t AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE a = b) AS s FROM j),
+e AS (SELECT sum(x.n * y.n) AS c FROM (SELECT a, sum(n) AS n FROM j GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM j GROUP BY b) y ON x.a = y.b)
+SELECT n::BIGINT AS n, round(s / n, 6) AS agreement, round((s / n - c / (n * n)) / (1 - c / (n * n)), 6) AS kappa FROM t, e"""
+
+
+@query("kappa_raters", kappa_sql("true"))
+def kappa_raters(spark, sf):
+    return R.kappa(A.two_raters(*raters(spark, sf)))
+
+
+@query("kappa_both_sure", kappa_sql("a.label <> 'u' AND b.label <> 'u'"))
+def kappa_both_sure(spark, sf):
+    return R.kappa(A.two_raters(*raters(spark, sf), sure=True))
+
+
+def levels_sql(name: str, rows: str, by: str) -> str:
+    """AP by the columns ``by`` of rows (by, id, det, conf, tp, npos), over the grid itself."""
+    return f"""{name}_run AS (SELECT *, sum(tp) OVER o / npos AS recall, sum(tp) OVER o / (count(*) OVER o)::DOUBLE AS p FROM ({rows}) WINDOW o AS (PARTITION BY {by} ORDER BY conf DESC, id, det ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT {by}, sum(q) / 101 AS ap FROM (SELECT {by}, k, coalesce(max(CASE WHEN recall >= k::DOUBLE / 100.0::DOUBLE THEN p END), 0) AS q FROM {name}_run, range(101) t(k) GROUP BY {by}, k) GROUP BY {by})"""
+
+
+SLICES = """sl AS (SELECT o_orderkey AS id, concat('src-', o_orderpriority) AS slice FROM orders UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'leaky' ELSE 'clean' END FROM orders
+  UNION ALL SELECT o_orderkey, concat(CASE WHEN o_orderstatus = 'F' THEN 'leaky' ELSE 'clean' END, '-', o_custkey % 40) FROM orders WHERE o_custkey % 97 < 60),
+kept AS (SELECT slice FROM sl WHERE id IN (SELECT id FROM boxes) GROUP BY slice HAVING count(DISTINCT id) >= 20)"""
+
+
+@query("sliced_ap", f"""{W}{X.FLAGGED}, {SLICES}, n AS (SELECT slice, cls, count(*)::DOUBLE AS npos FROM boxes JOIN sl USING (id) JOIN kept USING (slice) GROUP BY 1, 2),
+{levels_sql('aps', 'SELECT slice, tp.*, npos FROM tp JOIN sl USING (id) JOIN n USING (slice, cls)', 'slice, cls')} SELECT slice, cls, round(ap, 6) AS ap FROM aps""")
+def sliced_ap(spark, sf):
+    """AP by slice of the items, of those slices that have 20 items or more: sources, leaky or clean, both."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", "o_custkey", F.when(F.col("o_orderstatus") == "F", "leaky").otherwise("clean").alias("kind"))
+    both = F.when(F.col("o_custkey") % 97 < 60, F.concat_ws("-", "kind", (F.col("o_custkey") % 40).cast("string")))
+    slices = orders.select("id", F.explode(F.array_compact(F.array(F.concat(F.lit("src-"), "o_orderpriority"), "kind", both))).alias("slice"))
+    tp, _ = X.flagged(spark, sf)
+    boxes = X.boxes(spark, sf).select("id", "cls")
+    kept = cut(R.slices_of(slices, boxes, 20))
+    pos = boxes.join(kept, "id").groupBy("slice", "cls").agg(F.count("*").cast("double").alias("npos"))
+    by = ["slice", "cls"]
+    return R.average_precision(R.running(tp.join(kept, "id"), pos, by), pos, by).select("slice", "cls", F.round("ap", 6).alias("ap"))
+
+
+ARMS = f"""{X.FLAGGED}, firsts AS (SELECT min(o_orderkey) AS id, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS half FROM orders JOIN boxes ON id = o_orderkey GROUP BY o_custkey),
+m AS (SELECT 'base' AS model, * FROM tp UNION ALL SELECT 'twinA', id, cls, det, conf, CASE WHEN det % 9 = 0 THEN 0 ELSE tp END FROM tp UNION ALL SELECT 'twinB', id, cls, det, conf, CASE WHEN det % 7 = 0 THEN 0 ELSE tp END FROM tp),
+arms AS (SELECT CASE WHEN model = 'base' THEN 'base' WHEN (model = 'twinA') = (half = 'A') THEN 'leaked' ELSE 'unleaked' END AS arm, half, m.* EXCLUDE (model) FROM m JOIN firsts USING (id))"""
+
+
+def arms_of(spark, sf):
+    """Detections of three models on anchors (the first order of each customer), put together by arm; boxes."""
+    tp, _ = X.flagged(spark, sf)
+    boxes = X.boxes(spark, sf).select("id", "cls")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey").join(boxes.select("id").distinct(), "id")
+    halves = cut(orders.groupBy("o_custkey").agg(F.min("id").alias("id")).select("id", F.when(F.col("o_custkey") % 2 == 0, "A").otherwise("B").alias("half")))
+    model = lambda k: tp.withColumn("tp", F.when(F.col("det") % k == 0, 0).otherwise(F.col("tp")))
+    return D.crossed(halves, model(9), model(7), tp), boxes.join(halves, "id")
+
+
+def arm_map(rows, boxes, by: list[str]):
+    """(by, map): mean AP of each arm, and of each half if by names it."""
+    keys = [*by, "cls"]
+    arms = rows.select("arm").distinct()
+    pos = boxes.groupBy(*(c for c in keys if c != "arm")).agg(F.count("*").cast("double").alias("npos")).crossJoin(F.broadcast(arms))
+    return R.average_precision(R.running(rows, pos, keys), pos, keys).groupBy(*by).agg(F.avg("ap").alias("map"))
+
+
+@query("arm_map", f"""{W}{ARMS}, n AS (SELECT cls, count(*)::DOUBLE AS npos FROM boxes JOIN firsts USING (id) GROUP BY cls), {levels_sql('aps', 'SELECT arms.*, npos FROM arms JOIN n USING (cls)', 'arm, cls')} SELECT arm, round(avg(ap), 6) AS map FROM aps GROUP BY arm""")
+def arm_map_query(spark, sf):
+    """Leaked, unleaked and base on all anchors."""
+    return arm_map(*arms_of(spark, sf), ["arm"]).select("arm", F.round("map", 6).alias("map"))
+
+
+@query("half_contrast", f"""{W}{ARMS}, n AS (SELECT half, cls, count(*)::DOUBLE AS npos FROM boxes JOIN firsts USING (id) GROUP BY half, cls), {levels_sql('aps', 'SELECT arms.*, npos FROM arms JOIN n USING (half, cls)', 'arm, half, cls')},
+hm AS (SELECT arm, half, avg(ap) AS m FROM aps GROUP BY arm, half) SELECT half, round(max(m) FILTER (WHERE arm = 'leaked') - max(m) FILTER (WHERE arm = 'unleaked'), 6) AS leaked_less_unleaked, round(max(m) FILTER (WHERE arm = 'unleaked') - max(m) FILTER (WHERE arm = 'base'), 6) AS unleaked_less_base FROM hm GROUP BY half""")
+def half_contrast(spark, sf):
+    """What leaking changes, in each half by itself."""
+    m = arm_map(*arms_of(spark, sf), ["arm", "half"]).groupBy("half").pivot("arm", ["leaked", "unleaked", "base"]).agg(F.max("map"))
+    return m.select("half", F.round(F.col("leaked") - F.col("unleaked"), 6).alias("leaked_less_unleaked"), F.round(F.col("unleaked") - F.col("base"), 6).alias("unleaked_less_base"))
+
+
+DRAWS = f"""{X.FLAGGED}, m AS (SELECT id % 3 AS seed, 'random' AS kind, * FROM tp UNION ALL SELECT id % 3, 'grouped', id, cls, det, conf, {OTHER} FROM tp), n AS (SELECT id % 3 AS seed, cls, count(*)::DOUBLE AS npos FROM boxes GROUP BY 1, 2),
+{levels_sql('aps', 'SELECT m.*, npos FROM m JOIN n USING (seed, cls)', 'seed, kind, cls')}, d AS (SELECT seed, kind, avg(ap) AS m FROM aps GROUP BY seed, kind)"""
+
+
+def draws_of(spark, sf):
+    """(seed, kind, map) of the test items of three draws, under a model of a random and one of a grouped split."""
+    tp, _ = X.flagged(spark, sf)
+    tp = tp.withColumn("seed", F.col("id") % 3)
+    rows = tp.withColumn("kind", F.lit("random")).unionByName(tp.withColumn("tp", F.expr(OTHER)).withColumn("kind", F.lit("grouped")))
+    kinds = rows.select("kind").distinct()
+    pos = X.boxes(spark, sf).groupBy((F.col("id") % 3).alias("seed"), "cls").agg(F.count("*").cast("double").alias("npos")).crossJoin(F.broadcast(kinds))
+    by = ["seed", "kind", "cls"]
+    return R.average_precision(R.running(rows, pos, by), pos, by).groupBy("seed", "kind").agg(F.avg("ap").alias("map"))
+
+
+@query("inflation", f"{W}{DRAWS}, w AS (SELECT seed, max(m) FILTER (WHERE kind = 'random') AS r, max(m) FILTER (WHERE kind = 'grouped') AS g FROM d GROUP BY seed) SELECT round(avg(r - g), 6) AS mean_abs, round(stddev_samp(r - g), 6) AS sd, round(avg((r - g) / g), 6) AS mean_rel FROM w")
+def inflation(spark, sf):
+    w = draws_of(spark, sf).groupBy("seed").pivot("kind", ["random", "grouped"]).agg(F.max("map"))
+    return A.inflation(w).select(*(F.round(c, 6).alias(c) for c in ("mean_abs", "sd", "mean_rel")))
+
+
+@query("map_over_draws", f"{W}{DRAWS} SELECT kind, round(avg(m), 6) AS mean, round(min(m), 6) AS low, round(max(m), 6) AS high FROM d GROUP BY kind")
+def map_over_draws(spark, sf):
+    return A.over_draws(draws_of(spark, sf), ["kind"], "map").select("kind", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))

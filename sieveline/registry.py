@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from sieveline.plans import leakage, quality  # noqa: F401  they register their queries
+    from sieveline.plans import design, files, leakage, quality  # noqa: F401  they register their queries
 
 
 _load()

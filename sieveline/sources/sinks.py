@@ -27,6 +27,13 @@ def datasets(df: DataFrame, path: str) -> dict[tuple[str, str], int]:
     return {(r["dataset"], r["split"]): r["count"] for r in rows}
 
 
+def checked_datasets(df: DataFrame, path: str) -> None:
+    """datasets(), with an error if a count that is read back isn't that of df."""
+    want = {(r["dataset"], r["split"]): r["count"] for r in df.groupBy("dataset", "split").count().collect()}
+    if (got := datasets(df, path)) != want:
+        raise ValueError(f"data sets were written with other counts: {got}, not {want}")
+
+
 def macros(values: DataFrame, path: str) -> None:
     r"""(name, value) as lines ``\newcommand{\name}{value}``, by name; a null value is a placeholder."""
     value = F.coalesce(F.col("value").cast("string"), F.lit("??"))

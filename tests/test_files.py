@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from sieveline.operators import constraints as C
 from sieveline.sources import files, sinks
 from sieveline.streaming import incremental
@@ -44,3 +46,31 @@ def test_incremental_equals_all_at_once(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.a, r.b) for r in spark.read.parquet(f"file://{tmp_path}/state/pairs").collect()}
     assert got == {(a, b) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 3}
+
+
+def test_what_readers_reject(spark, tmp_path):
+    (tmp_path / "1.txt").write_text("0 .5 .5 .1 .2\n1 2 3\n")
+    with pytest.raises(Exception, match="malformed label line of item 1"):
+        files.labels(spark, f"file://{tmp_path}/1.txt", strict=True).collect()
+    (tmp_path / "ids").write_text("3 1 3")
+    with pytest.raises(ValueError, match="more than once"):
+        files.ids(spark, f"file://{tmp_path}/ids", unique=True)
+    df = spark.createDataFrame([("a", "s", 1), ("a", "s", 2)], "dataset string, split string, id long")
+    sinks.checked_datasets(df, f"file://{tmp_path}/ds")
+    there = spark.createDataFrame([(1, "x")], "id long, v string")
+    assert C.looked_up(df, there, "id").where("id = 1").first().v == "x"
+    with pytest.raises(Exception, match="no row for id 2"):
+        C.looked_up(df, there, "id").collect()
+
+
+def test_json_and_directories(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"a": 1, "b": [1, 2]}, indent=1))
+    assert tuple(files.json(spark, f"file://{tmp_path}/r.json").first()) == (1, [1, 2])
+    for split, ids in (("train", (1, 2)), ("test", (3,))):
+        (tmp_path / "labels" / split).mkdir(parents=True)
+        for i in ids:
+            (tmp_path / "labels" / split / f"{i}.txt").write_text("0")
+    assert sorted(map(tuple, files.split_of_directories(spark, f"file://{tmp_path}/labels").collect())) == [(1, "train"), (2, "train"), (3, "test")]
+    (tmp_path / "s.csv").write_text(" a, b \n1,x\n")
+    df = files.csv(spark, f"file://{tmp_path}/s.csv")
+    assert df.columns == ["a", "b"] and df.dtypes == [("a", "string"), ("b", "string")] and tuple(df.first()) == ("1", "x")
