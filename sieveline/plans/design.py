@@ -13,7 +13,7 @@ from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
 from sieveline.plans import fixtures as X
 from sieveline.plans.leakage import CORE, HELD, SPLIT, W, core_groups, held_out
-from sieveline.registry import query
+from sieveline.plans.book import query
 from sieveline.storage import cut
 
 DESIGN = f"""{HELD}, arms AS (SELECT r.id, r.grp, r.res, role, CASE WHEN role <> 'placebo' THEN h.half END AS half FROM roles r LEFT JOIN half h USING (grp)),

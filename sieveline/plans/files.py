@@ -10,7 +10,7 @@ from sieveline.functions import scalar as V
 from sieveline.operators import boxes as B
 from sieveline.plans import fixtures as X
 from sieveline.plans.leakage import W
-from sieveline.registry import query
+from sieveline.plans.book import query
 from sieveline.sources import files, sinks
 from sieveline.storage import shared_dir, table
 

@@ -11,7 +11,7 @@ from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
 from sieveline.operators.order import with_next
 from sieveline.plans import fixtures as X
-from sieveline.registry import query
+from sieveline.plans.book import query
 from sieveline.storage import cut
 
 W = "WITH RECURSIVE "

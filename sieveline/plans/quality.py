@@ -13,7 +13,7 @@ from sieveline.operators import constraints as C
 from sieveline.operators import design as D
 from sieveline.operators import scoring as R
 from sieveline.plans import fixtures as X
-from sieveline.registry import query
+from sieveline.plans.book import query
 from sieveline.storage import cut, table
 
 W = "WITH RECURSIVE "

@@ -1,27 +1,8 @@
-"""Queries by name and, where SQL can express them, the same in DuckDB SQL."""
+"""All queries of the library, by name, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sieveline.plans import design, files, leakage, quality  # noqa: F401  they register their queries
+from sieveline.plans.book import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame function, with its oracle if it has one."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def _load() -> None:
-    from sieveline.plans import design, files, leakage, quality  # noqa: F401  they register their queries
-
-
-_load()
+__all__ = ["ORACLES", "QUERIES", "query"]

@@ -10,11 +10,15 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Least seconds between two calls of the garbage collectors.
+PAUSE = 2.0
+_freed = 0.0
 _made: dict[str, SparkSession] = {}
 _local: dict[str, str] = {}  # folders of local applications
 
@@ -67,9 +71,14 @@ def drop(*tables: DataFrame) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and broadcasts that nothing refers to any more."""
+    """Let Spark's cleaner drop shuffle files and broadcasts that nothing refers to any more; not more often
+    than every PAUSE seconds, in which little can gather."""
+    global _freed
+    if time.monotonic() - _freed < PAUSE:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _freed = time.monotonic()
 
 
 @atexit.register

@@ -1,9 +1,12 @@
 """Queries against their SQL over whole tables, and invariants of those that SQL can't express."""
 
+import functools
+
 import duckdb
 import pytest
 
 from sieveline import registry
+from sieveline.plans import design, fixtures, leakage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -17,6 +20,19 @@ def con(sf):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def once():
+    """Tables that many queries begin with are made once for all of them."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fixtures, "sim_pairs", functools.cache(fixtures.sim_pairs))
+        core = functools.cache(leakage.core_groups)
+        for module in (leakage, design):
+            patch.setattr(module, "core_groups", core)
+        for name in ("arms_of", "both_splits", "rated_of"):
+            patch.setattr(design, name, functools.cache(getattr(design, name)))
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)

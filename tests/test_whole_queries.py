@@ -84,11 +84,12 @@ def test_splits_keep_groups_whole_and_come_near_their_shares(spark, sf):
 
     rows = X.items(spark, sf).where("labeled").select("id", "res").join(core_groups(spark, sf)[0], "id")
     n = rows.count()
-    for name in ("balanced_group_split", "fast_group_split"):
+    # Without moves a split is as near as dealing whole groups out brings it.
+    for name, near in (("balanced_group_split", 0.01), ("fast_group_split", 0.03)):
         split = registry.QUERIES[name](spark, sf)
         size = {r.split: r["count"] for r in rows.join(split, "grp").groupBy("split").count().collect()}
         assert sum(size.values()) == n and split.count() == split.select("grp").distinct().count()
-        assert all(abs(size[s] / n - share) < 0.02 for s, share in (("train", 0.7), ("val", 0.15), ("test", 0.15)))
+        assert all(abs(size[s] / n - share) < near for s, share in (("train", 0.7), ("val", 0.15), ("test", 0.15)))
     assert registry.QUERIES["capped_counts"](spark, sf).select(F.col("merged") + F.col("refused")).first()[0] >= 0
 
 
