@@ -51,14 +51,15 @@ def thue_morse(n):
 
 
 def test_words_that_sums_of_powers_confuse(spark):
+    rows = []
     for n in (16, 1024, 4096):
         a, b = thue_morse(n)
-        rows = [(1, " ".join([*map(str, range(19)), a])), (2, " ".join([*map(str, range(19)), b])), (3, " ".join([*map(str, range(19)), a]))]
-        assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+        rows += [(len(rows) + k, " ".join([*(f"{n}-{i}" for i in range(19)), word])) for k, word in enumerate((a, b, a))]
     # The same for windows of words.
     a, b = (" ".join(x) for x in thue_morse(64))
-    rows = [(1, a + " " + "y " * 9), (2, "z " * 5 + b), (3, a)]
-    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    rows += [(11, a + " " + "y " * 9), (12, "z " * 5 + b), (13, a)]
+    want = brute(rows)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == want and [r[2] for r in sorted(want) if r[0] < 9] == [0, 0, 20] * 3
 
 
 def test_factors_are_checked_by_their_words(spark, monkeypatch):
