@@ -97,3 +97,31 @@ def test_keep_one(spark):
     got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
     assert got == sorted([rows[0], rows[3], rows[4], rows[7], rows[9]], key=str)
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_every_pair_of_similar_sets_is_linked(spark):
+    """Groups of near copies around the threshold, in which the bands' representatives leave some pairs apart."""
+    rnd, rows = random.Random(1), []
+    for _ in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([60, 100, 160]))]
+        for _ in range(25):
+            t = [*base]
+            for i in rnd.sample(range(len(t)), max(1, len(t) // 50)):
+                t[i] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    fps = [plain(t) for _, t in rows]
+    up = [*range(len(rows))]
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, top(i)) for i in range(len(rows))]
