@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import map_rows
+from sieveline.llm.common import give_back, map_rows
 
 #: Rows a language of which the model learns, about: a hashed share of its labelled rows, each
 #: row's fate depending on its own id and the language's count alone. With this many rows the
@@ -199,5 +199,7 @@ def accept(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame
                 part = batch.slice(i, 512)
                 found = [*map(m.predict, part.column(at).to_pylist())]
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+        m = batch = part = found = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

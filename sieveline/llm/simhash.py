@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import map_rows, mixed, text_check, word_hashes
+from sieveline.llm.common import give_back, map_rows, mixed, text_check, word_hashes
 from sieveline.operators.graph import connected_components
 from sieveline.storage import cut, drop
 
@@ -221,6 +221,7 @@ def _linker(max_bits: int):
             rest = [x[whole:] for x in rest]
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], names=["src", "dst"])
+        give_back()
 
     return run
 
@@ -331,6 +332,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                     if both >= similar * (len(p) + len(q) - both):
                         keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        batch = p = q = None
+        give_back()
 
     met = pairs.select("x", "y").join(sets.select(F.col("s").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("s").alias("y"), F.col("grams").alias("gy")), "y")
     return met.select("x", "y", "gx", "gy").mapInArrow(check, "x long, y long")
