@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sieveline.llm.common import mixed, word_hashes
+from sieveline.llm.common import give_back, mixed, word_hashes
 from sieveline.storage import cut, drop
 
 #: Hashes that stand for the edges of a text; no word is known to have them.
@@ -39,6 +39,8 @@ SHARD_BLOCKS, BUCKET_BYTES = 256, 8 << 20
 LEAST_PAIR, PAIR_SHARE = 1, 0.25
 #: Tokens that a task counts at a time before it passes the counts on.
 COMBINED = 4_000_000
+#: Rows of a batch of counts; the JVM holds a whole batch outside its heap.
+SENT_GRAMS = 1 << 16
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -54,26 +56,32 @@ def pairs(t: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ones, twos, n = [], [], 0
+    """Each n-gram with its count, of COMBINED tokens (or of one longer text) at a time, SENT_GRAMS to a batch."""
+    ones, twos, n = np.empty(COMBINED, np.uint64), np.empty(COMBINED, np.uint64), 0
 
     def flush():
-        for pair, some in ((False, ones), (True, twos)):
-            grams, times = np.unique(np.concatenate(some), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), pair)), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], names=["pair", "gram", "n"])
-            some.clear()
+        for pair, grams in ((False, ones[:n]), (True, twos[:n])):
+            grams.sort()  # in its place: a copy of all tokens would be as large again
+            edge = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            for at in range(0, len(edge), SENT_GRAMS):
+                some, end = edge[at : at + SENT_GRAMS], edge[at + SENT_GRAMS] if at + SENT_GRAMS < len(edge) else n
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), pair)), pa.array(grams[some].view(np.int64)), pa.array(np.diff(some, append=end))], names=["pair", "gram", "n"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             for text in batch.column(0).slice(at, 256).to_pylist():
                 t = tokens(text)
-                ones.append(t)
-                twos.append(pairs(t))
+                if n and n + len(t) > len(ones):
+                    yield from flush()
+                    n = 0
+                if len(t) > len(ones):
+                    ones, twos = np.empty(len(t), np.uint64), np.empty(len(t), np.uint64)
+                ones[n : n + len(t)], twos[n : n + len(t)] = t, pairs(t)
                 n += len(t)
-            if n >= COMBINED:
-                yield from flush()
-                n = 0
-    if ones:
+    if n:
         yield from flush()
+    ones = twos = t = None
+    give_back()
 
 
 def level(n: Column) -> Column:
@@ -137,6 +145,8 @@ def _build(blocks: int, first: tuple[int, int]):
                     mine[bit[a:b].reshape(-1)] = True
         for block, bits in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+        made = batch = gram = some = order = bit = None
+        give_back()
 
     return run
 

@@ -1,5 +1,11 @@
 import subprocess
 import sys
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from sieveline.llm import lm
 
 #: Runs a pass's function over three rows, each of which takes 200 MB in blocks that come from the heap, below one
 #: that stays, and prints the MB that the process has more afterwards.
@@ -52,3 +58,20 @@ def test_a_task_gives_its_memory_back():
     for name in ("map_rows", "accept"):
         rows, mb = held(name)
         assert rows == 3 and mb < 60
+
+
+def test_counts_come_in_small_batches(monkeypatch):
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(map(str, rnd.integers(0, 400_000, 2_000))) for _ in range(150)] + [None, "a " * 90_000]
+    each = [lm.tokens(t) for t in texts]
+    want = Counter((False, x) for t in each for x in t.tolist()) + Counter((True, x) for t in each for x in lm.pairs(t).tolist())
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for combined in (lm.COMBINED, 50_000):  # the last text alone is longer
+        monkeypatch.setattr(lm, "COMBINED", combined)
+        found, size = Counter(), []
+        for batch in lm._counts(iter([rows.slice(0, 70), rows.slice(70)])):
+            pair, gram, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for p, g, k in zip(pair.tolist(), gram.view(np.uint64).tolist(), n.tolist()):
+                found[p, g] += k
+            size.append(batch.num_rows)
+        assert found == want and max(size) <= 1 << 16
