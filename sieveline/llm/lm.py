@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sieveline.llm.common import give_back, mixed, word_hashes
+from sieveline.llm.common import SPACE, give_back, mixed, word_hashes
 from sieveline.storage import cut, drop
 
 #: Hashes that stand for the edges of a text; no word is known to have them.
@@ -39,6 +39,8 @@ SHARD_BLOCKS, BUCKET_BYTES = 256, 8 << 20
 LEAST_PAIR, PAIR_SHARE = 1, 0.25
 #: Tokens that a task counts at a time before it passes the counts on.
 COMBINED = 4_000_000
+#: Bytes of texts whose words are hashed together.
+TOGETHER = 1 << 17
 #: Rows of a batch of counts; the JVM holds a whole batch outside its heap.
 SENT_GRAMS = 1 << 16
 
@@ -48,6 +50,36 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes((text or "").encode().lower()), np.uint64(END))
 
 
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts one after the other, and how many each has. About TOGETHER bytes are hashed at a time, as a
+    call for each text costs more than the words of a short one."""
+    found, sizes, some, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+
+    def flush():
+        raw = b" ".join(some)
+        words = word_hashes(raw)
+        inside = ~SPACE[np.frombuffer(raw, np.uint8)]
+        begin = np.flatnonzero(inside & np.append(True, ~inside[:-1])[: len(inside)])
+        edge = np.cumsum([len(x) + 1 for x in some])
+        size = np.diff(np.searchsorted(begin, edge), prepend=0) + 1
+        t, word = np.full(len(words) + len(some), np.uint64(END)), np.ones(len(words) + len(some), bool)
+        word[np.cumsum(size) - 1] = False
+        t[word] = words
+        found.append(t)
+        sizes.append(size)
+        some.clear()
+
+    for text in texts:
+        some.append((text or "").encode().lower())
+        n += len(some[-1])
+        if n >= TOGETHER:
+            flush()
+            n = 0
+    if some:
+        flush()
+    return np.concatenate(found), np.concatenate(sizes)
+
+
 def pairs(t: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
     """Hashes of the pairs of tokens that follow each other; a text's first with the start."""
     before = np.concatenate([np.zeros(1, np.uint64), t[:-1]])
@@ -56,7 +88,7 @@ def pairs(t: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each n-gram with its count, of COMBINED tokens (or of one longer text) at a time, SENT_GRAMS to a batch."""
+    """Each n-gram with its count, of COMBINED tokens (or of 256 texts that have more) at a time, SENT_GRAMS to a batch."""
     ones, twos, n = np.empty(COMBINED, np.uint64), np.empty(COMBINED, np.uint64), 0
 
     def flush():
@@ -69,15 +101,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            for text in batch.column(0).slice(at, 256).to_pylist():
-                t = tokens(text)
-                if n and n + len(t) > len(ones):
-                    yield from flush()
-                    n = 0
-                if len(t) > len(ones):
-                    ones, twos = np.empty(len(t), np.uint64), np.empty(len(t), np.uint64)
-                ones[n : n + len(t)], twos[n : n + len(t)] = t, pairs(t)
-                n += len(t)
+            t, size = tokens_of(batch.column(0).slice(at, 256).to_pylist())
+            if n and n + len(t) > len(ones):
+                yield from flush()
+                n = 0
+            if len(t) > len(ones):
+                ones, twos = np.empty(len(t), np.uint64), np.empty(len(t), np.uint64)
+            ones[n : n + len(t)], twos[n : n + len(t)] = t, pairs(t, np.cumsum(size) - size)
+            n += len(t)
     if n:
         yield from flush()
     ones = twos = t = None
@@ -265,11 +296,10 @@ def _asks(blocks: int, shards: int):
     """For a bucket's texts: per shard, the different words and the different pairs it is asked for, packed."""
 
     def run(part: pa.Table) -> pa.Table:
-        rows, each = [], [*map(tokens, part.column("text").to_pylist())]
-        size = np.array([*map(len, each)], np.int64)
-        t = np.concatenate(each)
-        for pair, grams in ((False, t), (True, pairs(t, np.cumsum(size) - size))):
-            grams = np.unique(grams)
+        rows, (t, size) = [], tokens_of(part.column("text").to_pylist())
+        for pair, grams in ((True, pairs(t, np.cumsum(size) - size)), (False, t)):
+            grams.sort()  # np.unique() goes through a hash table, which takes many times as long
+            grams = grams[np.append(True, grams[1:] != grams[:-1])]
             shard, edge = np.unique(block_of(grams, blocks) * shards // blocks, return_index=True)
             rows += [(s, pair, _packed(g)) for s, g in zip(shard.tolist(), np.split(grams, edge[1:]))]
         shard, pair, grams = zip(*rows)
@@ -325,9 +355,8 @@ def score(docs: DataFrame, model: Model, pair_share: float = PAIR_SHARE) -> Data
     def scored(part: pa.Table, answers: pa.Table) -> pa.Table:
         names, counts = shared.value
         ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-        each = [*map(tokens, texts)]
-        size = np.array([*map(len, each)], np.int64)
-        t, starts = np.concatenate(each), np.cumsum(size) - size
+        t, size = tokens_of(texts)
+        starts = np.cumsum(size) - size
         uniq, where = np.unique(t, return_inverse=True)
         uniq2, where2 = np.unique(pairs(t, starts), return_inverse=True)
         came = [[], []]

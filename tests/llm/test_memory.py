@@ -75,3 +75,15 @@ def test_counts_come_in_small_batches(monkeypatch):
                 found[p, g] += k
             size.append(batch.num_rows)
         assert found == want and max(size) <= 1 << 16
+
+
+def test_texts_are_hashed_together_as_one_by_one(monkeypatch):
+    rnd = np.random.default_rng(3)
+    words = ["a", "Bb", "word", "x" * 70, "\u00c4\u00e9", "longer-than-eight", "1"]
+    texts = [("\t " if i % 3 else "").join(w + rnd.choice([" ", "\n", "\x0b  "]) for w in rnd.choice(words, i % 40)) for i in range(500)] + [None, "", " ", "\u00a0", None]
+    each = [lm.tokens(t) for t in texts]
+    for together in (lm.TOGETHER, 1, 100):
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        t, size = lm.tokens_of(texts)
+        assert size.tolist() == [*map(len, each)] and t.tolist() == np.concatenate(each).tolist()
+    assert [x.tolist() for x in lm.tokens_of([])] == [[], []]
