@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, ctph, jpeg, langid, lm, mixing, secrets, simhash, substring, urlfilter
+from sieveline.llm import bpe, ctph, filters, jpeg, langid, lm, mixing, secrets, simhash, substring, urlfilter
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -102,3 +102,9 @@ def op1(spark, sf_dir):
     model = lm.train(docs.where(fold("doc_id", 7) != 2))
     found = lm.score(docs, model)
     return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op12_filter_audit", filters.SQL)
+def op12(spark, sf_dir):
+    """What each of five filters removes from the documents, by source, order and step."""
+    return filters.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
