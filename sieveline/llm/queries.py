@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, ctph, filters, jpeg, langid, lm, mixing, secrets, simhash, substring, urlfilter
+from sieveline.llm import bpe, ctph, filters, jpeg, langid, lm, mixing, secrets, simhash, substring, turns, urlfilter
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -108,3 +108,9 @@ def op1(spark, sf_dir):
 def op12(spark, sf_dir):
     """What each of five filters removes from the documents, by source, order and step."""
     return filters.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_turn_repair", turns.SQL)
+def op13(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, after damage."""
+    return turns.summaries(turns.damaged(table(spark, sf_dir, "conversations")))
