@@ -246,10 +246,11 @@ coded AS (SELECT *, xor(4294967295, list_reduce([4294967295::BIGINT] || list_tra
 damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
 names AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
-placed AS (SELECT c, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
-  row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged JOIN names ON damaged.conv_id IS NOT DISTINCT FROM names.conv_id),
+placed AS (SELECT c, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged JOIN names ON damaged.conv_id IS NOT DISTINCT FROM names.conv_id),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS seen FROM placed),
 faults AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, seen > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
-  lag(ini) OVER (PARTITION BY c ORDER BY i) || ini AS pair FROM placed),
+  lag(ini) OVER (PARTITION BY c ORDER BY i) || ini AS pair FROM seen),
 numbers AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
   count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY c),
 follows AS (SELECT * FROM (VALUES ('0', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U'), ('0', 's', 'S'), ('0', '', '0'), ('S', '', 'S'), ('U', '', 'U'), ('A', '', 'A')) AS t(s, ini, nxt)),
