@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, ctph, filters, jpeg, langid, lm, mixing, secrets, simhash, substring, turns, urlfilter
+from sieveline.llm import bpe, ctph, filters, jpeg, langid, lm, mixing, secrets, setjoin, simhash, substring, turns, urlfilter
 from sieveline.llm.common import fold
 from sieveline.storage import table
 
@@ -114,3 +114,9 @@ def op12(spark, sf_dir):
 def op13(spark, sf_dir):
     """Faults and cheapest repair of every conversation, after damage."""
     return turns.summaries(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_partenum")
+def op11(spark, sf_dir):
+    """The component of every document under a Jaccard similarity of 0.9 of three-word shingles."""
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
