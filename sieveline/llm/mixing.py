@@ -94,13 +94,13 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     id, source and text the copies are added up, and one of them is repeated so often. Texts are
     shuffled once, by the row's own key, and not sorted."""
     mixed = cut(mix(docs, **options).groupBy("doc_id", "source", "check").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")))
-    some = mixed.where("copies > 0").select(F.xxhash64("doc_id", "source", "check").alias("k"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("check").alias("c"), "copies")
+    some = mixed.where("copies > 0").select(F.xxhash64("doc_id", "source", "check").alias("__k"), F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("check").alias("__c"), F.col("copies").alias("__copies"))
     keyed = docs.withColumn("__check", text_check()).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "__check"))
-    same = (F.col("__key") == F.col("k")) & (F.col("__check") == F.col("c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("i")) & F.col("source").cast("string").eqNullSafe(F.col("s"))
+    same = (F.col("__key") == F.col("__k")) & (F.col("__check") == F.col("__c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & F.col("source").cast("string").eqNullSafe(F.col("__s"))
     out = keyed.join(some.hint("shuffle_hash"), same)
     if not mixed.where("rows > 1").isEmpty():
         out = out.dropDuplicates(["__key", "doc_id", "source", "__check"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 #: The query's result in DuckDB SQL, with the production parameters.

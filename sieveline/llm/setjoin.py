@@ -34,8 +34,8 @@ from sieveline.storage import cut, drop
 
 #: Pieces of a part that may differ (k2); a part has 2 * SPARE + 1 pieces.
 SPARE = 1
-#: Bits of a parity sketch.
-SKETCH_BITS = 1024
+#: Least and most bits of a parity sketch, a power of two from twice the set's size on.
+LEAST_BITS, MOST_BITS = 1024, 4096
 #: Sets of a signature that are compared at a time; a fuller group is cut into tiles of so many.
 TILE_ROWS = 2048
 #: Rows up to which a table is sent to all executors.
@@ -43,7 +43,6 @@ SENT_ROWS = 1 << 17
 #: Bytes of shingle sets that one task holds as arrays at a time while it verifies pairs.
 PAIR_BYTES = 1 << 24
 
-_WORDS = SKETCH_BITS // 64
 _edges: dict[int, list[int]] = {}
 
 
@@ -100,21 +99,42 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
 
 def sketch(grams: np.ndarray) -> bytes:
     """Bit by bit whether a set has an odd number of elements that hash to it: an element that only one of two sets
-    has turns one bit, so sketches differ in no more bits than sets in elements."""
-    at = (mixed(grams ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
-
-
-def unpacked(column: pa.Array) -> np.ndarray:
-    """Sketches of a column, a row of 64-bit numbers each."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _WORDS)
-
-
-def likely(n: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    has turns one bit, so sketches of one length differ in no more bits than sets in elements."""
+    bits = min(max(LEAST_BITS, 1 << (2 * len(grams)).bit_length()), MOST_BITS)
+    at = (mixed(grams ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class Sketches:
+    """The sketches of a column. Two are compared at the shorter one's length, to which the longer one is folded."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.words, self.at = np.array([len(x) // 8 for x in raw], np.int64), {}
+        for w in np.unique(self.words).tolist():
+            place, parts, n = np.full(len(raw), -1), [], 0
+            for v in np.unique(self.words[self.words >= w]).tolist():
+                rows = np.flatnonzero(self.words == v)
+                place[rows] = np.arange(n, n + len(rows))
+                n += len(rows)
+                parts.append(np.bitwise_xor.reduce(np.frombuffer(b"".join([raw[i] for i in rows.tolist()]), np.uint64).reshape(len(rows), v // w, w), axis=1))
+            self.at[w] = place, np.concatenate(parts)
+
+    def bits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the pairs of rows (i, j) differ."""
+        w, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), np.int64)
+        for words, (place, rows) in self.at.items():
+            some = np.flatnonzero(w == words)
+            if len(some):
+                out[some] = np.bitwise_count(rows[place[i[some]]] ^ rows[place[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def likely(n: np.ndarray, sketches: Sketches, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs (i, j) may be similar, by sizes and sketches, and in how many bits these differ."""
     a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     fit = np.flatnonzero(percent * b <= 100 * a)
-    bits = np.bitwise_count(sketches[i[fit]] ^ sketches[j[fit]]).sum(axis=1, dtype=np.int64)
+    bits = sketches.bits(i[fit], j[fit])
     near = bits * (100 + percent) <= (a + b)[fit] * (100 - percent)
     return fit[near], bits[near]
 
@@ -134,12 +154,12 @@ def rows_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return map_rows(texts.select("doc_id", "text", text_check().alias("check")), start, "doc_id long, check long, s binary, n long, sketch binary, signatures array<long>")
 
 
-def whole_sets(texts: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(s, grams) of the wanted sets (s), each made again from one of its texts."""
-    at = rows.join(wanted.select(F.col("s").alias("w")).distinct(), F.col("s") == F.col("w"), "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "check")).alias("at"))
-    need = cut(at.select("s", F.col("at.doc_id").alias("i"), F.col("at.check").alias("c")).withColumn("k", F.xxhash64("i", "c")))
+def whole_sets(texts: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(s, grams) of the wanted sets (s), each made again from one of its texts. sets: s, at (doc_id, check)."""
+    need = sets.select("s", "at").join(wanted.select(F.col("s").alias("w")).distinct(), F.col("s") == F.col("w"), "left_semi")
+    need = cut(need.select("s", F.col("at.doc_id").alias("i"), F.col("at.check").alias("c"), F.xxhash64("at.doc_id", "at.check").alias("k")))
     need = F.broadcast(need) if need.count() <= SENT_ROWS else need.hint("shuffle_hash")
-    own = texts.withColumn("check", text_check()).withColumn("key", F.xxhash64("doc_id", "check"))
+    own = texts.select("doc_id", "text", text_check().alias("check")).withColumn("key", F.xxhash64("doc_id", "check"))
     own = own.join(need, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i")))
 
     def start():
@@ -181,7 +201,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 m = batch.num_rows
                 n = np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)])
-                both = np.concatenate([unpacked(batch.column(c)) for c in (4, 5)])
+                both = Sketches(pa.concat_arrays([batch.column(c) for c in (4, 5)]))
                 keep, _ = likely(n, both, np.arange(m), np.arange(m) + m, percent)
                 yield batch.select([0, 1]).take(pa.array(keep))
 
@@ -195,7 +215,7 @@ def _tiles(percent: int, best: bool, target: pa.Schema):
 
     def pairs_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         group, left, right, chunk, n = (table.column(c).to_numpy() for c in range(5))
-        sketches, root = unpacked(table.column(5).combine_chunks()), table.column(7).combine_chunks().dictionary_encode().indices.to_numpy()
+        sketches, root = Sketches(table.column(5).combine_chunks()), table.column(7).combine_chunks().dictionary_encode().indices.to_numpy()
         new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
         size = np.diff(np.append(new, len(group)))
         # Many small groups at once: each row with the one so many steps after it.
@@ -210,8 +230,8 @@ def _tiles(percent: int, best: bool, target: pa.Schema):
             own = np.arange(a, a + m)
             one, two = own[chunk[own] == left[a]], own[chunk[own] == right[a]]
             found = []
-            for at in range(0, len(one), max(1, (1 << 17) // max(1, len(two)))):
-                part = one[at : at + max(1, (1 << 17) // max(1, len(two)))]
+            for at in range(0, len(one), max(1, (1 << 15) // max(1, len(two)))):
+                part = one[at : at + max(1, (1 << 15) // max(1, len(two)))]
                 i, j = (x.reshape(-1) for x in np.broadcast_arrays(part[:, None], two[None, :]))
                 take = (root[i] != root[j]) & ((i < j) | (left[a] != right[a]))
                 i, j = i[take], j[take]
@@ -262,13 +282,12 @@ def _and_last(batches):
 
 def cross_pairs(posts: DataFrame, root: DataFrame, sets: DataFrame, percent: int, best: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(x, y): pairs of sets of one group that have different roots and may be similar, x < y, each once. posts: group
-    (long), s; root: q, root of sets that are linked at all; sets: s, n, sketch. best: of each two components in
+    (long), s; root: q, root of every set; sets: s, n, sketch. best: of each two components in
     a large tile only the likeliest pair; at least one where there is any.
 
     A group's rows are cut into chunks by a hash, and each two chunks are a tile of their own. Rows, not pairs, travel.
     """
-    posts = posts.join(root.select(F.col("q").alias("s"), "root"), "s", "left").select("group", "s", F.coalesce("root", "s").alias("root"))
-    posts = cut(posts)
+    posts = cut(posts.join(root.select(F.col("q").alias("s"), "root"), "s").select("group", "s", "root"))
     several = posts.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b")
     several = cut(several.select(F.col("group").alias("g"), F.ceil(F.col("m") / F.lit(tile_rows)).cast("int").alias("tiles")))
     kept = posts.join(F.broadcast(several) if several.count() <= SENT_ROWS else several, F.col("group") == F.col("g"))
@@ -284,31 +303,48 @@ def cross_pairs(posts: DataFrame, root: DataFrame, sets: DataFrame, percent: int
     return out
 
 
-def similar_links(texts: DataFrame, rows: DataFrame, sets: DataFrame, posts: DataFrame, first: DataFrame, known: DataFrame | None, shingle: int, percent: int) -> DataFrame:
-    """(src, dst): links between similar sets, enough to connect all that chains of them connect, with known ones.
+class Links:
+    """Links between similar sets: enough of them to connect all that chains of links connect.
 
-    posts: (group, s) of every group in which similar sets meet; first: pairs (x, y) that are looked at in any case;
-    rows: doc_id, check, s of texts; sets: s, n, sketch.
+    sets: s, n, sketch, at (doc_id and check of one text) and the column that names a set's vertex; known: links
+    (src, dst) of vertices that are there already. texts: doc_id, text.
     """
-    links = known
 
-    def add(pairs):
-        nonlocal links
-        near = cut(near_pairs(pairs, sets, percent))
-        whole = cut(whole_sets(texts, rows, near.select(F.explode(F.array("x", "y")).alias("s")), shingle))
-        found = cut(verified(near, whole, percent).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    def __init__(self, texts: DataFrame, sets: DataFrame, shingle: int, percent: int, vertex: str = "s", known: DataFrame | None = None):
+        self.texts, self.sets, self.shingle, self.percent, self.links = texts, sets, shingle, percent, known
+        self.vertex = sets.select(F.col("s").alias("q"), F.col(vertex).alias("v"))
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """Link the similar ones of pairs (x, y) of sets; gives those that sizes and sketches didn't rule out."""
+        near = cut(near_pairs(pairs, self.sets, self.percent))
+        whole = cut(whole_sets(self.texts, self.sets, near.select(F.explode(F.array("x", "y")).alias("s")), self.shingle))
+        found = verified(near, whole, self.percent)
+        for end, name in (("x", "src"), ("y", "dst")):
+            found = found.join(self.vertex.select(F.col("q").alias(end), F.col("v").alias(name)), end)
+        found = cut(found.select("src", "dst").where("src <> dst"))
         drop(whole)
-        links = found if links is None else links.union(found)
+        self.links = found if self.links is None else self.links.union(found)
         return near
 
-    roots = lambda: cut(connected_components(links).select(F.col("node").alias("q"), F.col("component").alias("root")))
-    add(first)
-    found = cross_pairs(posts, roots(), sets, percent, True)
-    if not found.isEmpty():
-        add(found)
-        rest = cross_pairs(posts, roots(), sets, percent, False).join(found, ["x", "y"], "left_anti")
-        add(rest)
-    return links
+    def roots(self) -> DataFrame:
+        """(q, root): the component of every set by now."""
+        parts = cut(connected_components(self.links))
+        return cut(self.vertex.join(parts, F.col("v") == F.col("node"), "left").select("q", F.coalesce("component", "v").alias("root")))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (x, y) those whose ends aren't connected by now."""
+        root = self.roots()
+        for end, name in (("x", "rx"), ("y", "ry")):
+            pairs = pairs.join(root.select(F.col("q").alias(end), F.col("root").alias(name)), end)
+        return pairs.where("rx <> ry").drop("rx", "ry")
+
+    def across(self, posts: DataFrame) -> None:
+        """Link similar sets of one group (group, s) that aren't connected by now: of each two components the likeliest
+        pair of a group first, then all pairs of those that this leaves apart."""
+        found = cross_pairs(posts, self.roots(), self.sets, self.percent, True)
+        if not found.isEmpty():
+            self.add(found)
+            self.add(cross_pairs(posts, self.roots(), self.sets, self.percent, False).join(found, ["x", "y"], "left_anti"))
 
 
 def groups_of(sets: DataFrame) -> DataFrame:
@@ -331,11 +367,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, shingle: int = 3) ->
         raise ValueError("a similarity of 1 to 100 percent")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(rows_of(texts, shingle, percent))
-    sets = cut(rows.where("s is not null").groupBy("s").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "signatures"))))
+    sets = cut(rows.where("s is not null").groupBy("s").agg(F.min(F.struct("doc_id", "check")).alias("at"), *(F.first(c).alias(c) for c in ("n", "sketch", "signatures"))))
     posts = cut(groups_of(sets))
-    first = posts.select("s", F.explode(F.array("low", "high")).alias("r")).where("s <> r").select(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).distinct()
-    links = similar_links(texts, rows, sets, posts.select("group", "s"), first, None, shingle, percent)
-    return label(rows, connected_components(links))
+    links = Links(texts, sets, shingle, percent)
+    links.add(posts.select("s", F.explode(F.array("low", "high")).alias("r")).where("s <> r").select(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).distinct())
+    links.across(posts.select("group", "s"))
+    return label(rows, connected_components(links.links))
 
 
 def label(rows: DataFrame, components: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import give_back, map_rows, mixed, text_check, word_hashes
+from sieveline.llm.common import give_back, map_rows, mixed, text_check
+from sieveline.llm.setjoin import Links, shingle_set, sketch
 from sieveline.operators.graph import connected_components
-from sieveline.storage import cut, drop
+from sieveline.storage import cut
 
 #: Bits by which linked fingerprints differ at most; the two halves of the grid rely on 3.
 MAX_BITS = 3
@@ -36,8 +37,8 @@ BANDS, BAND_ROWS = 24, 4
 FIRST_BANDS = 2
 #: Texts from whose shingles the frequent ones are learned, and how many frequent ones are held.
 SAMPLE_TEXTS, OFTEN = 1 << 14, 1 << 16
-#: Rows up to which a table is sent to all executors.
-SENT_ROWS = 1 << 17
+#: Words of a shingle of the sets that overlap_links() compares.
+SHINGLE = 5
 _SEEDS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 _ODD, _LOW = np.uint64(0x5555555555555555), np.uint64(0xFFFFFFFF)
@@ -255,18 +256,6 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int = TILE_ROWS,
     return met.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_linker(max_bits), "src long, dst long")
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Ascending hashes of a text's different runs of ``shingle`` words (of all words, if there are fewer)."""
-    words = word_hashes((text or "").encode().lower())
-    if not len(words):
-        return words
-    n = min(shingle, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)])
-    return np.unique(out)
-
-
 def _bands(grams: np.ndarray) -> list[int]:
     """A hash of each band of MinHash values."""
     least = np.full(BANDS * BAND_ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -283,155 +272,61 @@ def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, ascending, and their places from the rarest to the most frequent."""
     share = texts.count() // SAMPLE_TEXTS + 1
     some = texts.where(F.pmod(F.xxhash64("check", "doc_id"), F.lit(share)) == 0)
-    grams = map_rows(some.select("text"), lambda: lambda cols: [[shingle_set(t).view(np.int64) for t in cols[0]]], "grams array<long>")
+    grams = map_rows(some.select("text"), lambda: lambda cols: [[shingle_set(t, SHINGLE).view(np.int64) for t in cols[0]]], "grams array<long>")
     most = grams.select(F.explode("grams").alias("g")).groupBy("g").count().where("count > 2").orderBy(F.desc("count"), "g").limit(OFTEN)
     found = most.select("g").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
     order = np.argsort(found)
     return found[order], order.astype(np.uint64)
 
 
-def _prefix(grams: np.ndarray, often: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+def _prefix(grams: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     """A set's first shingles in an order that holds for all sets, frequent shingles last: as many as make sure that
-    two sets of similarity ``similar`` share one of them."""
+    two sets of that similarity share one of them."""
     key = grams >> np.uint64(2)
     if len(often[0]):
         at = np.minimum(np.searchsorted(often[0], grams), len(often[0]) - 1)
         known = often[0][at] == grams
         key[known] = np.uint64(1 << 62) + often[1][at[known]]
-    return np.sort(key)[: len(key) - int(np.ceil(similar * len(key) - 1e-9)) + 1].view(np.int64)
-
-
-def _row_key(doc_id, check):
-    return F.xxhash64(doc_id, check)
-
-
-def _sets(texts: DataFrame, rows: DataFrame, met: DataFrame) -> DataFrame:
-    """(s, grams): the shingle sets of pairs, each made again from one of its texts. texts: doc_id, check, text."""
-    need = met.select(F.explode(F.array("x", "y")).alias("n")).distinct().join(rows.select("s", "at"), F.col("n") == F.col("s"))
-    need = need.select("s", F.col("at.doc_id").alias("i"), F.col("at.check").alias("c"), _row_key(F.col("at.doc_id"), F.col("at.check")).alias("k"))
-    need = cut(need)
-    need = F.broadcast(need) if need.count() <= SENT_ROWS else need.hint("shuffle_hash")
-    own = texts.withColumn("key", _row_key(F.col("doc_id"), F.col("check"))).join(need, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i")))
-
-    def start():
-        return lambda cols: [cols[0], [shingle_set(t).tobytes() for t in cols[1]]]
-
-    return map_rows(own.select("s", "text"), start, "s long, grams binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (x, y) of sets whose Jaccard similarity is ``similar`` or more."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (p, q) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if min(len(p), len(q)) >= similar * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if both >= similar * (len(p) + len(q) - both):
-                        keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-        batch = p = q = None
-        give_back()
-
-    met = pairs.select("x", "y").join(sets.select(F.col("s").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("s").alias("y"), F.col("grams").alias("gy")), "y")
-    return met.select("x", "y", "gx", "gy").mapInArrow(check, "x long, y long")
-
-
-def _shared(rows: DataFrame, root: DataFrame, similar: float) -> DataFrame:
-    """(x, y, rx, ry, likely): every pair of sets with different roots whose similarity may be ``similar`` or more,
-    and what it is at most.
-
-    Two such sets share a shingle of their prefixes (rows: s, n, prefix). Of a shingle's sets those with its most
-    frequent root don't meet each other. What two sets have in common is at most the shingles that their prefixes
-    share and what is left after the last of these; no shingle of the prefix that ends first is shared with the
-    rest of the other set.
-    """
-    own = cut(rows.select("s", "n", "prefix").join(root.select(F.col("q").alias("s"), "root"), "s"))
-    posts = own.select("s", "root", F.posexplode("prefix").alias("at", "key"))
-    keys = cut(posts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
-    posts = cut(posts.join(F.broadcast(keys) if keys.count() <= SENT_ROWS else keys, "key"))
-    main = posts.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    size = own.select("s", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("end"))
-    posts = cut(posts.join(main, "key").join(size.select("s", "n"), "s"))
-    a, b = (posts.select(F.col("key").alias(f"key{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("s", "root", "at", "n", "main"))) for i in "ab")
-    near = F.least("na", "nb") >= similar * F.greatest("na", "nb") - 1e-6
-    met = a.where("roota <> maina").join(b, (F.col("keya") == F.col("keyb")) & (F.col("roota") != F.col("rootb")) & near & F.expr("rootb = mainb or sa < sb"))
-    swap = F.col("sa") > F.col("sb")
-    first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    met = met.groupBy(F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y")).agg(
-        F.count("*").alias("both"), F.max(first("ata", "atb")).alias("i"), F.max(first("atb", "ata")).alias("j"), F.first(first("roota", "rootb")).alias("rx"), F.first(first("rootb", "roota")).alias("ry")
-    )
-    for c in "xy":
-        met = met.join(size.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.col("end").alias(f"end{c}")), c)
-    left = F.when(F.col("endx") <= F.col("endy"), F.least(F.expr("nx - px"), F.expr("ny - j - 1"))).otherwise(F.least(F.expr("ny - py"), F.expr("nx - i - 1")))
-    most = F.least(F.col("both") + left, F.col("nx"), F.col("ny"))
-    met = met.withColumn("likely", most / (F.col("nx") + F.col("ny") - most)).where(F.col("likely") >= similar - 1e-6)
-    return cut(met.select("x", "y", "rx", "ry", "likely"))
+    return np.sort(key)[: len(key) + percent * -len(key) // 100 + 1].view(np.int64)
 
 
 def overlap_links(docs: DataFrame, known: DataFrame, similar: float = 0.8) -> DataFrame:
     """(src, dst): the known links of fingerprints, and those between texts whose five-word shingle sets have a
-    Jaccard similarity of ``similar`` or more, as far as they connect what isn't connected yet.
+    Jaccard similarity of ``similar`` (in whole percent) or more, as far as they connect what isn't connected yet.
 
     First, MinHash bands connect most of a large group of near copies: each set of a band meets the band's
     representative, another one in each band, so a group gives as many candidates as it has rows times bands.
-    Candidates of the first bands are verified first; of the others only those whose ends are still apart, which
-    a group of near copies has few of, so sets don't travel once for each band. Then a prefix join finds every
-    pair of that similarity whose ends are apart after that (_shared()), whatever the bands have missed: of each
-    two components the likeliest pair is verified, and all pairs of those that this leaves apart. The exact
-    similarity decides on every candidate.
+    Candidates of the first bands are looked at first; of the others only those whose ends are still apart. Then
+    every pair of that similarity shares a shingle of their prefixes, whatever the bands have missed: sets of one
+    such shingle that are still apart are compared within tiles (setjoin.cross_pairs()), so pairs that aren't similar
+    never become rows. Sketches rule out most candidates, the exact similarity decides on the rest.
     """
+    percent = round(100 * similar)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_check().alias("check")).where("text is not null")
     often = _often(texts)
 
     def start():
         def run(cols):
-            sets = [*map(shingle_set, cols[1])]
-            ids = [xxhash.xxh64_intdigest(g.tobytes(), 9) - (1 << 63) for g in sets]
-            return [pa.array(np.array([*map(fingerprint, cols[1])], np.uint64).view(np.int64)), ids, cols[0], cols[2], [_bands(g) if len(g) else [] for g in sets], [len(g) for g in sets], [_prefix(g, often, similar) if len(g) else [] for g in sets]]
+            sets = [shingle_set(t, SHINGLE) for t in cols[1]]
+            some = lambda f: [f(g) if len(g) else None for g in sets]
+            fps = pa.array(np.array([*map(fingerprint, cols[1])], np.uint64).view(np.int64))
+            return [fps, some(lambda g: xxhash.xxh128_digest(g.tobytes())), cols[0], cols[2], some(_bands), [len(g) for g in sets], some(lambda g: _prefix(g, often, percent)), some(sketch)]
 
         return run
 
-    rows = map_rows(texts.select("doc_id", "text", "check"), start, "fp long, s long, doc_id long, check long, bands array<long>, n int, prefix array<long>").where("n > 0")
-    rows = cut(rows.groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("top"), F.collect_set("fp").alias("fps"), F.min(F.struct("doc_id", "check")).alias("at"), *(F.first(c).alias(c) for c in ("bands", "n", "prefix"))))
+    rows = map_rows(texts.select("doc_id", "text", "check"), start, "fp long, s binary, doc_id long, check long, bands array<long>, n long, prefix array<long>, sketch binary").where("s is not null")
+    rows = cut(rows.groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("top"), F.collect_set("fp").alias("fps"), F.min(F.struct("doc_id", "check")).alias("at"), *(F.first(c).alias(c) for c in ("bands", "n", "prefix", "sketch"))))
     band = rows.select("s", F.posexplode("bands").alias("k", "band"))
     rep = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "s").alias("h"), "s")).alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("m.s").alias("r"))
     met = band.join(rep, F.col("band") == F.col("b")).where("s <> r")
     met = cut(met.groupBy(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).agg(F.min("k").alias("k")))
-    sets = cut(_sets(texts, rows, met))
 
-    of = rows.select(F.col("s").alias("q"), F.col("fp").alias("f"))
-    ends = lambda pairs: pairs.join(of.select(F.col("q").alias("x"), F.col("f").alias("src")), "x").join(of.select(F.col("q").alias("y"), F.col("f").alias("dst")), "y").select("src", "dst").where("src <> dst")
     same = rows.where("fp <> top").select("fp", F.explode("fps").alias("other")).select(F.col("fp").alias("src"), F.col("other").alias("dst")).where("src <> dst")
-    base = cut(known.union(same).union(ends(_verified(met.where(F.col("k") < FIRST_BANDS), sets, similar))))
-
-    def roots(linked):
-        parts = cut(connected_components(linked))
-        return cut(of.join(parts, F.col("f") == F.col("node"), "left").select("q", F.coalesce("component", "f").alias("root")))
-
-    def still(pairs, root):
-        return pairs.join(root.select(F.col("q").alias("x"), F.col("root").alias("rx")), "x").join(root.select(F.col("q").alias("y"), F.col("root").alias("ry")), "y").where("rx <> ry")
-
-    root = roots(base)
-    more = cut(ends(_verified(still(met.where(F.col("k") >= FIRST_BANDS), root), sets, similar)))
-    drop(sets)
-    if not more.isEmpty():
-        base = base.union(more)
-        root = roots(base)
-
-    shared = _shared(rows, root, similar)
-    best = cut(shared.groupBy(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).agg(F.max(F.struct("likely", "x", "y")).alias("m")).select("m.x", "m.y"))
-    sets = cut(_sets(texts, rows, best))
-    base = base.union(cut(ends(_verified(best, sets, similar))))
-    drop(sets)
-    if best.count() < shared.count():
-        rest = cut(still(shared.join(best, ["x", "y"], "left_anti").select("x", "y"), roots(base)).select("x", "y"))
-        sets = cut(_sets(texts, rows, rest))
-        base = base.union(cut(ends(_verified(rest, sets, similar))))
-        drop(sets)
-    return base
+    links = Links(texts, rows, SHINGLE, percent, "fp", cut(known.union(same)))
+    links.add(met.where(F.col("k") < FIRST_BANDS).select("x", "y"))
+    links.add(links.apart(met.where(F.col("k") >= FIRST_BANDS).select("x", "y")))
+    links.across(rows.select(F.explode("prefix").alias("group"), "s"))
+    return links.links
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, similar: float | None = None) -> DataFrame:
@@ -466,9 +361,9 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, similar: float | None =
     overlap_links()."""
     found = cut(near_duplicates(docs, max_bits, similar))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "check")).alias("at"))
-    first = first.select(F.xxhash64("at.doc_id", "at.check").alias("k"), F.col("at.doc_id").alias("i"), F.col("at.check").alias("c"))
+    first = first.select(F.xxhash64("at.doc_id", "at.check").alias("__k"), F.col("at.doc_id").alias("__i"), F.col("at.check").alias("__c"))
     keyed = docs.withColumn("__check", text_check()).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "__check"))
-    kept = keyed.join(first.hint("shuffle_hash"), (F.col("__key") == F.col("k")) & (F.col("__check") == F.col("c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("i")), "left_semi")
+    kept = keyed.join(first.hint("shuffle_hash"), (F.col("__key") == F.col("__k")) & (F.col("__check") == F.col("__c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")), "left_semi")
     if not found.groupBy("doc_id", "check").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["__key", "doc_id", "__check"])
     return kept.drop("__check", "__key")

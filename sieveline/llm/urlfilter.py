@@ -68,6 +68,7 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     further condition: intervals of a pattern don't overlap, so no capture finds two of them,
     and adaptive execution can split a host that very many captures share.
     """
+    captures = captures.select("id", "url", "fetched")  # other columns are ignored, whatever their names
     pairs = captures.select(F.col("url").alias("u"), F.col("fetched").alias("f")).where("u is not null and f is not null").distinct()
     keyed = pairs.select("u", "f", F.explode(keys_of(F.col("u"))).alias("key"))
     active = intervals(entries)

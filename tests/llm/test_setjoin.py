@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,7 +81,8 @@ def test_similar_sets_share_a_signature(common, left, right, percent, seed):
     assert 100 * common >= percent * (common + left + right)
     assert set(setjoin.signatures(a, percent).tolist()) & set(setjoin.signatures(b, percent).tolist())
     n = np.array([len(a), len(b)])
-    sketches = np.frombuffer(setjoin.sketch(a) + setjoin.sketch(b), np.uint64).reshape(2, -1)
+    sketches = setjoin.Sketches(pa.array([setjoin.sketch(a), setjoin.sketch(b)]))
+    assert sketches.bits(np.array([0]), np.array([1]))[0] <= left + right
     assert len(setjoin.likely(n, sketches, np.array([0]), np.array([1]), percent)[0]) == 1
 
 
@@ -103,8 +105,8 @@ def test_tiles_give_what_a_group_gives(spark):
         sets[i] = g
     rows = spark.createDataFrame([(i, len(g), bytearray(setjoin.sketch(g))) for i, g in sets.items()], "s long, n long, sketch binary")
     posts = spark.createDataFrame([(g, i) for i in sets for g in (1, 2 + i % 2)], "group long, s long")
-    root = spark.createDataFrame([(i, i % 7) for i in range(0, 200)], "q long, root long")
-    n, k = np.array([len(g) for g in sets.values()]), np.frombuffer(b"".join(map(setjoin.sketch, sets.values())), np.uint64).reshape(200, -1)
+    root = spark.createDataFrame([(i, i % 7) for i in range(200)], "q long, root long")
+    n, k = np.array([len(g) for g in sets.values()]), setjoin.Sketches(pa.array([*map(setjoin.sketch, sets.values())]))
     i, j = np.triu_indices(200, 1)
     take = i % 7 != j % 7
     i, j = i[take], j[take]

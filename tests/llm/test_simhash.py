@@ -125,3 +125,33 @@ def test_every_pair_of_similar_sets_is_linked(spark):
                 up[max(a, b)] = min(a, b)
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, top(i)) for i in range(len(rows))]
+
+
+#: Names of inner columns of any stage; a table may have columns of all these names.
+CLASHING = "k i c s copies rows key check __check fp root component component_id least of size target at n prefix sketch bands group blob path u f hit t w src dst node x y"
+
+
+def with_clashes(df, *own):
+    from pyspark.sql import functions as F
+
+    return df.select(*own, *(F.lit(f"#{name}").alias(name) for name in CLASHING.split() if not name.startswith("__")))
+
+
+def test_extra_columns_of_any_name(spark):
+    """Every stage and table operator passes extra columns through, or ignores them."""
+    import datetime
+
+    import corpus_pipeline as cp
+    from sieveline.llm import urlfilter
+
+    rows = [(1, "the cat sat on the mat and it was that of the house", "en", "a", 1), (2, "the cat sat on the mat and it was that of the house", "en", "b", 1), (3, None, "en", None, 1), (None, "", None, "a", 1)]
+    plain_docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = with_clashes(plain_docs, *plain_docs.columns)
+    for name, stage in cp.STAGES:
+        out, alone = stage(spark, docs, ""), stage(spark, plain_docs, "")
+        assert out.columns == (alone.columns if name == "bpe" else docs.columns)
+        assert sorted(map(str, out.select(*alone.columns).collect())) == sorted(map(str, alone.collect()))
+    captures = spark.createDataFrame([(1, "http://a.b/c", datetime.date(2023, 5, 1))], "id long, url string, fetched date")
+    entries = spark.createDataFrame([("a.b", datetime.date(2023, 1, 1), "block")], "pattern string, at date, action string")
+    found = urlfilter.verdicts(with_clashes(captures, "id", "url", "fetched"), entries)
+    assert found.collect() == urlfilter.verdicts(captures, entries).collect()
