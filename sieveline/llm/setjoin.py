@@ -38,6 +38,8 @@ SPARE = 1
 LEAST_BITS, MOST_BITS = 1024, 4096
 #: Sets of a signature that are compared at a time; a fuller group is cut into tiles of so many.
 TILE_ROWS = 2048
+#: Sets that a task remembers, to give the signatures of each once.
+SEEN = 1 << 16
 #: Rows up to which a table is sent to all executors.
 SENT_ROWS = 1 << 17
 #: Bytes of shingle sets that one task holds as arrays at a time while it verifies pairs.
@@ -141,13 +143,24 @@ def likely(n: np.ndarray, sketches: Sketches, i: np.ndarray, j: np.ndarray, perc
 
 def rows_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, check, s, n, sketch, signatures) of every text. s: a 128-bit hash of its set, null if that is empty;
-    check tells texts of one id apart. texts: doc_id, text."""
+    check tells texts of one id apart. Of a set that several of the last SEEN sets of a task are, one has its
+    signatures, so copies don't send them again and again. texts: doc_id, text."""
 
     def start():
+        seen: dict[bytes, None] = {}
+
+        def signed(s, g):
+            if not len(g) or s in seen:
+                return None
+            seen[s] = None
+            if len(seen) > SEEN:
+                del seen[next(iter(seen))]
+            return signatures(g, percent).view(np.int64)
+
         def run(cols):
             sets = [shingle_set(t, shingle) for t in cols[1]]
-            some = lambda f: [f(g) if len(g) else None for g in sets]
-            return [cols[0], cols[2], some(lambda g: xxhash.xxh128_digest(g.tobytes())), [len(g) for g in sets], some(sketch), some(lambda g: signatures(g, percent).view(np.int64))]
+            names = [xxhash.xxh128_digest(g.tobytes()) if len(g) else None for g in sets]
+            return [cols[0], cols[2], names, [len(g) for g in sets], [sketch(g) if len(g) else None for g in sets], [signed(s, g) for s, g in zip(names, sets)]]
 
         return run
 
@@ -347,12 +360,13 @@ class Links:
             self.add(cross_pairs(posts, self.roots(), self.sets, self.percent, False).join(found, ["x", "y"], "left_anti"))
 
 
-def groups_of(sets: DataFrame) -> DataFrame:
-    """(group, s, low, high): sets that share a signature with another one, and the group's least and largest. sets: s, signatures."""
-    posts = sets.select(F.explode("signatures").alias("group"), "s")
-    shared = cut(posts.groupBy("group").agg(F.count("*").alias("m"), F.min("s").alias("low"), F.max("s").alias("high")).where("m > 1").select(F.col("group").alias("g"), "low", "high"))
-    shared = F.broadcast(shared) if shared.count() <= SENT_ROWS else shared
-    return posts.join(shared, F.col("group") == F.col("g")).select("group", "s", "low", "high")
+def groups_of(posts: DataFrame) -> DataFrame:
+    """(group, s, low, high): of posts (group, s) the different ones of groups with several sets, and the group's least
+    and largest set. Counts by group are combined before the shuffle; posts are joined with those of over one."""
+    several = posts.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select(F.col("group").alias("g"))
+    met = cut(posts.join(several.hint("shuffle_hash"), F.col("group") == F.col("g"), "left_semi").distinct())
+    ends = met.groupBy("group").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select(F.col("group").alias("g"), "low", "high")
+    return met.join(ends, F.col("group") == F.col("g")).select("group", "s", "low", "high")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, shingle: int = 3) -> DataFrame:
@@ -367,8 +381,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, shingle: int = 3) ->
         raise ValueError("a similarity of 1 to 100 percent")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(rows_of(texts, shingle, percent))
-    sets = cut(rows.where("s is not null").groupBy("s").agg(F.min(F.struct("doc_id", "check")).alias("at"), *(F.first(c).alias(c) for c in ("n", "sketch", "signatures"))))
-    posts = cut(groups_of(sets))
+    sets = cut(rows.where("s is not null").groupBy("s").agg(F.min(F.struct("doc_id", "check")).alias("at"), *(F.first(c).alias(c) for c in ("n", "sketch"))))
+    posts = cut(groups_of(rows.select(F.explode("signatures").alias("group"), "s")))
     links = Links(texts, sets, shingle, percent)
     links.add(posts.select("s", F.explode(F.array("low", "high")).alias("r")).where("s <> r").select(F.least("s", "r").alias("x"), F.greatest("s", "r").alias("y")).distinct())
     links.across(posts.select("group", "s"))
