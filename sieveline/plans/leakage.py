@@ -10,6 +10,7 @@ from sieveline.operators import edges as E
 from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
 from sieveline.operators.order import with_next
+from sieveline.operators.quantiles import quantiles
 from sieveline.plans import fixtures as X
 from sieveline.plans.book import query
 from sieveline.storage import cut
@@ -48,8 +49,7 @@ def knn_candidates_15(spark, sf):
 SELECT p, round(CASE p WHEN 0.05 THEN quantile_cont(s, 0.05) WHEN 0.5 THEN quantile_cont(s, 0.5) ELSE quantile_cont(s, 0.95) END, 6) AS q
 FROM best, (VALUES (0.05::DOUBLE), (0.5), (0.95)) AS t(p) GROUP BY p""")
 def nn_quantiles(spark, sf):
-    q = F.array(*(F.struct(F.lit(p).alias("p"), F.round(F.percentile("sim", p), 6).alias("q")) for p in (0.05, 0.5, 0.95)))
-    return P.nearest_one(X.sim_pairs(spark, sf)).agg(q.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return quantiles(P.nearest_one(X.sim_pairs(spark, sf)), "sim", [0.05, 0.5, 0.95]).select("p", F.round("q", 6).alias("q"))
 
 
 @query("nearest_partner", f"""{W}{X.PAIRS}, ends AS (SELECT a, b, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs)
@@ -212,7 +212,9 @@ def max_sim_to_train(spark, sf):
     items = X.items(spark, sf).select("id", "v").join(X.split_of(spark, sf), "id")
     out, train = items.where("split <> 'train'"), items.where("split = 'train'").select("id", "v")
     met = P.max_sims(out.select("id", "v"), train).withColumnRenamed("sim", "s")
-    return met.join(out.select(F.col("id").alias("a"), "split"), "a").groupBy("split").agg(F.count("*").alias("n"), F.round(F.percentile("s", 0.5), 6).alias("median_sim"), F.round(F.avg((F.col("s") >= 0.38).cast("double")), 6).alias("share"))
+    met = cut(met.join(out.select(F.col("id").alias("a"), "split"), "a"))
+    mid = quantiles(met, "s", [0.5], "split").select("split", F.round("q", 6).alias("median_sim"))
+    return met.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("s") >= 0.38).cast("double")), 6).alias("share")).join(mid, "split").select("split", "n", "median_sim", "share")
 
 
 @query("safe_unlabeled", f"""{CORE}, {SPLIT}
@@ -326,8 +328,10 @@ def pair_crosstab(spark, sf):
 @query("pair_summary", f"""{W}{X.PAIRS} SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_samp(sim), 6) AS sd, round(min(sim), 6) AS low, round(quantile_cont(sim, 0.25), 6) AS q1, round(median(sim), 6) AS mid, round(quantile_cont(sim, 0.75), 6) AS q3, round(max(sim), 6) AS high FROM pairs""")
 def pair_summary(spark, sf):
     r = lambda c, name: F.round(c, 6).alias(name)
-    q = lambda p: F.percentile("sim", p)
-    return X.sim_pairs(spark, sf).agg(F.count("*").alias("n"), r(F.avg("sim"), "mean"), r(F.stddev_samp("sim"), "sd"), r(F.min("sim"), "low"), r(q(0.25), "q1"), r(q(0.5), "mid"), r(q(0.75), "q3"), r(F.max("sim"), "high"))
+    pairs = X.sim_pairs(spark, sf).withColumn("all", F.lit(0))
+    q = quantiles(pairs, "sim", [0.25, 0.5, 0.75], "all").groupBy("all").agg(*(r(F.max(F.when(F.col("p") == p, F.col("q"))), name) for p, name in ((0.25, "q1"), (0.5, "mid"), (0.75, "q3"))))
+    one = pairs.groupBy("all").agg(F.count("*").alias("n"), r(F.avg("sim"), "mean"), r(F.stddev_samp("sim"), "sd"), r(F.min("sim"), "low"), r(F.max("sim"), "high"))
+    return one.join(q, "all").select("n", "mean", "sd", "low", "q1", "mid", "q3", "high")
 
 
 @query("signal_disagreement", f"""{W}{X.PAIRS}, {X.split_cte()} SELECT count(*) FILTER (WHERE sim >= 0.40 AND n_inl < 40) AS sim_only, count(*) FILTER (WHERE sim < 0.34 AND n_inl >= 46) AS count_only,

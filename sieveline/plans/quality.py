@@ -12,6 +12,7 @@ from sieveline.operators import boxes as B
 from sieveline.operators import constraints as C
 from sieveline.operators import design as D
 from sieveline.operators import scoring as R
+from sieveline.operators.quantiles import quantiles
 from sieveline.plans import fixtures as X
 from sieveline.plans.book import query
 from sieveline.storage import cut, table
@@ -294,7 +295,10 @@ def size_bins(spark, sf):
 def epoch_best(spark, sf):
     e = table(spark, sf, "events").where("value is not null")
     r = lambda c, n: F.round(c, 6).alias(n)
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "sd"), r(F.percentile("value", 0.5), "mid"), F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("x"))).alias("best"))
+    mid = quantiles(e, "value", [0.5], "event_type").select(F.col("event_type").alias("of"), r(F.col("q"), "mid"))
+    best = F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("x")))
+    own = e.groupBy("event_type").agg(F.count("*").alias("n"), r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "sd"), best.alias("best"))
+    return own.join(mid, F.col("event_type").eqNullSafe(F.col("of"))).select("event_type", "n", "mean", "sd", "mid", "best")
 
 
 @query("last_epochs", "SELECT event_id, event_type, round(value, 6) AS value FROM events ORDER BY ts DESC, event_id DESC LIMIT 4")
