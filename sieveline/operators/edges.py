@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.graph import connected_components
 from sieveline.operators.pairs import both_ways
+from sieveline.storage import cut
 
 
 @dataclass(frozen=True)
@@ -64,51 +65,101 @@ def groups(items: DataFrame, edges: DataFrame) -> DataFrame:
     return items.select("id").join(comp, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"))
 
 
-def capped_union(group_of: DataFrame, held: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Merge core groups over held-back edges (a, b, n_inl), largest count first, as long as the union has
-    at most ``cap`` items. Gives (id, grp) and one row (merged, refused).
+#: Edges up to which one task walks what is left of a capped union, and by how much a round has to bring it down.
+FEW_EDGES, SLOW = 1 << 18, 64
 
-    Which unions fit depends on the order, so it is walked in one task; but only over the graph
-    of core groups, components of which don't bear on each other: each component is its own task.
-    """
-    size = group_of.groupBy("grp").agg(F.count("*").alias("n"))
-    g = lambda end, name: group_of.select(F.col("id").alias(end), F.col("grp").alias(name))
-    links = held.join(g("a", "ga"), "a").join(g("b", "gb"), "b").where("ga <> gb")
-    part = connected_components(links, "ga", "gb").select(F.col("node").alias("ga"), F.col("component").alias("part"))
-    links = links.join(part, "ga").join(size.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").join(size.select(F.col("grp").alias("gb"), F.col("n").alias("nb")), "gb")
+
+def _walk(cap: int):
+    """The sequential rule over edges (a, b, n_inl, x, y, nx, ny) between clusters x and y of sizes nx and ny:
+    each cluster with the one it ends in, and in the first row how many were merged and refused."""
 
     def walk(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["n_inl", "a", "b"], ascending=[False, True, True])
-        up, n, merged, refused = {}, {}, 0, 0
-
-        def top(x):
-            while up.get(x, x) != x:
-                up[x] = up.get(up[x], up[x])
-                x = up[x]
-            return x
-
-        for r in pdf.itertuples():
-            n.setdefault(r.ga, r.na)
-            n.setdefault(r.gb, r.nb)
-            x, y = top(r.ga), top(r.gb)
-            if x == y:
-                continue
-            if n[x] + n[y] > cap:
-                refused += 1
-                continue
-            x, y = min(x, y), max(x, y)
-            up[y], n[x] = x, n[x] + n[y]
-            merged += 1
-        out = pd.DataFrame({"grp": list(n), "root": [top(x) for x in n]})
-        out["merged"], out["refused"] = 0, 0
-        out.loc[0, ["merged", "refused"]] = merged, refused
+        up: dict[int, int] = {}
+        size: dict[int, int] = {}
+        count = [0, 0]
+
+        def end(c):
+            path = []
+            while up[c] != c:
+                path.append(c)
+                c = up[c]
+            for p in path:
+                up[p] = c
+            return c
+
+        for r in pdf.sort_values(["n_inl", "a", "b"], ascending=[False, True, True]).itertuples():
+            for c, n in ((r.x, r.nx), (r.y, r.ny)):
+                if c not in up:
+                    up[c], size[c] = c, n
+            low, high = sorted((end(r.x), end(r.y)))
+            if low != high:
+                fits = size[low] + size[high] <= cap
+                count[not fits] += 1
+                if fits:
+                    up[high] = low
+                    size[low] += size[high]
+        out = pd.DataFrame({"old": list(up), "new": [end(c) for c in up], "merged": 0, "refused": 0})
+        out.loc[:0, ["merged", "refused"]] = [count]
         return out
 
-    roots = links.select("part", "a", "b", "n_inl", "ga", "gb", "na", "nb").groupBy("part").applyInPandas(walk, "grp long, root long, merged long, refused long")
-    out = group_of.join(roots.select("grp", "root"), "grp", "left").select("id", F.coalesce("root", "grp").alias("grp"))
-    return out, roots.agg(F.coalesce(F.sum("merged"), F.lit(0)).alias("merged"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"))
+    return walk
+
+
+def capped_union(group_of: DataFrame, held: DataFrame, cap: int, few: int = FEW_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Merge core groups over held-back edges (a, b, n_inl), largest count first (ties to the smaller a, then b), as long
+    as the union has at most ``cap`` items. Gives (id, grp) and one row (merged, refused).
+
+    Which unions fit depends on the order, but not everywhere: an edge that comes first in the order at both of its
+    clusters is decided whatever the others do, for only edges at a cluster change it. Such edges never share a
+    cluster, so a round decides all of them at once, as a join. An edge whose clusters are too large together by
+    now is refused at its turn as well, for clusters only grow. When ``few`` edges are left one task walks them;
+    where an order leaves rounds little to do (a long chain of falling counts), one task walks the first ``few``.
+    Memory of a task is bounded by ``few``, and merged, refused and groups are those of the sequential walk.
+    """
+    at = lambda end, name: group_of.select(F.col("id").alias(end), F.col("grp").alias(name))
+    links = cut(held.select("a", "b", "n_inl").join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y"))
+    size = group_of.groupBy("grp").agg(F.count("*").alias("n"))
+    clusters = cut(links.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(size, F.col("c") == F.col("grp")).select("c", "n"))
+    of, merged, refused = clusters.select(F.col("c").alias("was"), F.col("c").alias("root")), 0, 0
+    key = F.struct((-F.col("n_inl")).alias("m"), "a", "b")
+    while True:
+        n = lambda c: clusters.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"))  # noqa: E731, B023
+        sized = cut(links.join(n("x"), "x").join(n("y"), "y").select("a", "b", "n_inl", "x", "y", "nx", "ny"))
+        fits = F.col("nx") + F.col("ny") <= cap
+        row = sized.agg(F.count_if(~fits).alias("over"), F.count_if(fits).alias("left")).first()
+        refused += row["over"]
+        live = sized.where(fits)
+        if not row["left"]:
+            break
+        walked = None
+        if row["left"] <= few:
+            walked = live
+        else:
+            ends = live.select(F.col("x").alias("c"), key.alias("key")).unionAll(live.select(F.col("y").alias("c"), key.alias("key")))
+            first = ends.groupBy("c").agg(F.min("key").alias("first"))
+            one = lambda c: first.select(F.col("c").alias(c), F.col("first").alias(f"first_{c}"))  # noqa: E731, B023
+            chosen = cut(live.join(one("x"), "x").where(key == F.col("first_x")).join(one("y"), "y").where(key == F.col("first_y")).select(F.greatest("x", "y").alias("old"), F.least("x", "y").alias("new")))
+            decided = chosen.count()
+            merged += decided
+            if decided * SLOW < row["left"]:
+                merged -= decided
+                walked = cut(live.orderBy(F.desc("n_inl"), "a", "b").limit(few))
+                last = walked.agg(F.max(key).alias("last")).first()["last"]
+                live = live.where(key > F.struct(*(F.lit(v).cast("long") for v in last)))
+        if walked is not None:
+            told = cut(walked.groupBy().applyInPandas(_walk(cap), "old long, new long, merged long, refused long"))
+            row = told.agg(F.sum("merged").alias("merged"), F.sum("refused").alias("refused")).first()
+            merged, refused, chosen = merged + row["merged"], refused + row["refused"], told.where("old <> new").select("old", "new")
+            if walked is live:
+                live = live.limit(0)
+        now = lambda table, c: table.join(chosen, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")  # noqa: E731, B023
+        links = now(now(live.select("a", "b", "n_inl", "x", "y"), "x"), "y").where("x <> y")
+        clusters = cut(now(clusters, "c").groupBy("c").agg(F.sum("n").alias("n")))
+        of = cut(now(of, "root"))
+    out = group_of.join(of, F.col("grp") == F.col("was"), "left").select("id", F.coalesce("root", "grp").alias("grp"))
+    return out, out.sparkSession.createDataFrame([(merged, refused)], "merged long, refused long")
 
 
 def touched(edges: DataFrame) -> DataFrame:
