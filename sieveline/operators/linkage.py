@@ -6,27 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators.edges import groups
-from sieveline.operators.pairs import cosine_pairs
+from sieveline.operators.pairs import BLOCK_ROWS, _tiles, cosine_pairs
 from sieveline.storage import cut
 
-
-#: Rows of a component that are linked, at most: a task holds a matrix of the square.
-MOST_ROWS = 20_000
+#: Clusters of a component up to which one task links them; its matrix has their square.
+LOCAL = 2000
 
 
 def merge(vectors, most: float, method: str):
-    """Cluster number of each row: the two nearest clusters are merged while their distance (1 - cosine;
-    complete: the largest of their pairs, average: the mean) is at most ``most``; of equally near
-    ones those that come first."""
+    """Cluster number of each row: see linked()."""
     import numpy as np
 
-    if len(vectors) > MOST_ROWS:
-        raise ValueError(f"a component has {len(vectors)} rows, over {MOST_ROWS}: lower the distance, or cut the component first")
     x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    d = 1 - x @ x.T
+    return linked(1 - x @ x.T, np.ones(len(x)), most, method)
+
+
+def linked(d, size, most: float, method: str):
+    """Cluster number of each row of a matrix of distances between clusters of so many rows: the two nearest are
+    merged while their distance (complete: the largest of their pairs, average: the mean) is at most
+    ``most``; of equally near ones those that come first."""
+    import numpy as np
+
     n = len(d)
     d[np.tril_indices(n)] = np.inf
-    size, label = np.ones(n), np.arange(n)
+    size, label = size.astype(float), np.arange(n)
     near, low = d.argmin(axis=1), d.min(axis=1)  # of each row, kept up as clusters merge
     while n > 1:
         i = int(low.argmin())
@@ -49,28 +52,144 @@ def merge(vectors, most: float, method: str):
     return label
 
 
-def linkage_groups(items: DataFrame, most: float, method: str = "average") -> DataFrame:
+def nearest_means(clusters: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(x, y, d): of each cluster (id, v: the mean of its unit vectors) the nearest other one by mean distance, which is
+    one less the means' product. Tiles of two blocks; each pair's product is made once, so both ends see the same."""
+
+    def near(tile):
+        import numpy as np
+        import pandas as pd
+
+        tile = tile.sort_values("id")
+        both = bool((tile.i == tile.j).all())
+        one = tile[tile.left]
+        two = one if both else tile[~tile.left]
+        none = pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "d": np.zeros(0)})
+        if not len(one) or not len(two) or both and len(one) < 2:
+            return none
+        d = 1 - np.stack(one.v) @ np.stack(two.v).T
+        if both:
+            d = np.triu(d, 1)
+            d += d.T
+            np.fill_diagonal(d, np.inf)
+        a, b = one.id.to_numpy(), two.id.to_numpy()
+        out = [pd.DataFrame({"x": a, "y": b[d.argmin(axis=1)], "d": d.min(axis=1)})]
+        if not both:
+            out.append(pd.DataFrame({"x": b, "y": a[d.argmin(axis=0)], "d": d.min(axis=0)}))
+        return pd.concat(out)
+
+    tiles = _tiles(clusters.select("id", "v"), None, block_rows, clusters.count(), 0)
+    found = tiles.groupBy("i", "j").applyInPandas(near, "x long, y long, d double")
+    return found.groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select("x", "m.y", "m.d")
+
+
+class _Average:
+    """Clusters by size and mean, from which every mean distance follows."""
+
+    def __init__(self, rows: DataFrame, most: float):
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
+        self.clusters = cut(rows.select("id", "part", F.lit(1).cast("long").alias("n"), F.transform("v", lambda e: e / norm).alias("v")))
+
+    def nearest(self) -> DataFrame:
+        return nearest_means(self.clusters)
+
+    def contract(self, merges: DataFrame) -> None:
+        other = self.clusters.select(F.col("id").alias("old"), F.col("n").alias("m"), F.col("v").alias("w"))
+        rows = self.clusters.join(merges.select(F.col("old").alias("gone")), F.col("id") == F.col("gone"), "left_anti")
+        rows = rows.join(merges.withColumnRenamed("new", "id").join(other, "old"), "id", "left")
+        mean = F.zip_with("v", "w", lambda a, b: (a * F.col("n") + b * F.col("m")) / (F.col("n") + F.col("m")))
+        rows = rows.withColumn("mean", F.when(F.col("m").isNull(), F.col("v")).otherwise(mean))
+        self.clusters = cut(rows.select("id", "part", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.col("mean").alias("v")))
+
+    def counts(self) -> DataFrame:
+        return self.clusters.groupBy("part").count()
+
+    def finish(self, small: DataFrame, most: float) -> DataFrame:
+        def link(pdf):
+            import numpy as np
+
+            pdf = pdf.sort_values("id").reset_index(drop=True)
+            x = np.stack(pdf.v)
+            return pdf.assign(old=pdf.id, new=pdf.id.to_numpy()[linked(1 - x @ x.T, pdf.n.to_numpy(), most, "average")])[["old", "new"]]
+
+        return self.clusters.join(small, "part").groupBy("part").applyInPandas(link, "old long, new long")
+
+    def without(self, small: DataFrame) -> None:
+        self.clusters = cut(self.clusters.join(small, "part", "left_anti"))
+
+
+class _Complete:
+    """Pairs of clusters all of whose rows are within the distance, by their largest one: others never merge."""
+
+    def __init__(self, rows: DataFrame, most: float):
+        self.clusters = cut(rows.select("id", "part", F.lit(1).cast("long").alias("n")))
+        part = self.clusters.select(F.col("id").alias("x"), "part")
+        self.pairs = cut(cosine_pairs(rows.select("id", "v"), 1 - most).select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("sim")).alias("d")).join(part, "x"))
+
+    def nearest(self) -> DataFrame:
+        both = self.pairs.select("x", "y", "d").unionAll(self.pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+        return both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select("x", "m.y", "m.d")
+
+    def contract(self, merges: DataFrame) -> None:
+        now = lambda table, c: table.join(merges, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        size = lambda c: self.clusters.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+        met = self.pairs.join(size("x"), "x").join(size("y"), "y").withColumn("m", F.col("nx") * F.col("ny")).select("x", "y", "d", "part", "m")
+        self.clusters = cut(now(self.clusters, "id").groupBy("id", "part").agg(F.sum("n").alias("n")))
+        met = now(now(met, "x"), "y").where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "part").agg(F.max("d").alias("d"), F.sum("m").alias("m"))
+        self.pairs = cut(met.join(size("x"), "x").join(size("y"), "y").where("m = nx * ny").select("x", "y", "d", "part"))
+
+    def counts(self) -> DataFrame:
+        return self.clusters.groupBy("part").count()
+
+    def finish(self, small: DataFrame, most: float) -> DataFrame:
+        def link(pdf):
+            import numpy as np
+            import pandas as pd
+
+            ids = np.unique(np.concatenate([pdf.x, pdf.y]))
+            d = np.full((len(ids), len(ids)), np.inf)
+            d[np.searchsorted(ids, pdf.x), np.searchsorted(ids, pdf.y)] = pdf.d
+            return pd.DataFrame({"old": ids, "new": ids[linked(d, np.ones(len(ids)), most, "complete")]})
+
+        return self.pairs.join(small, "part").groupBy("part").applyInPandas(link, "old long, new long")
+
+    def without(self, small: DataFrame) -> None:
+        self.clusters = cut(self.clusters.join(small, "part", "left_anti"))
+        self.pairs = cut(self.pairs.join(small, "part", "left_anti"))
+
+
+def linkage_groups(items: DataFrame, most: float, method: str = "average", local: int = LOCAL) -> DataFrame:
     """(id, grp) of items (id, v): clusters of complete or average linkage cut at distance ``most``, named by
-    their smallest id.
+    their smallest id. Ids differ; no vector is null or zero.
 
-    Two clusters merge only if some pair of theirs is within the distance, so clusters never reach
-    over components of that graph: components are found first, and each is linked in its own
-    task, with a matrix of its size squared.
+    Two clusters merge only if some pair of theirs is within the distance, so components of that graph don't bear on
+    each other. In both linkages a merged cluster is no nearer to a third than the nearer of its parts was, so
+    two clusters that are each other's nearest merge whatever else does: a round finds each cluster's nearest
+    and merges all such pairs at once. A component with at most ``local`` clusters left is ended by one task with
+    a matrix of them. Of equally near ones the smallest id is the nearest; where ties decide, rounds and the
+    step-by-step order may differ in which of them come together.
     """
     if method not in ("complete", "average"):
         raise ValueError("method is complete or average")
     vectors = items.select("id", "v")
     part = cut(groups(vectors, cosine_pairs(vectors, 1 - most)))
-
-    def link(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        label = merge(np.stack(pdf.v), most, method) if len(pdf) > 1 else np.zeros(1, int)
-        ids = pdf.id.to_numpy()
-        return pdf.assign(grp=ids[label])[["id", "grp"]]  # a cluster keeps its first row's number
-
-    sized = part.groupBy("grp").agg(F.count("*").alias("n"))
-    rows = part.join(sized, "grp")
-    alone = rows.where("n = 1").select("id", "grp")
-    return alone.unionByName(rows.where("n > 1").join(vectors, "id").select("grp", "id", "v").groupBy("grp").applyInPandas(link, "id long, grp long"))
+    several = part.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select(F.col("grp").alias("part"))
+    rows = part.withColumnRenamed("grp", "part").join(several, "part").join(vectors, "id")
+    state = {"average": _Average, "complete": _Complete}[method](rows, most)
+    of = part.select("id", F.col("id").alias("grp"))
+    done: list[DataFrame] = []
+    while True:
+        small = cut(state.counts().where(F.col("count") <= local).select("part"))
+        if not small.isEmpty():
+            done.append(cut(state.finish(small, most).where("old <> new")))
+            state.without(small)
+        near = cut(state.nearest().where(F.col("d") <= most + 1e-12).select("x", "y"))
+        back = near.select(F.col("x").alias("y"), F.col("y").alias("x"), F.lit(True).alias("mutual"))
+        merges = cut(near.where("x < y").join(back, ["x", "y"]).select(F.col("y").alias("old"), F.col("x").alias("new")))
+        if merges.isEmpty():
+            break
+        of = cut(of.join(merges, F.col("grp") == F.col("old"), "left").select("id", F.coalesce("new", "grp").alias("grp")))
+        state.contract(merges)
+    for last in done:  # of components that were ended: their clusters have not changed since
+        of = of.join(last, F.col("grp") == F.col("old"), "left").select("id", F.coalesce("new", "grp").alias("grp"))
+    return of
