@@ -81,20 +81,63 @@ def max_sims(rows: DataFrame, other: DataFrame, block_rows: int = BLOCK_ROWS) ->
     return tiles.groupBy("i", "j").applyInPandas(best, "a long, sim double").groupBy("a").agg(F.max("sim").alias("sim"))
 
 
-#: Bits of difference from which on bands are too narrow to tell signatures apart, and tiles are compared.
+#: Bits of difference from which on bands that agree are too narrow to tell signatures apart.
 WIDE = 8
 
 
+def probing(most: int) -> tuple[int, int]:
+    """(bands, radius): signatures within ``most`` bits differ in one of so many bands by at most the radius. Below WIDE a
+    band agrees; from there on four bands of 16 bits differ by most // 4."""
+    return (most + 1, 0) if most < WIDE else (4, most // 4)
+
+
+def masks(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` bits set."""
+    from itertools import combinations
+
+    return [sum(1 << i for i in some) for k in range(radius + 1) for some in combinations(range(width), k)]
+
+
 def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
     """(a, b, ham) of all pairs a < b of (id, sig) within ``most`` bits, exactly. Rows with a null are left out.
 
-    Below WIDE, the 64 bits are cut into most + 1 bands; by the pigeonhole principle near signatures
-    have a band in common, so an equi-join on (band, value) finds them. Each pair is taken at the first
-    band that it shares, so there is nothing to make distinct. From WIDE on bands have few values,
-    each of which nearly all signatures share: then tiles of two blocks are compared, as for cosines.
+    The 64 bits are cut into bands, of which by the pigeonhole principle one differs little (probing()): each
+    signature probes the values near its own of every band, and an equi-join on (band, value) finds the pairs. Where
+    the probes of a signature are more than there are signatures, tiles of two blocks are compared instead, as
+    for cosines, which gives the same pairs.
     """
     rows = rows.where("id is not null and sig is not null").select("id", "sig")
-    return _banded(rows, most) if most < WIDE else _tiled(rows, most)
+    bands, radius = probing(most)
+    if radius and bands * len(masks(64 // bands, radius)) > rows.count():
+        return _tiled(rows, most)
+    met = _probed(rows, rows, most, lambda x, y: x < y)
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "ham")
+
+
+def hamming_between(rows: DataFrame, others: DataFrame, most: int) -> DataFrame:
+    """(a, b, ham), a < b: all pairs of one of rows and one of others (id, sig both) within ``most`` bits, but for those
+    of one id. Only rows probe, so their number decides on what is sent beside others' own bands."""
+    clean = lambda df: df.where("id is not null and sig is not null").select("id", "sig")
+    met = _probed(clean(rows), clean(others), most, lambda x, y: x != y)
+    return met.select(*canonical(F.col("x"), F.col("y")), "ham")
+
+
+def _probed(rows: DataFrame, others: DataFrame, most: int, apart) -> DataFrame:
+    """(x, y, ham): each pair once, at the first band that differs by the radius or less."""
+    bands, radius = probing(most)
+    edges = [64 * k // bands for k in range(bands + 1)]
+    value = lambda s, k: F.shiftrightunsigned(s, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1 if bands > 1 else -1))
+    keyed = lambda df, i, s: df.select(F.col("id").alias(i), F.col("sig").alias(s), F.posexplode(F.array(*(value(F.col("sig"), k) for k in range(bands)))).alias("band", "value"))
+    x, y = keyed(rows, "x", "sx"), keyed(others, "y", "sy").withColumnRenamed("band", "home").withColumnRenamed("value", "at")
+    if radius:
+        near = F.split(F.lit(",".join(map(str, masks(64 // bands, radius)))), ",").cast("array<bigint>")
+        x = x.select("x", "sx", "band", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("value")))).alias("probe"))
+    else:
+        x = x.withColumnRenamed("value", "probe")
+    met = x.join(y, (F.col("band") == F.col("home")) & (F.col("probe") == F.col("at")) & apart(F.col("x"), F.col("y")) & (hamming(F.col("sx"), F.col("sy")) <= most))
+    close = (F.bit_count(value(F.col("sx"), k).bitwiseXOR(value(F.col("sy"), k))) <= radius for k in range(bands))
+    first = F.coalesce(*(F.when(c, k) for k, c in enumerate(close)))
+    return met.where(first == F.col("band")).select("x", "y", hamming(F.col("sx"), F.col("sy")).alias("ham"))
 
 
 def _tiled(rows: DataFrame, most: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -116,18 +159,6 @@ def _tiled(rows: DataFrame, most: int, block_rows: int = BLOCK_ROWS) -> DataFram
     return tiles.groupBy("i", "j").applyInPandas(near, "a long, b long, ham int")
 
 
-def _banded(rows: DataFrame, most: int) -> DataFrame:
-    bands = most + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    value = lambda s, k: F.shiftrightunsigned(s, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1 if bands > 1 else -1))
-    keyed = rows.select("id", "sig", F.posexplode(F.array(*(value(F.col("sig"), k) for k in range(bands)))).alias("band", "value"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (hamming(F.col("x.sig"), F.col("y.sig")) <= most))
-    shared = [value(F.col("x.sig"), k) == value(F.col("y.sig"), k) for k in range(bands)]
-    first = F.coalesce(*(F.when(c, k) for k, c in enumerate(shared)))
-    return met.where(first == F.col("x.band")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.sig"), F.col("y.sig")).alias("ham"))
-
-
 def both_ways(edges: DataFrame, *more: str) -> DataFrame:
     """Each edge from either end: (a, b, ...)."""
     return edges.select("a", "b", *more).unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *more))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.functions.scalar import binned
+from sieveline.functions.scalar import binned, hamming
 from sieveline.operators import audit as A
 from sieveline.operators import constraints as C
 from sieveline.operators import design as D
 from sieveline.operators import edges as E
 from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
+from sieveline.operators.order import ranked
 from sieveline.plans import fixtures as X
 from sieveline.plans.leakage import CORE, HELD, SPLIT, W, core_groups, held_out
 from sieveline.plans.book import query
+from sieveline.plans.files import place
+from sieveline.sources import files, sinks
 from sieveline.storage import cut
 
 DESIGN = f"""{HELD}, arms AS (SELECT r.id, r.grp, r.res, role, CASE WHEN role <> 'placebo' THEN h.half END AS half FROM roles r LEFT JOIN half h USING (grp)),
@@ -169,7 +172,7 @@ VALID = {
     "train_test_disjoint": _both(_part("train"), _part("test")),
     "val_test_disjoint": _both(_part("val"), _part("test")),
     "split_sizes": SIZES,
-    "equals_saved_ids": "SELECT 1 WHERE false",
+    "equals_saved_ids": " UNION ALL ".join(_same(_part(name), _part(name)) for name in ("train", "val", "test")),
     "groups_span_splits": "SELECT grp FROM split JOIN groups USING (id) GROUP BY grp HAVING count(DISTINCT split) > 1",
     "group_split_groups_span": "SELECT grp FROM parted JOIN groups USING (id) WHERE kind = 'group' GROUP BY grp HAVING count(DISTINCT split) > 1",
     "halves_disjoint": _both(_of("anchors_A"), _of("anchors_B")),
@@ -194,6 +197,17 @@ VALID = {
 BOTH = ", " + GROUP_SPLIT.split(f"{SPLIT}, ", 1)[1]
 
 
+def saved_differences(spark, saved, split):
+    """Ids that stand in only one of the lists of saved, written and read again, and the split, part by part."""
+    out = None
+    for name in ("train", "val", "test"):
+        at = place(spark)
+        sinks.id_list(saved.where(F.col("split") == name), at)
+        one = C.different(files.ids(spark, at, unique=True), split.where(F.col("split") == name).select("id"), "id").select("id")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("partition_validation", f"{DESIGN}{BOTH} " + " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM ({q}) AS v) AS violations" for name, q in VALID.items()))
 def partition_validation(spark, sf):
     """Every constraint on items, groups, splits and the crossover design, with the number of violations."""
@@ -213,7 +227,7 @@ def partition_validation(spark, sf):
         "assignment_keys_unique": C.repeated(split, "id"), "assignment_covers_labeled": C.missing(labeled, split, "id"), "assignment_only_labeled": C.missing(split, labeled, "id"),
         "train_val_disjoint": C.shared(part("train"), part("val"), "id"), "train_test_disjoint": C.shared(part("train"), part("test"), "id"), "val_test_disjoint": C.shared(part("val"), part("test"), "id"),
         "split_sizes": split.groupBy("split").agg(F.count("*").alias("k")).crossJoin(all_n).where(F.col("k") != want),
-        "equals_saved_ids": C.different(split, X.split_of(spark, sf), "id"),
+        "equals_saved_ids": saved_differences(spark, X.split_of(spark, sf), split),
         "groups_span_splits": C.spanning(split.join(groups, "id"), "grp", "split"), "group_split_groups_span": C.spanning(both.where("kind = 'group'"), "grp", "split"),
         "halves_disjoint": C.shared(of("anchors_A"), of("anchors_B"), "id"), "halves_of_groups_disjoint": C.spanning(arms.where("half is not null"), "grp", "half"),
         "anchors_held_out": C.missing(anchors, held, "id"), "twins_held_out": C.missing(twins, held, "id"), "twins_disjoint": C.shared(of("twins_A"), of("twins_B"), "id"),
@@ -410,3 +424,25 @@ def source_probe(spark, sf):
     from sieveline.operators.probe import source_probe
 
     return source_probe(X.items(spark, sf).join(core_groups(spark, sf)[0], "id"))
+
+
+#: Random pairs that are drawn.
+RANDOM_PAIRS = 5000
+
+
+@query("random_pairs", f"""{W}{X.ITEMS}, sigs AS (SELECT id, res, list_transform(v, lambda x: x > 0) AS bits, row_number() OVER (ORDER BY id) - 1 AS rank FROM items),
+total AS (SELECT count(*) * (count(*) - 1) // 2 AS t FROM items), drawn AS (SELECT n, ('0x' || substr(md5(concat('0-', n)), 1, 12))::BIGINT % t AS u FROM range({RANDOM_PAIRS}) AS r(n), total),
+placed AS (SELECT n, u, floor((1 + sqrt(1 + 8 * u::DOUBLE)) / 2)::BIGINT AS j FROM drawn), pairs AS (SELECT n, u - j * (j - 1) // 2 AS i, j FROM placed)
+SELECT n, a.id AS a, b.id AS b, len(list_filter(range(1, 65), lambda k: a.bits[k] <> b.bits[k]))::INTEGER AS ham, a.res = b.res AS same_res FROM pairs JOIN sigs a ON a.rank = i JOIN sigs b ON b.rank = j""")
+def random_pairs(spark, sf):
+    """Random pairs of all items, with their distance, to hold those of neighbours against: pair numbers drawn by hash
+    are unranked to two places in the order of ids, so no other pair is ever made. Pairs may repeat."""
+    sig = X.signatures(spark, sf).join(X.items(spark, sf).select("id", "res"), "id")
+    placed = cut(ranked(sig, "id").withColumn("rank", F.col("rank") - 1))
+    n = placed.count()
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("0-"), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
+    drawn = spark.range(RANDOM_PAIRS if n > 1 else 0).select(F.col("id").alias("n"), (draw % F.lit(max(1, n * (n - 1) // 2))).alias("u"))
+    drawn = drawn.withColumn("j", F.floor((1 + F.sqrt(1 + 8 * F.col("u").cast("double"))) / 2)).withColumn("i", F.col("u") - F.expr("j * (j - 1) div 2"))
+    end = lambda place, i, s, r: placed.select(F.col("rank").alias(place), F.col("id").alias(i), F.col("sig").alias(s), F.col("res").alias(r))
+    met = drawn.join(end("i", "a", "sa", "ra"), "i").join(end("j", "b", "sb", "rb"), "j")
+    return met.select("n", "a", "b", hamming(F.col("sa"), F.col("sb")).alias("ham"), (F.col("ra") == F.col("rb")).alias("same_res"))

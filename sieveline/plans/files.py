@@ -52,11 +52,11 @@ def json_report(spark, sf):
     return files.json_lines(spark, at, "nation int, n long, balance double")
 
 
-@query("id_list", "SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0")
+@query("id_list", "SELECT p_partkey AS id FROM part")
 def id_list(spark, sf):
     """A sorted list of ids, read with the check that none is repeated."""
     at = place(spark)
-    sinks.id_list(table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id")), at)
+    sinks.id_list(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), at)
     return files.ids(spark, at, unique=True)
 
 
@@ -148,3 +148,37 @@ def shared_ids(spark, sf):
     from sieveline.operators.constraints import shared
 
     return shared(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
+
+
+#: Ids whose lines one file of the tree holds.
+FILE_IDS = 1000
+
+
+@query("tree_check", f"""WITH dirs AS (SELECT DISTINCT concat('lang=', coalesce(lang, 'none'), '/source=', coalesce(source, 'none'), '/part=', doc_id // {FILE_IDS}) AS file, coalesce(source, 'none') AS source, lang FROM documents)
+SELECT file, CASE source WHEN 'src3' THEN 'digest' WHEN 'src5' THEN 'size' ELSE 'missing' END AS kind FROM dirs WHERE source IN ('src3', 'src5', 'src7')
+UNION SELECT concat('lang=', coalesce(lang, 'none'), '/source=new/part=0'), 'extra' FROM dirs""")
+def tree_check(spark, sf):
+    """Files that differ from a list of sizes and digests: a tree of document digests by language, source and
+    range of ids is written with some files spoilt, left out or added, and held against what it should be."""
+    docs = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), F.floor(F.col("doc_id") / FILE_IDS).alias("part"), "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("line"))
+    names = ["lang", "source", "part"]
+    file = F.concat(F.lit("lang="), "lang", F.lit("/source="), "source", F.lit("/part="), F.col("part").cast("string"))
+    whole = F.concat(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).getField("line"), "\n"), F.lit("\n"))
+    want = docs.groupBy(*names).agg(whole.alias("whole")).select(file.alias("file"), F.octet_length("whole").cast("long").alias("bytes"), F.sha2(F.col("whole").cast("binary"), 256).alias("digest"))
+    spoilt = F.when(F.col("source") == "src3", F.reverse("line")).when(F.col("source") == "src5", F.concat("line", F.lit("+"))).otherwise(F.col("line"))
+    added = docs.select("lang").distinct().select("lang", F.lit("new").alias("source"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("doc_id"), F.lit("x").alias("line"))
+    rows = docs.where("source <> 'src7'").withColumn("line", spoilt).unionByName(added)
+    at = place(spark)
+    rows.repartition(*names).sortWithinPartitions(*names, "doc_id").select(*names, "line").write.partitionBy(*names).text(at)
+    found = files.manifest(spark, at).withColumn("file", F.regexp_extract("path", r"(lang=[^/]*/source=[^/]*/part=[^/]*)/[^/]*$", 1)).where("file <> ''")
+    return files.compared(found, want, "file").select("file", "kind")
+
+
+@query("json_document", "SELECT n_regionkey AS region, count(*) AS nations FROM nation GROUP BY 1 UNION ALL SELECT NULL, NULL")
+def json_document(spark, sf):
+    """A report of one JSON document over several lines, and one that was never written: a row of nulls."""
+    counts = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("nations"))
+    whole = counts.agg(F.to_json(F.collect_list(F.struct("region", "nations")), {"pretty": "true"}).alias("value"))
+    at, schema = place(spark), "region int, nations long"
+    whole.write.text(at)
+    return files.json_or_null(spark, at, schema).unionByName(files.json_or_null(spark, place(spark), schema))

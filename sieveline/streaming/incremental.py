@@ -1,7 +1,7 @@
 """Incremental near-duplicate detection over arriving signatures.
 
-Each batch of a stream is joined with the signatures seen before by the banded Hamming join,
-and its own are added. State is a table in the shared folder, so a restarted stream goes on.
+A batch is joined with itself, and its signatures probe the bands of those seen before; pairs among what
+was seen are never looked at again. State is a table in the shared folder, so a restarted stream goes on.
 """
 
 from __future__ import annotations
@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sieveline.operators.pairs import hamming_pairs
+from sieveline.operators.pairs import hamming_between, hamming_pairs
 
 
 def step(batch: DataFrame, seen: DataFrame | None, most: int) -> DataFrame:
-    """(a, b, ham): pairs of the batch with itself and with what was seen, each once."""
-    both = batch.select("id", "sig") if seen is None else batch.select("id", "sig").unionByName(seen.select("id", "sig").join(batch.select("id"), "id", "left_anti"))
-    new = batch.select(F.col("id").alias("n")).distinct()
-    found = hamming_pairs(both.dropDuplicates(["id"]), most)
-    return found.join(new, (F.col("a") == F.col("n")) | (F.col("b") == F.col("n")), "left_semi") if seen is not None else found
+    """(a, b, ham): pairs of the batch with itself and with what was seen, each once. A signature that comes again
+    replaces the one seen."""
+    batch = batch.select("id", "sig").dropDuplicates(["id"])
+    own = hamming_pairs(batch, most)
+    if seen is None:
+        return own
+    before = seen.select("id", "sig").join(batch.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return own.unionByName(hamming_between(batch, before, most))
 
 
 def run(stream: DataFrame, folder: str, most: int = 3, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

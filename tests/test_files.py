@@ -15,10 +15,10 @@ def test_labels_and_lists(spark, tmp_path):
     (d / "x.txt").write_text("0 1 1 1 1")
     got = sorted(tuple(r) for r in files.labels(spark, f"file://{d}").collect())
     assert got == [(7, 0, 0, 0.5, 0.5, 0.1, 0.2), (7, 2, 2, 0.1, 0.2, 0.3, 0.4)]
-    assert {(r.id, r.ext) for r in files.listing(spark, f"file://{d}").collect()} == {(7, "txt")}
+    assert {(r.id, r.ext) for r in files.listing(spark, f"file://{d}").collect()} == {(7, "txt"), (8, "txt")}
     (tmp_path / "ids").write_text("3 1\n\n2\n")
     assert sorted(r.id for r in files.ids(spark, f"file://{tmp_path}/ids", unique=True).collect()) == [1, 2, 3]
-    assert sorted(r.bytes for r in files.manifest(spark, f"file://{d}").collect()) == [9, 42]
+    assert sorted(r.bytes for r in files.manifest(spark, f"file://{d}").collect()) == [0, 9, 42]
     (tmp_path / "p.json").write_text(json.dumps({"e1": {"train": [1, 2], "test": [3]}}))
     parts = files.partitions(spark, f"file://{tmp_path}/p.json")
     assert sinks.datasets(parts, f"file://{tmp_path}/ds") == {("e1", "train"): 2, ("e1", "test"): 1}
@@ -74,3 +74,36 @@ def test_json_and_directories(spark, tmp_path):
     (tmp_path / "s.csv").write_text(" a, b \n1,x\n")
     df = files.csv(spark, f"file://{tmp_path}/s.csv")
     assert df.columns == ["a", "b"] and df.dtypes == [("a", "string"), ("b", "string")] and tuple(df.first()) == ("1", "x")
+
+
+def test_manifest_with_empty_files(spark, tmp_path):
+    """Sizes and digests of all files, and the four kinds of difference."""
+    import hashlib
+
+    for name, content in (("a/1.txt", b"one"), ("a/2.txt", b""), ("b/3.txt", b"three"), ("b/4.txt", b"4")):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_bytes(content)
+    found = files.manifest(spark, f"file://{tmp_path}/tree")
+    short = {r.path.rsplit("/tree/", 1)[1]: (r.bytes, r.digest) for r in found.collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert short == {"a/1.txt": (3, sha(b"one")), "a/2.txt": (0, sha(b"")), "b/3.txt": (5, sha(b"three")), "b/4.txt": (1, sha(b"4"))}
+    want = spark.createDataFrame([("a/1.txt", 3, sha(b"0ne"), 1), ("a/2.txt", 0, sha(b""), 1), ("b/3.txt", 9, sha(b"three"), 1), ("c/5.txt", 1, "", 1)], "path string, bytes long, digest string, __x int")
+    own = spark.createDataFrame([(p, *v) for p, v in short.items()], "path string, bytes long, digest string")
+    assert {tuple(r) for r in files.compared(own, want).collect()} == {("a/1.txt", "digest"), ("b/3.txt", "size"), ("b/4.txt", "extra"), ("c/5.txt", "missing")}
+    assert files.compared(own, own).collect() == []
+
+
+def test_a_missing_json_document(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[\n {"a": 1},\n {"a": null}]')
+    assert [r.a for r in files.json_or_null(spark, f"file://{tmp_path}/x.json", "a int, b string").collect()] == [1, None]
+    assert [tuple(r) for r in files.json_or_null(spark, f"file://{tmp_path}/none.json", "a int, b string").collect()] == [(None, None)]
+
+
+def test_saved_ids_that_were_spoilt(spark):
+    """The check against saved lists finds ids that are missing, added or in another part."""
+    from sieveline.plans.design import saved_differences
+
+    split = spark.createDataFrame([(1, "train"), (2, "train"), (3, "val"), (4, "test")], "id long, split string")
+    assert saved_differences(spark, split, split).collect() == []
+    spoilt = spark.createDataFrame([(1, "train"), (2, "val"), (3, "val"), (5, "test")], "id long, split string")
+    assert sorted(r.id for r in saved_differences(spark, spoilt, split).collect()) == [2, 2, 4, 5]
