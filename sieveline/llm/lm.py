@@ -160,23 +160,32 @@ def bit_of(gram: np.ndarray, at: int, j: int) -> np.ndarray:
 
 
 def _build(blocks: int, first: tuple[int, int]):
+    """For partitions sorted by block: the bits of each block, sent when the next one begins, so a task holds one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
+        now, bits = -1, np.zeros(BLOCK_BITS, bool)
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+
         for batch in batches:
             gram, top, pair = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             gram = gram.view(np.uint64)
-            for at in range(min(first), int(top.max(initial=-1)) + 1):
-                some = (top >= at) & (np.where(pair, first[1], first[0]) <= at)
-                block = block_of(gram[some], blocks)
-                order = np.argsort(block, kind="stable")
-                block, bit = block[order], np.stack([bit_of(gram[some], at, j) for j in range(PROBES)], axis=1)[order]
-                edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, int)
-                for a, b in zip(edge, np.append(edge[1:], len(block))):
-                    mine = made.setdefault(int(block[a]), np.zeros(BLOCK_BITS, bool))
-                    mine[bit[a:b].reshape(-1)] = True
-        for block, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
-        made = batch = gram = some = order = bit = None
+            block = block_of(gram, blocks)
+            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, int)
+            least = np.where(pair, first[1], first[0])
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(block)).tolist()):
+                if block[a] != now:
+                    if now >= 0:
+                        yield made()
+                    now, bits = int(block[a]), np.zeros(BLOCK_BITS, bool)
+                for at in range(min(first), int(top[a:b].max()) + 1):
+                    some = gram[a:b][(top[a:b] >= at) & (least[a:b] <= at)]
+                    for j in range(PROBES):
+                        bits[bit_of(some, at, j)] = True
+        if now >= 0:
+            yield made()
+        batch = gram = block = bits = some = None
         give_back()
 
     return run
@@ -206,7 +215,7 @@ def train(docs: DataFrame, filter_bytes: int | None = None, table_words: int = T
     blocks = max(1, -(-(held(0) + held(1)) * ENTRY_BITS // BLOCK_BITS))
     own = counted.where(F.col("level") >= F.when(F.col("pair"), first[1]).otherwise(first[0]))
     block = F.shiftright(F.shiftrightunsigned("gram", 33) * F.lit(blocks), 31)
-    made = own.select(block.alias("block"), "gram", "level", "pair").repartition("block").select("gram", "level", "pair").mapInArrow(_build(blocks, tuple(first)), "block long, bits binary")
+    made = own.select(block.alias("block"), "gram", "level", "pair").repartition("block").sortWithinPartitions("block").select("gram", "level", "pair").mapInArrow(_build(blocks, tuple(first)), "block long, bits binary")
     made = cut(made)
 
     lowest = next(lv for lv in range(top + 2) if sum(n for (p, k), n in grams.items() if not p and k >= lv) <= table_words)
