@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import hamming
+from sieveline.storage import cut
 
 #: Vectors of a block; a task holds two blocks and their products.
 BLOCK_ROWS = 2048
@@ -24,21 +25,125 @@ def _tiles(rows: DataFrame, other: DataFrame | None, block_rows: int, n: int, m:
     return a.unionByName(b)
 
 
+#: Pivots to whose cells vectors are dealt, at most; they are broadcast.
+PIVOTS = 1024
+#: What angles are off by at most through rounding, and more.
+_SLACK = 1e-6
+
+
+def _angles(v, pivots):
+    """Angles between rows and pivots (unit vectors)."""
+    import numpy as np
+
+    x = np.stack(v)
+    return np.arccos(np.clip(x / np.linalg.norm(x, axis=1, keepdims=True) @ pivots.T, -1, 1))
+
+
+class _Cells:
+    """Vectors (id, v) by their nearest pivot, in blocks: a cell has so many blocks that each has block_rows rows, about.
+    radius: the largest angle of a cell's rows with its pivot; cells without rows have no blocks."""
+
+    def __init__(self, rows: DataFrame, pivots, block_rows: int):
+        import numpy as np
+
+        self.pivots = pivots
+
+        def near(batches):
+            for pdf in batches:
+                angle = _angles(pdf.v, pivots) if len(pdf) else np.zeros((0, 1))
+                yield pdf.assign(cell=angle.argmin(axis=1).astype(np.int32), angle=angle.min(axis=1))
+
+        self.rows = cut(rows.select("id", "v").mapInPandas(near, "id long, v array<double>, cell int, angle double"))
+        told = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()  # a row a pivot
+        self.radius, self.blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+        for r in told:
+            self.radius[r["cell"]], self.blocks[r["cell"]] = r["r"], -(-r["n"] // block_rows)
+        self.first = np.cumsum(self.blocks) - self.blocks
+
+    def sent(self, to: _Cells, limit, slack) -> DataFrame:
+        """(id, v, b, t): each row with its own block and each block of ``to`` that it can reach: its angle with the cell's
+        pivot is at most the row's limit (a number, or None for its angle with its own pivot) and the cell's slack."""
+        import numpy as np
+        import pandas as pd
+
+        pivots, own = self.pivots, (self.first, self.blocks)
+        first, blocks = to.first, to.blocks
+
+        def reach(batches):
+            for pdf in batches:
+                out = []
+                for at in range(0, len(pdf), 1024):
+                    some = pdf[at : at + 1024]
+                    most = some.angle.to_numpy()[:, None] if limit is None else limit
+                    row, cell = np.nonzero((_angles(some.v, pivots) <= most + slack[None, :] + _SLACK) & (blocks > 0)[None, :])
+                    where = np.repeat(np.arange(len(row)), blocks[cell])
+                    step = np.arange(len(where)) - np.repeat(np.cumsum(blocks[cell]) - blocks[cell], blocks[cell])
+                    home = own[0][some.cell] + some.chunk.to_numpy() % np.maximum(1, own[1][some.cell])
+                    lists = np.split(first[cell[where]] + step, np.searchsorted(row[where], np.arange(1, len(some))))
+                    out.append(pd.DataFrame({"id": some.id.to_numpy(), "v": some.v.to_numpy(), "b": home, "ts": lists}))
+                yield pd.concat(out) if out else pd.DataFrame({"id": [], "v": [], "b": [], "ts": []})
+
+        chunk = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("chunk")
+        found = self.rows.select("id", "v", "cell", "angle", chunk).mapInPandas(reach, "id long, v array<double>, b long, ts array<long>")
+        return found.select("id", "v", "b", F.explode("ts").alias("t"))
+
+
+def _pivots(rows: DataFrame, n: int):
+    """n of the rows' vectors, of unit length, chosen by the hash of their id."""
+    import numpy as np
+
+    some = rows.select("id", "v").orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(n).collect()
+    x = np.array([r["v"] for r in some], float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _of_length(rows: DataFrame) -> DataFrame:
+    """(id, v) of vectors that are neither null nor zero."""
+    return rows.select("id", "v").where(F.coalesce(F.exists("v", lambda e: e != 0), F.lit(False)))
+
+
+def reachable_tiles(rows: DataFrame, other: DataFrame | None, least: float | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, j, left, id, v): the rows of each two blocks among which a cosine of ``least`` or more (None: one's largest
+    cosine) can be; other None: of rows with themselves.
+
+    Vectors are dealt to the nearest of up to PIVOTS pivots (as many as there are blocks). By the triangle
+    inequality on angles, a vector whose angle with a pivot is over the threshold's and the radius of the pivot's
+    cell together is near nothing there, so it isn't sent to the cell's blocks. For the largest cosine the
+    threshold is the vector's own: pivots are vectors of other, so the nearest one is a bound.
+    """
+    import numpy as np
+
+    rows = _of_length(rows)
+    base = rows if other is None else (other := _of_length(other))
+    n = base.count()
+    none = rows.sparkSession.createDataFrame([], "i long, j long, left boolean, id long, v array<double>")
+    if not n:
+        return none
+    pivots = _pivots(base, max(1, min(PIVOTS, -(-n // block_rows))))
+    limit = None if least is None else float(np.arccos(np.clip(least, -1, 1)))
+    own = _Cells(rows, pivots, block_rows)
+    if other is None:
+        met = own.sent(own, limit, own.radius)
+        return met.select(F.least("b", "t").alias("i"), F.greatest("b", "t").alias("j"), (F.col("b") <= F.col("t")).alias("left"), "id", "v")
+    there = _Cells(other, pivots, block_rows)
+    a = own.sent(there, limit, there.radius).select(F.col("b").alias("i"), F.col("t").alias("j"), F.lit(True).alias("left"), "id", "v")
+    b = there.sent(own, 0.0, own.radius + (own.radius if limit is None else limit))
+    return a.unionByName(b.select(F.col("t").alias("i"), F.col("b").alias("j"), F.lit(False).alias("left"), "id", "v"))
+
+
 def cosine_pairs(rows: DataFrame, least: float, other: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, sim) of all pairs with a cosine of ``least`` or more: of rows with themselves (a < b), or of
     rows with other. rows: (id long, v array<double>), ids unique. Null and zero vectors have no pair.
 
-    An exact theta join has all pairs to look at; tiles of two blocks keep every task's memory
-    the same, and only pairs that pass leave it. Vectors are sent once for each block.
+    Tiles of two blocks keep every task's memory the same, and only pairs that pass leave it; tiles and rows
+    that can't reach the threshold aren't made (reachable_tiles()).
     """
-    n, m = rows.count(), other.count() if other is not None else 0
-    tiles, alone = _tiles(rows, other, block_rows, n, m), other is None
+    tiles, alone = reachable_tiles(rows, other, least, block_rows), other is None
 
     def products(tile):
         import numpy as np
         import pandas as pd
 
-        tile = tile[tile.v.notna()]
         both = alone and bool((tile.i == tile.j).all())
         left = tile[tile.left]
         right = left if both else tile[~tile.left]
@@ -46,8 +151,7 @@ def cosine_pairs(rows: DataFrame, least: float, other: DataFrame | None = None,
         if not len(left) or not len(right):
             return none
         x, y = np.stack(left.v), np.stack(right.v)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
         p, q = np.nonzero(sims >= least)
         a, b, s = left.id.to_numpy()[p], right.id.to_numpy()[q], sims[p, q]
         if alone:
@@ -61,22 +165,19 @@ def cosine_pairs(rows: DataFrame, least: float, other: DataFrame | None = None,
 
 def max_sims(rows: DataFrame, other: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, sim): the largest cosine of each of rows with any of other; of (id, v) both. A tile gives one value
-    for each of its rows, so what is shuffled grows with rows times blocks, not with pairs."""
-    tiles = _tiles(rows, other, block_rows, rows.count(), other.count())
+    for each of its rows, and a row goes only to tiles that can beat what its nearest pivot, a row of other, gives."""
+    tiles = reachable_tiles(rows, other, None, block_rows)
 
     def best(tile):
         import numpy as np
         import pandas as pd
 
-        tile = tile[tile.v.notna()]
         left, right = tile[tile.left], tile[~tile.left]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "sim": np.zeros(0)})
         x, y = np.stack(left.v), np.stack(right.v)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-        top = np.where(np.isnan(sims), -np.inf, sims).max(axis=1)
-        return pd.DataFrame({"a": left.id.to_numpy(), "sim": top})[np.isfinite(top)]
+        sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        return pd.DataFrame({"a": left.id.to_numpy(), "sim": sims.max(axis=1)})
 
     return tiles.groupBy("i", "j").applyInPandas(best, "a long, sim double").groupBy("a").agg(F.max("sim").alias("sim"))
 
