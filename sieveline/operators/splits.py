@@ -216,6 +216,14 @@ def best_halves(anchors: DataFrame, tries: int = 5000, seed: int = 0) -> DataFra
     return halved(anchors.crossJoin(F.broadcast(best)).where("draw is not null")).select("id", F.when(F.col("side") > 0, "A").otherwise("B").alias("half"))
 
 
+def with_halves(arms: DataFrame, halves: DataFrame) -> DataFrame:
+    """arms (id, grp, role, ...) with the halves of their groups' anchors (id, half) in place of their own."""
+    anchors = arms.where("role = 'anchor'").select(F.col("id").alias("__anchor"), F.col("grp").alias("__grp"))
+    of = anchors.join(halves.select(F.col("id").alias("__anchor"), F.col("half").alias("__half")), "__anchor").select("__grp", "__half")
+    met = arms.drop("half").join(of, F.col("grp") == F.col("__grp"), "left")
+    return met.withColumn("half", F.when(F.col("role") != "placebo", F.col("__half"))).drop("__grp", "__half")
+
+
 def stratified_sample(rows: DataFrame, stratum: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of each stratum by hash order of id, with code: their place in a common hash order."""
     inside = Window.partitionBy(stratum).orderBy(shuffled(seed, F.col("id")), "id")

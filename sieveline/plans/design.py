@@ -13,7 +13,7 @@ from sieveline.operators import pairs as P
 from sieveline.operators import splits as S
 from sieveline.operators.order import ranked
 from sieveline.plans import fixtures as X
-from sieveline.plans.leakage import CORE, HELD, SPLIT, W, core_groups, held_out
+from sieveline.plans.leakage import CORE, HELD, SPLIT, W, anchors_of, core_groups, held_out
 from sieveline.plans.book import query
 from sieveline.plans.files import place
 from sieveline.sources import files, sinks
@@ -40,6 +40,13 @@ def design_of(spark, sf, arms=None):
     return cut(D.crossover(arms if arms is not None else arms_of(spark, sf), split.where("split = 'train'").select("id")))
 
 
+@query("crossover_searched")
+def crossover_searched(spark, sf):
+    """The crossover design whose halves are the best of those that were drawn (crossover_halves)."""
+    arms = arms_of(spark, sf)
+    return design_of(spark, sf, S.with_halves(arms, S.best_halves(anchors_of(spark, sf, arms))))
+
+
 @query("crossover_design", f"{DESIGN} SELECT name AS \"set\", id FROM design")
 def crossover_design(spark, sf):
     return design_of(spark, sf)
@@ -426,6 +433,14 @@ def source_probe(spark, sf):
     return source_probe(X.items(spark, sf).join(core_groups(spark, sf)[0], "id"))
 
 
+@query("source_recalls")
+def source_recalls(spark, sf):
+    """The probe's recall of each source."""
+    from sieveline.operators.probe import source_recalls
+
+    return source_recalls(X.items(spark, sf).join(core_groups(spark, sf)[0], "id"))
+
+
 #: Random pairs that are drawn.
 RANDOM_PAIRS = 5000
 

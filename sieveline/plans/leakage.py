@@ -363,13 +363,16 @@ def placebo_singletons(spark, sf):
     return held_out(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("grp"))).where("n = 1").select("id")
 
 
+def anchors_of(spark, sf, arms):
+    """(id, res, twins, boxes) of the anchors of arms (id, grp, role)."""
+    n = arms.where("role = 'twin'").groupBy("grp").agg(F.count("*").alias("twins"))
+    anchors = arms.where("role = 'anchor'").select("id", "grp").join(n, "grp").join(X.items(spark, sf).select("id", "res"), "id")
+    return anchors.select("id", "res", "twins", (F.col("id") % 7).alias("boxes"))
+
+
 @query("crossover_halves")
 def crossover_halves(spark, sf):
-    arms = S.anchors_and_twins(held_out(spark, sf))
-    res = X.items(spark, sf).select("id", "res")
-    n = arms.where("role = 'twin'").groupBy("grp").agg(F.count("*").alias("twins"))
-    anchors = arms.where("role = 'anchor'").select("id", "grp").join(n, "grp").join(res, "id").select("id", "res", "twins", (F.col("id") % 7).alias("boxes"))
-    return S.best_halves(anchors)
+    return S.best_halves(anchors_of(spark, sf, S.anchors_and_twins(held_out(spark, sf))))
 
 
 @query("stratified_sample", f"""{W}{X.PAIRS}, p AS (SELECT a * 1000000 + b AS id, CASE WHEN sim >= 0.42 THEN 'high' WHEN sim >= 0.36 THEN 'mid' ELSE 'low' END AS stratum FROM pairs),
