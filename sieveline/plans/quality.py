@@ -190,14 +190,19 @@ OTHER = "CASE WHEN det % 9 = 0 THEN 0 ELSE tp END"
 
 
 def draws_sql(seed: int, name: str = "weights") -> str:
-    """Weights of every customer in every replicate, by the hash of operators/bootstrap.py."""
+    """Weights of every customer in every replicate, draw by draw, as operators/bootstrap.py draws them."""
     m = P.MODULUS
-    steps = [f"((unit % {m}) * 48271 + rep * 69621 + {seed * 7919 + 12345}) % {m}", f"(x * x + unit % {m}) % {m}", f"(x * 16807 + rep * 3 + 1) % {m}", f"(x * x + x * 5 + 69621) % {m}"]
-    x = f"SELECT unit, rep, {steps[0]} AS x FROM (SELECT DISTINCT o_custkey AS unit FROM orders JOIN boxes ON id = o_orderkey), range({CHECKED}) t(rep)"
-    for step in steps[1:]:
-        x = f"SELECT unit, rep, {step} AS x FROM ({x})"
-    count = " + ".join(f"CASE WHEN x >= {b} THEN 1 ELSE 0 END" for b in P.BOUNDS)
-    return f"{name} AS (SELECT * FROM (SELECT rep, unit, {count} AS w FROM ({x})) WHERE w > 0)"
+
+    def draw(unit: str, rep: str, seed: int) -> str:
+        x = f"((({unit}) % {m}) * 48271 + ({rep}) * 69621 + {seed * 7919 + 12345}) % {m}"
+        return f"list_reduce([{x}, 0, 1, 2], lambda x, k: CASE k WHEN 0 THEN (x * x + ({unit}) % {m}) % {m} WHEN 1 THEN (x * 16807 + ({rep}) * 3 + 1) % {m} ELSE (x * x + x * 5 + 69621) % {m} END)"
+
+    return f"""{name}_units AS (SELECT DISTINCT o_custkey::BIGINT AS unit FROM orders JOIN boxes ON id = o_orderkey), {name}_counted AS (SELECT count(*) AS n, greatest(1, ceil(count(*) / {P.BUCKET_UNITS}.0)::BIGINT) AS k FROM {name}_units),
+{name}_placed AS (SELECT unit, bucket, row_number() OVER (PARTITION BY bucket ORDER BY unit) - 1 AS place FROM (SELECT unit, {draw('unit', '0', 5)} % k AS bucket FROM {name}_units, {name}_counted)),
+{name}_buckets AS (SELECT bucket, size, sum(size) OVER (ORDER BY bucket) AS high FROM (SELECT bucket, count(*) AS size FROM {name}_placed GROUP BY bucket)),
+{name}_drawn AS (SELECT rep, t, ({draw('t', 'rep', 3 * seed)} * 2147483648 + {draw('t', 'rep', 3 * seed + 1)}) % n AS u FROM {name}_counted, range({CHECKED}) r(rep), (SELECT unnest(range(n)) AS t FROM {name}_counted)),
+{name}_fallen AS (SELECT rep, bucket, size, row_number() OVER (PARTITION BY rep, bucket ORDER BY t) - 1 AS j FROM {name}_drawn JOIN {name}_buckets ON u >= high - size AND u < high),
+{name} AS (SELECT rep, unit, count(*)::INTEGER AS w FROM (SELECT rep, bucket, {draw(f'bucket * {1 << P.PLACE} + j', 'rep', 3 * seed + 2)} % size AS place FROM {name}_fallen) JOIN {name}_placed USING (bucket, place) GROUP BY rep, unit)"""
 
 
 def maps_sql(name: str, weights: str, flag: str) -> str:
@@ -237,39 +242,39 @@ def bootstrap_weights(spark, sf):
 @query("bootstrap_ci", f"{W}{X.FLAGGED}, {draws_sql(0)}, {maps_sql('a', 'weights', 'tp')} SELECT {INTERVAL} FROM a")
 def bootstrap_ci(spark, sf):
     tp, _, boxes = by_customer(spark, sf)
-    return P.interval(P.mean_ap(tp, boxes, CHECKED))
+    return P.interval(P.mean_ap(tp, boxes, CHECKED, units=boxes))
 
 
 @query("paired_diff_ci", f"{W}{X.FLAGGED}, {draws_sql(0)}, {maps_sql('a', 'weights', 'tp')}, {maps_sql('b', 'weights', OTHER)} SELECT {INTERVAL} FROM (SELECT a.m - b.m AS m FROM a JOIN b USING (rep))")
 def paired_diff_ci(spark, sf):
     tp, other, boxes = by_customer(spark, sf)
-    return P.interval(P.difference(P.mean_ap(tp, boxes, CHECKED), P.mean_ap(other, boxes, CHECKED)))
+    return P.interval(P.difference(P.mean_ap(tp, boxes, CHECKED, units=boxes), P.mean_ap(other, boxes, CHECKED, units=boxes)))
 
 
 @query("unpaired_diff_ci", f"{W}{X.FLAGGED}, {draws_sql(0)}, {draws_sql(1, 'weights_b')}, {maps_sql('a', 'weights', 'tp')}, {maps_sql('b', 'weights_b', OTHER)} SELECT {INTERVAL} FROM (SELECT a.m - b.m AS m FROM a JOIN b USING (rep))")
 def unpaired_diff_ci(spark, sf):
     tp, other, boxes = by_customer(spark, sf)
-    return P.interval(P.difference(P.mean_ap(tp, boxes, CHECKED), P.mean_ap(other, boxes, CHECKED, seed=1)))
+    return P.interval(P.difference(P.mean_ap(tp, boxes, CHECKED, units=boxes), P.mean_ap(other, boxes, CHECKED, 1, boxes)))
 
 
 @query("bootstrap_ci_items")
 def bootstrap_ci_items(spark, sf):
     """As many replicates over items as the reference draws; SQL is too slow for them."""
     tp, _, boxes = by_item(spark, sf)
-    return P.interval(P.mean_ap(tp, boxes, ITEM_REPLICATES))
+    return P.interval(P.mean_ap(tp, boxes, ITEM_REPLICATES, units=boxes))
 
 
 @query("paired_diff_ci_items")
 def paired_diff_ci_items(spark, sf):
     tp, other, boxes = by_item(spark, sf)
-    return P.interval(P.difference(P.mean_ap(tp, boxes, ITEM_REPLICATES), P.mean_ap(other, boxes, ITEM_REPLICATES)))
+    return P.interval(P.difference(P.mean_ap(tp, boxes, ITEM_REPLICATES, units=boxes), P.mean_ap(other, boxes, ITEM_REPLICATES, units=boxes)))
 
 
 @query("bootstrap_ci_groups")
 def bootstrap_ci_groups(spark, sf):
     """As many replicates over groups as the reference draws."""
     tp, _, boxes = by_customer(spark, sf)
-    return P.interval(P.mean_ap(tp, boxes, GROUP_REPLICATES))
+    return P.interval(P.mean_ap(tp, boxes, GROUP_REPLICATES, units=boxes))
 
 
 @query("source_reweighting", """SELECT source, n, m, round((n::DOUBLE / sum(n) OVER ()) / (m::DOUBLE / sum(m) OVER ()), 6) AS weight FROM (

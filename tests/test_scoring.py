@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sieveline.operators import scoring as R
 
 
@@ -75,8 +77,8 @@ def test_bootstrap_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(P, "STEP", 7)
     monkeypatch.setattr(P, "SIDE", 16)
     reps = 50
-    units, w = np.array([*range(7), 99]), P.weights_of(np.array([*range(7), 99]), np.arange(reps), 3)
-    at = {u: i for i, u in enumerate(units.tolist())}
+    monkeypatch.setattr(P, "BUCKET_UNITS", 3)
+    w, at = slow_weights([*range(7), 99], reps, 3, 3), {u: i for i, u in enumerate([*range(7), 99])}
     want = {}
     for rep in range(reps):
         for c in (0, 1):
@@ -90,25 +92,59 @@ def test_bootstrap_against_brute_force(spark, monkeypatch):
             want[rep, c] = np.mean([max(precision[recall >= k / 100.0], default=0) for k in range(101)])
     got = {(r.rep, r.cls): r.ap for r in P.bootstrap_ap(tp, spark.createDataFrame(boxes, "cls int, unit long"), reps, 3).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    drawn = P.bootstrap_weights(tp, reps, 3).collect()
-    assert {(r.rep, r.unit): r.w for r in drawn} == {(rep, u): w[at[u], rep] for rep in range(reps) for u in range(7) if w[at[u], rep]}
+    drawn = P.bootstrap_weights(spark.createDataFrame(boxes, "cls int, unit long"), reps, 3).collect()
+    assert {(r.rep, r.unit): r.w for r in drawn} == {(rep, u): w[at[u], rep] for rep in range(reps) for u in at if w[at[u], rep]}
     none = tp.where("false")
     assert P.bootstrap_ap(none, spark.createDataFrame([], "cls int, unit long"), reps).collect() == []
     assert {r.ap for r in P.bootstrap_ap(none, spark.createDataFrame(boxes, "cls int, unit long"), reps).select(F.col("ap")).collect()} == {0.0}
 
 
-def test_weights_are_poisson_numbers():
+def slow_weights(units, reps, seed, bucket_units):
+    """A matrix of weights, draw by draw: each falls into a bucket by its number, and there on a unit."""
+    import numpy as np
+
+    from sieveline.operators.bootstrap import PLACE, _draw
+
+    n, count = len(units), max(1, -(-len(units) // bucket_units))
+    buckets = {}
+    for u in sorted(units):
+        buckets.setdefault(_draw(u, 0, 5) % count, []).append(u)
+    places = [(b, k) for b in sorted(buckets) for k in range(len(buckets[b]))]
+    w = np.zeros((n, reps), int)
+    for rep in range(reps):
+        had = dict.fromkeys(buckets, 0)
+        for t in range(n):
+            b, _ = places[(_draw(t, rep, 3 * seed) * (1 << 31) + _draw(t, rep, 3 * seed + 1)) % n]
+            own = buckets[b]
+            w[units.index(own[_draw((b << PLACE) + had[b], rep, 3 * seed + 2) % len(own)]), rep] += 1
+            had[b] += 1
+    return w
+
+
+@pytest.mark.parametrize("replicates", [1000, 2000])
+def test_n_of_n_are_drawn(spark, replicates):
+    """The replicates of the queries over groups and items: each sums up to n, and weights are multinomial."""
     import numpy as np
 
     from sieveline.operators import bootstrap as P
 
-    w = P.weights_of(np.arange(3000), np.arange(300))
-    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.01
-    # Replicates, and units, are as good as independent.
-    for m in (w, w.T[:, :300]):
-        c = np.corrcoef(m.T[:60])
-        assert np.abs(c[~np.eye(60, dtype=bool)]).max() < 6 / np.sqrt(len(m))
-    assert (P.weights_of(np.arange(50), np.arange(50), 1) != w[:50, :50]).any()
+    n = 1500
+    units = spark.range(n).selectExpr("id * 3 AS unit")
+    table = P.weight_table(units.unionAll(units), replicates).collect()
+    w = np.zeros((n, -(-replicates // P.SIDE) * P.SIDE))
+    for r in table:
+        w[r.unit // 3, r.block * P.SIDE : (r.block + 1) * P.SIDE] = P.weights_of([r.w])[0]
+    assert not w[:, replicates:].any()
+    w = w[:, :replicates]
+    assert (w.sum(axis=0) == n).all()
+    assert abs(w.var() - (1 - 1 / n)) < 0.02 and abs((w == 0).mean() - (1 - 1 / n) ** n) < 0.01
+    for m in (w[:, :60], w[:60].T):  # replicates, and units, are as good as independent
+        c = np.corrcoef(m.T)
+        assert np.abs(c[~np.eye(len(c), dtype=bool)]).max() < 6 / np.sqrt(len(m))
+    other = {(r.unit, r.block): r.w for r in P.weight_table(units, replicates, 1).collect()}
+    assert any(other[r.unit, r.block] != r.w for r in table)
+    again = {(r.unit, r.block): r.w for r in P.weight_table(units.repartition(5), replicates).collect()}
+    assert again == {(r.unit, r.block): r.w for r in table}
 
 
 def test_order(spark):
