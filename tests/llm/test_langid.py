@@ -27,8 +27,8 @@ def test_letters_are_the_categories_l():
     assert langid.words("a²b Ⅷx") == ["a", "b", "x"]
 
 
-def slow_predict(counts, text):
-    """Word-first backoff from the definition, in plain Python."""
+def slow_tables(counts):
+    """Log frequencies of words and of n-grams of every length, by language."""
     import math
 
     langs = sorted(counts)
@@ -42,6 +42,17 @@ def slow_predict(counts, text):
                     per[lang][g] = per[lang].get(g, 0) + c
         every = {g for lang in langs for g in per[lang] if k == 1 or sum(per[x].get(g, 0) for x in langs) >= langid.KNOWN}
         tables.append({g: [math.log((per[lang].get(g, 0) + 0.5) / (sum(per[lang].values()) + 0.5 * (len(every) + 1))) for lang in langs] for g in every})
+    return langs, tables
+
+
+def slow_predict(counts, text):
+    """Word-first backoff from the definition, in plain Python."""
+    return slow_score(*slow_tables(counts), text)
+
+
+def slow_score(langs, tables, text):
+    import math
+
     total, n = [0.0] * len(langs), 0
     for w in ["".join(c) for c in __import__("re").findall(r"[^\W\d_]+", text.lower())]:
         n += 1
@@ -112,3 +123,30 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     out = [r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out]
     assert len(rows) == len(docs) and sum(out) / len(out) > 0.98
+
+
+def test_query_against_brute_force(spark, sf):
+    """The whole query: folds by checksum, what is learned, and every document's language and score."""
+    import re
+    import zlib
+    from collections import Counter
+
+    from sieveline.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    counts = {}
+    for r in rows:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(re.findall(r"[^\W\d_]+", r.text.lower()))
+    langs, tables = slow_tables(counts)
+    found = {r.doc_id: r for r in QUERIES["op8_langid"](spark, sf).collect()}
+    assert found.keys() == held.keys() and len(rows) == len(found)
+    for r in rows:
+        got = found[r.doc_id]
+        assert got.held_out == held[r.doc_id]
+        if re.search(r"[^\W\d_]", r.text or ""):
+            want, p = slow_score(langs, tables, r.text)
+            assert got.lang_pred == want and abs(got.score - p) < 1e-9
+        else:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
