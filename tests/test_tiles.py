@@ -1,5 +1,7 @@
 """Queries over pairs of vectors that no longer write or shuffle a row for each pair, against brute force."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from sieveline.functions.scalar import median_signature
 from sieveline.operators import core as C
 from sieveline.operators import packs as K
 from sieveline.operators import pairs as P
+from sieveline.operators.edges import Thresholds
 from tests.test_bootstrap_size import shuffled
 from tests.test_core_groups import table
 
@@ -61,3 +64,24 @@ def test_median_signatures(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, [1.0, 2.0, None]), (51, None), (52, [3.0, float("nan"), 1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert set(P.median_signatures(df).collect()) == set(df.select("id", median_signature(F.col("v")).alias("sig")).collect())
+
+
+def test_strata_and_degrees(spark, monkeypatch):
+    """The first pairs of each stratum by key are among the sample, and partners are counted by stratum."""
+    monkeypatch.setattr(K, "LEAST_PACK", 40)
+    v, t = np.random.default_rng(6).normal(size=(120, 8)), Thresholds(accept_count=65, accept_sim=0.5, strong_count=65, strong_sim=0.7)
+    sims = pairs_of(v, 0.3)
+    strata = lambda s, n: (s >= 0.5).astype(int) + (s >= 0.7)
+    some, sizes = C.strata_sample(table(spark, v), t, 0.3, strata, 5, lambda a, b: F.md5(F.concat_ws("-", a, b).cast("binary")))
+    of = {k: [p for p, s in sims.items() if (s >= 0.5) + (s >= 0.7) == k] for k in range(3)}
+    assert sizes == {k: len(x) for k, x in of.items()}
+    got = {(r.a, r.b) for r in some.collect()}
+    for pairs in of.values():
+        assert set(sorted(pairs, key=lambda p: hashlib.md5(f"{p[0]}-{p[1]}".encode()).hexdigest())[:5]) <= got
+    labeled = table(spark, v).withColumn("label", (F.col("id") % 10).cast("long"))
+    want = {}
+    for (a, b), s in sims.items():
+        for x, y in ((a, b), (b, a)):
+            if s >= 0.5 and y % 10:
+                want.setdefault(x, [0, 0])[s < 0.7] += 1
+    assert {r.id: [r.strong, r.weak] for r in C.degrees(labeled, t, 0.3).collect()} == want
