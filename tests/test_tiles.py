@@ -73,7 +73,7 @@ def test_strata_and_degrees(spark, monkeypatch):
     sims = pairs_of(v, 0.3)
     strata = lambda s, n: (s >= 0.5).astype(int) + (s >= 0.7)
     some, sizes = C.strata_sample(table(spark, v), t, 0.3, strata, 5, lambda a, b: F.md5(F.concat_ws("-", a, b).cast("binary")))
-    of = {k: [p for p, s in sims.items() if (s >= 0.5) + (s >= 0.7) == k] for k in range(3)}
+    of = {k: [p for p, s in sims.items() if int(s >= 0.5) + int(s >= 0.7) == k] for k in range(3)}
     assert sizes == {k: len(x) for k, x in of.items()}
     got = {(r.a, r.b) for r in some.collect()}
     for pairs in of.values():
@@ -83,5 +83,5 @@ def test_strata_and_degrees(spark, monkeypatch):
     for (a, b), s in sims.items():
         for x, y in ((a, b), (b, a)):
             if s >= 0.5 and y % 10:
-                want.setdefault(x, [0, 0])[s < 0.7] += 1
+                want.setdefault(x, [0, 0])[int(s < 0.7)] += 1
     assert {r.id: [r.strong, r.weak] for r in C.degrees(labeled, t, 0.3).collect()} == want
